@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from gridspark.operators.small import join_small
+
 
 def append_days(df: DataFrame, dst: str, time: str = "time") -> None:
     """Write whole days; days already there are replaced, all others are left alone."""
@@ -17,16 +19,23 @@ def ingest_incremental(spark: SparkSession, src: str, dst: str, checkpoint: str,
                        time: str = "time", max_files: int | None = None) -> None:
     """Take in every file of `src` not yet seen, then return.
 
-    The stream remembers files in `checkpoint`; a crash repeats at most one batch, with the
-    same result. A batch must hold a day completely, as one file or several arriving together.
-    Day fills belong after ingestion: a late file changes days copied from earlier ones.
+    A file is one day or several whole days. Where a batch holds a day twice, the file
+    modified last wins; a day seen before is replaced. The stream remembers files in
+    `checkpoint`, and a crash repeats at most one batch, with the same result. Day fills
+    belong after ingestion: a late file changes days copied from earlier ones.
     """
     reader = spark.readStream.schema(schema)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    origin = F.struct(F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_path").alias("path"))
+
+    def take(batch: DataFrame, _: int) -> None:
+        newest = batch.groupBy(time).agg(F.max("_origin").alias("_origin"))
+        append_days(join_small(batch, newest, [time, "_origin"], "left_semi").drop("_origin"), dst, time)
+
     query = (
-        reader.parquet(src).writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, _: append_days(batch, dst, time))
+        reader.parquet(src).select("*", origin.alias("_origin")).writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(take)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
