@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gridspark.operators.running import running
 
@@ -71,12 +70,18 @@ class LinearModel:
     coefficients: np.ndarray
     intercepts: np.ndarray
 
-    def expression(self, target: str, inputs: Sequence[str] | None = None) -> Column:
-        """The prediction as a column expression; `inputs` stand in for the features, in order."""
+    def predictor(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Rows of feature values to rows of predictions; carries arrays only, so tasks need no library."""
+        weights, intercepts = self.coefficients.T, self.intercepts
+        return lambda x: x @ weights + intercepts
+
+    def expression(self, target: str) -> Column:
+        """The prediction of one target as a column expression; unused features are left out."""
         r = self.targets.index(target)
         total = F.lit(float(self.intercepts[r]))
-        for c, name in zip(self.coefficients[r], inputs or self.features):
-            total = total + F.lit(float(c)) * F.col(name)
+        for c, name in zip(self.coefficients[r], self.features):
+            if c != 0.0:
+                total = total + F.lit(float(c)) * F.col(name)
         return total
 
     def predict(self, df: DataFrame, suffix: str = "_pred") -> DataFrame:
@@ -90,23 +95,41 @@ class LinearModel:
 
 
 def fit_linear(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> LinearModel:
-    """Least squares for all targets together.
+    """Least squares for all targets together (E8), in one pass over the rows.
 
-    Spark computes the means, deviations and correlations of features and targets; what
-    reaches the driver is one square matrix with a row per column, whatever the row count.
-    Rows with a missing value are left out. Constant features get no weight.
+    Every task reduces its batches to one matrix of sums of products, Spark adds the
+    matrices, and the driver solves a system with a row per feature, whatever the row
+    count. Rows with a missing value are left out. Constant features get no weight.
     """
     names = [*features, *targets]
-    rows = VectorAssembler(inputCols=names, outputCol="v", handleInvalid="skip").transform(df.select(*names)).select("v")
-    moments = rows.agg(Summarizer.metrics("mean", "std").summary(F.col("v")).alias("s")).select("s.mean", "s.std").first()
-    mean, std = moments[0].toArray(), moments[1].toArray()
-    corr = np.nan_to_num(Correlation.corr(rows, "v").first()[0].toArray())
+    size = len(names) + 1
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float)
+            x = x[np.isfinite(x).all(axis=1)]
+            x = np.column_stack([np.ones(len(x)), x])
+            total += x.T @ x
+        row, col = np.indices((size, size))
+        yield pd.DataFrame({"row": row.ravel(), "col": col.ravel(), "value": total.ravel()})
+
+    sums = df.select(*(F.col(c).cast("double").alias(c) for c in names)).mapInPandas(moments, "row int, col int, value double")
+    m = np.zeros((size, size))
+    for r in sums.groupBy("row", "col").agg(F.sum("value").alias("value")).collect():
+        m[r["row"], r["col"]] = r["value"]
+    if m[0, 0] == 0:
+        raise ValueError("no complete rows to fit")
+    mean = m[0, 1:] / m[0, 0]
+    cov = m[1:, 1:] / m[0, 0] - np.outer(mean, mean)
     p = len(features)
-    used = std[:p] > 0
+    std = np.sqrt(np.maximum(np.diag(cov)[:p], 0))
+    used = std > 1e-12 * np.maximum(1.0, np.abs(mean[:p]))
     coef = np.zeros((len(targets), p))
     if used.any():
-        beta = np.linalg.lstsq(corr[:p, :p][np.ix_(used, used)], corr[:p, p:][used], rcond=None)[0]
-        coef[:, used] = (beta * std[p:] / std[:p][used][:, None]).T
+        unit = std[used]
+        beta = np.linalg.lstsq(cov[:p, :p][np.ix_(used, used)] / np.outer(unit, unit), cov[:p, p:][used] / unit[:, None], rcond=None)[0]
+        coef[:, used] = (beta / unit[:, None]).T
     return LinearModel(tuple(features), tuple(targets), coef, mean[p:] - coef @ mean[:p])
 
 
@@ -134,15 +157,23 @@ def last_lags(df: DataFrame, channels: Sequence[str], n_in: int, end: int, cell:
 def rollout(state: DataFrame, model: LinearModel, n_in: int = 6, horizon: int = 10, cell: Sequence[str] = ("i", "j")) -> DataFrame:
     """Predict, append, slide (E7): one row per cell and step 1 .. horizon.
 
-    A cell needs only its own lags, so all steps are projections of one row: no shuffle,
-    no loop over data, and a bounded plan.
+    A cell needs only its own lags, so each Arrow batch is carried through all steps on its
+    own, without a shuffle. Missing inputs are 0. `model` may be anything with `features`
+    (`<channel>_lag<k>`), `targets` and `predictor()`.
     """
-    channels = model.targets
-    history = {c: [f"{c}_lag{k}" for k in range(n_in, 0, -1)] for c in channels}
-    for h in range(1, horizon + 1):
-        inputs = [history[f.rsplit("_lag", 1)[0]][-int(f.rsplit("_lag", 1)[1])] for f in model.features]
-        state = state.withColumns({f"{c}_step{h}": model.expression(c, inputs) for c in channels})
-        for c in channels:
-            history[c].append(f"{c}_step{h}")
-    steps = F.array(*(F.struct(F.lit(h).alias("step"), *(F.col(f"{c}_step{h}").alias(c) for c in channels)) for h in range(1, horizon + 1)))
-    return state.select(*cell, F.explode(steps).alias("p")).select(*cell, "p.*")
+    channels = list(model.targets)
+    lags = lag_names(channels, n_in)
+    use = [lags.index(f) for f in model.features]
+    apply = model.predictor()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.nan_to_num(batch[lags].to_numpy(dtype=float)).reshape(len(batch), len(channels), n_in)
+            for step in range(1, horizon + 1):
+                y = apply(x.reshape(len(batch), -1)[:, use])
+                x = np.concatenate([y[:, :, None], x[:, :, :-1]], axis=2)
+                yield batch[list(cell)].assign(step=step, **{c: y[:, k] for k, c in enumerate(channels)})
+
+    cells = T.StructType([state.schema[c] for c in cell])
+    fields = T.StructType([*cells.fields, T.StructField("step", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in channels)])
+    return state.select(*cell, *(F.col(c).cast("double").alias(c) for c in lags)).mapInPandas(run, fields)

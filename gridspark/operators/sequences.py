@@ -65,10 +65,10 @@ def check_starts(starts: DataFrame, n_frames: int, n_in: int = 6, n_out: int = 1
 
 
 def lag_features(df: DataFrame, values: Sequence[str], n_in: int = 6, cell: Sequence[str] = ("i", "j"),
-                 chunk: int = 512) -> DataFrame:
+                 chunk: int = 512, fill: float | None = None) -> DataFrame:
     """Values of the `n_in` previous steps as columns `<value>_lag1 ..` (E1, feature form).
 
-    A lag is the value exactly k steps earlier, NULL when that step has no row. Each cell's
+    A lag is the value exactly k steps earlier, NULL or `fill` when that step has none. Each cell's
     series is cut into chunks of `chunk` steps with `n_in` steps of overlap, so a task sorts
     bounded pieces even where one cell holds a large part of the data.
     """
@@ -76,7 +76,9 @@ def lag_features(df: DataFrame, values: Sequence[str], n_in: int = 6, cell: Sequ
     near_end = F.pmod(F.col("t"), F.lit(chunk)) >= chunk - n_in
     pieces = df.withColumn("_chunk", F.explode(F.when(near_end, F.array(number, number + 1)).otherwise(F.array(number))))
     w = W.partitionBy(*cell, "_chunk").orderBy("t")
-    lagged = {f"{v}_lag{k}": F.max(v).over(w.rangeBetween(-k, -k)) for v in values for k in range(1, n_in + 1)}
+    earlier = lambda v, k: F.max(v).over(w.rangeBetween(-k, -k))
+    filled = lambda c: c if fill is None else F.coalesce(c, F.lit(float(fill)))
+    lagged = {f"{v}_lag{k}": filled(earlier(v, k)) for v in values for k in range(1, n_in + 1)}
     return pieces.withColumns(lagged).filter(number == F.col("_chunk")).drop("_chunk")
 
 

@@ -198,10 +198,10 @@ def densify(spark, d):
 
 
 def _coarsen_sql(where: str) -> str:
-    return f"""SELECT t, (i // 5)::INT AS i, (j // 5)::INT AS j, {_AVGS},
-               round((SELECT avg(round(20.05 + 0.1 * k, 2)) FROM range(12) r(k) WHERE k // 5 = i // 5), 6)::DOUBLE AS lat,
-               round((SELECT avg(round(115.05 + 0.1 * k, 2)) FROM range(24) r(k) WHERE k // 5 = j // 5), 6)::DOUBLE AS lon
-               FROM cube_wide {where} GROUP BY t, i // 5, j // 5"""
+    block_coordinate = "(SELECT avg(round({lo} + 0.1 * k, 2)) FROM range({n}) r(k) WHERE k // 5 = b.{axis})"
+    return f"""SELECT b.*, round({block_coordinate.format(lo=20.05, n=12 if not where else 10, axis='i')}, 6)::DOUBLE AS lat,
+               round({block_coordinate.format(lo=115.05, n=24 if not where else 20, axis='j')}, 6)::DOUBLE AS lon
+               FROM (SELECT t, (i // 5)::INT AS i, (j // 5)::INT AS j, {_AVGS} FROM cube_wide {where} GROUP BY t, i // 5, j // 5) b"""
 
 
 def _coarsen(spark, d, boundary):

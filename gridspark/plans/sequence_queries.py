@@ -237,8 +237,7 @@ def user_metrics(spark, d):
        " FROM cube_wide, range(1, 11) r(h) WHERE t >= 24 GROUP BY i, j, h")
 def rollout_persistence(spark, d):
     state = forecast.last_lags(v.cube_wide(spark, d), VALUES, v.N_IN, v.N_TIME)
-    filled = fill_missing(state, forecast.lag_names(VALUES, v.N_IN))
-    return rounded(forecast.rollout(filled, forecast.persistence(VALUES, v.N_IN), v.N_IN, 10), VALUES)
+    return rounded(forecast.rollout(state, forecast.persistence(VALUES, v.N_IN), v.N_IN, 10), VALUES)
 
 
 @query("lag_model", """
@@ -256,7 +255,7 @@ def lag_model(spark, d):
 def lag_model_scores(spark, d):
     """Six lags of all channels, fitted on the training sequences, against persistence, per split and channel."""
     cube = fill_missing(v.cube_wide(spark, d).drop("time"), VALUES)
-    lagged = fill_missing(sequences.lag_features(cube, VALUES, v.N_IN), forecast.lag_names(VALUES, v.N_IN)).filter(F.col("t") >= v.N_IN)
+    lagged = sequences.lag_features(cube, VALUES, v.N_IN, fill=0.0).filter(F.col("t") >= v.N_IN)
     rows = sequences.join_small(lagged.withColumn("seq_start", F.col("t") - v.N_IN), splits(spark, d).drop("pos"), "seq_start")
     model = forecast.fit_lag_model(rows.filter("split = 'train'"), VALUES, v.N_IN)
     predicted = model.predict(rows)

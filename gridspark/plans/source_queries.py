@@ -82,17 +82,17 @@ def name_build(spark, d):
                     names.day_folder("/pub", "o_orderdate").alias("folder"), dates.base_name(url).alias("base"))
 
 
-@query("latitude_label", "SELECT o_orderkey, round(o_totalprice / 1000 - 200, 2) + 0.0 AS lat FROM orders")
+@query("latitude_label", "SELECT o_orderkey, (floor(o_totalprice / 10) - 20000) / 100 + 0.0 AS lat FROM orders")
 def latitude_label(spark, d):
-    o = v.table(spark, d, "orders").withColumn("lat", F.round(F.col("o_totalprice") / 1000 - 200, 2) + F.lit(0.0))
+    o = v.table(spark, d, "orders").withColumn("lat", (F.floor(F.col("o_totalprice") / 10) - 20000) / 100 + F.lit(0.0))
     line = F.concat(F.lit("275276277   lat ="), F.format_string("%8s", F.col("lat").cast("decimal(9,2)").cast("string")))
     return o.select("o_orderkey", names.latitude_label(line).alias("lat"))
 
 
 @query("size_units", "SELECT doc_id, round(n_chars / 1048576.0::DOUBLE, 6) AS mb, round(n_chars / 1073741824.0::DOUBLE, 9) AS gb, round(n_chars * 100.0::DOUBLE / 20000, 6) AS share FROM documents")
 def size_units(spark, d):
-    return v.table(spark, d, "documents").select("doc_id", F.round(names.mebibytes("n_chars"), 6).alias("mb"), F.round(names.gibibytes("n_chars"), 9).alias("gb"),
-                                                 F.round(names.percent("n_chars", F.lit(20000)), 6).alias("share"))
+    return v.table(spark, d, "documents").select("doc_id", v.r6(names.mebibytes("n_chars")).alias("mb"), F.round(names.gibibytes("n_chars"), 9).alias("gb"),
+                                                 v.r6(names.percent("n_chars", F.lit(20000))).alias("share"))
 
 
 # one text per day: three header lines, then three lines of ten, ten and four numbers per latitude
@@ -129,20 +129,21 @@ def diagnose_text(spark, d):
 
 
 @query("history_long", """
-    SELECT run, epoch, 'val_loss' AS metric, metric AS value FROM history UNION ALL SELECT run, epoch, 'train_loss', round(metric / 2, 6) FROM history
-    UNION ALL SELECT run, epoch, 'mae', round(metric / 4, 6) FROM history""")
+    WITH h AS (SELECT run, (row_number() OVER (PARTITION BY run ORDER BY epoch))::INT AS epoch, metric FROM history)
+    SELECT run, epoch, 'val_loss' AS metric, metric AS value FROM h UNION ALL SELECT run, epoch, 'train_loss', round(metric / 2, 6) FROM h
+    UNION ALL SELECT run, epoch, 'mae', round(metric / 4, 6) FROM h""")
 def history_long(spark, d):
     """Histories as the JSON documents a training run leaves, parsed and unpivoted."""
     per_run = v.history(spark, d).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("epoch", "metric"))).alias("h"))
-    record = lambda x: F.create_map(F.lit("val_loss"), x["metric"], F.lit("mae"), F.round(x["metric"] / 4, 6))
-    text = F.to_json(F.struct(F.transform("h", lambda x: F.round(x["metric"] / 2, 6)).alias("train_losses"), F.transform("h", lambda x: x["metric"]).alias("val_losses"),
+    record = lambda x: F.create_map(F.lit("val_loss"), x["metric"], F.lit("mae"), v.r6(x["metric"] / 4))
+    text = F.to_json(F.struct(F.transform("h", lambda x: v.r6(x["metric"] / 2)).alias("train_losses"), F.transform("h", lambda x: x["metric"]).alias("val_losses"),
                               F.transform("h", record).alias("metrics_history"), F.size("h").alias("current_epoch"), F.array_min(F.transform("h", lambda x: x["metric"])).alias("best_metric")))
     parsed = per_run.select("run", F.from_json(text, histories.HISTORY).alias("j")).select("run", "j.*")
     return histories.history_long(parsed, keys=["run"])
 
 
 @query("run_logs", """
-    SELECT 'run_' || run || '.log' AS run, epoch, 30 AS epochs, round(metric / 2, 4) AS train_loss, round(metric, 4) AS val_loss,
+    SELECT 'run_' || run || '.log' AS run, epoch, 30 AS epochs, floor(metric * 5000) / 10000 AS train_loss, floor(metric * 10000) / 10000 AS val_loss,
            CASE WHEN coalesce(metric < min(metric) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) THEN metric END AS best_metric FROM history""")
 def run_logs(spark, d):
     """Histories written as log lines and parsed back."""
@@ -150,8 +151,8 @@ def run_logs(spark, d):
     stamp = F.date_format(F.timestamp_seconds(F.lit(1754772000) + F.col("epoch") * 17), "yyyy-MM-dd HH:mm:ss")
     head = lambda ms: F.concat(stamp, F.lit(f",{ms} - trainer - INFO - "))
     plain = lambda c: c.cast("decimal(20,6)").cast("string")
-    epoch = F.concat(head("101"), F.lit("Epoch "), F.col("epoch").cast("string"), F.lit(" / 30 - Train Loss: "), plain(F.round(F.col("metric") / 2, 4)),
-                     F.lit(" - val_loss: "), plain(F.round(F.col("metric"), 4)))
+    epoch = F.concat(head("101"), F.lit("Epoch "), F.col("epoch").cast("string"), F.lit(" / 30 - Train Loss: "), plain(F.floor(F.col("metric") * 5000) / 10000),
+                     F.lit(" - val_loss: "), plain(F.floor(F.col("metric") * 10000) / 10000))
     best = F.when(F.col("is_best"), F.concat(head("101"), F.lit("\u001b[92mNew best model saved with metric: {'val_loss': "), plain(F.col("metric")), F.lit("}\u001b[0m")))
     noise = F.concat(head("102"), F.lit("Training history saved to ./history.json"))
     lines = marked.select(F.concat(F.lit("run_"), F.col("run").cast("string"), F.lit(".log")).alias("run"), F.explode(F.array(epoch, best, noise)).alias("value")).filter("value IS NOT NULL")

@@ -24,8 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(c: Column | str) -> Column:
-    """Six decimals, without a negative zero."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+    """Six decimals, without a negative zero.
+
+    Values within 1e-10 of a half-way point go up, so that the order of summation cannot
+    decide which way a tie falls.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * F.lit(1e6) + F.lit(0.5001)) / F.lit(1e6) + F.lit(0.0)
+
+
+def stable_rounding(sql: str) -> str:
+    """The same rounding in SQL: replaces every `round(x, 6)`."""
+    start = 0
+    while (at := sql.find("round(", start)) >= 0:
+        depth, end = 0, at + 5
+        for end in range(at + 5, len(sql)):
+            depth += (sql[end] == "(") - (sql[end] == ")")
+            if depth == 0:
+                break
+        inner = sql[at + 6:end]
+        if inner.endswith(", 6"):
+            sql = f"{sql[:at]}(floor(({inner[:-3]}) * 1e6::DOUBLE + 0.5001::DOUBLE) / 1e6::DOUBLE){sql[end + 1:]}"
+        start = at + 1
+    return sql
 
 
 def _cell(df: DataFrame) -> list[Column]:
@@ -40,14 +61,14 @@ def _with_t(df: DataFrame) -> DataFrame:
 def cube_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(time, t, i, j, var, value): daily means per cell and channel."""
     e = table(spark, sf_dir, "events")
-    means = e.select(*_cell(e), F.col("event_type").alias("var"), "value").groupBy("time", "i", "j", "var").agg(F.round(F.avg("value"), 6).alias("value"))
+    means = e.select(*_cell(e), F.col("event_type").alias("var"), "value").groupBy("time", "i", "j", "var").agg(r6(F.avg("value")).alias("value"))
     return _with_t(means).select("time", "t", "i", "j", "var", "value")
 
 
 def cube_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(time, t, i, j, v_view .. v_signup): one row per observed cell, in one shuffle."""
     e = table(spark, sf_dir, "events")
-    channel = lambda name: F.round(F.avg(F.when(F.col("event_type") == name, F.col("value"))), 6)
+    channel = lambda name: r6(F.avg(F.when(F.col("event_type") == name, F.col("value"))))
     means = e.select(*_cell(e), "event_type", "value").groupBy("time", "i", "j").agg(*(channel(n).alias(f"v_{n}") for n in EVENT_TYPES))
     return _with_t(means).select("time", "t", "i", "j", *CHANNELS)
 
@@ -61,14 +82,14 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(time, cell, value): daily frames with whole days missing and holes inside frames."""
     day = F.to_date("o_orderdate")
     o = table(spark, sf_dir, "orders").filter((F.datediff(day, F.lit(YEAR_START)) % 7).isin(2, 3, 6))
-    return o.groupBy(day.alias("time"), (F.col("o_custkey") % 8).cast("int").alias("cell")).agg(F.round(F.avg("o_totalprice"), 6).alias("value"))
+    return o.groupBy(day.alias("time"), (F.col("o_custkey") % 8).cast("int").alias("cell")).agg(r6(F.avg("o_totalprice")).alias("value"))
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(month, cell, value): monthly frames with months missing."""
     o = table(spark, sf_dir, "orders").filter(F.month("o_orderdate") % 5 != 0)
     return o.groupBy(F.trunc(F.to_date("o_orderdate"), "MM").alias("month"), (F.col("o_custkey") % 8).cast("int").alias("cell")).agg(
-        F.round(F.avg("o_totalprice"), 6).alias("value"))
+        r6(F.avg("o_totalprice")).alias("value"))
 
 
 def ocean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +123,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run, epoch, metric): five runs of thirty epochs."""
     e = table(spark, sf_dir, "events")
     return e.groupBy((F.col("user_id") % 5).cast("int").alias("run"), (F.datediff(F.to_date("ts"), F.lit(EPOCH)) + 1).alias("epoch")).agg(
-        F.round(F.avg("value"), 6).alias("metric"))
+        r6(F.avg("value")).alias("metric"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +179,11 @@ SQL_VIEWS = {
 
 
 def with_views(sql: str) -> str:
-    """Prefix the SQL with the views it uses, directly or through others."""
+    """Complete SQL: the views the text uses, directly or through others, then the text itself."""
+    return stable_rounding(_prefixed(sql))
+
+
+def _prefixed(sql: str) -> str:
     needed: set[str] = set()
 
     def visit(text: str) -> None:

@@ -14,7 +14,7 @@ SPLIT_INFO = (
 
 def parse_index_text(files: DataFrame, text: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
     """One integer per line to `(pos, seq_start)`; blank lines are ignored, order is kept."""
-    lines = F.filter(F.transform(F.split(F.col(text), "\r?\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(F.col(text), "\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
     return files.select(*keys, F.posexplode(lines).alias("pos", "line")).select(
         *keys, "pos", F.col("line").cast("int").alias("seq_start"))
 
