@@ -23,15 +23,15 @@ def fit_scaler(df: DataFrame, starts: DataFrame, channels: Sequence[str], n_in:
     """
     if kind not in ("standard", "minmax"):
         raise ValueError(f"unknown scaler: {kind}")
-    weights = sequence_frames(starts, n_in, n_out).groupBy("t").agg(F.count(F.lit(1)).alias("k"))
+    weights = sequence_frames(starts, n_in, n_out).groupBy("t").agg(F.count(F.lit(1)).alias("_k"))
     filled = fill_missing(df.select("t", *channels), channels)
     per_frame = join_small(filled, weights.select("t"), "t", "left_semi").groupBy("t").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("_n"),
         *(F.struct(F.avg(c).alias("mean"), F.var_pop(c).alias("var"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
           for c in channels),
     )
     frames = weights.join(per_frame, "t", "left") if cells_per_frame else weights.join(per_frame, "t")
-    stats = frames.select("k", F.coalesce("n", F.lit(0)).alias("n"), F.explode(F.array(*(
+    stats = frames.select(F.col("_k").alias("k"), F.coalesce("_n", F.lit(0)).alias("n"), F.explode(F.array(*(
         F.struct(F.lit(c).alias("channel"), F.col(c).alias("s")) for c in channels))).alias("e")).select("k", "n", "e.channel", "e.s.*")
     if cells_per_frame:
         stats = _with_zero_cells(stats, cells_per_frame)
