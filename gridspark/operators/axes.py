@@ -51,17 +51,16 @@ def sort_axis(df: DataFrame, coord: str, idx: str) -> DataFrame:
 
 
 def block_factor(df: DataFrame, lat: str, lon: str, res: float) -> DataFrame:
-    """How many source cells make one target cell (B21): one row, half rounded to even."""
+    """How many source cells make one target cell (B21): one row, half rounded to even.
 
-    def step(c: str) -> Column:
-        lo = df.agg(F.min(c)).scalar()
-        second = df.filter(F.col(c) > lo).agg(F.min(c)).scalar()
-        return second - lo
-
-    spark = df.sparkSession
-    return spark.range(1).select(
-        F.bround(F.lit(float(res)) / F.least(step(lat), step(lon)), 0).cast("int").alias("factor")
-    )
+    The spacing is that of the first two coordinates of each axis. The cells are read once.
+    """
+    both = F.array(F.struct(F.lit("lat").alias("axis"), F.col(lat).cast("double").alias("coord")),
+                   F.struct(F.lit("lon").alias("axis"), F.col(lon).cast("double").alias("coord")))
+    coords = df.select(F.explode(both).alias("p")).select("p.*").distinct()
+    place = F.row_number().over(W.partitionBy("axis").orderBy("coord"))
+    spacing = coords.withColumn("place", place).filter("place <= 2").groupBy("axis").agg((F.max("coord") - F.min("coord")).alias("step"))
+    return spacing.agg(F.bround(F.lit(float(res)) / F.min("step"), 0).cast("int").alias("factor"))
 
 
 def calendar(spark: SparkSession, start: date, end: date) -> DataFrame:

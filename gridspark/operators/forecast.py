@@ -31,21 +31,21 @@ def score(df: DataFrame, metrics: Mapping[str, Column] | None = None, by: Sequen
     return df.groupBy(*by).agg(F.avg(squared_error()).alias("mse"), *extra)
 
 
-def batch_scores(df: DataFrame, batch: str = "batch", sample: str = "sample") -> DataFrame:
+def batch_scores(df: DataFrame, batch: str = "batch", sample: str = "sample", by: Sequence[str] = ()) -> DataFrame:
     """MSE and number of samples of every batch. Samples are summarised before batches."""
-    per_sample = df.groupBy(batch, sample).agg(F.sum(squared_error()).alias("se"), F.count(squared_error()).alias("n"))
-    return per_sample.groupBy(batch).agg(
+    per_sample = df.groupBy(*by, batch, sample).agg(F.sum(squared_error()).alias("se"), F.count(squared_error()).alias("n"))
+    return per_sample.groupBy(*by, batch).agg(
         F.try_divide(F.sum("se"), F.sum("n").cast("double")).alias("mse"), F.count(F.lit(1)).alias("n_samples"))
 
 
-def batch_mse(batches: DataFrame) -> DataFrame:
+def batch_mse(batches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Unweighted mean of the batch values (D13 b)."""
-    return batches.agg(F.avg("mse").alias("mse"))
+    return batches.groupBy(*by).agg(F.avg("mse").alias("mse"))
 
 
-def sample_mse(batches: DataFrame) -> DataFrame:
+def sample_mse(batches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Batch values weighted by their samples (D13 a)."""
-    return batches.agg((F.sum(F.col("mse") * F.col("n_samples")) / F.sum("n_samples")).alias("mse"))
+    return batches.groupBy(*by).agg((F.sum(F.col("mse") * F.col("n_samples")) / F.sum("n_samples")).alias("mse"))
 
 
 def running_mse(batches: DataFrame, batch: str = "batch", block: int = 4096) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridspark.operators.running import running
+from gridspark.operators.small import join_small
 
 
 def early_stopping(df: DataFrame, run: str = "run", epoch: str = "epoch", metric: str = "metric", patience: int = 20,
@@ -27,6 +28,6 @@ def early_stopping(df: DataFrame, run: str = "run", epoch: str = "epoch", metric
 def stop_summary(marked: DataFrame, run: str = "run", epoch: str = "epoch", metric: str = "metric") -> DataFrame:
     """Per run: first epoch at which training would stop, and the best epoch and metric up to then."""
     stop = marked.groupBy(run).agg(F.min(F.when(F.col("should_stop"), F.col(epoch))).alias("stop_epoch"))
-    bests = marked.filter("is_best").join(stop, run).filter(F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch")))
+    bests = join_small(marked.filter("is_best"), stop, run).filter(F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch")))
     best = bests.groupBy(run).agg(F.min(metric).alias("best_metric"), F.max(epoch).alias("best_epoch"))
     return stop.join(best, run, "left")

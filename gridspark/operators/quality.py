@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridspark.operators.small import join_small
+
 
 def value_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per variable: min, max, mean, population deviation, valid and total counts (D5). One pass."""
@@ -47,10 +49,15 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """
     v = F.col(column)
     ends = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi")).alias("ends")).scalar()
-    flat = ends["lo"] == ends["hi"]
-    lo = F.when(flat, ends["lo"] - 0.5).otherwise(ends["lo"])
-    hi = F.when(flat, ends["hi"] + 0.5).otherwise(ends["hi"])
-    placed = df.filter(v.isNotNull()).select(v.alias("v"), lo.alias("lo"), ((hi - lo) / F.lit(bins)).alias("width"))
+    e = F.col("ends")
+    flat = e["lo"] == e["hi"]
+    lo = F.when(flat, e["lo"] - 0.5).otherwise(e["lo"])
+    hi = F.when(flat, e["hi"] + 0.5).otherwise(e["hi"])
+
+    def with_bins(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("ends", ends).withColumns({"lo": lo, "width": (hi - lo) / F.lit(bins)}).drop("ends")
+
+    placed = with_bins(df.filter(v.isNotNull()).select(v.alias("v")))
     first = F.least(F.floor((F.col("v") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int")
     edge = lambda k: F.col("lo") + k * F.col("width")
     counted = (
@@ -60,10 +67,9 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
                 .otherwise(F.col("b")).alias("bin"))
         .groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     )
-    axis = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    width = (hi - lo) / F.lit(bins)
-    return axis.join(F.broadcast(counted), "bin", "left").select(
-        "bin", (lo + F.col("bin") * width).alias("left_edge"), (lo + (F.col("bin") + 1) * width).alias("right_edge"),
+    axis = with_bins(df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")))
+    return join_small(axis, counted, "bin", "left", rows=bins).select(
+        "bin", edge(F.col("bin")).alias("left_edge"), edge(F.col("bin") + 1).alias("right_edge"),
         F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 

@@ -13,19 +13,20 @@ from gridspark.operators.small import join_small
 
 
 def fit_scaler(df: DataFrame, starts: DataFrame, channels: Sequence[str], n_in: int = 6, n_out: int = 1,
-               kind: str = "standard", cells_per_frame: int | None = None) -> DataFrame:
+               kind: str = "standard", cells_per_frame: int | None = None, n_starts: int | None = None) -> DataFrame:
     """Scaler over all cells of the given sequences; missing values count as 0.
 
     `standard` gives `(channel, mean, scale)` with the population deviation (D3), `minmax`
     gives `(channel, min, max)` (D4). A frame in k of the sequences counts k times: frames
     are summarised once and weighted by k, so no cell is repeated. `cells_per_frame` is the
-    grid size of a sparse cube, whose absent rows then count as 0 too.
+    grid size of a sparse cube, whose absent rows then count as 0 too. `n_starts` bounds the
+    number of starts where it is known, and saves measuring it.
     """
     if kind not in ("standard", "minmax"):
         raise ValueError(f"unknown scaler: {kind}")
     weights = sequence_frames(starts, n_in, n_out).groupBy("t").agg(F.count(F.lit(1)).alias("_k"))
     filled = fill_missing(df.select("t", *channels), channels)
-    per_frame = join_small(filled, weights.select("t"), "t", "left_semi").groupBy("t").agg(
+    per_frame = join_small(filled, weights.select("t"), "t", "left_semi", rows=None if n_starts is None else n_starts * (n_in + n_out)).groupBy("t").agg(
         F.count(F.lit(1)).alias("_n"),
         *(F.struct(F.avg(c).alias("mean"), F.var_pop(c).alias("var"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
           for c in channels),
@@ -70,28 +71,33 @@ def _parameters(scaler: DataFrame, channels: Sequence[str], first: str, second:
     return scaler.agg(F.struct(*picked).alias("scaler")).scalar()
 
 
-def _bounds(scaler: DataFrame, channels: Sequence[str]) -> dict[str, tuple[Column, Column]]:
-    """Offset and divisor per channel for either kind of scaler."""
+_SCALER = "_scaler"
+
+
+def _with_scaler(df: DataFrame, scaler: DataFrame, channels: Sequence[str]) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
+    """The parameters as one helper column, and offset and divisor per channel for either kind of scaler."""
+    s = F.col(_SCALER)
     if "scale" in scaler.columns:
-        s = _parameters(scaler, channels, "mean", "scale")
-        return {c: (s[c]["mean"], s[c]["scale"]) for c in channels}
-    s = _parameters(scaler, channels, "min", "max")
+        return df.withColumn(_SCALER, _parameters(scaler, channels, "mean", "scale")), {c: (s[c]["mean"], s[c]["scale"]) for c in channels}
     width = {c: s[c]["max"] - s[c]["min"] for c in channels}
-    return {c: (s[c]["min"], F.when(width[c] == 0.0, F.lit(1.0)).otherwise(width[c])) for c in channels}
+    bounds = {c: (s[c]["min"], F.when(width[c] == 0.0, F.lit(1.0)).otherwise(width[c])) for c in channels}
+    return df.withColumn(_SCALER, _parameters(scaler, channels, "min", "max")), bounds
 
 
 def transform(df: DataFrame, scaler: DataFrame | None, channels: Sequence[str]) -> DataFrame:
     """Scaled channels (E2); without a scaler the data is unchanged."""
     if scaler is None:
         return df
-    return df.withColumns({c: (F.col(c) - a) / b for c, (a, b) in _bounds(scaler, channels).items()})
+    df, bounds = _with_scaler(df, scaler, channels)
+    return df.withColumns({c: (F.col(c) - a) / b for c, (a, b) in bounds.items()}).drop(_SCALER)
 
 
 def inverse_transform(df: DataFrame, scaler: DataFrame | None, channels: Sequence[str]) -> DataFrame:
     """Back to physical units (E3), each channel with its own parameters."""
     if scaler is None:
         return df
-    return df.withColumns({c: F.col(c) * b + a for c, (a, b) in _bounds(scaler, channels).items()})
+    df, bounds = _with_scaler(df, scaler, channels)
+    return df.withColumns({c: F.col(c) * b + a for c, (a, b) in bounds.items()}).drop(_SCALER)
 
 
 def save_scaler(scaler: DataFrame, path: str) -> None:
@@ -110,8 +116,10 @@ def _squash(x: Column, mean: Column, std: Column, clip: float, span: float) -> C
 
 def zscore_clip(df: DataFrame, columns: Sequence[str], clip: float = 3.0, span: float = math.pi) -> DataFrame:
     """Standardise over all rows (sample deviation), clip, rescale to [-span, span]."""
-    s = df.agg(F.struct(*(F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")).alias(c) for c in columns)).alias("s")).scalar()
-    return df.withColumns({c: _squash(F.col(c), s[c]["mean"], s[c]["std"], clip, span) for c in columns})
+    stats = df.agg(F.struct(*(F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")).alias(c) for c in columns)).alias("s")).scalar()
+    s = F.col(_SCALER)
+    return df.withColumn(_SCALER, stats).withColumns(
+        {c: _squash(F.col(c), s[c]["mean"], s[c]["std"], clip, span) for c in columns}).drop(_SCALER)
 
 
 def zscore_clip_by(df: DataFrame, feature: str, value: str, clip: float = 3.0, span: float = math.pi) -> DataFrame:

@@ -46,14 +46,14 @@ def sequence_frames(starts: DataFrame, n_in: int = 6, n_out: int = 1) -> DataFra
     )
 
 
-def gather_sequences(df: DataFrame, starts: DataFrame, n_in: int = 6, n_out: int = 1) -> DataFrame:
+def gather_sequences(df: DataFrame, starts: DataFrame, n_in: int = 6, n_out: int = 1, n_starts: int | None = None) -> DataFrame:
     """Cells of the given sequences (C9): an equality join on `t` instead of an interval join."""
-    return join_small(df, sequence_frames(starts, n_in, n_out), "t")
+    return join_small(df, sequence_frames(starts, n_in, n_out), "t", rows=None if n_starts is None else n_starts * (n_in + n_out))
 
 
-def split_members(df: DataFrame, splits: DataFrame, split: str, start: str = "seq_start") -> DataFrame:
+def split_members(df: DataFrame, splits: DataFrame, split: str, start: str = "seq_start", n_starts: int | None = None) -> DataFrame:
     """Rows whose sequence belongs to the split."""
-    return join_small(df, splits.filter(F.col("split") == split).select(start), start, "left_semi")
+    return join_small(df, splits.filter(F.col("split") == split).select(start), start, "left_semi", rows=n_starts)
 
 
 def check_starts(starts: DataFrame, n_frames: int, n_in: int = 6, n_out: int = 1) -> DataFrame:

@@ -368,5 +368,5 @@ def monthly_to_daily(spark, d):
     SELECT c.cell::INT AS cell, y.time, NULL::DOUBLE AS value FROM year_days y CROSS JOIN range(8) c(cell)
     WHERE y.time NOT IN (SELECT time FROM frames)""")
 def null_frames(spark, d):
-    absent = axes.calendar(spark, v.YEAR_START, v.YEAR_END).join(F.broadcast(v.frames(spark, d).select("time").distinct()), "time", "left_anti")
+    absent = fill.day_map(v.frames(spark, d), v.YEAR_START, v.YEAR_END).filter(~F.col("is_original"))
     return fill.null_frames(_cells8(spark), absent, ["value"])

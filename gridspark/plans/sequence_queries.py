@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.missing import fill_missing
 from gridspark.operators import forecast, history, quality, scaling, sequences
+from gridspark.operators.small import join_small
 from gridspark.plans import views as v
 from gridspark.plans.grid_queries import rounded
 from gridspark.plans.registry import query
@@ -26,11 +27,17 @@ def starts(spark, d):
 
 
 def splits(spark, d):
+    """The split of the starts found in the data."""
     return sequences.split_sequences(starts(spark, d), v.N_SEQ, key=order_key(42), key_range=10007)
 
 
-def train_starts(spark, d):
-    return splits(spark, d).filter("split = 'train'").select("seq_start")
+def known_splits(spark):
+    """The same split for queries that read the cube anyway: the starts follow from its length."""
+    return sequences.split_sequences(sequences.sequence_starts(spark, v.N_TIME, v.N_IN, v.N_OUT), v.N_SEQ, key=order_key(42), key_range=10007)
+
+
+def train_starts(spark):
+    return known_splits(spark).filter("split = 'train'").select("seq_start")
 
 
 @query("make_sequences", f"SELECT t, i, j, {_COLS}, seq_start, step, role FROM seq_rows")
@@ -40,14 +47,14 @@ def make_sequences(spark, d):
 
 @query("gather_sequences", f"SELECT t, i, j, {_COLS}, seq_start, step, role FROM seq_rows WHERE seq_start IN (SELECT seq_start FROM splits WHERE split = 'val')")
 def gather_sequences(spark, d):
-    val = splits(spark, d).filter("split = 'val'").select("seq_start")
-    return sequences.gather_sequences(v.cube_wide(spark, d).drop("time"), val, v.N_IN, v.N_OUT)
+    val = known_splits(spark).filter("split = 'val'").select("seq_start")
+    return sequences.gather_sequences(v.cube_wide(spark, d).drop("time"), val, v.N_IN, v.N_OUT, v.N_SEQ)
 
 
 @query("split_members", "SELECT t, i, j, v_view, seq_start, step FROM seq_rows WHERE seq_start IN (SELECT seq_start FROM splits WHERE split = 'test')")
 def split_members(spark, d):
     rows = sequences.make_sequences(v.cube_wide(spark, d).select("t", "i", "j", "v_view"), v.N_IN, v.N_OUT, v.N_TIME).drop("role")
-    return sequences.split_members(rows, splits(spark, d), "test")
+    return sequences.split_members(rows, known_splits(spark), "test", n_starts=v.N_SEQ)
 
 
 @query("checked_starts", "SELECT seq_start FROM seqs")
@@ -68,7 +75,7 @@ def ratio_split(spark, d):
 
 @query("sample_n", "SELECT seq_start FROM splits WHERE split = 'train' ORDER BY (seq_start * 7919 + 7) % 10007, seq_start LIMIT 10")
 def sample_n(spark, d):
-    return sequences.sample_n(train_starts(spark, d), 10, key=order_key(7))
+    return sequences.sample_n(splits(spark, d).filter("split = 'train'").select("seq_start"), 10, key=order_key(7))
 
 
 @query("batch_id", "SELECT split, pos, seq_start, (pos // 4)::INT AS batch FROM splits")
@@ -112,12 +119,12 @@ _FIT_ROWS = " UNION ALL ".join(_LONG_TRAIN.format(c=c) for c in VALUES)
 
 @query("fit_standard", f"SELECT channel, round(avg(x), 6) + 0.0 AS mean, round(stddev_pop(x), 6) + 0.0 AS scale FROM ({_FIT_ROWS}) GROUP BY channel")
 def fit_standard(spark, d):
-    return rounded(scaling.fit_scaler(v.cube_wide(spark, d), train_starts(spark, d), VALUES), ["mean", "scale"])
+    return rounded(scaling.fit_scaler(v.cube_wide(spark, d), train_starts(spark), VALUES, n_starts=v.N_SEQ), ["mean", "scale"])
 
 
 @query("fit_minmax", f"SELECT channel, min(x) AS min, max(x) AS max FROM ({_FIT_ROWS}) GROUP BY channel")
 def fit_minmax(spark, d):
-    return scaling.fit_scaler(v.cube_wide(spark, d), train_starts(spark, d), VALUES, kind="minmax")
+    return scaling.fit_scaler(v.cube_wide(spark, d), train_starts(spark), VALUES, kind="minmax", n_starts=v.N_SEQ)
 
 
 @query("fit_standard_dense", """
@@ -125,7 +132,7 @@ def fit_minmax(spark, d):
          dense AS (SELECT g.t, coalesce(v_view, 0) AS x FROM g LEFT JOIN cube_wide USING (t, i, j))
     SELECT 'v_view' AS channel, round(avg(x), 6) + 0.0 AS mean, round(stddev_pop(x), 6) + 0.0 AS scale FROM dense JOIN splits s ON split = 'train' AND t >= s.seq_start AND t < s.seq_start + 7""")
 def fit_standard_dense(spark, d):
-    fitted = scaling.fit_scaler(v.cube_wide(spark, d), train_starts(spark, d), ["v_view"], cells_per_frame=v.N_LAT * v.N_LON)
+    fitted = scaling.fit_scaler(v.cube_wide(spark, d), train_starts(spark), ["v_view"], cells_per_frame=v.N_LAT * v.N_LON, n_starts=v.N_SEQ)
     return rounded(fitted, ["mean", "scale"])
 
 
@@ -136,20 +143,20 @@ _SCALER_SQL = f"sc AS (SELECT channel, avg(x) AS m, stddev_pop(x) AS s, min(x) A
     f"round((coalesce({c}, 0) - (SELECT m FROM sc WHERE channel = '{c}')) / (SELECT s FROM sc WHERE channel = '{c}'), 6) + 0.0 AS {c}" for c in VALUES) + " FROM cube_wide")
 def scale(spark, d):
     cube = fill_missing(v.cube_wide(spark, d).drop("time"), VALUES)
-    return rounded(scaling.transform(cube, scaling.fit_scaler(cube, train_starts(spark, d), VALUES), VALUES), VALUES)
+    return rounded(scaling.transform(cube, scaling.fit_scaler(cube, train_starts(spark), VALUES, n_starts=v.N_SEQ), VALUES), VALUES)
 
 
 @query("scale_minmax", f"WITH {_SCALER_SQL} SELECT t, i, j, round((coalesce(v_view, 0) - (SELECT lo FROM sc WHERE channel = 'v_view')) / "
                        "(SELECT hi - lo FROM sc WHERE channel = 'v_view'), 6) + 0.0 AS v_view FROM cube_wide")
 def scale_minmax(spark, d):
     cube = fill_missing(v.cube_wide(spark, d).select("t", "i", "j", "v_view"), ["v_view"])
-    return rounded(scaling.transform(cube, scaling.fit_scaler(cube, train_starts(spark, d), ["v_view"], kind="minmax"), ["v_view"]), ["v_view"])
+    return rounded(scaling.transform(cube, scaling.fit_scaler(cube, train_starts(spark), ["v_view"], kind="minmax", n_starts=v.N_SEQ), ["v_view"]), ["v_view"])
 
 
 @query("unscale", "SELECT t, i, j, " + ", ".join(f"round(coalesce({c}, 0), 6) + 0.0 AS {c}" for c in VALUES) + " FROM cube_wide")
 def unscale(spark, d):
     cube = fill_missing(v.cube_wide(spark, d).drop("time"), VALUES)
-    scaler = scaling.fit_scaler(cube, train_starts(spark, d), VALUES)
+    scaler = scaling.fit_scaler(cube, train_starts(spark), VALUES, n_starts=v.N_SEQ)
     return rounded(scaling.inverse_transform(scaling.transform(cube, scaler, VALUES), scaler, VALUES), VALUES)
 
 
@@ -194,8 +201,8 @@ def scored(spark, d):
     lagged = sequences.lag_features(v.cube_long(spark, d), ["value"], 1, cell=["i", "j", "var"])
     pairs = lagged.filter((F.col("t") >= v.N_IN) & F.col("value_lag1").isNotNull()).select(
         (F.col("t") - v.N_IN).alias("seq_start"), F.col("var").alias("channel"), "i", "j", F.col("value_lag1").alias("pred"), F.col("value").alias("target"))
-    members = sequences.batch_id(splits(spark, d), 4)
-    return sequences.join_small(pairs, members, "seq_start").withColumnRenamed("seq_start", "sample")
+    members = sequences.batch_id(known_splits(spark), 4)
+    return join_small(pairs, members, "seq_start", rows=v.N_SEQ).withColumnRenamed("seq_start", "sample")
 
 
 @query("score_join", f"WITH {_PAIRS} SELECT sample, channel, i, j, pred, target FROM pairs")
@@ -208,9 +215,7 @@ def score_join(spark, d):
 
 @query("mse_sample", f"WITH {_PAIRS} SELECT split, round(sum(m * n) / sum(n), 6) AS mse FROM (SELECT split, batch, avg(pow(pred - target, 2)) AS m, count(DISTINCT sample) AS n FROM pairs GROUP BY ALL) GROUP BY split")
 def mse_sample(spark, d):
-    pairs = scored(spark, d)
-    each = [forecast.sample_mse(forecast.batch_scores(pairs.filter(F.col("split") == s))).select(F.lit(s).alias("split"), "mse") for s in ("train", "val", "test")]
-    return rounded(each[0].unionByName(each[1]).unionByName(each[2]), ["mse"])
+    return rounded(forecast.sample_mse(forecast.batch_scores(scored(spark, d), by=["split"]), by=["split"]), ["mse"])
 
 
 @query("mse_batch", f"WITH {_PAIRS} SELECT round(avg(m), 6) AS mse FROM (SELECT batch, avg(pow(pred - target, 2)) AS m FROM pairs WHERE split = 'val' GROUP BY batch)")
@@ -256,7 +261,7 @@ def lag_model_scores(spark, d):
     """Six lags of all channels, fitted on the training sequences, against persistence, per split and channel."""
     cube = fill_missing(v.cube_wide(spark, d).drop("time"), VALUES)
     lagged = sequences.lag_features(cube, VALUES, v.N_IN, fill=0.0).filter(F.col("t") >= v.N_IN)
-    rows = sequences.join_small(lagged.withColumn("seq_start", F.col("t") - v.N_IN), splits(spark, d).drop("pos"), "seq_start")
+    rows = join_small(lagged.withColumn("seq_start", F.col("t") - v.N_IN), known_splits(spark).drop("pos"), "seq_start", rows=v.N_SEQ)
     model = forecast.fit_lag_model(rows.filter("split = 'train'"), VALUES, v.N_IN)
     predicted = model.predict(rows)
     per_channel = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).alias("target"), F.col(f"{c}_pred").alias("pred"),

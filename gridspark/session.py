@@ -41,9 +41,3 @@ def shared_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="gridspark-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
-
-
-def use_checkpoints(spark: SparkSession) -> None:
-    """Make `DataFrame.checkpoint()` usable without overriding what the cluster has set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))

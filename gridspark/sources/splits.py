@@ -34,7 +34,7 @@ def read_splits(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("tr
 
 def write_splits(splits: DataFrame, path: str) -> None:
     """All splits as Parquet, one folder each (A10)."""
-    splits.repartition("split").sortWithinPartitions("split", "pos").write.mode("overwrite").partitionBy("split").parquet(path)
+    splits.hint("rebalance", F.col("split")).sortWithinPartitions("split", "pos").write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def read_written_splits(spark: SparkSession, path: str) -> DataFrame:
