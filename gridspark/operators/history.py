@@ -9,20 +9,20 @@ from gridspark.operators.small import join_small
 
 
 def early_stopping(df: DataFrame, run: str = "run", epoch: str = "epoch", metric: str = "metric", patience: int = 20,
-                   block: int = 1024) -> DataFrame:
+                   block: int = 1024, max_epochs: int | None = None) -> DataFrame:
     """Per epoch whether it is the best so far, epochs since the best, and whether patience is used up.
 
-    Best means strictly below everything before; a missing or NaN metric is never best. Every
-    run stands alone. A long run is handled block by block.
+    Best means strictly below everything before; a missing or NaN metric is never best. The
+    best so far is the smallest (metric, epoch) pair, so of equal metrics the first counts.
+    Every run stands alone; a long run is handled block by block.
     """
-    at = F.floor(F.col(epoch) / F.lit(block))
-    before = running(df, [run], [epoch], at, {"best_before": ("min", F.nanvl(F.col(metric), F.lit(None).cast("double")))}, inclusive=False)
-    marked = before.withColumn("is_best", F.coalesce(
-        F.col(metric) < F.coalesce("best_before", F.lit(float("inf"))), F.lit(False)))
-    since = running(marked, [run], [epoch], at, {
-        "_best_epoch": ("max", F.when(F.col("is_best"), F.col(epoch))), "_first_epoch": ("min", F.col(epoch))})
-    return since.withColumn("epochs_since_best", F.col(epoch) - F.coalesce(F.col("_best_epoch"), F.col("_first_epoch") - 1)).withColumn(
-        "should_stop", F.col("epochs_since_best") >= patience).drop("_best_epoch", "_first_epoch", "best_before")
+    m, e = F.col(metric), F.col(epoch)
+    pair = F.when(m < F.lit(float("inf")), F.struct(m.alias("metric"), e.alias("epoch")))
+    seen = running(df, [run], [epoch], F.floor(e / F.lit(block)), {"_best": ("min", pair), "_first": ("min", e)}, rows=max_epochs)
+    return seen.select(
+        *df.columns, F.coalesce(F.col("_best.epoch") == e, F.lit(False)).alias("is_best"),
+        (e - F.coalesce(F.col("_best.epoch"), F.col("_first") - 1)).alias("epochs_since_best"),
+    ).withColumn("should_stop", F.col("epochs_since_best") >= patience)
 
 
 def stop_summary(marked: DataFrame, run: str = "run", epoch: str = "epoch", metric: str = "metric") -> DataFrame:

@@ -95,13 +95,13 @@ def split_bounds(n: int, train: float, val: float) -> tuple[int, int]:
 
 def split_sequences(starts: DataFrame, n: int, ratios: tuple[float, float, float] = (0.7, 0.2, 0.1), seed: int = 42,
                     key: Column | None = None, key_range: int = _HASH_RANGE) -> DataFrame:
-    """Shuffle the starts and cut them into train, val and test (F1): `(split, pos, seq_start)`.
+    """Shuffle the n starts and cut them into train, val and test (F1): `(split, pos, seq_start)`.
 
-    The order is a seeded hash, or `key` with values in [0, key_range). Ranking goes block by
-    block, so no task orders all the sequences.
+    The order is a seeded hash, or `key` with values in [0, key_range). Very many sequences
+    are ranked block by block, so no task orders them all.
     """
     ordered = starts.withColumn("_key", seeded_key("seq_start", seed) if key is None else key)
-    ranked = global_rank(ordered, "_key", 0, key_range - 1, ties=["seq_start"])
+    ranked = global_rank(ordered, "_key", 0, key_range - 1, ties=["seq_start"], rows=n)
     return cut_order(ranked.select(F.col("rank").alias("pos"), "seq_start"), n, ratios)
 
 

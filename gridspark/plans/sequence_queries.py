@@ -228,7 +228,7 @@ def mse_batch(spark, d):
     SELECT batch::INT AS batch, round(sum(m * n) OVER w / sum(n) OVER w, 6) AS running_by_sample, round(avg(m) OVER w, 6) AS running_by_batch FROM b WINDOW w AS (ORDER BY batch)""")
 def mse_running(spark, d):
     batches = forecast.batch_scores(scored(spark, d).filter("split = 'train'"))
-    return rounded(forecast.running_mse(batches, block=2), ["running_by_sample", "running_by_batch"])
+    return rounded(forecast.running_mse(batches, n_batches=v.N_SEQ), ["running_by_sample", "running_by_batch"])
 
 
 @query("user_metrics", f"""

@@ -55,6 +55,13 @@ def test_existing_split_is_reproduced(spark):
     assert by["val"] == VAL_FILE and by["test"] == TEST_FILE and by["train"][:10] == TRAIN_FILE
 
 
+def test_split_is_the_same_block_by_block(spark, monkeypatch):
+    starts = sequences.sequence_starts(spark, 500)
+    whole = sorted(map(tuple, sequences.split_sequences(starts, 494, seed=3).collect()))
+    monkeypatch.setattr(running, "PLAIN_WINDOW_ROWS", 10)
+    assert sorted(map(tuple, sequences.split_sequences(starts, 494, seed=3).collect())) == whole
+
+
 def test_split_partitions_all_starts(spark):
     starts = sequences.sequence_starts(spark, 91)
     split = sequences.split_sequences(starts, 85, seed=1)
@@ -192,8 +199,9 @@ def test_short_last_batch_changes_the_mean(spark):
     scores = forecast.batch_scores(spark.createDataFrame(rows, "batch int, sample int, pred double, target double"))
     assert forecast.sample_mse(scores).first()["mse"] == pytest.approx(13 / 5)
     assert forecast.batch_mse(scores).first()["mse"] == pytest.approx(5.0)
-    last = forecast.running_mse(scores).orderBy("batch").collect()[-1]
-    assert (last["running_by_sample"], last["running_by_batch"]) == (pytest.approx(13 / 5), pytest.approx(5.0))
+    for how in ({}, {"block": 1}, {"n_batches": 2}):
+        last = forecast.running_mse(scores, **how).orderBy("batch").collect()[-1]
+        assert (last["running_by_sample"], last["running_by_batch"]) == (pytest.approx(13 / 5), pytest.approx(5.0))
 
 
 def test_predictions_need_their_columns(spark):
