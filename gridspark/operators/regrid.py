@@ -123,6 +123,22 @@ def regrid_nearest(df: DataFrame, values: Sequence[str], source: tuple[Axis, Axi
     return with_coordinates(out, *target)
 
 
+def neighbour_features(df: DataFrame, values: Sequence[str], n_lat: int, n_lon: int, frame: Sequence[str] = ("t",)) -> DataFrame:
+    """The values beside their 3x3 means `<value>_near`, as extra inputs of the lag model.
+
+    The mean is over nine cells with zero outside the grid and for missing values. One
+    shuffle carries both.
+    """
+    offsets = F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    own = (F.col("o.di") == 0) & (F.col("o.dj") == 0)
+    shares = df.select(*frame, "i", "j", *values, F.explode(offsets).alias("o")).select(
+        *frame, (F.col("i") - F.col("o.di")).alias("i"), (F.col("j") - F.col("o.dj")).alias("j"),
+        *(F.coalesce(F.col(v), F.lit(0.0)).alias(f"{v}_near") for v in values), *(F.when(own, F.col(v)).alias(v) for v in values))
+    inside = (F.col("i") >= 0) & (F.col("i") < n_lat) & (F.col("j") >= 0) & (F.col("j") < n_lon)
+    return shares.filter(inside).groupBy(*frame, "i", "j").agg(
+        *(F.max(v).alias(v) for v in values), *((F.sum(f"{v}_near") / F.lit(9.0)).alias(f"{v}_near") for v in values))
+
+
 def stencil(df: DataFrame, values: Sequence[str], weights: Mapping[tuple[int, int], float], n_lat: int, n_lon: int,
             frame: Sequence[str] = ("t",)) -> DataFrame:
     """Weighted sum over neighbouring cells, zero outside the grid and for missing values.

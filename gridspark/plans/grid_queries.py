@@ -257,6 +257,14 @@ def stencil3x3(spark, d):
     return rounded(regrid.stencil(v.cube_wide(spark, d), ["v_view"], KERNEL, v.N_LAT, v.N_LON), ["v_view"])
 
 
+@query("neighbour_features", """
+    WITH near AS (SELECT t, (i - di)::INT AS i, (j - dj)::INT AS j, sum(coalesce(v_view, 0)) / 9 AS m FROM cube_wide, (SELECT unnest([-1, 0, 1]) AS di), (SELECT unnest([-1, 0, 1]) AS dj)
+                  WHERE i - di BETWEEN 0 AND 11 AND j - dj BETWEEN 0 AND 23 GROUP BY t, i - di, j - dj)
+    SELECT n.t, n.i, n.j, c.v_view, round(n.m, 6) AS v_view_near FROM near n LEFT JOIN cube_wide c USING (t, i, j)""")
+def neighbour_features(spark, d):
+    return rounded(regrid.neighbour_features(v.cube_wide(spark, d), ["v_view"], v.N_LAT, v.N_LON), ["v_view_near"])
+
+
 @query("merge_cubes", f"SELECT t, i, j, {_COLS} FROM cube_wide")
 def merge_cubes(spark, d):
     long = v.cube_long(spark, d)

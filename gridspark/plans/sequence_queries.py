@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridspark.functions.missing import fill_missing
-from gridspark.operators import forecast, history, quality, scaling, sequences
+from gridspark.operators import forecast, history, quality, regrid, scaling, sequences
 from gridspark.operators.small import join_small
 from gridspark.plans import views as v
 from gridspark.plans.grid_queries import rounded
@@ -271,6 +271,15 @@ def lag_model_scores(spark, d):
     return rounded(scores, ["mse", "mse_persistence"])
 
 
+@query("lag_model_neighbours")
+def lag_model_neighbours(spark, d):
+    """Coefficients of a model that also sees the surroundings of a cell."""
+    cube = regrid.neighbour_features(v.cube_wide(spark, d), ["v_view"], v.N_LAT, v.N_LON)
+    lagged = sequences.lag_features(cube, ["v_view", "v_view_near"], 2, fill=0.0).filter(F.col("t") >= 2)
+    names = forecast.lag_names(["v_view", "v_view_near"], 2)
+    return rounded(forecast.fit_linear(lagged, names, ["v_view"]).table(spark), ["value"])
+
+
 @query("last_predictions", "SELECT seq_start AS sample, var AS channel, i, j, value FROM cube_long JOIN seqs ON t = seq_start + 6")
 def last_predictions(spark, d):
     rows = sequences.make_sequences(v.cube_long(spark, d).drop("time"), v.N_IN, v.N_OUT, v.N_TIME)

@@ -67,6 +67,12 @@ def pending_files(spark, d):
     return manifest.pending(m.filter(F.col("path").startswith("GC1")).select("date").distinct(), m.filter(F.col("path").startswith("OMI")))
 
 
+@query("first_files", "SELECT DISTINCT path FROM files ORDER BY path LIMIT 20")
+def first_files(spark, d):
+    """The head of a sorted listing."""
+    return v.files(spark, d).distinct().orderBy("path").limit(20)
+
+
 @query("clean_path", "SELECT path, replace(replace(path, '[', '_'), ']', '_') AS clean FROM files")
 def clean_path(spark, d):
     return v.files(spark, d).select("path", names.clean_path("path").alias("clean"))

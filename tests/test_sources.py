@@ -44,6 +44,7 @@ TEXTS = {
     "short_line": "h\nh\nh\n 2752\n300310320\n330\n111222333\n44\n777\n123456789\n123\n901",
     "cut": "h\nh\nh\n 275280290\n300310320\n330\n111222",
     "letters": "h\nh\nh\n27x28 -12\n+10 5 6 7\n330\n111abc333\n444555666\n777\n123456789\n123456789\n901\nextra line",
+    "odd_numbers": "h\nh\nh\n1.512. 7\n 1 -7 1e2\n0x1\n000-0100a\n444555666\n777\n123456789\n123456789\n901",
     "missing": "h\nh\nh\n" + "999999999\n999999999\n999\n" * 3,
     "headers_only": "h\nh",
     "empty": "",
