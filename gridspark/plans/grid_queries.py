@@ -315,9 +315,9 @@ def analysis_cube(spark, d):
 
 
 @query("calendar_axis", """
-    SELECT time, count(o.o_orderkey) AS n_orders FROM year_days LEFT JOIN orders o ON o.o_orderdate::DATE = time GROUP BY time""")
+    SELECT time, count(o.o_orderkey) AS n_orders FROM all_days LEFT JOIN orders o ON o.o_orderdate::DATE = time GROUP BY time""")
 def calendar_axis(spark, d):
-    days = axes.calendar(spark, v.YEAR_START, v.YEAR_END)
+    days = axes.calendar(spark, v.CAL_START, v.CAL_END)
     counts = v.table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("time")).agg(F.count("o_orderkey").alias("n"))
     return days.join(counts, "time", "left").select("time", F.coalesce("n", F.lit(0).cast("long")).alias("n_orders"))
 
@@ -336,29 +336,29 @@ def days_encode(spark, d):
 
 
 @query("fill_days", """
-    WITH day_of AS (SELECT y.time, coalesce(max(f.time), (SELECT min(time) FROM frames)) AS source_day FROM year_days y
+    WITH day_of AS (SELECT y.time, coalesce(max(f.time), (SELECT min(time) FROM frames)) AS source_day FROM all_days y
                     LEFT JOIN (SELECT DISTINCT time FROM frames) f ON f.time <= y.time GROUP BY y.time)
     SELECT d.time, f.cell, f.value, d.source_day, d.time = d.source_day AS is_original FROM day_of d JOIN frames f ON f.time = d.source_day""")
 def fill_days(spark, d):
-    return fill.fill_days(v.frames(spark, d), v.YEAR_START, v.YEAR_END)
+    return fill.fill_days(v.frames(spark, d), v.CAL_START, v.CAL_END)
 
 
 @query("fill_days_strict", """
-    WITH day_of AS (SELECT y.time, max(f.time) AS source_day FROM year_days y
-                    JOIN (SELECT DISTINCT time FROM frames) f ON f.time <= y.time WHERE y.time >= DATE '1995-07-01' GROUP BY y.time)
+    WITH day_of AS (SELECT y.time, max(f.time) AS source_day FROM all_days y
+                    JOIN (SELECT DISTINCT time FROM frames) f ON f.time <= y.time WHERE y.time >= DATE '1995-01-03' GROUP BY y.time)
     SELECT d.time, f.cell, f.value, d.source_day, d.time = d.source_day AS is_original FROM day_of d JOIN frames f ON f.time = d.source_day""")
 def fill_days_strict(spark, d):
     from datetime import date
 
-    return fill.fill_days(v.frames(spark, d), date(1995, 7, 1), v.YEAR_END, leading="error")
+    return fill.fill_days(v.frames(spark, d), date(1995, 1, 3), v.CAL_END, leading="error")
 
 
 @query("provenance", """
-    WITH day_of AS (SELECT y.time, coalesce(max(f.time), (SELECT min(time) FROM frames)) AS source_day FROM year_days y
+    WITH day_of AS (SELECT y.time, coalesce(max(f.time), (SELECT min(time) FROM frames)) AS source_day FROM all_days y
                     LEFT JOIN (SELECT DISTINCT time FROM frames) f ON f.time <= y.time GROUP BY y.time)
-    SELECT time = source_day AS is_original, count(*) AS n_days, round(count(*) * 100.0::DOUBLE / 365, 6) AS percent FROM day_of GROUP BY 1""")
+    SELECT time = source_day AS is_original, count(*) AS n_days, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM all_days), 6) AS percent FROM day_of GROUP BY 1""")
 def provenance(spark, d):
-    return rounded(fill.provenance_summary(fill.day_map(v.frames(spark, d), v.YEAR_START, v.YEAR_END)), ["percent"])
+    return rounded(fill.provenance_summary(fill.day_map(v.frames(spark, d), v.CAL_START, v.CAL_END)), ["percent"])
 
 
 def _cells8(spark):
@@ -366,15 +366,15 @@ def _cells8(spark):
 
 
 @query("monthly_to_daily", """
-    SELECT y.time, c.cell::INT AS cell, m.value FROM year_days y CROSS JOIN range(8) c(cell)
+    SELECT y.time, c.cell::INT AS cell, m.value FROM all_days y CROSS JOIN range(8) c(cell)
     LEFT JOIN monthly m ON m.month = date_trunc('month', y.time)::DATE AND m.cell = c.cell""")
 def monthly_to_daily(spark, d):
-    return fill.monthly_to_daily(v.monthly(spark, d), v.YEAR_START, v.YEAR_END, _cells8(spark))
+    return fill.monthly_to_daily(v.monthly(spark, d), v.CAL_START, v.CAL_END, _cells8(spark))
 
 
 @query("null_frames", """
-    SELECT c.cell::INT AS cell, y.time, NULL::DOUBLE AS value FROM year_days y CROSS JOIN range(8) c(cell)
+    SELECT c.cell::INT AS cell, y.time, NULL::DOUBLE AS value FROM all_days y CROSS JOIN range(8) c(cell)
     WHERE y.time NOT IN (SELECT time FROM frames)""")
 def null_frames(spark, d):
-    absent = fill.day_map(v.frames(spark, d), v.YEAR_START, v.YEAR_END).filter(~F.col("is_original"))
+    absent = fill.day_map(v.frames(spark, d), v.CAL_START, v.CAL_END).filter(~F.col("is_original"))
     return fill.null_frames(_cells8(spark), absent, ["value"])

@@ -256,6 +256,22 @@ def lag_model(spark, d):
     return rounded(forecast.fit_lag_model(lagged, ["v_view"], 1).table(spark), ["value"])
 
 
+@query("lag_model_mse", """
+    WITH c AS (SELECT t, i, j, coalesce(v_view, 0) AS v FROM cube_wide),
+         p AS (SELECT s.split, c.v AS y, l.v AS x FROM c JOIN c l ON l.t = c.t - 1 AND l.i = c.i AND l.j = c.j JOIN splits s ON s.seq_start = c.t - 6),
+         m AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM p WHERE split = 'train')
+    SELECT split, round(avg(pow(y - (a * x + b), 2)), 6) AS mse, round(avg(pow(y - x, 2)), 6) AS mse_persistence FROM p, m GROUP BY split""")
+def lag_model_mse(spark, d):
+    """One lag of one channel, fitted on the training sequences and scored on all splits."""
+    cube = fill_missing(v.cube_wide(spark, d).select("t", "i", "j", "v_view"), ["v_view"])
+    lagged = sequences.lag_features(cube, ["v_view"], 1).filter((F.col("t") >= v.N_IN) & F.col("v_view_lag1").isNotNull())
+    rows = join_small(lagged.withColumn("seq_start", F.col("t") - v.N_IN), known_splits(spark).drop("pos"), "seq_start", rows=v.N_SEQ)
+    model = forecast.fit_lag_model(rows.filter("split = 'train'"), ["v_view"], 1)
+    predicted = model.predict(rows).select("split", F.col("v_view").alias("target"), F.col("v_view_pred").alias("pred"), F.col("v_view_lag1").alias("last"))
+    scores = forecast.score(predicted, {"mse_persistence": F.avg(forecast.squared_error("last"))}, by=["split"])
+    return rounded(scores, ["mse", "mse_persistence"])
+
+
 @query("lag_model_scores")
 def lag_model_scores(spark, d):
     """Six lags of all channels, fitted on the training sequences, against persistence, per split and channel."""

@@ -14,7 +14,7 @@ EPOCH = date(2024, 1, 1)
 N_LAT, N_LON, N_TIME = 12, 24, 30
 EVENT_TYPES = ("view", "click", "purchase", "error", "signup")
 CHANNELS = tuple(f"v_{e}" for e in EVENT_TYPES)
-YEAR_START, YEAR_END = date(1995, 1, 1), date(1995, 12, 31)
+CAL_START, CAL_END = date(1995, 1, 1), date(2001, 12, 31)
 N_IN, N_OUT = 6, 1
 N_SEQ = N_TIME - (N_IN + N_OUT) + 1
 
@@ -79,16 +79,21 @@ def with_latlon(df: DataFrame) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(time, cell, value): daily frames with whole days missing and holes inside frames."""
+    """(time, cell, value): frames on three days of each week, the first two days missing, holes inside frames.
+
+    Every order counts on the day it falls on or, if there is no frame that day, on the next.
+    """
     day = F.to_date("o_orderdate")
-    o = table(spark, sf_dir, "orders").filter((F.datediff(day, F.lit(YEAR_START)) % 7).isin(2, 3, 6))
-    return o.groupBy(day.alias("time"), (F.col("o_custkey") % 8).cast("int").alias("cell")).agg(r6(F.avg("o_totalprice")).alias("value"))
+    weekday = F.datediff(day, F.lit(CAL_START)) % 7
+    wait = F.when(weekday.isin(0, 4), 2).when(weekday.isin(1, 5), 1).otherwise(0)
+    return table(spark, sf_dir, "orders").groupBy(F.date_add(day, wait).alias("time"), (F.col("o_custkey") % 8).cast("int").alias("cell")).agg(r6(F.avg("o_totalprice")).alias("value"))
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(month, cell, value): monthly frames with months missing."""
-    o = table(spark, sf_dir, "orders").filter(F.month("o_orderdate") % 5 != 0)
-    return o.groupBy(F.trunc(F.to_date("o_orderdate"), "MM").alias("month"), (F.col("o_custkey") % 8).cast("int").alias("cell")).agg(
+    """(month, cell, value): monthly frames without May and October, whose orders count in the month after."""
+    day = F.to_date("o_orderdate")
+    counted = F.add_months(day, F.when(F.month(day) % 5 == 0, 1).otherwise(0))
+    return table(spark, sf_dir, "orders").groupBy(F.trunc(counted, "MM").alias("month"), (F.col("o_custkey") % 8).cast("int").alias("cell")).agg(
         r6(F.avg("o_totalprice")).alias("value"))
 
 
@@ -140,11 +145,11 @@ SQL_VIEWS = {
     "cube_long": "SELECT time, t, i, j, event_type AS var, round(avg(value), 6) AS value FROM cell_events GROUP BY ALL",
     "cube_wide": f"SELECT time, t, i, j, {_CHANNEL_SQL} FROM cell_events GROUP BY time, t, i, j",
     "cube": "SELECT *, round(20.05 + 0.1 * i, 2)::DOUBLE AS lat, round(115.05 + 0.1 * j, 2)::DOUBLE AS lon FROM cube_wide",
-    "frames": "SELECT o_orderdate::DATE AS time, (o_custkey % 8)::INT AS cell, round(avg(o_totalprice), 6) AS value FROM orders "
-              "WHERE date_diff('day', DATE '1995-01-01', o_orderdate::DATE) % 7 IN (2, 3, 6) GROUP BY ALL",
-    "year_days": "SELECT unnest(generate_series(DATE '1995-01-01', DATE '1995-12-31', INTERVAL 1 DAY))::DATE AS time",
-    "monthly": "SELECT date_trunc('month', o_orderdate)::DATE AS month, (o_custkey % 8)::INT AS cell, round(avg(o_totalprice), 6) AS value "
-               "FROM orders WHERE month(o_orderdate) % 5 <> 0 GROUP BY ALL",
+    "frames": "SELECT (o_orderdate::DATE + (CASE date_diff('day', DATE '1995-01-01', o_orderdate::DATE) % 7 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 1 ELSE 0 END)::INT)::DATE AS time, "
+              "(o_custkey % 8)::INT AS cell, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY ALL",
+    "all_days": "SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY))::DATE AS time",
+    "monthly": "SELECT (date_trunc('month', o_orderdate) + CASE WHEN month(o_orderdate) % 5 = 0 THEN INTERVAL 1 MONTH ELSE INTERVAL 0 MONTH END)::DATE AS month, "
+               "(o_custkey % 8)::INT AS cell, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY ALL",
     "ocean": "SELECT l_orderkey, l_linenumber, abs(l_discount) * l_quantity / 5 AS chla, l_extendedprice / 50 - 15 AS par, "
              "l_quantity * 0.6::DOUBLE AS sst, abs(l_tax) * 100 AS wind FROM lineitem",
     "iso1": "SELECT *, CASE WHEN chla <= 0.5 THEN 38 * pow(chla, 0.425) ELSE 40.2 * pow(chla, 0.507) END AS ct FROM ocean",

@@ -26,13 +26,16 @@ def read_cube(spark: SparkSession, path: str, variables: Sequence[str], keys: Se
     return df.select(*keys, *(nan_to_null(v).alias(v) for v in variables))
 
 
-def read_cubes(spark: SparkSession, paths: Sequence[str] | str, keys: Sequence[str] | None = None) -> DataFrame:
+def read_cubes(spark: SparkSession, paths: Sequence[str] | str, keys: Sequence[str] | None = None,
+               schema: T.StructType | None = None) -> DataFrame:
     """Many files as one cube (A2); the result does not depend on file order.
 
-    Columns may differ between files. With `keys`, rows of the same cell from different
-    files become one row.
+    Columns may differ between files. With `schema` (see `cube_schema`) columns a file lacks
+    read as NULL and no footer is opened beforehand; without it the schemas are merged. With
+    `keys`, rows of the same cell from different files become one row.
     """
-    df = spark.read.option("mergeSchema", "true").parquet(*([paths] if isinstance(paths, str) else sorted(paths)))
+    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", "true")
+    df = reader.parquet(*([paths] if isinstance(paths, str) else sorted(paths)))
     if keys is None:
         return df
     values = [c for c in df.columns if c not in keys]
