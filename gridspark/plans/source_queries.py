@@ -127,11 +127,13 @@ def fixed_width_grid(spark, d):
     WITH l AS (SELECT doc_id, CASE WHEN length(text) = 0 THEN [] ELSE list_transform(string_split_regex(regexp_replace(text, '\r?\n\z', ''), '\r?\n'), lambda s: regexp_replace(s, '\s+$', '')) END AS ls FROM documents),
          s AS (SELECT *, coalesce(list_position(list_transform(ls[1:10], lambda x: length(x) > 200 AND regexp_matches(x, '\d')), true), 0)::INT AS p FROM l),
          a AS (SELECT *, CASE WHEN p > 0 THEN p ELSE 4 END AS data_start FROM s)
-    SELECT doc_id, len(ls)::INT AS n_lines, data_start, length(ls[data_start])::INT AS line_length, length(regexp_replace(ls[data_start], '\D', '', 'g'))::INT AS n_digits,
-           starts_with(ls[data_start], ' ') AS leading_blank, array_to_string(ls[1:5], '|') AS head FROM a""")
+    SELECT doc_id, len(ls)::INT AS n_lines, data_start, array_to_string(list_transform(ls[data_start:data_start + 4], lambda s: length(s)), ',') AS line_lengths,
+           array_to_string(list_transform(ls[data_start:data_start + 4], lambda s: length(regexp_replace(s, '\D', '', 'g'))), ',') AS digit_counts,
+           coalesce(array_to_string(list_transform(ls[data_start:data_start + 4], lambda s: starts_with(s, ' ')), ','), '') AS leading_blanks, array_to_string(ls[1:5], '|') AS head FROM a""")
 def diagnose_text(spark, d):
     out = fixed_width.diagnose_text(v.table(spark, d, "documents"), text="text", keys=["doc_id"])
-    return out.select("doc_id", "n_lines", "data_start", "line_length", "n_digits", "leading_blank", F.array_join("head", "|").alias("head"))
+    joined = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("line_lengths", "digit_counts", "leading_blanks")]
+    return out.select("doc_id", "n_lines", "data_start", *joined, F.array_join("head", "|").alias("head"))
 
 
 @query("history_long", """

@@ -77,8 +77,8 @@ def diagnose_text(files: DataFrame, text: str = "value", keys: Sequence[str] = (
     """What a grid text looks like (D19), one row per text, no shuffle.
 
     Number of lines; where data seems to start (first of ten lines longer than 200 characters
-    with a digit, else the fourth); length, digits and leading blank of that line; its first
-    ten numbers; the latitude label of the next line; the first five lines.
+    with a digit, else the fourth); length, digits and leading blank of five lines from there;
+    the first ten numbers; the latitude label of the second line; the first five lines of all.
     """
     # a final line end closes the last line and opens none
     body = F.regexp_replace(F.col(text), r"\r?\n\z", "")
@@ -90,12 +90,14 @@ def diagnose_text(files: DataFrame, text: str = "value", keys: Sequence[str] = (
     found = F.array_position(hits, F.lit(True))
     df = df.withColumn("data_start", F.when(found > 0, found.cast("int")).otherwise(4))
     at = F.get(F.col("_lines"), F.col("data_start") - 1)
+    data = F.slice(F.col("_lines"), F.col("data_start"), F.lit(5))
     sample = F.regexp_replace(at, r"^\s+", "")
     piece = lambda k: F.substring(sample, k * 3 + 1, F.lit(3))
     values = F.transform(
         F.filter(F.sequence(F.lit(0), F.lit(9)), lambda k: F.length(piece(k)) == 3), lambda k: piece(k).try_cast("int"))
     return df.select(
-        *keys, F.size("_lines").alias("n_lines"), "data_start", F.length(at).alias("line_length"),
-        F.length(F.regexp_replace(at, r"\D", "")).alias("n_digits"), at.startswith(" ").alias("leading_blank"),
+        *keys, F.size("_lines").alias("n_lines"), "data_start", F.transform(data, lambda s: F.length(s)).alias("line_lengths"),
+        F.transform(data, lambda s: F.length(F.regexp_replace(s, r"\D", ""))).alias("digit_counts"),
+        F.transform(data, lambda s: s.startswith(" ")).alias("leading_blanks"),
         F.filter(values, lambda v: v.isNotNull()).alias("sample_values"),
         latitude_label(F.get(F.col("_lines"), F.col("data_start"))).alias("lat_label"), F.slice("_lines", 1, 5).alias("head"))

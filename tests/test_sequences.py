@@ -224,3 +224,42 @@ def test_histogram_equals_numpy(spark):
     assert [r["n"] for r in got] == np.histogram(x, 50)[0].tolist()
     flat = quality.histogram(spark.createDataFrame([(2.0,), (2.0,)], "v double"), "v", 4).orderBy("bin").collect()
     assert [r["n"] for r in flat] == np.histogram([2.0, 2.0], 4)[0].tolist()
+
+
+def test_lag_model_scores_equal_least_squares(spark):
+    """The registered query against NumPy on the densely laid out cube."""
+    import __spark_entry__ as entry
+    from gridspark.plans import sequence_queries as q, views as v
+
+    cube = v.cube_wide(spark, entry.SMOKE_DIR).toPandas()
+    dense = np.zeros((v.N_TIME, v.N_LAT, v.N_LON, 5))
+    for r in cube.itertuples():
+        dense[r.t, r.i, r.j] = np.nan_to_num([getattr(r, c) for c in v.CHANNELS])
+    member = {r["seq_start"]: r["split"] for r in q.known_splits(spark).collect()}
+    rows = [(member[r.t - 6], dense[r.t - 6:r.t, r.i, r.j][::-1].T.ravel(), dense[r.t, r.i, r.j]) for r in cube.itertuples() if r.t >= 6]
+    x, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    split = np.array([r[0] for r in rows])
+    train = split == "train"
+    beta = np.linalg.lstsq(np.column_stack([np.ones(len(x)), x])[train], y[train], rcond=None)[0]
+    pred = np.column_stack([np.ones(len(x)), x]) @ beta
+    got = {(r["split"], r["channel"]): (r["mse"], r["mse_persistence"]) for r in entry.queries()["lag_model_scores"](spark, entry.SMOKE_DIR).collect()}
+    for s in ("train", "val", "test"):
+        for k, c in enumerate(v.CHANNELS):
+            want = (((pred - y)[split == s, k] ** 2).mean(), ((x[:, 6 * k] - y[:, k])[split == s] ** 2).mean())
+            assert got[s, c] == pytest.approx(want, rel=1e-5)
+
+
+def test_neighbour_model_equals_least_squares(spark):
+    import __spark_entry__ as entry
+    from gridspark.plans import views as v
+
+    cube = v.cube_wide(spark, entry.SMOKE_DIR).select("t", "i", "j", "v_view").toPandas()
+    known = {(r.t, r.i, r.j): r.v_view for r in cube.itertuples()}
+    value = lambda t, i, j: np.nan_to_num(known.get((t, i, j), 0.0))
+    near = lambda t, i, j: sum(value(t, i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1)) / 9
+    cells = {(t, i + a, j + b) for t, i, j in known for a in (-1, 0, 1) for b in (-1, 0, 1) if 0 <= i + a < v.N_LAT and 0 <= j + b < v.N_LON}
+    rows = [(t, i, j) for t, i, j in cells if t >= 2 and np.isfinite(known.get((t, i, j), np.nan))]
+    x = np.array([[1, value(t - 1, i, j), value(t - 2, i, j), near(t - 1, i, j), near(t - 2, i, j)] for t, i, j in rows])
+    beta = np.linalg.lstsq(x, np.array([known[r] for r in rows]), rcond=None)[0]
+    got = {r["feature"]: r["value"] for r in entry.queries()["lag_model_neighbours"](spark, entry.SMOKE_DIR).collect()}
+    assert [got[f] for f in ("intercept", "v_view_lag1", "v_view_lag2", "v_view_near_lag1", "v_view_near_lag2")] == pytest.approx(list(beta), abs=2e-6)

@@ -87,9 +87,10 @@ def test_diagnosis(spark):
     df = spark.createDataFrame([("a", text), ("b", "x\ny"), ("c", "")], "path string, value string")
     r = {x["path"]: x for x in fixed_width.diagnose_text(df).collect()}
     a = r["a"]
-    assert (a["n_lines"], a["data_start"], a["line_length"], a["n_digits"], a["leading_blank"], a["lat_label"]) == (6, 5, 241, 240, True, -12.5)
+    assert (a["n_lines"], a["data_start"], a["lat_label"]) == (6, 5, -12.5)
+    assert (a["line_lengths"], a["digit_counts"], a["leading_blanks"]) == ([241, 17], [240, 6], [True, True])
     assert a["sample_values"] == [275] * 10 and a["head"] == ["one", "two", "three", "four", long]
-    assert (r["b"]["n_lines"], r["b"]["data_start"], r["b"]["line_length"]) == (2, 4, None) and r["c"]["n_lines"] == 0
+    assert (r["b"]["n_lines"], r["b"]["data_start"], r["b"]["line_lengths"]) == (2, 4, []) and r["c"]["n_lines"] == 0
 
 
 @pytest.mark.parametrize("name,want", [
