@@ -89,7 +89,7 @@ def nearest_map(source: Axis, target: Axis) -> DataFrame:
 
 
 def regrid_linear(df: DataFrame, values: Sequence[str], source: tuple[Axis, Axis], target: tuple[Axis, Axis],
-                  frame: Sequence[str] = ("t",)) -> DataFrame:
+                  frame: Sequence[str] = ("t",), coordinates: bool = True) -> DataFrame:
     """Bilinear interpolation onto the target axes (C6), all variables in one pass.
 
     Weights come from the axes alone and are broadcast. A target is missing when any cell
@@ -109,18 +109,18 @@ def regrid_linear(df: DataFrame, values: Sequence[str], source: tuple[Axis, Axis
         .select(*frame, F.col("ti").alias("i"), F.col("tj").alias("j"),
                 *(F.when(F.col(f"_n_{v}") == F.col("_need"), F.col(v)).alias(v) for v in values))
     )
-    return with_coordinates(out, *target)
+    return with_coordinates(out, *target) if coordinates else out
 
 
 def regrid_nearest(df: DataFrame, values: Sequence[str], source: tuple[Axis, Axis], target: tuple[Axis, Axis],
-                   frame: Sequence[str] = ("t",)) -> DataFrame:
+                   frame: Sequence[str] = ("t",), coordinates: bool = True) -> DataFrame:
     """Nearest-neighbour regrid (C7): two broadcast joins, no shuffle."""
     lat_m = nearest_map(source[0], target[0]).select(F.col("src").alias("i"), F.col("tgt").alias("ti"))
     lon_m = nearest_map(source[1], target[1]).select(F.col("src").alias("j"), F.col("tgt").alias("tj"))
     picked = join_small(join_small(df.select(*frame, "i", "j", *values), lat_m, "i", rows=target[0].size),
                         lon_m, "j", rows=target[1].size)
     out = picked.select(*frame, F.col("ti").alias("i"), F.col("tj").alias("j"), *values)
-    return with_coordinates(out, *target)
+    return with_coordinates(out, *target) if coordinates else out
 
 
 def neighbour_features(df: DataFrame, values: Sequence[str], n_lat: int, n_lon: int, frame: Sequence[str] = ("t",)) -> DataFrame:

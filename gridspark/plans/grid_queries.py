@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridspark.functions import dates, geo, missing
 from gridspark.operators import axes, fill, merge, quality, regrid, reshape, select
-from gridspark.plans import views as v
+from gridspark.plans import analysis, views as v
 from gridspark.plans.registry import query
 
 VALUES = list(v.CHANNELS)
@@ -314,6 +314,30 @@ def analysis_cube(spark, d):
     return rounded(out, names).withColumn("isoprene", F.round("isoprene", 5) + F.lit(0.0))
 
 
+# chlorophyll as block means then linear, light and wind linear, temperature nearest, all on half positions
+@query("merged_products", f"""
+    WITH blocks AS (SELECT t, i // 2 AS i, j // 2 AS j, avg(v_view) / 100 AS chla FROM cube_wide WHERE i < 12 AND j < 24 GROUP BY t, i // 2, j // 2),
+         -- block centres lie at 0.5, 2.5, ..: the half position k/2 is (k - 1) / 4 blocks along
+         bpos AS (SELECT k AS tgt, (k - 1) // 4 AS lo, ((k - 1) % 4)::DOUBLE / 4 AS f FROM range(1, 22) r(k)),
+         bw AS (SELECT tgt, lo AS src, 1 - f AS w, CASE WHEN f = 0 THEN 1 ELSE 2 END AS need FROM bpos UNION ALL SELECT tgt, lo + 1, f, 2 FROM bpos WHERE f > 0),
+         pos AS (SELECT k AS tgt, k // 2 AS lo, (k % 2)::DOUBLE / 2 AS f FROM range(22) r(k)),
+         pw AS (SELECT tgt, lo AS src, 1 - f AS w, CASE WHEN f = 0 THEN 1 ELSE 2 END AS need FROM pos UNION ALL SELECT tgt, lo + 1, f, 2 FROM pos WHERE f > 0),
+         a AS (SELECT t, x.tgt AS i, y.tgt AS j, CASE WHEN count(chla) = max(x.need * y.need) THEN sum(x.w * y.w * chla) END AS chla FROM blocks b JOIN bw x ON b.i = x.src JOIN bw y ON b.j = y.src GROUP BY ALL),
+         l AS (SELECT t, x.tgt AS i, y.tgt AS j, CASE WHEN count(v_click) = max(x.need * y.need) THEN sum(x.w * y.w * v_click) END AS par,
+                      CASE WHEN count(v_signup) = max(x.need * y.need) THEN sum(x.w * y.w * v_signup) / 10 END AS wind FROM cube_wide c JOIN pw x ON c.i = x.src JOIN pw y ON c.j = y.src GROUP BY ALL),
+         n AS (SELECT t, x.k AS i, y.k AS j, v_error / 10 AS sst FROM cube_wide c JOIN (SELECT k FROM range(22) r(k)) x ON c.i = x.k // 2 JOIN (SELECT k FROM range(22) r(k)) y ON c.j = y.k // 2)
+    SELECT t, i::INT AS i, j::INT AS j, i / 2.0::DOUBLE AS lat, j / 2.0::DOUBLE AS lon, round(chla, 6) AS chla, round(par, 6) AS par, round(sst, 6) AS sst, round(wind, 6) AS wind
+    FROM a FULL JOIN l USING (t, i, j) FULL JOIN n USING (t, i, j)""")
+def merged_products(spark, d):
+    day = v.cube_wide(spark, d).select("t", "i", "j", (F.col("v_view") / 100).alias("chla"), F.col("v_click").alias("par"),
+                                       (F.col("v_error") / 10).alias("sst"), (F.col("v_signup") / 10).alias("wind"))
+    own = (index_axis(spark, v.N_LAT), index_axis(spark, v.N_LON))
+    half = (index_axis(spark, 22, 1, 2), index_axis(spark, 22, 1, 2))
+    cube = analysis.analysis_cube([analysis.Product(day, ("chla",), own, factor=2), analysis.Product(day, ("par", "wind"), own),
+                                   analysis.Product(day, ("sst",), own, method="nearest")], half)
+    return rounded(cube, ["chla", "par", "sst", "wind"])
+
+
 @query("calendar_axis", """
     SELECT time, count(o.o_orderkey) AS n_orders FROM all_days LEFT JOIN orders o ON o.o_orderdate::DATE = time GROUP BY time""")
 def calendar_axis(spark, d):
