@@ -18,30 +18,30 @@ def base_name(path: Column | str) -> Column:
     return F.element_at(F.split(_col(path), "/"), -1)
 
 
-def _parsed(digits: Column, fmt: str) -> Column:
-    return F.to_date(F.try_to_timestamp(F.nullif(digits, F.lit("")), F.lit(fmt)))
+def _date_of_digits(digits: Column) -> Column:
+    """Eight digits as a date; NULL for an empty text or a day that does not exist."""
+    parts = [F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2)]
+    return F.concat_ws("-", *parts).try_cast("date")
 
 
 def compact_date(name: Column | str) -> Column:
     """First run of eight digits read as yyyyMMdd; NULL when there is none or it is no date."""
-    return _parsed(F.regexp_extract(_col(name), COMPACT, 1), "yyyyMMdd")
+    return _date_of_digits(F.regexp_extract(_col(name), COMPACT, 1))
 
 
 def year_m_day_date(name: Column | str) -> Column:
     """`2018m0131` style names."""
-    name = _col(name)
-    digits = F.concat(F.regexp_extract(name, YEAR_M_DAY, 1), F.regexp_extract(name, YEAR_M_DAY, 2))
-    return _parsed(digits, "yyyyMMdd")
+    return _date_of_digits(F.replace(F.regexp_extract(_col(name), YEAR_M_DAY, 0), F.lit("m"), F.lit("")))
 
 
 def underscored_date(name: Column | str) -> Column:
-    return _parsed(F.regexp_extract(_col(name), UNDERSCORED, 1), "yyyy_MM_dd")
+    return _date_of_digits(F.replace(F.regexp_extract(_col(name), UNDERSCORED, 1), F.lit("_"), F.lit("")))
 
 
 def product_date(name: Column | str, suffix: str) -> Column:
     """Strict daily-product template; `suffix` is literal text, brackets included."""
     pattern = DAILY_PRODUCT.replace("{suffix}", "\\Q" + suffix + "\\E")
-    return _parsed(F.regexp_extract(_col(name), pattern, 1), "yyyyMMdd")
+    return _date_of_digits(F.regexp_extract(_col(name), pattern, 1))
 
 
 def month_number_date(name: Column | str, year: int) -> Column:
@@ -56,8 +56,8 @@ def month_number_date(name: Column | str, year: int) -> Column:
 def last_token_date(name: Column | str) -> Column:
     """Text after the last underscore, up to the first dot, read as an ISO or compact date."""
     token = F.element_at(F.split(F.element_at(F.split(_col(name), "_"), -1), r"\."), 1)
-    return F.when(token.rlike(r"^\d{4}-\d{2}-\d{2}$"), _parsed(token, "yyyy-MM-dd")).when(
-        token.rlike(r"^\d{8}$"), _parsed(token, "yyyyMMdd")
+    return F.when(token.rlike(r"^\d{4}-\d{2}-\d{2}$"), token.try_cast("date")).when(
+        token.rlike(r"^\d{8}$"), _date_of_digits(token)
     )
 
 
@@ -68,9 +68,9 @@ def file_date(name: Column | str, modified: Column | str | None = None) -> Colum
     """
     name = _col(name)
     found = (
-        F.when(name.rlike(COMPACT), compact_date(name))
-        .when(name.rlike(YEAR_M_DAY), year_m_day_date(name))
-        .when(name.rlike(UNDERSCORED), underscored_date(name))
+        F.when(F.regexp_extract(name, COMPACT, 1) != "", compact_date(name))
+        .when(F.regexp_extract(name, YEAR_M_DAY, 0) != "", year_m_day_date(name))
+        .when(F.regexp_extract(name, UNDERSCORED, 1) != "", underscored_date(name))
     )
     return found if modified is None else found.otherwise(F.to_date(_col(modified)))
 
