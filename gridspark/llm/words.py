@@ -50,19 +50,28 @@ def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) ->
     return (sums[end] - sums[start]) * _power(base, len(sums))[1][start]
 
 
+#: Kinds of bytes: 0 is white space; a word is a run of one kind. PLAIN knows one kind, FINE tells
+#: letters (and every byte of a character beyond ASCII), digits and other characters apart.
+PLAIN = np.ones(256, np.uint8)
+PLAIN[[9, 10, 11, 12, 13, 32]] = 0
+FINE = np.where(PLAIN > 0, 3, 0).astype(np.uint8)
+FINE[48:58] = 2
+FINE[65:91] = FINE[97:123] = FINE[128:] = 1
+
+
 class Words:
     """The words of a run of texts: `doc` (row), `start`, `end` (bytes in `data`), `first` (word offsets by row)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = PLAIN):
         self.data, self.offsets, n = data, offsets, len(data)
-        space = (data == 32) | ((data >= 9) & (data <= 13))
+        kind = kinds[data]
         before, after = np.ones(n, bool), np.ones(n, bool)
         if n:
-            before[1:], after[:-1] = space[:-1], space[1:]
+            before[1:] = after[:-1] = kind[1:] != kind[:-1]
             inner = offsets[(offsets > 0) & (offsets < n)]
             before[inner], after[inner - 1] = True, True
-        self.start = np.flatnonzero(~space & before)
-        self.end = np.flatnonzero(~space & after) + 1
+        self.start = np.flatnonzero((kind > 0) & before)
+        self.end = np.flatnonzero((kind > 0) & after) + 1
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
         self.first = np.searchsorted(self.start, offsets)
 
