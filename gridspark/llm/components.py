@@ -11,10 +11,13 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is tied to the least node of the neighbourhood."""
+def _large_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Every larger neighbour of a node is tied to the least node of the neighbourhood.
+
+    The least nodes are stored, so that the join reads two plain shuffles and Spark can split a hub.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least")
     return both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
@@ -36,7 +39,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     seen, turn = _fingerprint(current), 0
     while True:
         turn += 1
-        after = scratch.keep(_small_star(_large_star(current)), f"{name}-{turn}")
+        after = scratch.keep(_small_star(_large_star(current, scratch, f"{name}-{turn}")), f"{name}-{turn}")
         now = _fingerprint(after)
         scratch.drop(f"{name}-{turn - 1}")
         if now == seen:

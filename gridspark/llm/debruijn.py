@@ -141,17 +141,18 @@ def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     keyed = texts.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.hash("text").alias("tag"), "text")
     paths = scratch.keep(keyed.select("id", "tag", "text").mapInArrow(_paths(k), PATHS_DDL), "paths")
-    shared = paths.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
+    # lists of keys are stored before they are joined, so that the join reads two plain shuffles and Spark can split a hot key
+    shared = scratch.keep(paths.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed"), "shared")
     # only paths whose seed occurs again can repeat, in whole or in part
     places = scratch.keep(paths.join(shared.hint("merge"), "seed", "left_semi"), "places")
     scratch.drop("paths")
     kinds = scratch.keep(places.groupBy("seed", "path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tag", "start", "edges")).alias("source")), "kinds")
     whole = places.join(kinds.filter("n > 1").select("seed", "path").hint("merge"), ["seed", "path"], "left_semi").select("id", "tag", "start", "edges")
-    branching = kinds.groupBy("seed").agg(F.count(F.lit(1)).alias("paths")).filter("paths > 1").select("seed")
+    branching = scratch.keep(kinds.groupBy("seed").agg(F.count(F.lit(1)).alias("paths")).filter("paths > 1").select("seed"), "branching")
     sources = (kinds.join(branching.hint("merge"), "seed", "left_semi").select("source.*", "seed", "n")
                .groupBy(*_KEY).agg(F.collect_list(F.struct("start", "edges", "seed", "n")).alias("found")))
     edges = scratch.keep(keyed.select("id", "tag", "text").join(sources.hint("merge"), _KEY).select("id", "tag", "text", "found").mapInArrow(_unfold(k), EDGES_DDL), "edges")
-    again = edges.groupBy("seed", "edge").agg(F.sum("n").alias("total")).filter("total > 1").select("seed", "edge")
+    again = scratch.keep(edges.groupBy("seed", "edge").agg(F.sum("n").alias("total")).filter("total > 1").select("seed", "edge"), "again")
     single = edges.filter("n = 1").join(again.hint("merge"), ["seed", "edge"], "left_semi").select("id", "tag", "start", F.lit(1).alias("edges"))
     found = whole.unionByName(single).groupBy(*_KEY).agg(F.collect_set(F.struct("start", "edges")).alias("found"))
     return keyed.join(found.hint("merge"), _KEY, "left").select("doc_id", "text", "found").mapInArrow(

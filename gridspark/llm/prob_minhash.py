@@ -5,9 +5,10 @@ on random registers; a register keeps the shingle that arrives first, so two tex
 register with the probability Jaccard similarity of their weighted shingles. Arrivals later than
 the latest register are never drawn, so most shingles cost one draw.
 
-Registers are grouped in bands. Texts that share a band are compared with the least of its bucket
-by the exact similarity of their texts; what that star leaves apart is compared with those members
-of the bucket that the triangle inequality still allows. No bucket is turned into all its pairs.
+Registers are grouped in bands. Texts that share a band are compared with one head of their bucket
+by the exact similarity of their texts, with another head in the next round. What the stars leave
+apart is compared where prefix filtering, which loses nothing, still allows a link. No bucket is
+turned into all its pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8^6)^40 < 1e-5.
 BANDS, ROWS = 40, 6
+#: Stars drawn in every bucket before what is still apart is compared by shared shingles.
+STARS = 1
+#: Counters that order shingles by how common they are.
+COUNTERS = 1 << 20
 _U = np.uint64
 
 
@@ -123,22 +128,27 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD,
     classes = scratch.keep(worded.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
     heads = worded.filter("doc_id is not null").join(classes.select("set_a", "set_b", F.col("id").alias("doc_id")).hint("merge"), ["doc_id", "set_a", "set_b"], "left_semi")
     banded = heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")).distinct()
-    buckets = banded.groupBy("band").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "head")
-    members = scratch.keep(banded.join(buckets.hint("merge"), "band").filter("id <> head"), "members")
-
-    stars = scratch.keep(members.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    needed = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
-    # several rows of one id: the text of the class's head is the one that was sketched
-    compared = scratch.keep(texts.withColumnRenamed("doc_id", "id").join(needed.hint("merge"), "id", "left_semi"), "texts")
-    unique = compared.dropDuplicates(["id"]) if _repeated(compared) else compared
-    measured = scratch.keep(similarities(stars, unique, k), "measured")
-    linked = measured.filter(F.col("similarity") >= threshold).select("a", "b")
-    found = scratch.keep(components(linked, scratch, "first"), "components")
-
-    rest = scratch.keep(_residual(members, measured, found, threshold), "residual")
-    more = scratch.keep(similarities(rest, unique, k).filter(F.col("similarity") >= threshold).select("a", "b"), "more")
+    buckets = scratch.keep(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band"), "buckets")
+    roster = scratch.keep(banded.join(buckets.hint("merge"), "band", "left_semi"), "roster")
+    compared = texts.withColumnRenamed("doc_id", "id").join(roster.select("id").distinct().hint("merge"), "id", "left_semi")
+    compared = scratch.keep(compared.groupBy("id").agg(F.min("text").alias("text")), "texts")
+
+    links = found = None
+    for turn in range(STARS):
+        placed = _placed(roster, found)
+        order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        head = scratch.keep(placed.groupBy("band").agg(F.min_by(F.struct("id", "component"), order).alias("head")).select("band", "head.*")
+                            .toDF("band", "head", "head_component"), f"heads-{turn}")
+        apart = placed.join(head.hint("merge"), "band").filter("component <> head_component")
+        pairs = scratch.keep(apart.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct(), f"stars-{turn}")
+        new = similarities(pairs, compared, k).filter(F.col("similarity") >= threshold).select("a", "b")
+        links = scratch.keep(new if links is None else links.unionByName(new), f"links-{turn}")
+        found = components(links, scratch, f"components-{turn}")
+
+    candidates = scratch.keep(_prefix_pairs(scratch, roster, found, compared, k, threshold), "candidates")
+    more = scratch.keep(similarities(candidates, compared, k).filter(F.col("similarity") >= threshold).select("a", "b"), "more")
     if not more.isEmpty():
-        found = scratch.keep(components(linked.unionByName(more), scratch, "second"), "final")
+        found = components(links.unionByName(more), scratch, "components-all")
 
     own = classes.join(found.withColumnRenamed("id", "_id").hint("merge"), F.col("id") == F.col("_id"), "left").select(
         "set_a", "set_b", F.coalesce("component", "id").alias("class_id"))
@@ -147,25 +157,66 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD,
     return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_shingles")
 
 
-def _repeated(texts: DataFrame) -> bool:
-    return not texts.groupBy("id").count().filter("count > 1").isEmpty()
+def _placed(roster: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(band, id, component): who is in each bucket, and with whom a text is linked so far."""
+    if found is None:
+        return roster.select("band", "id", F.col("id").alias("component"))
+    return roster.join(found.hint("merge"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
 
 
-def _residual(members: DataFrame, measured: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of a bucket that may still be linked though their components differ.
+def _counters(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                _, value, _ = shingles(Words(data, offsets), k)
+                slot, n = np.unique(value & _U(COUNTERS - 1), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"slot": pa.array(slot.astype(np.int32)), "n": pa.array(n)})
+
+    return run
+
+
+def _prefixes(k: int, threshold: float, counts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in text_chunks(batch.column(1)):
+                text, value, _ = shingles(Words(data, offsets), k)
+                order = np.lexsort((value, counts[value & _U(COUNTERS - 1)], text))
+                text, value = text[order], value[order]
+                n = np.bincount(text, minlength=end - row)
+                place = np.arange(len(text)) - (np.cumsum(n) - n)[text]
+                first = np.flatnonzero(place < (n - np.ceil(threshold * n - 1e-9) + 1)[text])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(value[first].view(np.int64)), batch.column(0).slice(row, end - row).take(pa.array(text[first])),
+                    pa.array(place[first].astype(np.int32)), pa.array(n[text[first]].astype(np.int32))], names=["shingle", "id", "place", "n"])
+
+    return run
+
+
+def _prefix_pairs(scratch: Scratch, roster: DataFrame, found: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket's company and may still be linked, by prefix filtering.
 
-    1 - similarity is a metric: two members whose distances from the head differ by more than 1 - threshold
-    are further apart than a link allows.
+    Shingles are put in one order, rare ones first. Two sets with similarity t share one of the first
+    n - ceil(t n) + 1 of theirs, whatever the order: no pair is lost. The order comes from counts in a
+    fixed number of counters, the only thing that is brought to the driver.
     """
-    component = found.select("id", "component")
-    placed = (members.join(measured.select(F.col("a").alias("head"), F.col("b").alias("id"), "similarity").hint("merge"), ["head", "id"])
-              .join(component.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-              .join(component.select(F.col("id").alias("head"), F.col("component").alias("head_component")).hint("merge"), "head", "left")
-              .withColumn("outside", F.col("component") != F.coalesce("head_component", "head")))
-    x = placed.filter("outside").select("band", F.col("id").alias("x"), F.col("similarity").alias("sx"), F.col("component").alias("cx"))
-    y = placed.select("band", F.col("id").alias("y"), F.col("similarity").alias("sy"), F.col("component").alias("cy"), "outside")
-    near = (F.abs(F.col("sx") - F.col("sy")) <= 1 - threshold + 1e-9) & (F.col("cx") != F.col("cy")) & (~F.col("outside") | (F.col("x") < F.col("y")))
-    return x.join(y.hint("merge"), (x["band"] == y["band"]) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    placed = _placed(roster, found)
+    mixed = scratch.keep(placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("band", "least"), "mixed")
+    who = scratch.keep(placed.join(mixed.hint("merge"), "band").groupBy("id", "component").agg(F.max(F.col("component") != F.col("least")).alias("outside")), "apart")
+    own = scratch.keep(texts.join(who.select("id").hint("merge"), "id", "left_semi"), "apart-texts")
+    counted = own.select("text").mapInArrow(_counters(k), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    prefix = scratch.keep(own.select("id", "text").mapInArrow(_prefixes(k, threshold, counts), "shingle long, id long, place int, n int")
+                          .join(who.hint("merge"), "id"), "prefixes")
+    x = prefix.filter("outside").select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("id", "place", "n", "component")))
+    y = prefix.select(F.col("shingle").alias("_shingle"), *(F.col(c).alias(f"y_{c}") for c in ("id", "place", "n", "component", "outside")))
+    # an overlap of t / (1 + t) of both sizes must still be possible behind the shared place
+    behind = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    near = ((F.col("x_component") != F.col("y_component")) & (~F.col("y_outside") | (F.col("x_id") < F.col("y_id")))
+            & (F.col("x_n") >= threshold * F.col("y_n") - 1e-6) & (F.col("y_n") >= threshold * F.col("x_n") - 1e-6)
+            & (behind >= threshold / (1 + threshold) * (F.col("x_n") + F.col("y_n")) - 1e-6))
+    return x.join(y.hint("merge"), (F.col("shingle") == F.col("_shingle")) & near).select(
+        F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
