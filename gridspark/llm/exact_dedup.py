@@ -91,11 +91,10 @@ def keep_first(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     digests = scratch.keep(docs.select("doc_id", F.unhex(digest("text")).alias("digest")), "digests")
     heavy, light = winners(digests, scratch, counters)
     stays = heavy.select("digest", "keep_id").unionByName(light.select("digest", "keep_id"))
-    tagged = docs.withColumn("_digest", F.unhex(digest("text")))
-    on = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_digest") == F.col("digest"))
+    tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("_id"), F.unhex(digest("text")).alias("_digest"))
+    on = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_digest") == F.col("digest"))
     joined = tagged.join(stays.hint("merge"), on, "left_semi")
-    repeated = digests.groupBy("doc_id", "digest").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d"))
-    marked = joined.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left")
-    once = marked.filter("_d is null").drop("_id", "_d", "_digest")
-    twice = marked.filter("_d is not null").dropDuplicates(["doc_id", "_digest"]).drop("_id", "_d", "_digest")
-    return once.unionByName(twice)
+    again = digests.groupBy("doc_id", "digest").count().filter("count > 1").select(F.col("doc_id").alias("again_id"), "digest")
+    marked = joined.join(again, F.col("_id").eqNullSafe(F.col("again_id")) & (F.col("_digest") == F.col("digest")), "left")
+    once = marked.filter("digest is null").select("row.*")
+    return once.unionByName(marked.filter("digest is not null").dropDuplicates(["_id", "_digest"]).select("row.*"))

@@ -220,6 +220,7 @@ def _prefix_pairs(scratch: Scratch, roster: DataFrame, found: DataFrame, texts:
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that stay, one of each class, with all their columns; rows repeated whole stay together."""
+    """The documents that stay, one of each class, with all their columns; rows of one doc_id stay together, rows without one stay."""
     stays = near_dedup(docs, k, threshold).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    with_id = docs.filter("doc_id is not null").join(stays.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
+    return with_id.unionByName(docs.filter("doc_id is null"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridspark.llm import byte_bpe, debruijn, exact_dedup, masked_lm, packing, prob_minhash, quality
+from gridspark.llm import byte_bpe, crf_pii, debruijn, exact_dedup, license_scan, masked_lm, packing, pigeonhole, prob_minhash, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,12 +49,33 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.near_dedup(documents(spark, sf_dir))
 
 
+@query("op4_embedding_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pigeonhole.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query("op5_substring_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = debruijn.remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op6_pii")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = crf_pii.find_pii(docs, crf_pii.train(docs))
+    joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.withColumn("base", F.filter("spans", lambda s: s["base"])).select(
+        "doc_id", *(count(k).alias(f"n_{k}") for k in crf_pii.KINDS),
+        F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op7_license_scan", license_scan.DOCUMENTS_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir).select(F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text"))
+
+
 @query("op8_quality")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
