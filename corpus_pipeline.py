@@ -5,22 +5,37 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridspark.llm import exact_dedup, packing
+from gridspark.llm import crf_pii, exact_dedup, packing, prob_minhash, quality
 from gridspark.llm.store import Scratch
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go. Null and empty texts are scored like any other."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the smallest doc_id goes on."""
     return exact_dedup.keep_first(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that near-duplicate links connect the one with the smallest doc_id goes on; a null doc_id always does."""
+    return prob_minhash.keep_one(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by the name of its kind; every document goes on."""
+    return crf_pii.redact(docs, crf_pii.train(docs))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, with their ids."""
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
-STAGES = [("exact dedup", exact_copies), ("packing", packed)]
+STAGES = [("quality", good), ("exact dedup", exact_copies), ("near dedup", near_copies), ("pii", private), ("packing", packed)]
 
 #: Trained models and tokens are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
