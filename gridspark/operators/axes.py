@@ -8,6 +8,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from gridspark.operators.merge import one_value
 from gridspark.operators.small import join_small
 
 
@@ -98,7 +99,7 @@ def densify(df: DataFrame, n_lat: int, n_lon: int, n_time: int) -> DataFrame:
     return (
         full.unionByName(df.select(*keys, *values), allowMissingColumns=True)
         .groupBy(*keys)
-        .agg(*(F.max(c).alias(c) for c in values))
+        .agg(*(one_value(df, c).alias(c) for c in values))
     )
 
 

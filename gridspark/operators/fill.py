@@ -87,11 +87,17 @@ def monthly_to_daily(monthly: DataFrame, start: date, end: date, cells: DataFram
                      month: str = "month", time: str = "time") -> DataFrame:
     """Every day gets the frame of its month (C3); a month without a frame is missing.
 
+    A frame may be dated on any day of its month; of several in a month the first counts.
     The month expands into its own days in place, so no calendar is joined. With `cells`
     (the grid's key columns) the result is dense: absent months and cells are NULL rows.
     They are added while the data is still monthly, thirty times smaller.
     """
     values = [c for c in monthly.columns if c != month]
+    own = F.trunc(F.col(month), "MM")
+    inside = monthly.filter(own.between(F.trunc(F.lit(start), "MM"), F.lit(end)))
+    # a row per calendar month
+    firsts = inside.groupBy(own.alias("_month")).agg(F.min(month).alias(month)).select(month)
+    monthly = join_small(inside, firsts, month, "left_semi", rows=calendar_length(start, end)).withColumn(month, own)
     if cells is not None:
         keys = cells.columns
         values = [c for c in values if c not in keys]

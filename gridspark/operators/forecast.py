@@ -49,10 +49,10 @@ def sample_mse(batches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def running_mse(batches: DataFrame, batch: str = "batch", block: int = 4096, n_batches: int | None = None) -> DataFrame:
-    """Both running values after each batch (D13 c). A known number of batches saves a second pass."""
+    """Both running values after each batch (D13 c). A known number of batches lets the block totals be broadcast."""
     done = running(batches, [], [batch], F.floor(F.col(batch) / F.lit(block)), {
         "_se": ("sum", F.col("mse") * F.col("n_samples")), "_samples": ("sum", F.col("n_samples")),
-        "_sum": ("sum", F.col("mse")), "_batches": ("sum", F.lit(1).cast("long"))}, rows=n_batches)
+        "_sum": ("sum", F.col("mse")), "_batches": ("sum", F.lit(1).cast("long"))}, blocks=None if n_batches is None else n_batches // block + 1)
     return done.select(batch, (F.col("_se") / F.col("_samples")).alias("running_by_sample"),
                        (F.col("_sum") / F.col("_batches")).alias("running_by_batch"))
 
@@ -95,20 +95,24 @@ class LinearModel:
 
 
 def fit_linear(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> LinearModel:
-    """Least squares for all targets together (E8), in one pass over the rows.
+    """Least squares for all targets together (E8), in two passes over the rows.
 
-    Every task reduces its batches to one matrix of sums of products, Spark adds the
-    matrices, and the driver solves a system with a row per feature, whatever the row
-    count. Rows with a missing value are left out. Constant features get no weight.
+    The first finds the means, so that sums of products of large values lose no digits. In
+    the second every task reduces its batches to one matrix of centred sums of products,
+    Spark adds the matrices, and the driver solves a system with a row per feature, whatever
+    the row count. Rows with a missing value are left out. Constant features get no weight.
     """
     names = [*features, *targets]
     size = len(names) + 1
+    finite = lambda c: F.when(F.abs(c) < float("inf"), c)
+    middle = df.agg(*(F.avg(finite(F.col(c).cast("double"))).alias(f"m{k}") for k, c in enumerate(names))).first()
+    centre = np.array([x or 0.0 for x in middle])
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((size, size))
         for batch in batches:
             x = batch.to_numpy(dtype=float)
-            x = x[np.isfinite(x).all(axis=1)]
+            x = x[np.isfinite(x).all(axis=1)] - centre
             x = np.column_stack([np.ones(len(x)), x])
             total += x.T @ x
         row, col = np.indices((size, size))
@@ -124,13 +128,13 @@ def fit_linear(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -
     cov = m[1:, 1:] / m[0, 0] - np.outer(mean, mean)
     p = len(features)
     std = np.sqrt(np.maximum(np.diag(cov)[:p], 0))
-    used = std > 1e-12 * np.maximum(1.0, np.abs(mean[:p]))
+    used = std > 1e-12 * np.maximum(1.0, np.abs(mean[:p] + centre[:p]))
     coef = np.zeros((len(targets), p))
     if used.any():
         unit = std[used]
         beta = np.linalg.lstsq(cov[:p, :p][np.ix_(used, used)] / np.outer(unit, unit), cov[:p, p:][used] / unit[:, None], rcond=None)[0]
         coef[:, used] = (beta / unit[:, None]).T
-    return LinearModel(tuple(features), tuple(targets), coef, mean[p:] - coef @ mean[:p])
+    return LinearModel(tuple(features), tuple(targets), coef, (mean + centre)[p:] - coef @ (mean + centre)[:p])
 
 
 def fit_lag_model(df: DataFrame, channels: Sequence[str], n_in: int = 6) -> LinearModel:
@@ -147,9 +151,15 @@ def persistence(channels: Sequence[str], n_in: int = 6) -> LinearModel:
     return LinearModel(tuple(features), tuple(channels), coef, np.zeros(len(channels)))
 
 
-def last_lags(df: DataFrame, channels: Sequence[str], n_in: int, end: int, cell: Sequence[str] = ("i", "j")) -> DataFrame:
-    """Per cell the `n_in` steps before step `end` as lag columns: where a rollout starts."""
-    recent = df.filter((F.col("t") < end) & (F.col("t") >= end - n_in))
+def last_lags(df: DataFrame, channels: Sequence[str], n_in: int, end: int, cell: Sequence[str] = ("i", "j"),
+              cells: DataFrame | None = None) -> DataFrame:
+    """Per cell the `n_in` steps before step `end` as lag columns: where a rollout starts.
+
+    `cells` is the grid's table of keys: its cells appear even where no recent step has a row.
+    """
+    recent = df.filter((F.col("t") < end) & (F.col("t") >= end - n_in)).select(*cell, "t", *channels)
+    if cells is not None:
+        recent = recent.unionByName(cells.select(*cell), allowMissingColumns=True)
     return recent.groupBy(*cell).agg(*(
         F.max(F.when(F.col("t") == end - k, F.col(c))).alias(f"{c}_lag{k}") for c in channels for k in range(1, n_in + 1)))
 

@@ -9,7 +9,7 @@ from gridspark.operators.small import join_small
 
 
 def early_stopping(df: DataFrame, run: str = "run", epoch: str = "epoch", metric: str = "metric", patience: int = 20,
-                   block: int = 1024, max_epochs: int | None = None) -> DataFrame:
+                   block: int = 1024) -> DataFrame:
     """Per epoch whether it is the best so far, epochs since the best, and whether patience is used up.
 
     Best means strictly below everything before; a missing or NaN metric is never best. The
@@ -18,7 +18,7 @@ def early_stopping(df: DataFrame, run: str = "run", epoch: str = "epoch", metric
     """
     m, e = F.col(metric), F.col(epoch)
     pair = F.when(m < F.lit(float("inf")), F.struct(m.alias("metric"), e.alias("epoch")))
-    seen = running(df, [run], [epoch], F.floor(e / F.lit(block)), {"_best": ("min", pair), "_first": ("min", e)}, rows=max_epochs)
+    seen = running(df, [run], [epoch], F.floor(e / F.lit(block)), {"_best": ("min", pair), "_first": ("min", e)})
     return seen.select(
         *df.columns, F.coalesce(F.col("_best.epoch") == e, F.lit(False)).alias("is_best"),
         (e - F.coalesce(F.col("_best.epoch"), F.col("_first") - 1)).alias("epochs_since_best"),

@@ -7,13 +7,13 @@ first; inside a block the running value starts from the total of the blocks befo
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridspark.operators.small import join_small
 
-PLAIN_WINDOW_ROWS = 100_000
-
 _TOTAL = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -26,35 +26,33 @@ def _combine(op: str, before: Column, here: Column) -> Column:
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column,
-            totals: Mapping[str, tuple[str, Column]], inclusive: bool = True, rows: int | None = None,
-            blocks: int | None = None) -> DataFrame:
+            totals: Mapping[str, tuple[str, Column]], inclusive: bool = True, blocks: int | None = None) -> DataFrame:
     """Add running `sum`, `min` or `max` columns per key, in the given order.
 
-    `block` must not decrease along the order. `inclusive=False` leaves out the row itself.
-    `rows` bounds the rows of a key and `blocks` the blocks of all keys, where known: few
-    rows take one plain window, few blocks are broadcast. Otherwise Spark picks the join of
-    rows and block totals from the sizes it finds at run time.
+    `block` must not decrease along the order; a NULL block comes first, and a NULL key is a key
+    like any other. `inclusive=False` leaves out the row itself. `blocks` bounds the blocks of all
+    keys, where known: then their totals are broadcast. Otherwise Spark picks the join of rows and
+    block totals from the sizes it finds at run time.
     """
     end = W.currentRow if inclusive else -1
-    if rows is not None and rows <= PLAIN_WINDOW_ROWS:
-        here = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, end)
-        return df.withColumns({name: _TOTAL[op](c).over(here) for name, (op, c) in totals.items()})
     cut = df.withColumn("_block", block)
     per_block = cut.groupBy(*keys, "_block").agg(*(_TOTAL[op](c).alias(name) for name, (op, c) in totals.items()))
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     before = per_block.select(*keys, "_block", *(_TOTAL[op](name).over(earlier).alias(f"_before_{name}") for name, (op, _) in totals.items()))
-    on = [*keys, "_block"]
-    joined = cut.join(before, on) if blocks is None else join_small(cut, before, on, rows=blocks)
+    names = [*keys, "_block"]
+    before = before.withColumnsRenamed({c: f"_at_{c}" for c in names})
+    on = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in names))
+    joined = join_small(cut, before, on, rows=blocks)
     here = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, end)
     return joined.withColumns({
         name: _combine(op, F.col(f"_before_{name}"), _TOTAL[op](c).over(here)) for name, (op, c) in totals.items()
-    }).drop("_block", *(f"_before_{name}" for name in totals))
+    }).drop("_block", *(f"_at_{c}" for c in names), *(f"_before_{name}" for name in totals))
 
 
 def global_rank(df: DataFrame, order: str, lo: int, hi: int, ties: Sequence[str] = (), out: str = "rank",
-                n_blocks: int = 1024, rows: int | None = None) -> DataFrame:
+                n_blocks: int = 1024) -> DataFrame:
     """0-based position of every row in the order of an integer column known to lie in [lo, hi]."""
     width = max(1, -(-(hi - lo + 1) // n_blocks))
     block = F.floor((F.col(order) - F.lit(lo)) / F.lit(width)).cast("int")
-    ranked = running(df, [], [order, *ties], block, {out: ("sum", F.lit(1).cast("long"))}, rows=rows, blocks=n_blocks)
+    ranked = running(df, [], [order, *ties], block, {out: ("sum", F.lit(1).cast("long"))}, blocks=n_blocks)
     return ranked.withColumn(out, (F.col(out) - 1).cast("int"))

@@ -73,8 +73,7 @@ def lag_features(df: DataFrame, values: Sequence[str], n_in: int = 6, cell: Sequ
     bounded pieces even where one cell holds a large part of the data.
     """
     number = F.floor(F.col("t") / F.lit(chunk)).cast("int")
-    near_end = F.pmod(F.col("t"), F.lit(chunk)) >= chunk - n_in
-    pieces = df.withColumn("_chunk", F.explode(F.when(near_end, F.array(number, number + 1)).otherwise(F.array(number))))
+    pieces = df.withColumn("_chunk", F.explode(F.sequence(number, F.floor((F.col("t") + n_in) / F.lit(chunk)).cast("int"))))
     w = W.partitionBy(*cell, "_chunk").orderBy("t")
     earlier = lambda v, k: F.max(v).over(w.rangeBetween(-k, -k))
     filled = lambda c: c if fill is None else F.coalesce(c, F.lit(float(fill)))
@@ -101,7 +100,7 @@ def split_sequences(starts: DataFrame, n: int, ratios: tuple[float, float, float
     are ranked block by block, so no task orders them all.
     """
     ordered = starts.withColumn("_key", seeded_key("seq_start", seed) if key is None else key)
-    ranked = global_rank(ordered, "_key", 0, key_range - 1, ties=["seq_start"], rows=n)
+    ranked = global_rank(ordered, "_key", 0, key_range - 1, ties=["seq_start"])
     return cut_order(ranked.select(F.col("rank").alias("pos"), "seq_start"), n, ratios)
 
 

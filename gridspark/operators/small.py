@@ -7,19 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 MAX_BROADCAST_ROWS = 500_000
 
 
-def is_small(df: DataFrame, cap: int | None = None) -> bool:
-    """Whether `df` has at most `cap` rows. Reads no more than one row beyond the cap."""
-    cap = MAX_BROADCAST_ROWS if cap is None else cap
-    return df.select(F.lit(1).alias("one")).limit(cap + 1).count() <= cap
-
-
 def join_small(df: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str = "inner",
                rows: int | None = None) -> DataFrame:
-    """Join `df` with `small`, broadcasting it if its size allows.
+    """Join `df` with `small`, broadcasting it if a bound known beforehand allows.
 
-    `rows` is a bound known beforehand (an axis or calendar length); without it the
-    size is measured. A larger side takes Spark's own shuffled join, whose skewed
-    partitions are split at run time, with the same result.
+    `rows` is that bound (an axis or calendar length, a number of features). Without it, or
+    beyond the limit, Spark picks the join from the sizes it finds at run time and splits
+    skewed partitions. The rows are the same either way, and no job runs while the plan is built.
     """
-    fits = rows <= MAX_BROADCAST_ROWS if rows is not None else is_small(small)
-    return df.join(F.broadcast(small) if fits else small, on, how)
+    return df.join(F.broadcast(small) if rows is not None and rows <= MAX_BROADCAST_ROWS else small, on, how)

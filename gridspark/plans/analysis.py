@@ -17,7 +17,8 @@ from gridspark.operators.regrid import coarsen, coarsen_axis, regrid_linear, reg
 class Product:
     """Variables on one source grid and how they reach the target grid.
 
-    `factor` above 1 takes block means first, as for sources much finer than the target.
+    `factor` above 1 takes block means first, as for sources much finer than the target;
+    `boundary` says whether incomplete blocks at the end of an axis are kept (`pad`) or dropped (`trim`).
     """
 
     cube: DataFrame
@@ -25,14 +26,15 @@ class Product:
     source: tuple[Axis, Axis]
     method: str = "linear"
     factor: int = 1
+    boundary: str = "trim"
 
 
 def on_target(product: Product, target: tuple[Axis, Axis]) -> DataFrame:
     """The product's variables on the target grid, `(t, i, j, <variables>)`."""
     cube, source, names = product.cube, product.source, list(product.variables)
     if product.factor > 1:
-        cube = coarsen(cube, product.factor, names, "trim", source[0].size, source[1].size)
-        source = tuple(coarsen_axis(a, product.factor, "trim") for a in source)
+        cube = coarsen(cube, product.factor, names, product.boundary, source[0].size, source[1].size)
+        source = tuple(coarsen_axis(a, product.factor, product.boundary) for a in source)
     regrid = {"linear": regrid_linear, "nearest": regrid_nearest}[product.method]
     return regrid(cube, names, source, target, coordinates=False)
 

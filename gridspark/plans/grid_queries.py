@@ -226,7 +226,7 @@ _WEIGHTS_SQL = """SELECT tgt, lo AS src, 1 - f AS w, CASE WHEN f = 0 THEN 1 ELSE
 
 
 @query("regrid_linear", f"""
-    WITH pos AS (SELECT k AS tgt, 2 * k // 5 AS lo, (2 * k % 5)::DOUBLE / 5 AS f FROM range(30) r(k)),
+    WITH pos AS (SELECT k AS tgt, 2 * k // 5 AS lo, (2 * k % 5)::DOUBLE / 5 AS f FROM range(58) r(k)),
          lat_w AS ({_WEIGHTS_SQL.format(last=11)}), lon_w AS ({_WEIGHTS_SQL.format(last=23)})
     SELECT c.t, a.tgt::INT AS i, b.tgt::INT AS j, round(a.tgt * 2.0 / 5, 6)::DOUBLE AS lat, round(b.tgt * 2.0 / 5, 6)::DOUBLE AS lon,
            CASE WHEN count(v_view) = max(a.need * b.need) THEN round(sum(a.w * b.w * v_view), 6) + 0.0 END AS v_view,
@@ -234,16 +234,16 @@ _WEIGHTS_SQL = """SELECT tgt, lo AS src, 1 - f AS w, CASE WHEN f = 0 THEN 1 ELSE
     FROM cube_wide c JOIN lat_w a ON c.i = a.src JOIN lon_w b ON c.j = b.src GROUP BY c.t, a.tgt, b.tgt""")
 def regrid_linear(spark, d):
     out = regrid.regrid_linear(v.cube_wide(spark, d), ["v_view", "v_click"], (index_axis(spark, v.N_LAT), index_axis(spark, v.N_LON)),
-                               (index_axis(spark, 30, 2, 5), index_axis(spark, 30, 2, 5)))
+                               (index_axis(spark, 30, 2, 5), index_axis(spark, 58, 2, 5)))
     return rounded(out, ["v_view", "v_click", "lat", "lon"])
 
 
 @query("regrid_nearest", """
     SELECT c.t, a.k::INT AS i, b.k::INT AS j, a.k / 2.0::DOUBLE AS lat, b.k / 2.0::DOUBLE AS lon, v_view, v_click FROM cube_wide c
-    JOIN (SELECT k FROM range(24) r(k) WHERE k <= 22) a ON c.i = a.k // 2 JOIN (SELECT k FROM range(24) r(k)) b ON c.j = b.k // 2""")
+    JOIN (SELECT k FROM range(24) r(k) WHERE k <= 22) a ON c.i = a.k // 2 JOIN (SELECT k FROM range(47) r(k)) b ON c.j = b.k // 2""")
 def regrid_nearest(spark, d):
     return regrid.regrid_nearest(v.cube_wide(spark, d), ["v_view", "v_click"], (index_axis(spark, v.N_LAT), index_axis(spark, v.N_LON)),
-                                 (index_axis(spark, 24, 2, 4), index_axis(spark, 24, 2, 4)))
+                                 (index_axis(spark, 24, 2, 4), index_axis(spark, 47, 2, 4)))
 
 
 KERNEL = {(di, dj): 1.0 + 0.1 * (3 * (di + 1) + dj + 1) for di in (-1, 0, 1) for dj in (-1, 0, 1)}
@@ -271,6 +271,26 @@ def merge_cubes(spark, d):
     return merge.merge_cubes([long.filter(F.col("var") == e).select("t", "i", "j", F.col("value").alias(f"v_{e}")) for e in v.EVENT_TYPES])
 
 
+@query("merge_conflicts", """
+    WITH x AS (SELECT t, i, j, v_view, v_click FROM cube_wide), y AS (SELECT t, i, j, v_view + CASE WHEN t % 7 = 2 THEN 1 ELSE 0 END AS v_view, v_click FROM cube_wide)
+    SELECT x.t, x.i, x.j, 'v_view' AS variable, x.v_view AS lowest, y.v_view AS highest FROM x JOIN y USING (t, i, j) WHERE x.v_view <> y.v_view""")
+def merge_conflicts(spark, d):
+    """Two cubes that disagree in one variable on some days."""
+    cube = v.cube_wide(spark, d).select("t", "i", "j", "v_view", "v_click")
+    other = cube.withColumn("v_view", F.col("v_view") + F.when(F.col("t") % 7 == 2, 1).otherwise(0))
+    return merge.merge_conflicts([cube, other])
+
+
+@query("monthly_midmonth", """
+    SELECT y.time, c.cell::INT AS cell, m.value FROM all_days y CROSS JOIN range(8) c(cell)
+    LEFT JOIN monthly m ON m.month = date_trunc('month', y.time)::DATE AND m.cell = c.cell""")
+def monthly_midmonth(spark, d):
+    """Frames dated on the 15th, and in each month a later one that does not count."""
+    mid = v.monthly(spark, d).withColumn("month", F.date_add("month", 14))
+    later = mid.withColumns({"month": F.date_add("month", 5), "value": F.col("value") + 1})
+    return fill.monthly_to_daily(mid.unionByName(later), v.CAL_START, v.CAL_END, _cells8(spark))
+
+
 @query("concat_time", "SELECT time, t, i, j, v_view, CASE WHEN t >= 15 THEN v_click END AS v_click FROM cube_wide")
 def concat_time(spark, d):
     whole = v.cube_wide(spark, d)
@@ -338,6 +358,23 @@ def merged_products(spark, d):
     return rounded(cube, ["chla", "par", "sst", "wind"])
 
 
+@query("quarter_degree_cube", """
+    WITH blocks AS (SELECT t, i // 5 AS bi, j // 5 AS bj, avg(v_view) AS v_view, avg(v_click) AS v_click FROM cube_wide GROUP BY ALL),
+         -- five cells a block, the last one shorter; block centres are means of their cells
+         lat AS (SELECT b, avg(k) AS c FROM (SELECT k, k // 5 AS b FROM range(12) r(k)) GROUP BY b), lon AS (SELECT b, avg(k) AS c FROM (SELECT k, k // 5 AS b FROM range(24) r(k)) GROUP BY b),
+         tgt AS (SELECT k, 1 + 2.0::DOUBLE * k + 1 AS x FROM range(12) r(k)),
+         ti AS (SELECT k, arg_min(b, (abs(c - x), -b)) AS b FROM tgt, lat WHERE x <= 10.5 GROUP BY k), tj AS (SELECT k, arg_min(b, (abs(c - x), -b)) AS b FROM tgt, lon WHERE x <= 22 GROUP BY k)
+    SELECT t, ti.k::INT AS i, tj.k::INT AS j, 2 + 2.0::DOUBLE * ti.k AS lat, 2 + 2.0::DOUBLE * tj.k AS lon, round(v_view, 6) AS v_view, round(v_click, 6) AS v_click
+    FROM blocks JOIN ti ON bi = ti.b JOIN tj ON bj = tj.b""")
+def quarter_degree_cube(spark, d):
+    """Padded block means on a cell-centred target axis, by the nearest block."""
+    day = v.cube_wide(spark, d).select("t", "i", "j", "v_view", "v_click")
+    own = (index_axis(spark, v.N_LAT), index_axis(spark, v.N_LON))
+    target = (axes.regular_axis(spark, 1, 11, 2, centred=True), axes.regular_axis(spark, 1, 23, 2, centred=True))
+    cube = analysis.analysis_cube([analysis.Product(day, ("v_view", "v_click"), own, "nearest", 5, "pad")], target)
+    return rounded(cube, ["v_view", "v_click"])
+
+
 @query("calendar_axis", """
     SELECT time, count(o.o_orderkey) AS n_orders FROM all_days LEFT JOIN orders o ON o.o_orderdate::DATE = time GROUP BY time""")
 def calendar_axis(spark, d):

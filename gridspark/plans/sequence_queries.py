@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridspark.functions.missing import fill_missing
-from gridspark.operators import forecast, history, quality, regrid, scaling, sequences
+from gridspark.operators import axes, forecast, history, quality, regrid, scaling, sequences
 from gridspark.operators.small import join_small
 from gridspark.plans import views as v
 from gridspark.plans.grid_queries import rounded
 from gridspark.plans.registry import query
+from gridspark.session import shared_dir
 from gridspark.sources import predictions, splits as split_files
 
 VALUES = list(v.CHANNELS)
@@ -238,10 +241,11 @@ def user_metrics(spark, d):
     return rounded(forecast.score(scored(spark, d), {"mae": F.avg(gap), "worst": F.max(gap)}, by=["channel"]), ["mse", "mae", "worst"])
 
 
-@query("rollout_persistence", "SELECT i, j, h::INT AS step, " + ", ".join(f"round(coalesce(max({c}) FILTER (WHERE t = 29), 0), 6) + 0.0 AS {c}" for c in VALUES) +
-       " FROM cube_wide, range(1, 11) r(h) WHERE t >= 24 GROUP BY i, j, h")
+@query("rollout_persistence", "SELECT a.i::INT AS i, b.j::INT AS j, h::INT AS step, " + ", ".join(f"round(coalesce(max({c}), 0), 6) + 0.0 AS {c}" for c in VALUES) +
+       " FROM range(12) a(i) CROSS JOIN range(24) b(j) CROSS JOIN range(1, 11) r(h) LEFT JOIN cube_wide c ON c.i = a.i AND c.j = b.j AND c.t = 29 GROUP BY a.i, b.j, h")
 def rollout_persistence(spark, d):
-    state = forecast.last_lags(v.cube_wide(spark, d), VALUES, v.N_IN, v.N_TIME)
+    """Every cell of the grid, also those without a recent row, whose input is 0."""
+    state = forecast.last_lags(v.cube_wide(spark, d), VALUES, v.N_IN, v.N_TIME, cells=axes.grid(spark, v.N_LAT, v.N_LON))
     return rounded(forecast.rollout(state, forecast.persistence(VALUES, v.N_IN), v.N_IN, 10), VALUES)
 
 
@@ -296,6 +300,60 @@ def lag_model_neighbours(spark, d):
     return rounded(forecast.fit_linear(lagged, names, ["v_view"]).table(spark), ["value"])
 
 
+@query("lag_model_normal_equations", "SELECT c.v AS target, f.v || '_lag' || k AS feature, 0.0::DOUBLE AS correlation FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in VALUES) +
+       "]) AS v) c, (SELECT unnest([" + ", ".join(f"'{c}'" for c in VALUES) + "]) AS v) f, range(1, 7) r(k) WHERE EXISTS (SELECT 1 FROM cube_wide WHERE t >= 6)")
+def lag_model_normal_equations(spark, d):
+    """What is left of each channel after the fit correlates with no feature: that makes it the least-squares fit."""
+    cube = fill_missing(v.cube_wide(spark, d).drop("time"), VALUES)
+    lagged = sequences.lag_features(cube, VALUES, v.N_IN, fill=0.0).filter(F.col("t") >= v.N_IN)
+    model = forecast.fit_lag_model(lagged, VALUES, v.N_IN)
+    left = model.predict(lagged).withColumns({f"{c}_left": F.col(c) - F.col(f"{c}_pred") for c in VALUES})
+    names = forecast.lag_names(VALUES, v.N_IN)
+    every = left.agg(*(F.coalesce(F.corr(f"{c}_left", f), F.lit(0.0)).alias(f"{c}|{f}") for c in VALUES for f in names))
+    rows = F.array(*(F.struct(F.lit(c).alias("target"), F.lit(f).alias("feature"), F.col(f"`{c}|{f}`").alias("correlation")) for c in VALUES for f in names))
+    return rounded(every.select(F.explode(rows).alias("r")).select("r.*"), ["correlation"])
+
+
+@query("rollout_lag_model", """
+    WITH c AS (SELECT t, i, j, coalesce(v_view, 0) AS v FROM cube_wide), p AS (SELECT c.v AS y, l.v AS x FROM c JOIN c l ON l.t = c.t - 1 AND l.i = c.i AND l.j = c.j),
+         m AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM p),
+         s AS (SELECT a.i::INT AS i, b.j::INT AS j, coalesce(max(c.v), 0) AS v FROM range(12) a(i) CROSS JOIN range(24) b(j) LEFT JOIN c ON c.i = a.i AND c.j = b.j AND c.t = 29 GROUP BY a.i, b.j)
+    SELECT i, j, h::INT AS step, round(pow(a, h) * v + b * (1 - pow(a, h)) / (1 - a), 6) + 0.0 AS v_view FROM s, m, range(1, 11) r(h)""")
+def rollout_lag_model(spark, d):
+    """Ten steps of a fitted model with one lag, for every cell of the grid; missing input is 0."""
+    cube = fill_missing(v.cube_wide(spark, d).select("t", "i", "j", "v_view"), ["v_view"])
+    model = forecast.fit_lag_model(sequences.lag_features(cube, ["v_view"], 1).filter("v_view_lag1 IS NOT NULL"), ["v_view"], 1)
+    state = forecast.last_lags(cube, ["v_view"], 1, v.N_TIME, cells=axes.grid(spark, v.N_LAT, v.N_LON))
+    return rounded(forecast.rollout(state, model, 1, 10), ["v_view"])
+
+
+@query("split_files_roundtrip", "SELECT split, pos, seq_start FROM splits")
+def split_files_roundtrip(spark, d):
+    """The splits written and read back."""
+    path = f"{shared_dir(spark)}/gridspark-{uuid.uuid4().hex}"
+    split_files.write_splits(splits(spark, d), path)
+    return split_files.read_written_splits(spark, path)
+
+
+@query("resolve_starts", "SELECT seq_start FROM seqs WHERE seq_start IN (SELECT seq_start FROM splits WHERE split = 'test') UNION ALL SELECT seq_start + 100 FROM seqs WHERE seq_start IN (SELECT DISTINCT t FROM cube_wide)")
+def resolve_starts(spark, d):
+    """A given table comes before everything else; without any source all starts count (here marked by 100)."""
+    given = splits(spark, d).filter("split = 'test'").select("seq_start")
+    first = split_files.resolve_starts(spark, v.N_TIME, v.N_IN, v.N_OUT, starts=given)
+    every = split_files.resolve_starts(spark, v.N_TIME, v.N_IN, v.N_OUT).select((F.col("seq_start") + 100).cast("int").alias("seq_start"))
+    return first.unionByName(every)
+
+
+@query("predictions_roundtrip", "SELECT seq_start AS sample, var AS channel, i, j, round(value::FLOAT::DOUBLE, 6) + 0.0 AS value FROM cube_long JOIN seqs ON t = seq_start + 6")
+def predictions_roundtrip(spark, d):
+    """The last step of every sample, written in single precision and read back."""
+    path = f"{shared_dir(spark)}/gridspark-{uuid.uuid4().hex}"
+    rows = sequences.make_sequences(v.cube_long(spark, d).drop("time"), v.N_IN, v.N_OUT, v.N_TIME)
+    predictions.write_predictions(rows.select(F.col("seq_start").alias("sample"), F.col("var").alias("channel"), "i", "j", "step", "value"), path)
+    stored = spark.read.schema("sample int, channel string, i int, j int, value float").parquet(path)
+    return rounded(stored.withColumn("value", F.col("value").cast("double")), ["value"])
+
+
 @query("last_predictions", "SELECT seq_start AS sample, var AS channel, i, j, value FROM cube_long JOIN seqs ON t = seq_start + 6")
 def last_predictions(spark, d):
     rows = sequences.make_sequences(v.cube_long(spark, d).drop("time"), v.N_IN, v.N_OUT, v.N_TIME)

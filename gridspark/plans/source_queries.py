@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from gridspark.functions import dates, names
+from gridspark.functions import dates, missing, names
 from gridspark.operators.history import early_stopping
 from gridspark.plans import views as v
 from gridspark.plans.grid_queries import rounded
 from gridspark.plans.registry import query
 from gridspark.session import shared_dir
-from gridspark.sources import cube as cube_files, fixed_width, history as histories, manifest
-from gridspark.streaming.ingest import ingest_incremental
+from gridspark.sources import cube as cube_files, daily, fixed_width, history as histories, manifest
+from gridspark.streaming.ingest import ingest_incremental, read_days
 
 VALUES = list(v.CHANNELS)
 
@@ -187,16 +188,54 @@ def read_cubes(spark, d):
 
 @query("ingest_days", "SELECT time, i, j, v_view + CASE WHEN t % 10 = 3 THEN 1000 ELSE 0 END AS v_view FROM cube_wide")
 def ingest_days(spark, d):
-    """All days ingested as a stream, then corrected files for some of them."""
+    """All days ingested as a stream, each in several files and micro-batches, then a second delivery of some of them."""
     base = _fresh(spark)
-    schema = "time date, i int, j int, v_view double"
+    schema = "time date, i int, j int, v_view double, delivery int"
     cube = v.cube_wide(spark, d)
-    cube.select("time", "i", "j", "v_view").repartition("time").write.parquet(f"{base}/src")
-    ingest_incremental(spark, f"{base}/src", f"{base}/dst", f"{base}/state", schema)
-    late = cube.filter("t % 10 = 3").select("time", "i", "j", (F.col("v_view") + 1000).alias("v_view"))
-    late.repartition("time").write.mode("append").parquet(f"{base}/src")
-    ingest_incremental(spark, f"{base}/src", f"{base}/dst", f"{base}/state", schema)
-    return spark.read.schema(schema).parquet(f"{base}/dst").select("time", "i", "j", "v_view")
+    cells = cube.select("time", "i", "j", "v_view", F.lit(1).alias("delivery"))
+    cells.repartition(6, "i", "j").write.partitionBy("delivery").parquet(f"{base}/src")
+    ingest_incremental(spark, f"{base}/src", f"{base}/dst", f"{base}/state", schema, max_files=3)
+    late = cube.filter("t % 10 = 3").select("time", "i", "j", (F.col("v_view") + 1000).alias("v_view"), F.lit(2).alias("delivery"))
+    late.repartition(4, "i", "j").write.mode("append").partitionBy("delivery").parquet(f"{base}/src")
+    ingest_incremental(spark, f"{base}/src", f"{base}/dst", f"{base}/state", schema, max_files=3)
+    return read_days(spark, f"{base}/dst", schema).select("time", "i", "j", "v_view")
+
+
+@query("daily_product", """
+    WITH stored_days AS (SELECT DISTINCT t FROM cube_wide WHERE t % 7 <> 6),
+         taken AS (SELECT y.t, coalesce((SELECT max(t) FROM stored_days WHERE t <= y.t), (SELECT min(t) FROM stored_days)) AS s FROM range(30) y(t))
+    SELECT DATE '2024-01-01' + d.t::INT AS time, d.t::INT AS t, a.i::INT AS i, b.j::INT AS j,
+           CASE WHEN s % 11 <> 5 AND (a.i + b.j + s) % 9 <> 0 THEN round(floor(c.v_view * 100 + 0.5::DOUBLE) * 0.01::DOUBLE + 5, 6) + 0.0 END AS v_view,
+           DATE '2024-01-01' + s::INT AS source_day, s = d.t AS is_original
+    FROM taken d CROSS JOIN range(12) a(i) CROSS JOIN range(24) b(j) LEFT JOIN cube_wide c ON c.t = s AND c.i = a.i AND c.j = b.j""")
+def daily_product(spark, d):
+    """A product in daily files: packed, flagged, some transposed, some of another shape, some days absent."""
+    base = _fresh(spark)
+    cube = v.cube_wide(spark, d).filter("t % 7 <> 6")
+    turned, bad = F.col("t") % 5 == 1, F.col("t") % 11 == 5
+    stored = cube.select(
+        F.concat(F.lit("GC1SG1_"), F.date_format("time", "yyyyMMdd"), F.lit("_L2MG_CHLA")).alias("name"),
+        F.when(turned, F.col("j")).otherwise(F.col("i")).alias("d0"), F.when(turned, F.col("i")).otherwise(F.col("j")).alias("d1"),
+        F.when(bad, 7).when(turned, v.N_LON).otherwise(v.N_LAT).alias("n0"), F.when(bad, 9).when(turned, v.N_LAT).otherwise(v.N_LON).alias("n1"),
+        F.coalesce(F.floor(F.col("v_view") * 100 + 0.5).cast("int"), F.lit(-9999)).alias("raw"), F.when((F.col("i") + F.col("j") + F.col("t")) % 9 == 0, 1).otherwise(0).alias("flag"))
+    stored.write.partitionBy("name").parquet(base)
+    rows = daily.read_daily(spark, base, "d0 int, d1 int, n0 int, n1 int, raw int, flag int", lambda p: dates.file_date(daily.folder_name(p)))
+    values = rows.withColumn("v_view", missing.decode_packed(missing.null_if("raw", [-9999]), 0.01, 5.0))
+    good = missing.mask_quality(values, "v_view", "flag").select("time", "d0", "d1", "n0", "n1", "v_view")
+    return rounded(daily.daily_cube(good, ["v_view"], v.EPOCH, v.EPOCH + timedelta(days=v.N_TIME - 1), v.N_LAT, v.N_LON, ("d0", "d1"), ("n0", "n1")), ["v_view"])
+
+
+@query("attributes_roundtrip", "SELECT t, i, j, CASE WHEN v_view IS NOT NULL THEN round(round(v_view * 100) / 100, 6) + 0.0 END AS v_view FROM cube_wide")
+def attributes_roundtrip(spark, d):
+    """A packed variable whose fill value, scale and offset are read from the attributes beside it."""
+    base = _fresh(spark)
+    cube = v.cube_wide(spark, d)
+    packed = F.coalesce(F.floor(F.col("v_view") * 100 + 0.5).cast("int") - 500, F.lit(-32767))
+    cube.select("t", "i", "j", packed.alias("v_view")).write.parquet(f"{base}/data")
+    cube_files.write_attributes(spark, {"v_view:_FillValue": "-32767", "v_view:scale_factor": "0.01", "v_view:add_offset": "5"}, f"{base}/attributes")
+    attributes = cube_files.read_attributes(spark, f"{base}/attributes")
+    stored = spark.read.schema("t int, i int, j int, v_view int").parquet(f"{base}/data")
+    return rounded(cube_files.decode_by_attributes(stored, ["v_view"], attributes), ["v_view"])
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 
 from pyspark.sql import SparkSession
 
@@ -32,12 +32,12 @@ def build_session(app: str = "gridspark", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir`; a temporary one only in local mode."""
+    """Folder every executor can reach: `spark.checkpoint.dir`, else the warehouse. Settings are left as they are."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    local_file = warehouse.startswith("file:") or "://" not in warehouse
+    if local_file and not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="gridspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return warehouse

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gridspark.functions.missing import nan_to_null
+from gridspark.operators.merge import merge_cubes
 from gridspark.operators.select import to_float32
 
 KEY_FIELDS = {
@@ -32,14 +33,14 @@ def read_cubes(spark: SparkSession, paths: Sequence[str] | str, keys: Sequence[s
 
     Columns may differ between files. With `schema` (see `cube_schema`) columns a file lacks
     read as NULL and no footer is opened beforehand; without it the schemas are merged. With
-    `keys`, rows of the same cell from different files become one row.
+    `keys`, rows of the same cell from different files become one row; files that give a
+    variable different values in a cell are an error.
     """
     reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", "true")
     df = reader.parquet(*([paths] if isinstance(paths, str) else sorted(paths)))
     if keys is None:
         return df
-    values = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(*(F.max(v).alias(v) for v in values))
+    return merge_cubes([df], keys)
 
 
 def write_cube(df: DataFrame, path: str, partition: Sequence[str] = ("month",), values: Sequence[str] | None = None,
@@ -61,3 +62,16 @@ def write_cube(df: DataFrame, path: str, partition: Sequence[str] = ("month",),
 def write_attributes(spark: SparkSession, attributes: dict[str, str], path: str) -> None:
     """Free-form cube attributes beside the data."""
     spark.createDataFrame([(dict(attributes),)], "attributes map<string,string>").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_attributes(spark: SparkSession, path: str) -> dict[str, str]:
+    """The attributes written beside a cube: a handful of strings."""
+    row = spark.read.schema("attributes map<string,string>").json(path).first()
+    return dict(row["attributes"]) if row else {}
+
+
+def decode_by_attributes(df: DataFrame, variables: Sequence[str], attributes: dict[str, str]) -> DataFrame:
+    """Packed variables to values by `<variable>:_FillValue`, `:scale_factor` and `:add_offset` of the attributes."""
+    number = lambda v, name, other: float(attributes.get(f"{v}:{name}", other))
+    fill = lambda v: F.lit(number(v, "_FillValue", "nan"))
+    return df.withColumns({v: F.when(F.col(v) != fill(v), F.col(v) * number(v, "scale_factor", 1) + number(v, "add_offset", 0)) for v in variables})

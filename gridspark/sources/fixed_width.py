@@ -82,9 +82,9 @@ def diagnose_text(files: DataFrame, text: str = "value", keys: Sequence[str] = (
     """
     # a final line end closes the last line and opens none
     body = F.regexp_replace(F.col(text), r"\r?\n\z", "")
-    lines = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.split(body, "\r?\n"), lambda s: F.regexp_replace(s, r"\s+$", "")))
-    df = files.select(*keys, lines.alias("_lines"))
+    cut = files.select(*keys, F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(body, "\r?\n")).alias("_all"))
+    # data starts within ten lines, and five lines from there are looked at
+    df = cut.select(*keys, F.size("_all").alias("n_lines"), F.transform(F.slice("_all", 1, 15), lambda s: F.regexp_replace(s, r"\s+$", "")).alias("_lines"))
     looks_like_data = lambda s: (F.length(s) > 200) & s.rlike(r"\d")
     hits = F.transform(F.slice("_lines", 1, 10), looks_like_data)
     found = F.array_position(hits, F.lit(True))
@@ -96,7 +96,7 @@ def diagnose_text(files: DataFrame, text: str = "value", keys: Sequence[str] = (
     values = F.transform(
         F.filter(F.sequence(F.lit(0), F.lit(9)), lambda k: F.length(piece(k)) == 3), lambda k: piece(k).try_cast("int"))
     return df.select(
-        *keys, F.size("_lines").alias("n_lines"), "data_start", F.transform(data, lambda s: F.length(s)).alias("line_lengths"),
+        *keys, "n_lines", "data_start", F.transform(data, lambda s: F.length(s)).alias("line_lengths"),
         F.transform(data, lambda s: F.length(F.regexp_replace(s, r"\D", ""))).alias("digit_counts"),
         F.transform(data, lambda s: s.startswith(" ")).alias("leading_blanks"),
         F.filter(values, lambda v: v.isNotNull()).alias("sample_values"),

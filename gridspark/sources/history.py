@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridspark.functions.dates import base_name
 from gridspark.operators.running import running
 
 HISTORY = (
@@ -65,7 +65,7 @@ def epochs_of(events: DataFrame, run: str = "run") -> DataFrame:
     lines in the same millisecond the epoch line comes first.
     """
     lines = events.filter(F.col("kind").isin("epoch", "best")).withColumn("_rank", F.when(F.col("kind") == "epoch", 0).otherwise(1))
-    seen = running(lines, [run], ["ts", "_rank"], F.unix_date(F.to_date("ts")), {
+    seen = running(lines, [run], ["ts", "_rank"], F.floor(F.unix_timestamp("ts") / 3600), {
         "_owner": ("max", F.when(F.col("kind") == "epoch", F.struct("ts", "epoch")))})
     return seen.groupBy(run, F.col("_owner.ts").alias("ts"), F.col("_owner.epoch").alias("epoch")).agg(
         *(F.max(F.when(F.col("kind") == "epoch", F.col(c))).alias(c) for c in ("level", "epochs", "train_loss", "val_loss")),
@@ -73,6 +73,8 @@ def epochs_of(events: DataFrame, run: str = "run") -> DataFrame:
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Logged epochs of all runs below a path; files without an epoch line give no rows."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(base_name("_metadata.file_path").alias("run"), "value")
+    """Logged epochs of all runs below a path (A13). A run is named by its file's path below `path`; files without an epoch line give no rows."""
+    below = re.sub(r"^[a-z0-9]+:/+", "/", path.rstrip("/")) + "/"
+    run = F.substring_index("_metadata.file_path", below, -1).alias("run")
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(run, "value")
     return epochs_of(parse_log_lines(lines))

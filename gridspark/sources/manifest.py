@@ -37,8 +37,10 @@ def pending(wanted: DataFrame, existing: DataFrame, date: str = "date") -> DataF
 def validate_files(files: DataFrame, variable: str, path: str = "path") -> DataFrame:
     """Whether each Parquet file opens and holds the variable (D20): `(path, readable, has_variable)`.
 
-    Tasks read footers only.
+    Tasks read footers only. A file that is no Parquet is unreadable; any other failure, a missing
+    file or a store without access, is raised.
     """
+    import pyarrow as pa
     import pyarrow.fs as pafs
     import pyarrow.parquet as pq
 
@@ -47,10 +49,11 @@ def validate_files(files: DataFrame, variable: str, path: str = "path") -> DataF
             rows = []
             for p in batch[path]:
                 try:
-                    fs, inner = pafs.FileSystem.from_uri(p if "://" in p else p.replace("file:", "file://", 1) if p.startswith("file:") else p)
+                    uri = p.replace("s3a://", "s3://", 1) if "://" in p else p.replace("file:", "file://", 1)
+                    fs, inner = pafs.FileSystem.from_uri(uri)
                     names = pq.read_schema(inner, filesystem=fs).names
                     rows.append((p, True, variable in names))
-                except Exception:
+                except pa.ArrowInvalid:
                     rows.append((p, False, False))
             yield pd.DataFrame(rows, columns=["path", "readable", "has_variable"])
 

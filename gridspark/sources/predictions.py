@@ -8,15 +8,12 @@ FIELDS = ("sample", "channel", "i", "j", "value")
 
 
 def last_predictions(df: DataFrame) -> DataFrame:
-    """Rows `(sample, channel, i, j, value)`: the last step where there are steps.
-
-    Predictions of one run all have the same number of steps, so the last is one number.
-    """
+    """Rows `(sample, channel, i, j, value)`: of each sample the last step, where there are steps."""
     missing = [c for c in FIELDS if c not in df.columns]
     if missing:
         raise ValueError(f"predictions need the columns {FIELDS}, missing: {missing}")
     if "step" in df.columns:
-        df = df.filter(F.col("step") == df.agg(F.max("step")).scalar())
+        df = df.join(df.groupBy("sample").agg(F.max("step").alias("step")), ["sample", "step"], "left_semi")
     return df.select(*FIELDS)
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gridspark.operators import axes, merge, regrid, reshape, select
@@ -167,3 +168,12 @@ def test_alignment_tolerance(spark):
 def test_renames_only_what_is_there(spark):
     df = spark.createDataFrame([(1, 2)], "latitude int, other int")
     assert select.canonicalise(df).columns == ["lat", "other"]
+
+
+def test_merge_refuses_conflicts(spark):
+    a = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 1, float("nan"))], "t int, i int, j int, v double")
+    b = spark.createDataFrame([(0, 0, 0, 5.0), (0, 0, 1, 2.0)], "t int, i int, j int, v double")
+    assert [tuple(r) for r in merge.merge_conflicts([a, b]).collect()] == [(0, 0, 0, "v", 1.0, 5.0)]
+    with pytest.raises(PySparkException):
+        merge.merge_cubes([a, b]).collect()
+    assert {(r["j"], r["v"]) for r in merge.merge_cubes([a, b.filter("j = 1")]).collect()} == {(0, 1.0), (1, 2.0)}

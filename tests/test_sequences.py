@@ -55,11 +55,25 @@ def test_existing_split_is_reproduced(spark):
     assert by["val"] == VAL_FILE and by["test"] == TEST_FILE and by["train"][:10] == TRAIN_FILE
 
 
-def test_split_is_the_same_block_by_block(spark, monkeypatch):
-    starts = sequences.sequence_starts(spark, 500)
-    whole = sorted(map(tuple, sequences.split_sequences(starts, 494, seed=3).collect()))
-    monkeypatch.setattr(running, "PLAIN_WINDOW_ROWS", 10)
-    assert sorted(map(tuple, sequences.split_sequences(starts, 494, seed=3).collect())) == whole
+def test_running_keeps_null_keys_and_blocks(spark):
+    df = spark.createDataFrame([(None, 1, 1), (None, 2, 1), (1, None, 1), (1, 5, 1), (1, 9, 1)], "g int, o int, x int")
+    for blocks in (None, 10):
+        got = running.running(df, ["g"], ["o"], F.floor(F.col("o") / 4), {"n": ("sum", F.col("x"))}, blocks=blocks)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted([(None, 1, 1, 1), (None, 2, 1, 2), (1, None, 1, 1), (1, 5, 1, 2), (1, 9, 1, 3)], key=repr)
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 6])
+def test_lags_do_not_depend_on_the_chunk(spark, chunk):
+    df = spark.range(24).select(F.col("id").cast("int").alias("t"), F.lit(0).alias("i"), F.lit(0).alias("j"), (F.col("id") * 1.5).alias("v"))
+    rows = lambda c: sorted(map(tuple, sequences.lag_features(df, ["v"], 6, chunk=c).collect()))
+    assert rows(chunk) == rows(512)
+
+
+def test_fit_keeps_digits_of_large_values(spark):
+    rng = np.random.default_rng(0)
+    x = 1e7 + rng.normal(size=500)
+    df = spark.createDataFrame([(float(a), float(2 * a + 3)) for a in x] + [(float("nan"), 1.0), (None, 2.0)], "x double, y double")
+    assert abs(forecast.fit_linear(df, ["x"], ["y"]).coefficients[0, 0] - 2) < 1e-3
 
 
 def test_split_partitions_all_starts(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridspark.functions import dates, names
 from gridspark.operators import history as stopping
 from gridspark.sources import cube, fixed_width, history, manifest, predictions, splits
-from gridspark.streaming.ingest import ingest_incremental
+from gridspark.streaming.ingest import ingest_incremental, read_days
 
 LAYOUT = fixed_width.TextGrid(n_lat=3, n_lon=7, per_line=3, lat0=0.0, dlat=1.0, lon0=0.0, dlon=1.0)
 
@@ -153,26 +153,26 @@ def test_pretty_printed_history(spark, tmp_path):
     assert got == {(1, "train_loss"): 0.75, (2, "train_loss"): 0.58, (1, "val_loss"): 0.64, (2, "val_loss"): 0.52, (2, "mae"): 0.1}
 
 
-LOG = """2025-08-09 20:58:34,021 - trainer - INFO - Starting training for 100 epochs...
-2025-08-09 20:58:51,560 - trainer - INFO - Epoch 1 / 100 - Train Loss: 0.7531 - val_loss: 0.6455
-2025-08-09 20:58:51,569 - trainer - INFO - \x1b[92mNew best model saved with metric: {'val_loss': 0.6455377817153931}\x1b[0m
-2025-08-10 00:00:00,001 - trainer - INFO - Epoch 2 / 100 - Train Loss: 0.5878 - val_loss: 0.7264
-2025-08-10 00:00:08,815 - trainer - INFO - Epoch 3 / 100 - Train Loss: nan - val_loss: 0.5264
-2025-08-10 00:00:08,815 - trainer - INFO - \x1b[92mNew best model saved with metric: {'val_loss': 0.526387894153595}\x1b[0m
-2025-08-10 00:00:09,000 - trainer - INFO - Early stopping triggered at epoch 3.
-2025-08-10 00:00:09,001 - trainer - INFO - Training completed in 109.33 seconds.
+LOG = """2024-03-09 07:15:34,021 - trainer - INFO - Starting training for 100 epochs...
+2024-03-09 07:15:51,560 - trainer - INFO - Epoch 1 / 100 - Train Loss: 0.6120 - val_loss: 0.4118
+2024-03-09 07:15:51,569 - trainer - INFO - \x1b[92mNew best model saved with metric: {'val_loss': 0.4118251900341}\x1b[0m
+2024-03-10 00:00:00,001 - trainer - INFO - Epoch 2 / 100 - Train Loss: 0.4021 - val_loss: 0.4303
+2024-03-10 00:00:08,815 - trainer - INFO - Epoch 3 / 100 - Train Loss: nan - val_loss: 0.3908
+2024-03-10 00:00:08,815 - trainer - INFO - \x1b[92mNew best model saved with metric: {'val_loss': 0.3907714400125}\x1b[0m
+2024-03-10 00:00:09,000 - trainer - INFO - Early stopping triggered at epoch 3.
+2024-03-10 00:00:09,001 - trainer - INFO - Training completed in 47.50 seconds.
 """
 
 
 def test_run_logs(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "trainer_1.log").write_text(LOG)
-    (tmp_path / "trainer_2.log").write_text("2025-08-09 20:58:34,021 - trainer - INFO - Starting training for 100 epochs...\nTraceback\n")
+    (tmp_path / "trainer_2.log").write_text("2024-03-09 07:15:34,021 - trainer - INFO - Starting training for 100 epochs...\nTraceback\n")
     rows = history.read_run_logs(spark, str(tmp_path)).orderBy("epoch").collect()
     assert [(r["run"], r["epoch"], r["epochs"], r["val_loss"], r["best_metric"]) for r in rows] == [
-        ("trainer_1.log", 1, 100, 0.6455, 0.6455377817153931), ("trainer_1.log", 2, 100, 0.7264, None), ("trainer_1.log", 3, 100, 0.5264, 0.526387894153595)]
+        ("sub/trainer_1.log", 1, 100, 0.4118, 0.4118251900341), ("sub/trainer_1.log", 2, 100, 0.4303, None), ("sub/trainer_1.log", 3, 100, 0.3908, 0.3907714400125)]
     events = history.parse_log_lines(spark.read.text(str(tmp_path / "sub")).withColumn("run", F.lit("a")))
-    assert {r["kind"]: (r["epoch"], r["value"]) for r in events.filter("kind in ('stopped', 'completed')").collect()} == {"stopped": (3, None), "completed": (None, 109.33)}
+    assert {r["kind"]: (r["epoch"], r["value"]) for r in events.filter("kind in ('stopped', 'completed')").collect()} == {"stopped": (3, None), "completed": (None, 47.50)}
     marked = stopping.early_stopping(spark.createDataFrame([tuple(r[c] for c in ("run", "epoch", "val_loss")) for r in rows], "run string, epoch int, metric double"))
     assert [r["epoch"] for r in marked.filter("is_best").orderBy("epoch").collect()] == [1, 3]
 
@@ -199,20 +199,31 @@ def test_predictions_keep_the_last_step(spark, tmp_path):
 
 def test_ingest_replaces_late_days(spark, tmp_path):
     src, dst, state = (str(tmp_path / x) for x in ("src", "dst", "state"))
-    schema = "time date, i int, j int, v double"
+    schema = "time date, i int, j int, v double, delivery int"
 
     def arrive(*rows):
         spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(src)
 
     d1, d2, d3 = date(2024, 1, 1), date(2024, 1, 2), date(2024, 1, 3)
-    arrive((d1, 0, 0, 1.0), (d1, 0, 1, 2.0), (d2, 0, 0, 3.0))
+    arrive((d1, 0, 0, 1.0, 1), (d1, 0, 1, 2.0, 1), (d2, 0, 0, 3.0, 1))
     ingest_incremental(spark, src, dst, state, schema)
-    arrive((d2, 0, 0, 30.0))
-    arrive((d3, 0, 0, 5.0))
+    arrive((d2, 0, 0, 30.0, 2))
+    arrive((d3, 0, 0, 5.0, 1))
+    arrive((d2, 0, 1, 31.0, 2))
     ingest_incremental(spark, src, dst, state, schema, max_files=1)
     ingest_incremental(spark, src, dst, state, schema)
-    got = sorted((r["time"], r["j"], r["v"]) for r in spark.read.schema(schema).parquet(dst).collect())
-    assert got == [(d1, 0, 1.0), (d1, 1, 2.0), (d2, 0, 30.0), (d3, 0, 5.0)]
+    got = sorted((r["time"], r["j"], r["v"]) for r in read_days(spark, dst, schema).collect())
+    assert got == [(d1, 0, 1.0), (d1, 1, 2.0), (d2, 0, 30.0), (d2, 1, 31.0), (d3, 0, 5.0)]
+
+
+def test_ingest_keeps_a_day_in_many_files(spark, tmp_path):
+    src, dst, state = (str(tmp_path / x) for x in ("src", "dst", "state"))
+    schema = "time date, i int, j int, v double, delivery int"
+    day = spark.range(1000).selectExpr("date'2024-01-01' AS time", "cast(id AS int) AS i", "0 AS j", "cast(id AS double) AS v", "7 AS delivery")
+    day.repartition(4).write.parquet(src)
+    for max_files in (1, None):
+        ingest_incremental(spark, src, dst, state, schema, max_files=max_files)
+        assert read_days(spark, dst, schema).count() == 1000
 
 
 def test_clean_path(spark):
