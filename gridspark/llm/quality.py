@@ -78,7 +78,8 @@ def _examples(column: pa.Array, bits: int) -> Iterator[tuple[np.ndarray, np.ndar
         index, bounds = index[order], np.concatenate([[0], np.cumsum(count)])
         for a, b in zip(bounds[:-1], bounds[1:]):
             at, n = np.unique(index[a:b], return_counts=True)
-            yield np.append(at, 1 << bits), np.append(n * (SCALE / max(b - a, 1)), 1.0)
+            # short types: the training task holds all of the sample
+            yield np.append(at, 1 << bits).astype(np.int32), np.append(n * (SCALE / max(b - a, 1)), 1.0).astype(np.float32)
 
 
 def _train(bits: int, epochs: int):
