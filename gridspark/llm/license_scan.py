@@ -37,6 +37,8 @@ COMMON = ["a", "and", "any", "are", "for", "in", "into", "is", "it", "of", "on",
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 THRESHOLD, SHARE = 0.7, 0.5
+#: Stands for a null path inside; no file is called that.
+NO_PATH = "\0"
 #: A term of one digit or letter counts too: versions differ in nothing else.
 TERM = "[a-z0-9]+"
 
@@ -69,12 +71,13 @@ def scan(files: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -
     spark = files.sparkSession
     scratch = Scratch(spark, "licenses")
     vocabulary = scratch.keep(notices(spark).coalesce(1), "notices")
-    rows = files.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    # a file is known by its path and its text; equal ones are told apart nowhere
+    rows = files.select(F.coalesce("path", F.lit(NO_PATH)).alias("path"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     lines = rows.select("row", "path", F.length("text").alias("text_chars"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     termed = lines.select("row", "path", "text_chars", "line_no", F.length("line").alias("line_chars"), _content(F.col("line")).alias("terms"))
-    spread = termed.select("row", "path", "text_chars", "line_no", "line_chars", F.size("terms").alias("n_content"), F.explode("terms").alias("term"))
+    spread = termed.select("row", "path", "text_chars", "line_no", "line_chars", F.size("terms").alias("n_content"), F.posexplode("terms").alias("place", "term"))
     hits = scratch.keep(spread.join(F.broadcast(vocabulary.select("term").distinct()), "term", "left_semi")
-                        .groupBy("row", "path", "text_chars", "line_no", "line_chars", "n_content", "term").agg(F.count(F.lit(1)).alias("tf")), "hits")
+                        .groupBy("row", "path", "text_chars", "line_no", "line_chars", "n_content", "term").agg(F.count_distinct("place").alias("tf")), "hits")
     total = files.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n")))).first()[0] or 0
     known = vocabulary.select("term").distinct().join(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "left")
     weights = scratch.keep(known.select("term", (F.log((1.0 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"),
@@ -85,11 +88,11 @@ def scan(files: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -
     line_key = ["row", "path", "text_chars", "line_no", "line_chars", "n_content"]
     own = hits.join(F.broadcast(weights), "term")
     length = own.groupBy(*line_key).agg(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("known"), F.sum("tf").alias("n_known"), F.first("idf_new").alias("idf_new")).select(
-        "row", "line_no", F.sqrt(F.col("known") + (F.col("n_content") - F.col("n_known")) * F.pow("idf_new", F.lit(2))).alias("line_length"))
+        "row", "path", "line_no", F.sqrt(F.col("known") + (F.col("n_content") - F.col("n_known")) * F.pow("idf_new", F.lit(2))).alias("line_length"))
     dots = (own.select(*line_key, "term", (F.col("tf") * F.col("idf") * F.col("idf")).alias("x")).join(F.broadcast(vocabulary), "term")
             .groupBy(*line_key, "notice", "license").agg(F.sum(F.col("x") * F.col("notice_tf")).alias("dot")))
     matched = scratch.keep(
-        dots.join(length.hint("merge"), ["row", "line_no"]).join(F.broadcast(lengths), "notice")
+        dots.join(length.hint("merge"), ["row", "path", "line_no"]).join(F.broadcast(lengths), "notice")
         .withColumn("score", micro(F.col("dot") / (F.col("line_length") * F.col("notice_length"))))
         .groupBy("row", "path", "text_chars", "line_no", "line_chars")
         .agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("license")), "matched")
@@ -98,26 +101,26 @@ def scan(files: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -
     found = scratch.keep(matched.groupBy("row", "path", "text_chars").agg(
         F.max("score").alias("score_micro"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("best"),
         F.sum(F.when(good, F.col("line_chars")).otherwise(0)).alias("notice_chars")), "found")
-    licensed = found.filter((F.col("score_micro") >= micro(F.lit(threshold))) & (F.col("notice_chars") >= share * F.col("text_chars")) & F.col("path").isNotNull())
+    licensed = found.filter((F.col("score_micro") >= micro(F.lit(threshold))) & (F.col("notice_chars") >= share * F.col("text_chars")) & (F.col("path") != NO_PATH))
     directories = scratch.keep(licensed.groupBy(directory(F.col("path")).alias("above")).agg(
         F.min_by("best", F.struct(-F.col("score_micro"), "path")).alias("inherited")), "directories")
 
-    every = rows.select("row", "path").withColumn("directory", directory(F.col("path")))
+    every = rows.select("row", "path").withColumn("directory", F.when(F.col("path") != NO_PATH, directory(F.col("path"))))
     parts = F.split("directory", "/")
     nearest = (every.select("directory").distinct().filter("directory is not null")
                .select("directory", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("above"))
                .join(directories.hint("merge"), "above").groupBy("directory")
                .agg(F.max_by(F.struct("above", "inherited"), F.length("above")).alias("from")))
     nearest = scratch.keep(nearest.select("directory", "from.above", "from.inherited"), "nearest")
-    joined = every.join(found.select("row", "score_micro", "best").hint("merge"), "row", "left").join(nearest.hint("merge"), "directory", "left")
+    joined = every.join(found.select("row", "path", "score_micro", "best").hint("merge"), ["row", "path"], "left").join(nearest.hint("merge"), "directory", "left")
     has = F.coalesce(F.col("score_micro") >= micro(F.lit(threshold)), F.lit(False))
-    return joined.select("path", F.when(has, F.col("best")).otherwise(F.col("inherited")).alias("license"),
+    return joined.select(F.nullif(F.col("path"), F.lit(NO_PATH)).alias("path"), F.when(has, F.col("best")).otherwise(F.col("inherited")).alias("license"),
                          F.when(has, F.lit("own")).otherwise(F.col("above")).alias("origin"), F.coalesce("score_micro", F.lit(0)).cast("long").alias("score_micro"))
 
 
 def directory(path: Column) -> Column:
     """What stands before the last slash; '' at the root."""
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
+    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
 def quoted(texts: list[str]) -> str:
