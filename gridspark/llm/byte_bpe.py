@@ -20,22 +20,22 @@ from pyspark.sql import DataFrame, functions as F
 from gridspark.llm.store import prepare
 
 #: Words per recursive query, and words kept in each of the two halves of a worker's memory.
-BATCH, KEPT = 20_000, 400_000
+BATCH, KEPT = 60_000, 400_000
 #: The recursive query takes a turn per merge over all of a word, so longer words (in bytes) are merged in a heap.
 LONG = 256
 #: Characters that are split at a time, and tokens that are decoded at a time.
-CHARS, TOKENS = 1 << 20, 1 << 19
+CHARS, TOKENS = 1 << 21, 1 << 19
 
+# A pair is one number: rank, then its position, then the position of its right half (each below 1024).
 ENCODE = """
 WITH RECURSIVE step(word, pos, token, done) AS (
     SELECT word, pos, token, false FROM start
     UNION ALL
-    SELECT word, pos, CASE WHEN pos = best & 4294967295 THEN (best >> 32)::INT ELSE token END, best IS NULL
-    FROM (SELECT *, lag(pos) OVER (PARTITION BY word ORDER BY pos) AS before
-          FROM (SELECT p.word, p.pos, p.token, min((m.rank::BIGINT << 32) | p.pos) OVER (PARTITION BY p.word) AS best
-                FROM (SELECT word, pos, token, lead(token) OVER (PARTITION BY word ORDER BY pos) AS next FROM step WHERE NOT done) p
-                LEFT JOIN merges m ON m.a = p.token AND m.b = p.next))
-    WHERE best IS NULL OR before IS NULL OR before <> best & 4294967295
+    SELECT word, pos, CASE WHEN pos = ((best >> 10) & 1023) THEN (best >> 20)::INT ELSE token END, best IS NULL
+    FROM (SELECT p.word, p.pos, p.token, min((m.rank::BIGINT << 20) | (p.pos << 10) | p.next_pos) OVER (PARTITION BY p.word) AS best
+          FROM (SELECT word, pos, token, lead(token) OVER w AS next, lead(pos) OVER w AS next_pos FROM step WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)) p
+          LEFT JOIN merges m ON m.a = p.token AND m.b = p.next)
+    WHERE best IS NULL OR pos <> (best & 1023)
 )
 SELECT word, pos, token FROM step WHERE done ORDER BY word, pos
 """
