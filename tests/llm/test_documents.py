@@ -464,3 +464,18 @@ def test_pipeline_stages(spark):
     assert check_pieces(rows["packing"], [(r["doc_id"], r["text"]) for r in rows["pii"]]) == 0
     for _, df in seen:
         df.unpersist()
+
+
+def test_pipeline_edge(spark, edge, empty):
+    """Every stage over nulls, empty texts, repeated rows and clashing columns, and over no rows."""
+    import corpus_pipeline
+
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, edge, SF)
+        assert name == "packing" or out.columns == edge.columns
+        counts[name] = out.count()
+        assert stage(spark, empty, SF).count() == 0
+    assert counts["exact dedup"] == len({(i, h) for i, _, _, kept, h in brute_exact(TEXTS) if kept})
+    # 2, 8, 11 and the copies of 1 and 7 are near copies; rows without a doc_id stay
+    assert counts["near dedup"] == 12 and counts["pii"] == len(TEXTS)
