@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gridspark.llm.store import prepare
+from gridspark.llm.words import cuts
 
 #: Words per recursive query, and words kept in each of the two halves of a worker's memory.
 BATCH, KEPT = 60_000, 400_000
@@ -151,15 +152,6 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return _loaded[path]
 
 
-def _cuts(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about `limit` in all, one row at least."""
-    sums, row = np.concatenate([[0], np.cumsum(sizes)]), 0
-    while row < len(sizes):
-        end = max(row + 1, int(np.searchsorted(sums, sums[row] + limit, "right")) - 1)
-        yield row, end
-        row = end
-
-
 def _lists(ids: list[bytes]) -> pa.ListArray:
     where = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(where), pa.array(np.frombuffer(b"".join(ids), "<i4")))
@@ -175,7 +167,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
         for batch in batches:
-            for a, b in _cuts(pc.utf8_length(batch.column(1)).to_numpy(), CHARS):
+            for a, b in cuts(pc.utf8_length(batch.column(1)).to_numpy(), CHARS):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(words.encode(part.column(1).to_pylist()))], names=["doc_id", "ids"])
 
@@ -190,7 +182,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
         for batch in batches:
-            for a, b in _cuts(np.diff(batch.column(1).offsets.to_numpy()), TOKENS):
+            for a, b in cuts(np.diff(batch.column(1).offsets.to_numpy()), TOKENS):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words.decode(part.column(1)), pa.binary())], names=["doc_id", "ids", "decoded"])
 

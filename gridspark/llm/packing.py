@@ -9,36 +9,76 @@ document leaves its task, so nothing is shuffled and every length is bounded by
 
 from __future__ import annotations
 
-import base64
+import json
+import os
+import re
 from collections import defaultdict, deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gridspark.llm.store import prepare
+from gridspark.llm.words import cuts
 
 CAPACITY = 1024
 #: Pieces a task gathers before it packs them.
 POOL = 4096
-_encoders: dict[str, Callable] = {}
+#: Characters that are encoded at a time (one text at least), and words that a worker remembers.
+CHARS, KEPT = 1 << 20, 400_000
+#: The split rule of byte-level tokenizers.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters that are letters, digits or neither in every version of Unicode that a library may hold.
+PLAIN = "\u0000-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20ac\u2100-\u214f\u2190-\u23ff\u2500-\u27bf\u3000-\u3020\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f5ff\U0001f600-\U0001f64f"
+_encoders: dict[str, "Encoder"] = {}
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECES_DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def encoder(ranks_path: str, pattern: str) -> Callable[[str], np.ndarray]:
-    """Text to ids by a file of ranks, special tokens read as text; one per worker process."""
-    if ranks_path not in _encoders:
-        import tiktoken
+class Encoder:
+    """Text to the ids of `tokenizers` with a JSON file, without special tokens around it; added tokens in a text are read as such.
 
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding(ranks_path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _encoders[ranks_path] = lambda text: encoding.encode_to_numpy(text, disallowed_special=())
-    return _encoders[ranks_path]
+    A text of plain characters is split by the byte-level rule here, and its words are encoded by the library, once
+    each while they are remembered. Any other text is encoded whole.
+    """
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        splitter = rules["pre_tokenizer"] or {}
+        self.by_words = (splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter["add_prefix_space"] and not rules["normalizer"]
+                         and not rules["truncation"] and not rules["padding"])
+        whole = [regex.escape(token["content"]) for token in rules["added_tokens"]] + [f"[^{PLAIN}]"]
+        self.whole, self.split = regex.compile("|".join(whole)).search, regex.compile(SPLIT).findall
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        words = [self.split(t) if self.by_words and not self.whole(t) else None for t in texts]
+        if len(self.known) > KEPT:
+            self.known = {}
+        new = list(set().union(*filter(None, words)) - self.known.keys())
+        self.known.update(zip(new, self._ids(new)))
+        out = [self._ids([t])[0] if w is None else b"".join(map(self.known.__getitem__, w)) for t, w in zip(texts, words)]
+        return [np.frombuffer(x, "<u4") for x in out]
+
+
+def encoder(path: str) -> Encoder:
+    """One per worker process. A file of ranks stands for the JSON of the same name beside it."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(re.sub(r"\.tiktoken$", ".json", path))
+    return _encoders[path]
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> tuple[dict[int, int], int]:
@@ -149,10 +189,11 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PIECES.types)], schema=PIECES)
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, capacity: int = CAPACITY, pool: int = POOL) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str | None = None, end_id: int = 0, capacity: int = CAPACITY, pool: int = POOL) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    A document is its ids followed by `end_id`; a null or empty text is that id alone. Rows repeated are
+    `path` is the JSON of `tokenizers`, or a file of ranks with that JSON beside it; the JSON has its own split rule,
+    so `pattern` is not read. A document is its ids followed by `end_id`; a null or empty text is that id alone. Rows repeated are
     packed as often as they occur, and a null doc_id stays null. Other columns are not read. Sequence
     numbers are unique, not consecutive.
     """
@@ -161,15 +202,17 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, capaci
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, packer = encoder(ranks_path, pattern), Packer(TaskContext.get().partitionId(), capacity)
+        encode, packer = encoder(path), Packer(TaskContext.get().partitionId(), capacity)
         tail = np.array([end_id], np.uint32)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(doc, np.concatenate([encode(text.as_py() or ""), tail]))
-                if packer.n >= pool:
-                    packer.pack()
-                if len(packer.rows) >= 2048:
-                    yield packer.flush()
+            for a, b in cuts(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(), CHARS):
+                part = batch.slice(a, b - a)
+                for doc, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
+                    packer.add(doc, np.concatenate([ids, tail]))
+                    if packer.n >= pool:
+                        packer.pack()
+                    if len(packer.rows) >= 2048:
+                        yield packer.flush()
         packer.finish()
         yield packer.flush()
 

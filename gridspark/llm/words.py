@@ -100,6 +100,15 @@ def spans(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0)
     return mix(between(prefix(mix(hashes, seed), _WORD_BASES[seed]), start, end, _WORD_BASES[seed]) + (end - start).astype(np.uint64), seed)
 
 
+def cuts(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about `limit` in all, one row at least."""
+    sums, row = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while row < len(sizes):
+        end = max(row + 1, int(np.searchsorted(sums, sums[row] + limit, "right")) - 1)
+        yield row, end
+        row = end
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for runs of rows of about `limit` bytes; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -425,6 +425,30 @@ def test_packing(spark, edge, empty, docs):
     assert packing.pack(empty, SINGLE, PATTERN).count() == 0
 
 
+def test_packing_ids_are_those_of_tokenizers(spark):
+    """Added tokens, characters that libraries class differently, and runs that a backtracking splitter gives up on."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [(1, "one <|endoftext|> two"), (2, " " * 1_000_000), (3, "a\u208f1 \ua7ceb \U00010940x"), (4, "It's  we'll\n\n 12\u00b2 \u65e5\u672c \U0001f642 "), (5, None)]
+    pieces = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    for i, text in texts:
+        ids = b"".join(bytes(r["ids"]) for r in sorted((r for r in pieces if r["doc_id"] == i), key=lambda r: r["start"]))
+        assert np.frombuffer(ids, "<u4").tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def test_plain_characters_split_alike():
+    """Every character that packing splits by itself, alone and in a row, between letters, digits, spaces and others."""
+    import regex
+    from tokenizers import Tokenizer
+
+    rule = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).pre_tokenizer
+    plain = regex.findall(f"[{packing.PLAIN}]", "".join(chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000))
+    for at in range(0, len(plain), 4096):
+        text = "".join(f"a{c}1{c}. {c}{c}\n" for c in plain[at:at + 4096])
+        assert [text[a:b] for _, (a, b) in rule.pre_tokenize_str(text)] == regex.findall(packing.SPLIT, text)
+
+
 def test_best_fill_is_closest():
     rng = random.Random(2)
     for _ in range(200):
