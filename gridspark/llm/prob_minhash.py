@@ -5,6 +5,10 @@ on random registers; a register keeps the shingle that arrives first, so two tex
 register with the probability Jaccard similarity of their weighted shingles. Arrivals later than
 the latest register are never drawn, so most shingles cost one draw.
 
+A text with repeated shingles has a second set of registers, with unit weights: two texts agree in
+these with the plain Jaccard similarity that links are made of. Without repeats both sets are equal,
+so the second is left out, and the bands of both lie in the same buckets.
+
 Registers are grouped in bands. Texts that share a band are compared with one head of their bucket
 by the exact similarity of their texts, with another head in the next round. What the stars leave
 apart is compared where prefix filtering, which loses nothing, still allows a link. No bucket is
@@ -25,7 +29,7 @@ from gridspark.llm.words import Words, mix, spans, text_chunks, windows
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: A pair at the threshold shares no band with probability (1 - 0.8^6)^40 < 1e-5.
+#: A pair at the threshold shares no band of unit weights with probability (1 - 0.8^6)^40 < 1e-5, however often shingles repeat.
 BANDS, ROWS = 40, 6
 #: Stars drawn in every bucket before what is still apart is compared by shared shingles.
 STARS = 1
@@ -72,14 +76,18 @@ def _sketches(k: int, bands: int, rows: int):
                 for s in (0, 1):
                     np.add.at(sums[s], text, mix(value, 7 + s))
                 size = np.bincount(text, minlength=n)
-                found = registers(text, value, 1 + np.log(count), n, bands * rows).reshape(n, bands, rows)
-                band = np.broadcast_to(np.arange(bands, dtype=np.uint64), (n, bands)).copy()
+                repeated = np.bincount(text[count > 1], minlength=n) > 0
+                again = repeated[text]
+                found = np.concatenate([registers(text, value, 1 + np.log(count), n, bands * rows).reshape(n, bands, rows), np.zeros((n, bands, rows), np.uint64)], axis=1)
+                found[repeated, bands:] = registers((np.cumsum(repeated) - 1)[text[again]], value[again], np.ones(int(again.sum())), int(repeated.sum()), bands * rows).reshape(-1, bands, rows)
+                band = np.tile(np.arange(bands, dtype=np.uint64), (n, 2))
                 for j in range(rows):
                     band = mix(band * _U(0xA0761D6478BD642F) + found[:, :, j], 9)
-                where = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)
+                held = np.repeat(np.stack([size > 0, repeated], axis=1), bands, axis=1)
+                where = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(row, n), pa.array(size.astype(np.int32)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(where), pa.array(band[size > 0].reshape(-1).view(np.int64)))], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                    pa.ListArray.from_arrays(pa.array(where), pa.array(band[held].view(np.int64)))], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
     return run
 

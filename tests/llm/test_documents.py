@@ -179,6 +179,20 @@ def test_near_dedup_continuum(spark):
     assert got == brute_classes(texts)
 
 
+def test_near_dedup_repeated_junk(spark):
+    """Pairs at Jaccard 0.8 to 0.9 whose own shingles occur 20 to 100 times."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    texts = []
+    for pair in range(40):
+        shared, n = fresh(800), rng.choice([20, 50, 100])
+        texts += [(2 * pair + side, " ".join(shared + fresh(rng.randint(45, 90)) * n)) for side in (0, 1)]
+    want = brute_classes(texts)
+    assert sum(i == c for i, c in want.items()) == 40
+    got = {r["doc_id"]: r["class_id"] for r in prob_minhash.near_dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want
+
+
 def test_near_dedup_edge(edge, empty):
     got = Counter((r["doc_id"], r["class_id"], r["kept"]) for r in prob_minhash.near_dedup(edge).collect())
     assert got == Counter({(1, 1, True): 1, (2, 1, False): 1, (3, 3, True): 1, (4, 4, True): 1, (5, 5, True): 1, (6, 6, True): 1, (7, 7, True): 2, (8, 7, False): 1,
