@@ -22,8 +22,8 @@ from gridspark.llm.words import Words, mix, spans, text_chunks, windows
 
 #: Words in a window.
 K = 35
-PATHS_DDL = "id long, tag int, start int, edges int, seed long, path long"
-EDGES_DDL = "seed long, edge long, n long, id long, tag int, start int"
+PATHS_DDL = "id long, tag binary, start int, edges int, seed long, path long"
+EDGES_DDL = "seed long, edge long, n long, id long, tag binary, start int"
 _KEY = ["id", "tag"]
 _NO_ID = -(1 << 63)
 
@@ -65,12 +65,12 @@ def paths_of(words: Words, k: int) -> tuple[np.ndarray, ...]:
 def _paths(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, tags = batch.column(0).to_numpy(), batch.column(1)
             for row, end, data, offsets in text_chunks(batch.column(2)):
                 text, start, edges, seed, path = paths_of(Words(data, offsets), k)
                 text = text + row
                 yield pa.RecordBatch.from_pydict({
-                    "id": pa.array(ids[text]), "tag": pa.array(tags[text]), "start": pa.array(start.astype(np.int32)),
+                    "id": pa.array(ids[text]), "tag": tags.take(pa.array(text)), "start": pa.array(start.astype(np.int32)),
                     "edges": pa.array(edges.astype(np.int32)), "seed": pa.array(seed.view(np.int64)), "path": pa.array(path.view(np.int64))})
 
     return run
@@ -79,7 +79,7 @@ def _paths(k: int):
 def _unfold(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, tags = batch.column(0).to_numpy(), batch.column(1)
             lists = batch.column(3)
             flat, where = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             starts, edges, seeds, counts = (flat.field(n).to_numpy() for n in ("start", "edges", "seed", "n"))
@@ -95,7 +95,7 @@ def _unfold(k: int):
                 own = text[which] + row
                 yield pa.RecordBatch.from_pydict({
                     "seed": pa.array(seeds[a:b][which]), "edge": pa.array(edge.view(np.int64)), "n": pa.array(counts[a:b][which]),
-                    "id": pa.array(ids[own]), "tag": pa.array(tags[own]), "start": pa.array(at.astype(np.int32))})
+                    "id": pa.array(ids[own]), "tag": tags.take(pa.array(own)), "start": pa.array(at.astype(np.int32))})
 
     return run
 
@@ -134,12 +134,12 @@ def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
 
     A word goes if a window of `k` consecutive words that covers it starts anywhere else as well, in
     the same or another document. Null and empty texts have no words. Rows repeated are places of
-    their own, so both copies of a long text go. Texts are known by doc_id and a hash of the text:
-    a null or repeated doc_id does no harm. Other columns are not read.
+    their own, so both copies of a long text go. Texts are known by doc_id and the first
+    128 bits of the text's SHA-256: a null or repeated doc_id does no harm. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "debruijn")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    keyed = texts.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.hash("text").alias("tag"), "text")
+    keyed = texts.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)).alias("tag"), "text")
     paths = scratch.keep(keyed.select("id", "tag", "text").mapInArrow(_paths(k), PATHS_DDL), "paths")
     # lists of keys are stored before they are joined, so that the join reads two plain shuffles and Spark can split a hot key
     shared = scratch.keep(paths.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed"), "shared")

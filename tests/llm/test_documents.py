@@ -257,6 +257,18 @@ def test_substring_shifted_passages(spark):
     assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "h").collect()), key=repr) == brute_repeats(texts)
 
 
+def test_substring_texts_without_id_of_equal_hash(spark):
+    """Two texts with a null doc_id and the same 32-bit hash, one of them with a repeated passage."""
+    passage = " ".join(f"p{j}" for j in range(40))
+    a = spark.range(300_000).select(F.concat(F.lit(passage + " a"), "id").alias("a")).withColumn("h", F.hash("a"))
+    b = spark.range(300_000).select(F.concat(F.lit(" ".join(f"u{j}" for j in range(50)) + " b"), "id").alias("b")).withColumn("h", F.hash("b"))
+    pairs = a.join(b, "h").limit(3).collect()
+    assert pairs
+    texts = [(1, passage)] + [(None, r[c]) for r in pairs[:1] for c in "ab"]
+    got = debruijn.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).withColumn("h", F.sha2(F.col("kept_text").cast("binary"), 256))
+    assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "h").collect()), key=repr) == brute_repeats(texts)
+
+
 # PII
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
