@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, functions as F
 from gridspark.llm.store import prepare
 from gridspark.llm.words import cuts
 
-#: Words per recursive query, and words kept in each of the two halves of a worker's memory.
-BATCH, KEPT = 60_000, 400_000
+#: Words per recursive query and their bytes, and words kept in each of the two halves of a worker's memory.
+BATCH, BYTES, KEPT = 60_000, 1 << 20, 400_000
 #: The recursive query takes a turn per merge over all of a word, so longer words (in bytes) are merged in a heap.
 LONG = 256
-#: Characters that are split at a time, and tokens that are decoded at a time.
+#: Characters that are split at a time (one text at least), and tokens that are decoded at a time, whatever texts they are of.
 CHARS, TOKENS = 1 << 21, 1 << 19
 
 # A pair is one number: rank, then its position, then the position of its right half (each below 1024).
@@ -63,6 +63,8 @@ class Vocabulary:
         self._store("merges", pa.table({"a": a, "b": b, "rank": rank}))
         # a piece is the token's bytes as the characters of the same numbers
         self._store("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]}))
+        self.cost = np.ones(max(self.ranks.values()) + 1, np.int64)
+        self.cost[list(self.ranks.values())] += np.array([len(t) // 32 for t in self.ranks])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -126,8 +128,10 @@ class Vocabulary:
                 young[word] = self.merge_long(raw)
             else:
                 new.append((word, raw))
-        for i in range(0, len(new), BATCH):
-            part = new[i:i + BATCH]
+        # a word costs its share of either limit, whichever is more
+        cost = np.array([max(BYTES // BATCH, len(raw)) for _, raw in new], np.int64)
+        for a, b in cuts(cost, BYTES):
+            part = new[a:b]
             young.update(zip((w for w, _ in part), self.merge([r for _, r in part])))
         return young
 
@@ -137,13 +141,19 @@ class Vocabulary:
         return [b"".join(map(ids.__getitem__, words)) for words in split]
 
     def decode(self, lists: pa.ListArray) -> list[bytes]:
+        """The bytes of each list. A query gets about TOKENS positions, so a long list is joined from several."""
         size = np.diff(lists.offsets.to_numpy())
-        first = np.cumsum(size) - size
-        self.db.register("tokens", pa.table({"text": np.repeat(np.arange(len(size), dtype=np.int32), size),
-                                             "pos": (np.arange(size.sum()) - np.repeat(first, size)).astype(np.int32), "id": lists.flatten()}))
-        pieces = dict(self.db.execute(DECODE).fetchall())
-        self.db.unregister("tokens")
-        return [pieces.get(i, "").encode("latin-1") for i in range(len(size))]
+        text, ids = np.repeat(np.arange(len(size), dtype=np.int32), size), lists.flatten()
+        # long tokens count more than once, which bounds the bytes of a query as well
+        known = ids.fill_null(-1).to_numpy(zero_copy_only=False)
+        cost = self.cost[np.where((known >= 0) & (known < len(self.cost)), known, 0)]
+        out: list[list[bytes]] = [[] for _ in size]
+        for a, b in cuts(cost, TOKENS):
+            self.db.register("tokens", pa.table({"text": text[a:b], "pos": np.arange(b - a, dtype=np.int32), "id": ids.slice(a, b - a)}))
+            for i, pieces in self.db.execute(DECODE).fetchall():
+                out[i].append(pieces.encode("latin-1"))
+            self.db.unregister("tokens")
+        return [b"".join(parts) for parts in out]
 
 
 def vocabulary(path: str, pattern: str) -> Vocabulary:

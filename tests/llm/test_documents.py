@@ -129,6 +129,21 @@ def test_bpe_long_words_merge_alike():
         assert words.merge([word.encode()])[0] == words.merge_long(word.encode())
 
 
+def test_bpe_queries_are_bounded():
+    """One text of 4 million tokens, and a batch of many words of nearly the greatest length."""
+    import pyarrow as pa
+
+    words, encoding, rng = byte_bpe.vocabulary(MULTI, PATTERN), tiktoken_encoding(MULTI), np.random.default_rng(6)
+    values = np.array(list(words.ranks.values()), np.int32)
+    ids = rng.choice(values, 4_000_000)
+    got = words.decode(pa.ListArray.from_arrays(pa.array([0, 3, 3, len(ids)], pa.int32()), pa.array(ids)))
+    assert got == [encoding.decode_bytes(ids[:3].tolist()), b"", encoding.decode_bytes(ids[3:].tolist())]
+    long = {"".join(map(chr, rng.integers(97, 123, 250))) for _ in range(4_500)}
+    known = words.known(long)
+    for word in list(long)[::1000]:
+        assert np.frombuffer(known[word], "<i4").tolist() == encoding.encode_ordinary(word)
+
+
 # near duplicates
 
 
