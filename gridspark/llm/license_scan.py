@@ -64,7 +64,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -
     """One row per file of (path, text): path, license, origin, score_micro.
 
     `origin` is 'own' for a notice in the file (the best line's; of equal ones the first licence by name), else the
-    directory that the licence is taken from, else null like `license`. `score_micro` is the cosine of the best line in
+    directory that the licence is taken from ('' is the root), else null like `license`. `score_micro` is the cosine of the best line in
     millionths, 0 without any shared term. Null and empty texts have no notice and can only inherit. A null path is in no
     directory. Rows repeated are files of their own with equal results. Other columns are not read.
     """
@@ -108,7 +108,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -
     every = rows.select("row", "path").withColumn("directory", F.when(F.col("path") != NO_PATH, directory(F.col("path"))))
     parts = F.split("directory", "/")
     nearest = (every.select("directory").distinct().filter("directory is not null")
-               .select("directory", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("above"))
+               .select("directory", F.explode(F.array_union(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))).alias("above"))
                .join(directories.hint("merge"), "above").groupBy("directory")
                .agg(F.max_by(F.struct("above", "inherited"), F.length("above")).alias("from")))
     nearest = scratch.keep(nearest.select("directory", "from.above", "from.inherited"), "nearest")

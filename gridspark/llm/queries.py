@@ -73,7 +73,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_license_scan", license_scan.DOCUMENTS_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(documents(spark, sf_dir).select(F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text"))
+    return license_scan.scan(documents(spark, sf_dir).select(F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "text"))
 
 
 @query("op8_quality")

@@ -370,6 +370,20 @@ def test_licence_inheritance(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_licence_at_the_root(spark):
+    files = [("LICENSE", "Released under the MIT License."), ("src/x.py", "code"), ("src/a/b/y.py", None), ("z", "code"), ("lib/LICENSE", "Licensed under the Apache License, Version 2.0."), ("lib/a/q", "code")]
+    got = {r["path"]: (r["license"], r["origin"]) for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {"LICENSE": ("MIT", "own"), "src/x.py": ("MIT", ""), "src/a/b/y.py": ("MIT", ""), "z": ("MIT", ""), "lib/LICENSE": ("Apache-2.0", "own"), "lib/a/q": ("Apache-2.0", "lib")}
+
+
+def test_licence_query_has_no_path_without_its_parts(spark, tmp_path):
+    """As in SQL, a document without source, lang or doc_id has no path, so it licenses nothing."""
+    rows = [(1, "Released under the MIT License.", "en", None), (2, "code", "en", "web"), (3, "Released under the MIT License.", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r["path"], r["license"], r["origin"]) for r in entry.queries()["op7_license_scan"](spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(None, "MIT", "own"), (None, "MIT", "own"), ("web/en/2", None, None)], key=repr)
+
+
 # quality classifier
 
 
