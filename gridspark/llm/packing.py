@@ -3,84 +3,33 @@
 Every document is cut into full windows and one remainder. Each task packs the remainders of its
 own documents: a subset-sum programme over bitsets picks the multiset of remaining lengths that
 fills the next window closest to its capacity, and its counts are traced back. A window that cannot
-be filled exactly waits for more documents; only at a task's end is a piece cut to close it. No
-document leaves its task, so nothing is shuffled and every length is bounded by the task's input.
+be filled exactly waits for more documents until the pool of remainders is full; then, and at a task's
+end, a piece is cut to close it. No document leaves its task, so nothing is shuffled, and a task holds
+no more than its pool and the texts that it reads at a time.
 """
 
 from __future__ import annotations
 
-import json
-import os
 import re
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gridspark.llm.store import prepare
-from gridspark.llm.words import cuts
+from gridspark.llm.token_ids import encoder, ended
+from gridspark.llm.words import text_chunks
 
 CAPACITY = 1024
-#: Pieces a task gathers before it packs them.
+#: Remainders that a task holds at most; windows are closed by cuts until a quarter of them is left.
 POOL = 4096
-#: Characters that are encoded at a time (one text at least), and words that a worker remembers.
-CHARS, KEPT = 1 << 20, 400_000
-#: The split rule of byte-level tokenizers.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters that are letters, digits or neither in every version of Unicode that a library may hold.
-PLAIN = "\u0000-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20ac\u2100-\u214f\u2190-\u23ff\u2500-\u27bf\u3000-\u3020\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f5ff\U0001f600-\U0001f64f"
-_encoders: dict[str, "Encoder"] = {}
-
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECES_DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-class Encoder:
-    """Text to the ids of `tokenizers` with a JSON file, without special tokens around it; added tokens in a text are read as such.
-
-    A text of plain characters is split by the byte-level rule here, and its words are encoded by the library, once
-    each while they are remembered. Any other text is encoded whole.
-    """
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            rules = json.load(file)
-        splitter = rules["pre_tokenizer"] or {}
-        self.by_words = (splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter["add_prefix_space"] and not rules["normalizer"]
-                         and not rules["truncation"] and not rules["padding"])
-        whole = [regex.escape(token["content"]) for token in rules["added_tokens"]] + [f"[^{PLAIN}]"]
-        self.whole, self.split = regex.compile("|".join(whole)).search, regex.compile(SPLIT).findall
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = [self.split(t) if self.by_words and not self.whole(t) else None for t in texts]
-        if len(self.known) > KEPT:
-            self.known = {}
-        new = list(set().union(*filter(None, words)) - self.known.keys())
-        self.known.update(zip(new, self._ids(new)))
-        out = [self._ids([t])[0] if w is None else b"".join(map(self.known.__getitem__, w)) for t, w in zip(texts, words)]
-        return [np.frombuffer(x, "<u4") for x in out]
-
-
-def encoder(path: str) -> Encoder:
-    """One per worker process. A file of ranks stands for the JSON of the same name beside it."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(re.sub(r"\.tiktoken$", ".json", path))
-    return _encoders[path]
-
-
 def best_fill(counts: dict[int, int], capacity: int) -> tuple[dict[int, int], int]:
     """(counts used by length, their sum): the multiset, holding one of the longest, whose sum is closest to `capacity`.
 
@@ -133,7 +82,7 @@ class Packer:
         for at in range(0, whole, self.capacity):
             self.place([(doc, at, ids[at:at + self.capacity], len(ids))])
         if whole < len(ids):
-            self.waiting[len(ids) - whole].append((doc, whole, ids[whole:], len(ids)))
+            self.waiting[len(ids) - whole].append((doc, whole, ids[whole:].copy(), len(ids)))
             self.n += 1
 
     def take(self, used: dict[int, int]) -> list[tuple]:
@@ -146,23 +95,19 @@ class Packer:
         self.n -= len(out)
         return out
 
-    def pack(self) -> None:
-        """Closes windows that fill exactly; what is left waits."""
-        while self.waiting:
-            used, total = best_fill({k: len(v) for k, v in self.waiting.items()}, self.capacity)
-            if total < self.capacity:
-                return
-            self.place(self.take(used))
+    def pack(self, left: int = 0) -> None:
+        """Closes windows that fill exactly; while more than `left` remainders wait, others are closed by cutting a piece.
 
-    def finish(self) -> None:
-        """Packs the rest: a piece is cut where nothing fills a window, and the last one is cut at powers of two."""
-        self.pack()
+        Only when nothing is left to cut from does a window stay short: it is cut at powers of two.
+        """
         while self.waiting:
             used, total = best_fill({k: len(v) for k, v in self.waiting.items()}, self.capacity)
-            chosen, room = self.take(used), self.capacity - total
+            room = self.capacity - total
+            if room and self.n <= left:
+                return
+            chosen = self.take(used)
             if room and self.waiting:
                 doc, start, ids, n = self.take({max(self.waiting): 1})[0]
-                room = min(room, len(ids))
                 chosen.append((doc, start, ids[:room], n))
                 if room < len(ids):
                     self.waiting[len(ids) - room].append((doc, start + room, ids[room:], n))
@@ -198,22 +143,22 @@ def pack(docs: DataFrame, path: str, pattern: str | None = None, end_id: int = 0
     numbers are unique, not consecutive.
     """
     prepare(docs.sparkSession)
+    path = re.sub(r"\.tiktoken$", ".json", path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, packer = encoder(path), Packer(TaskContext.get().partitionId(), capacity)
-        tail = np.array([end_id], np.uint32)
         for batch in batches:
-            for a, b in cuts(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(), CHARS):
-                part = batch.slice(a, b - a)
-                for doc, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
-                    packer.add(doc, np.concatenate([ids, tail]))
+            for first, last, data, offsets in text_chunks(batch.column(1)):
+                ids, bounds = ended(*encode(data, offsets), end_id)
+                for doc, a, b in zip(batch.column(0).slice(first, last - first).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    packer.add(doc, ids[a:b])
                     if packer.n >= pool:
-                        packer.pack()
+                        packer.pack(pool // 4)
                     if len(packer.rows) >= 2048:
                         yield packer.flush()
-        packer.finish()
+        packer.pack()
         yield packer.flush()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES_DDL)

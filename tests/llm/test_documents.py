@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gridspark.llm import byte_bpe, crf_pii, debruijn, exact_dedup, license_scan, masked_lm, packing, prob_minhash, quality
+from gridspark.llm import byte_bpe, crf_pii, debruijn, exact_dedup, license_scan, masked_lm, packing, prob_minhash, quality, token_ids
 
 SF = entry.SMOKE_DIR
 PATTERN = public_tokenizers.PATTERN
@@ -492,16 +492,39 @@ def test_packing_ids_are_those_of_tokenizers(spark):
         assert np.frombuffer(ids, "<u4").tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
-def test_plain_characters_split_alike():
-    """Every character that packing splits by itself, alone and in a row, between letters, digits, spaces and others."""
-    import regex
+def test_characters_split_alike():
+    """Every character, alone and in a row, between letters, digits, spaces and others."""
     from tokenizers import Tokenizer
 
-    rule = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).pre_tokenizer
-    plain = regex.findall(f"[{packing.PLAIN}]", "".join(chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000))
-    for at in range(0, len(plain), 4096):
-        text = "".join(f"a{c}1{c}. {c}{c}\n" for c in plain[at:at + 4096])
-        assert [text[a:b] for _, (a, b) in rule.pre_tokenize_str(text)] == regex.findall(packing.SPLIT, text)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, tokenizer = token_ids.Encoder(path), Tokenizer.from_file(path)
+    every = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 4096):
+        text = "".join(f"a{c}1{c}. {c}{c}\n" for c in every[at:at + 4096])
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert encode(raw, np.array([0, len(raw)]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("lengths", [lambda rng: 600, lambda rng: rng.randint(513, 1022), lambda rng: rng.randint(1, 3000)])
+def test_pool_is_bounded(lengths):
+    """Remainders that never fill a window exactly are closed by cuts as soon as the pool is full."""
+    rng, packer, docs = random.Random(1), packing.Packer(0, 1024), {}
+    for i in range(6000):
+        docs[i] = np.arange(lengths(rng), dtype="<u4") + i
+        packer.add(i, docs[i])
+        if packer.n >= 256:
+            packer.pack(64)
+        assert packer.n <= 256
+    packer.pack()
+    assert packer.n == 0 and not packer.waiting
+    rows = [dict(zip(packing.PIECES.names, r)) for r in packer.rows]
+    sequences = defaultdict(list)
+    for r in rows:
+        assert docs[r["doc_id"]][r["start"]:r["start"] + r["length"]].tobytes() == r["ids"]
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sum(r["length"] for r in rows) == sum(map(len, docs.values()))
+    filled = [sum(n for _, n in x) for x in sequences.values()]
+    assert all(n == 1024 or n & (n - 1) == 0 for n in filled) and sum(n < 1024 for n in filled) < 11
 
 
 def test_best_fill_is_closest():
