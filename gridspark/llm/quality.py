@@ -21,6 +21,8 @@ _U = np.uint64
 BITS = 18
 #: Most labelled rows that are fitted: those whose hashed doc_id comes first.
 SAMPLE = 16_000
+#: Bytes of texts whose features are held at a time; one text at least.
+CHUNK_BYTES = 1 << 20
 EPOCHS = 3
 #: What a share is multiplied with, so that weights stay of the order of one.
 SCALE = 32.0
@@ -71,24 +73,33 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def _examples(column: pa.Array, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for _, _, data, offsets in text_chunks(column):
+def _examples(column: pa.Array, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bounds, weight indices, values) of a run of texts: example k lies between bounds k and k + 1. Few large arrays of
+    short types, since the training task holds all of the sample and its worker lives on."""
+    for _, _, data, offsets in text_chunks(column, CHUNK_BYTES):
         text, index, count = features(data, offsets, bits)
         order = np.argsort(text, kind="stable")
         index, bounds = index[order], np.concatenate([[0], np.cumsum(count)])
+        ats, values = [], []
         for a, b in zip(bounds[:-1], bounds[1:]):
             at, n = np.unique(index[a:b], return_counts=True)
-            # short types: the training task holds all of the sample
-            yield np.append(at, 1 << bits).astype(np.int32), np.append(n * (SCALE / max(b - a, 1)), 1.0).astype(np.float32)
+            ats.append(np.append(at, 1 << bits).astype(np.int32))
+            values.append(np.append(n * (SCALE / max(b - a, 1)), 1.0).astype(np.float32))
+        yield np.concatenate([[0], np.cumsum([len(x) for x in ats])]), np.concatenate(ats), np.concatenate(values)
 
 
 def _train(bits: int, epochs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(example, label) for batch in batches for example, label in zip(_examples(batch.column(1), bits), batch.column(0).to_pylist())]
+        runs, labels = [], []
+        for batch in batches:
+            runs += _examples(batch.column(1), bits)
+            labels += batch.column(0).to_pylist()
         model = Ftrl(bits)
         for _ in range(epochs):
-            for (at, value), label in rows:
-                model.learn(at, value, label)
+            label = iter(labels)
+            for bounds, at, value in runs:
+                for a, b in zip(bounds[:-1], bounds[1:]):
+                    model.learn(at[a:b], value[a:b], next(label))
         yield pa.RecordBatch.from_pydict({"model": [model.weights(slice(None)).astype("<f4").tobytes()]})
 
     return run
@@ -103,24 +114,20 @@ def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, epochs: i
     return models[0]["model"] if models else bytes(4 * ((1 << bits) + 1))
 
 
-def score(docs: DataFrame, model: bytes, bits: int = BITS) -> DataFrame:
-    """`docs` with a column `score`, the probability of label 1. A text without words gets the score of the bias alone."""
-    prepare(docs.sparkSession)
-    columns = docs.columns
-    read_as = next(c for c in (f"_text{i}" for i in range(len(columns) + 1)) if c not in columns)
-    schema = docs.select("*", F.lit(0.0).alias("score")).schema
+def score(text: Column, model: bytes, bits: int = BITS) -> Column:
+    """The probability of label 1 of a text. A null text, or one without words, gets the score of the bias alone.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.frombuffer(model, "<f4").astype(np.float64)
-        for batch in batches:
-            out = []
-            for _, _, data, offsets in text_chunks(batch.column(len(columns))):
-                text, index, count = features(data, offsets, bits)
-                raw = np.bincount(text, weights[index], len(count)) * (SCALE / np.maximum(count, 1)) + weights[-1]
-                out.append(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(columns)], pa.array(np.concatenate(out) if out else np.empty(0))], names=[*columns, "score"])
+    Only the text goes through Arrow, a few megabytes of features at a time; the rows stay where they are.
+    """
+    def run(texts: pa.Array) -> pa.Array:
+        weights, out = np.frombuffer(model, "<f4").astype(np.float64), [np.empty(0)]
+        for _, _, data, offsets in text_chunks(texts, CHUNK_BYTES):
+            text, index, count = features(data, offsets, bits)
+            raw = np.bincount(text, weights[index], len(count)) * (SCALE / np.maximum(count, 1)) + weights[-1]
+            out.append(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
+        return pa.array(np.concatenate(out))
 
-    return docs.withColumn(read_as, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, schema)
+    return F.arrow_udf(run, "double")(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -141,16 +148,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     Null and empty texts have no n-grams: they get the same score as each other. A null doc_id is scored like any
     other; its held_out is null. Rows repeated get equal scores. Columns other than doc_id and text are not read.
     """
-    scored = score(docs.select("doc_id", "text"), train_on(docs, labels, sample))
+    scored = docs.select("doc_id", score(F.col("text"), train_on(docs, labels, sample)).alias("score"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
-    """The weights fitted on the labels of `docs`."""
+    """The weights fitted on the labels of `docs`; of a doc_id that many rows share, what comes first by the hash counts."""
     return train(labelled(docs, labels, sample), sample)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The rows whose score reaches the threshold, with the columns they came with."""
-    scored = score(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text"), train_on(docs, labels, sample))
-    return scored.filter(F.col("score") >= threshold).select("row.*")
+    return docs.filter(score(F.col("text"), train_on(docs, labels, sample)) >= threshold)

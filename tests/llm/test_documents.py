@@ -400,7 +400,8 @@ def test_quality_scores_are_dot_products():
     model = np.random.default_rng(1).normal(size=(1 << 10) + 1).astype("<f4")
     text = "Some words here: some words!".encode()
     owner, index, count = quality.features(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 10)
-    (at, value), = quality._examples(__import__("pyarrow").array([text.decode()]), 10)
+    (bounds, at, value), = quality._examples(__import__("pyarrow").array([text.decode()]), 10)
+    assert bounds.tolist() == [0, len(at)]
     assert np.isclose(model[index].sum() * quality.SCALE / count[0] + model[-1], value @ model[at])
 
 
