@@ -9,6 +9,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from gridspark.operators.merge import one_value
+from gridspark.operators.running import rank_distinct
 from gridspark.operators.small import join_small
 
 
@@ -44,11 +45,21 @@ def axis_of(df: DataFrame, idx: str, coord: str) -> Axis:
 def sort_axis(df: DataFrame, coord: str, idx: str) -> DataFrame:
     """(Re)number cells by ascending coordinate (B4, B8) without sorting the cells.
 
-    Only the distinct coordinates, one row per axis position, pass through the ranking window.
+    Only the distinct coordinates are ranked, block by block, so an axis may have as many
+    positions as there are cells (swath coordinates). Cells without a coordinate have no place.
     """
-    axis = df.select(coord).distinct()
-    ranked = axis.withColumn(idx, (F.row_number().over(W.orderBy(coord)) - 1).cast("int"))
-    return join_small(df.drop(idx), ranked, coord)
+    return join_small(df.drop(idx), rank_distinct(df, coord, idx), coord)
+
+
+def shared_axis(df: DataFrame, coord: str, idx: str, tolerance: float) -> DataFrame:
+    """One ascending axis from the coordinates of many files (A2): `(coord, idx, _least_coord)` for every distinct coordinate.
+
+    Coordinates that lie within the tolerance of the next lower one are one position, whose
+    coordinate is the least of them; files may list them in either direction and overlap in part.
+    """
+    ranked = rank_distinct(df, coord, idx, tolerance)
+    least = ranked.groupBy(idx).agg(F.min(coord).alias(f"_least_{coord}"))
+    return join_small(ranked, least, idx)
 
 
 def block_factor(df: DataFrame, lat: str, lon: str, res: float) -> DataFrame:

@@ -123,6 +123,43 @@ def regrid_nearest(df: DataFrame, values: Sequence[str], source: tuple[Axis, Axi
     return with_coordinates(out, *target) if coordinates else out
 
 
+def _resize_weights(extents: DataFrame, size: int) -> DataFrame:
+    """Contributions `(n, src, tgt, w, need)` for each extent `n`: the first and last of n positions lie on those of the target axis.
+
+    Places are fractions of whole numbers, so an exact hit is exact.
+    """
+    steps = max(size - 1, 1)
+    tgt = extents.select("n", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("tgt"))
+    place = F.col("tgt").cast("long") * (F.col("n") - 1)
+    low, over = F.expr(f"place div {steps}"), F.col("place") % steps
+    share = over / F.lit(float(steps))
+    one = F.array(F.struct(F.col("low").alias("src"), F.lit(1.0).alias("w"), F.lit(1).alias("need")))
+    two = F.array(F.struct(F.col("low").alias("src"), (F.lit(1.0) - share).alias("w"), F.lit(2).alias("need")),
+                  F.struct((F.col("low") + 1).alias("src"), share.alias("w"), F.lit(2).alias("need")))
+    parts = tgt.withColumn("place", place).withColumn("low", low).withColumn("c", F.explode(F.when(over == 0, one).otherwise(two)))
+    return parts.select("n", F.col("c.src").cast("int").alias("src"), "tgt", "c.w", "c.need")
+
+
+def resize_frames(df: DataFrame, values: Sequence[str], n_lat: int, n_lon: int, dims: Sequence[str], shape: Sequence[str],
+                  frame: Sequence[str] = ("time",)) -> DataFrame:
+    """Frames of any stored extents `shape`, at positions `dims`, bilinearly onto an `n_lat` x `n_lon` grid: `(frame, i, j, values)`.
+
+    The corners of a frame lie on the corners of the grid. Weights are made for the distinct extents found, so
+    frames of mixed resolutions go through one plan; they meet the cells on extent and position. A target is
+    missing when any cell it rests on is missing, as a NULL or as an absent row.
+    """
+    (d0, d1), (n0, n1) = dims, shape
+    weights = []
+    for n, size, names in ((n0, n_lat, (d0, "i", "wi", "ni")), (n1, n_lon, (d1, "j", "wj", "nj"))):
+        table = _resize_weights(df.select(F.col(n).cast("int").alias("n")).filter("n > 0").distinct(), size)
+        weights.append(table.select(F.col("n").alias(n), F.col("src").alias(names[0]), F.col("tgt").alias(names[1]), F.col("w").alias(names[2]), F.col("need").alias(names[3])))
+    parts = join_small(join_small(df.select(*frame, d0, d1, n0, n1, *values), weights[0], [n0, d0]), weights[1], [n1, d1])
+    share = F.col("wi") * F.col("wj")
+    out = parts.groupBy(*frame, "i", "j").agg(*(F.sum(share * F.col(v)).alias(v) for v in values), *(F.count(v).alias(f"_n_{v}") for v in values),
+                                              F.max(F.col("ni") * F.col("nj")).alias("_need"))
+    return out.select(*frame, "i", "j", *(F.when(F.col(f"_n_{v}") == F.col("_need"), F.col(v)).alias(v) for v in values))
+
+
 def neighbour_features(df: DataFrame, values: Sequence[str], n_lat: int, n_lon: int, frame: Sequence[str] = ("t",)) -> DataFrame:
     """The values beside their 3x3 means `<value>_near`, as extra inputs of the lag model.
 

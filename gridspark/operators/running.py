@@ -56,3 +56,32 @@ def global_rank(df: DataFrame, order: str, lo: int, hi: int, ties: Sequence[str]
     block = F.floor((F.col(order) - F.lit(lo)) / F.lit(width)).cast("int")
     ranked = running(df, [], [order, *ties], block, {out: ("sum", F.lit(1).cast("long"))}, blocks=n_blocks)
     return ranked.withColumn(out, (F.col(out) - 1).cast("int"))
+
+
+def with_quantile_block(df: DataFrame, order: str, n_blocks: int = 1024, out: str = "_block") -> DataFrame:
+    """Add the block of each row in the order of a numeric column, from its quantiles: blocks hold about equally many rows.
+
+    The quantiles are merged sketches of fixed size. A value finds its block by binary search, which
+    reads one cut per halving.
+    """
+    steps = [1 << k for k in reversed(range(max(1, (n_blocks - 1).bit_length())))]
+    shares = [k / n_blocks for k in range(1, n_blocks)]
+    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, 10 * n_blocks)).scalar()
+    value = F.col(order).cast("double")
+    halve = lambda at, step: at + F.when(F.get(F.col("_cuts"), at + step - 1) <= value, step).otherwise(F.lit(0))
+    return df.withColumn("_cuts", cuts).withColumn(out, F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve)).drop("_cuts")
+
+
+def rank_distinct(df: DataFrame, column: str, out: str, tolerance: float | None = None, n_blocks: int = 64) -> DataFrame:
+    """The distinct values of a numeric column with their 0-based places in ascending order: `(column, out)`, NULL left out.
+
+    With a tolerance, a value at most that far above the one before it shares its place. Values are cut into
+    blocks by quantiles and ranked inside them; no more than the block totals meet in one task.
+    """
+    values = with_quantile_block(df.select(column).filter(F.col(column).isNotNull()).distinct(), column, n_blocks, "_part")
+    opens = F.lit(1).cast("long")
+    if tolerance is not None:
+        values = running(values, [], [column], F.col("_part"), {"_before": ("max", F.col(column))}, inclusive=False, blocks=n_blocks)
+        opens = F.when(F.col(column) - F.col("_before") <= F.lit(float(tolerance)), 0).otherwise(1).cast("long")
+    ranked = running(values, [], [column], F.col("_part"), {out: ("sum", opens)}, blocks=n_blocks)
+    return ranked.select(column, (F.col(out) - 1).cast("int").alias(out))

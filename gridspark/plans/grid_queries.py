@@ -185,7 +185,10 @@ def regular_axis(spark, d):
     return axis.table.join(counts, F.col("coord") == F.col("lat"), "left").select("idx", "coord", F.coalesce("n", F.lit(0).cast("long")).alias("n_cells"))
 
 
-@query("block_factor", "SELECT 5::INT AS factor FROM (SELECT count(*) AS n FROM cube) WHERE n > 0")
+@query("block_factor", """
+    SELECT round_even(0.5::DOUBLE / min(step), 0)::INT AS factor
+    FROM (SELECT max(c) - min(c) AS step FROM (SELECT 'lat' AS a, lat AS c, dense_rank() OVER (ORDER BY lat) AS k FROM cube
+                                               UNION ALL SELECT 'lon', lon, dense_rank() OVER (ORDER BY lon) FROM cube) WHERE k <= 2 GROUP BY a)""")
 def block_factor(spark, d):
     return axes.block_factor(cube(spark, d), "lat", "lon", 0.5)
 

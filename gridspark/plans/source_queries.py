@@ -15,6 +15,7 @@ from gridspark.plans.registry import query
 from gridspark.session import shared_dir
 from gridspark.sources import cube as cube_files, daily, fixed_width, history as histories, manifest
 from gridspark.streaming.ingest import ingest_incremental, read_days
+from gridspark.streaming.refill import read_filled, refill
 
 VALUES = list(v.CHANNELS)
 
@@ -201,6 +202,116 @@ def ingest_days(spark, d):
     return read_days(spark, f"{base}/dst", schema).select("time", "i", "j", "v_view")
 
 
+@query("refill_days", """
+    WITH stored_days AS (SELECT DISTINCT t FROM cube_wide WHERE t % 7 < 5 OR t = 12),
+         taken AS (SELECT y.t, coalesce((SELECT max(t) FROM stored_days WHERE t <= y.t), (SELECT min(t) FROM stored_days)) AS s FROM range(30) y(t))
+    SELECT (DATE '2024-01-01' + d.t::INT)::DATE AS time, c.i, c.j, c.v_view + CASE WHEN s % 10 = 4 OR s = 12 THEN 1000 ELSE 0 END AS v_view,
+           (DATE '2024-01-01' + s::INT)::DATE AS source_day, s = d.t AS is_original, s % 10 = 4 OR s = 12 AS rewritten
+    FROM taken d JOIN cube_wide c ON c.t = s""")
+def refill_days(spark, d):
+    """Days ingested and filled, then corrections and a late day: only the days that rest on them are written again."""
+    base = _fresh(spark)
+    schema = "time date, i int, j int, v_view double, delivery int"
+    ends = v.EPOCH, v.EPOCH + timedelta(days=v.N_TIME - 1)
+    cube = v.cube_wide(spark, d)
+
+    def deliver(cells, number):
+        cells.select("time", "i", "j", "v_view", F.lit(number).alias("delivery")).write.mode("append").partitionBy("delivery").parquet(f"{base}/src")
+        ingest_incremental(spark, f"{base}/src", f"{base}/dst", f"{base}/state", schema)
+        return refill(spark, f"{base}/dst", f"{base}/filled", schema, *ends)
+
+    deliver(cube.filter("t % 7 < 5"), 1)
+    again = deliver(cube.filter("(t % 10 = 4 AND t % 7 < 5) OR t = 12").withColumn("v_view", F.col("v_view") + 1000), 2)
+    filled = read_filled(spark, f"{base}/filled", schema)
+    return filled.select("time", "i", "j", "v_view", "source_day", "is_original", F.col("time").isin([day for day, _ in again]).alias("rewritten"))
+
+
+_GOOD = "d.s % 11 NOT IN (5, 8)"
+
+
+@query("resized_frames", f"""
+    WITH stored AS (SELECT t AS s, i AS d0, j AS d1, 7 AS n0, 9 AS n1, v_view FROM cube_wide WHERE t % 11 = 5 AND i < 7 AND j < 9
+                    UNION ALL SELECT t, i // 2, j // 2, 6, 12, v_view FROM cube_wide WHERE t % 11 = 8 AND i % 2 = 0 AND j % 2 = 0),
+         sizes AS (SELECT DISTINCT n0, n1 FROM stored),
+         w0 AS (SELECT n AS n0, (k * (n - 1)) // 11 + h AS d0, k::INT AS i, CASE WHEN h = 0 THEN 1 - ((k * (n - 1)) % 11) / 11.0::DOUBLE ELSE ((k * (n - 1)) % 11) / 11.0::DOUBLE END AS w
+                FROM (SELECT DISTINCT n0 AS n FROM sizes), range(12) x(k), range(2) y(h) WHERE h = 0 OR (k * (n - 1)) % 11 > 0),
+         w1 AS (SELECT n AS n1, (k * (n - 1)) // 23 + h AS d1, k::INT AS j, CASE WHEN h = 0 THEN 1 - ((k * (n - 1)) % 23) / 23.0::DOUBLE ELSE ((k * (n - 1)) % 23) / 23.0::DOUBLE END AS w
+                FROM (SELECT DISTINCT n1 AS n FROM sizes), range(24) x(k), range(2) y(h) WHERE h = 0 OR (k * (n - 1)) % 23 > 0),
+         needed AS (SELECT z.n0, z.n1, w0.d0, w1.d1, w0.i, w1.j, w0.w * w1.w AS w FROM sizes z JOIN w0 ON w0.n0 = z.n0 JOIN w1 ON w1.n1 = z.n1),
+         resized AS (SELECT f.s, n.i, n.j, CASE WHEN count(c.v_view) = count(*) THEN sum(n.w * c.v_view) END AS v_view
+                     FROM (SELECT DISTINCT s, n0, n1 FROM stored) f JOIN needed n ON n.n0 = f.n0 AND n.n1 = f.n1
+                     LEFT JOIN stored c ON c.s = f.s AND c.d0 = n.d0 AND c.d1 = n.d1 GROUP BY f.s, n.i, n.j)
+    SELECT (DATE '2024-01-01' + d.s::INT)::DATE AS time, d.s::INT AS t, a.i::INT AS i, b.j::INT AS j, round(CASE WHEN {_GOOD} THEN c.v_view ELSE r.v_view END, 6) + 0.0 AS v_view,
+           round(CASE WHEN {_GOOD} THEN c.v_click END, 6) + 0.0 AS v_click
+    FROM (SELECT DISTINCT t AS s FROM cube_wide) d CROSS JOIN range(12) a(i) CROSS JOIN range(24) b(j)
+    LEFT JOIN cube_wide c ON c.t = d.s AND c.i = a.i AND c.j = b.j LEFT JOIN resized r ON r.s = d.s AND r.i = a.i AND r.j = b.j""")
+def resized_frames(spark, d):
+    """Daily frames of three resolutions: the main variable is interpolated where the shape differs, the other is missing there."""
+    base = _fresh(spark)
+    cube = v.cube_wide(spark, d)
+    part, coarse = F.col("t") % 11 == 5, F.col("t") % 11 == 8
+    stored = cube.filter(~(part & ((F.col("i") >= 7) | (F.col("j") >= 9)))).filter(~(coarse & ((F.col("i") % 2 == 1) | (F.col("j") % 2 == 1)))).select(
+        F.concat(F.lit("OMI_"), F.date_format("time", "yyyyMMdd"), F.lit("_HCHO")).alias("name"),
+        F.when(coarse, F.expr("i div 2")).otherwise(F.col("i")).cast("int").alias("d0"), F.when(coarse, F.expr("j div 2")).otherwise(F.col("j")).cast("int").alias("d1"),
+        F.when(part, 7).when(coarse, 6).otherwise(v.N_LAT).alias("n0"), F.when(part, 9).when(coarse, 12).otherwise(v.N_LON).alias("n1"), "v_view", "v_click")
+    stored.write.partitionBy("name").parquet(base)
+    rows = daily.read_daily(spark, base, "d0 int, d1 int, n0 int, n1 int, v_view double, v_click double", lambda p: dates.file_date(daily.folder_name(p)))
+    cells = daily.daily_cube(rows, ["v_view", "v_click"], v.EPOCH, v.EPOCH + timedelta(days=v.N_TIME - 1), v.N_LAT, v.N_LON, ("d0", "d1"), ("n0", "n1"), resized=["v_view"])
+    return rounded(cells.select("time", "t", "i", "j", "v_view", "v_click"), ["v_view", "v_click"])
+
+
+DAMAGED = (4, 18)
+
+
+def _daily_files(spark, d):
+    """Daily files of the cube without every seventh day; of two days the file is no Parquet, and one file has no day in its name."""
+    base = _fresh(spark)
+    cube = v.cube_wide(spark, d).filter("t % 7 <> 6")
+    name = F.concat(F.lit("GC1SG1_"), F.date_format("time", "yyyyMMdd"), F.lit("_L2MG_PAR"))
+    whole = cube.filter(~F.col("t").isin(*DAMAGED)).withColumn("name", name)
+    whole.unionByName(cube.filter("t = 0").withColumn("name", F.lit("readme"))).select(
+        "name", F.col("i").alias("d0"), F.col("j").alias("d1"), F.lit(v.N_LAT).alias("n0"), F.lit(v.N_LON).alias("n1"), "v_view").write.partitionBy("name").parquet(base)
+    cube.filter(F.col("t").isin(*DAMAGED)).select(name.alias("name")).distinct().select("name", F.lit("PAR1, cut short").alias("value")).write.mode("append").partitionBy("name").text(base)
+    return base, "d0 int, d1 int, n0 int, n1 int, v_view double", lambda p: dates.file_date(daily.folder_name(p))
+
+
+@query("file_status", """
+    SELECT (DATE '2024-01-01' + t)::DATE AS time, CASE WHEN t IN (4, 18) THEN 'unread' ELSE 'read' END AS status,
+           CASE WHEN t IN (4, 18) THEN 0 ELSE count(*) END::BIGINT AS n_rows FROM cube_wide WHERE t % 7 <> 6 GROUP BY t
+    UNION ALL SELECT NULL, 'undated', count(*) FROM cube_wide WHERE t = 0""")
+def file_status(spark, d):
+    """What became of every listed file, by day."""
+    return daily.file_status(spark, *_daily_files(spark, d), pattern="*").groupBy("time", "status").agg(F.sum("n_rows").alias("n_rows"))
+
+
+@query("unread_frames", """
+    WITH stored_days AS (SELECT DISTINCT t FROM cube_wide WHERE t % 7 <> 6),
+         taken AS (SELECT y.t, coalesce((SELECT max(t) FROM stored_days WHERE t <= y.t), (SELECT min(t) FROM stored_days)) AS s FROM range(30) y(t))
+    SELECT (DATE '2024-01-01' + d.t::INT)::DATE AS time, d.t::INT AS t, a.i::INT AS i, b.j::INT AS j, CASE WHEN s NOT IN (4, 18) THEN c.v_view END AS v_view,
+           (DATE '2024-01-01' + s::INT)::DATE AS source_day, s = d.t AS is_original
+    FROM taken d CROSS JOIN range(12) a(i) CROSS JOIN range(24) b(j) LEFT JOIN cube_wide c ON c.t = s AND c.i = a.i AND c.j = b.j""")
+def unread_frames(spark, d):
+    """Files that cannot be read become frames without values; they are the frames of their days, and days copy them."""
+    base, schema, day = _daily_files(spark, d)
+    rows = daily.read_daily(spark, base, schema, day, tolerant=True)
+    unread = daily.unread_days(daily.file_status(spark, base, schema, day, pattern="*"))
+    return daily.daily_cube(rows, ["v_view"], v.EPOCH, v.EPOCH + timedelta(days=v.N_TIME - 1), v.N_LAT, v.N_LON, ("d0", "d1"), ("n0", "n1"), unread=unread)
+
+
+@query("combine_by_coords", """
+    SELECT time, (dense_rank() OVER (ORDER BY lat) - 1)::INT AS i, (dense_rank() OVER (ORDER BY lon) - 1)::INT AS j, lat, lon, v_view,
+           CASE WHEN lon > 115.05 + 0.95 THEN v_click END AS v_click FROM cube""")
+def combine_by_coords(spark, d):
+    """Two stored tiles that overlap, one from north to south with coordinates off by rounding, one with a variable more."""
+    base = _fresh(spark)
+    cube = v.with_latlon(v.cube_wide(spark, d))
+    cube.filter("j < 14").select("time", "lat", "lon", "v_view").orderBy("lat", "lon").write.parquet(f"{base}/west")
+    off = cube.filter("j >= 10").select("time", (F.col("lat") + 1e-9).alias("lat"), (F.col("lon") + F.when(F.col("j") < 14, 1e-9).otherwise(0.0)).alias("lon"), "v_view", "v_click")
+    off.orderBy(F.desc("lat"), "lon").write.parquet(f"{base}/east")
+    tiles = cube_files.read_cubes(spark, [f"{base}/west", f"{base}/east"])
+    return cube_files.combine_by_coords(tiles, ["v_view", "v_click"]).withColumns({c: F.round(c, 2) for c in ("lat", "lon")})
+
+
 @query("daily_product", """
     WITH stored_days AS (SELECT DISTINCT t FROM cube_wide WHERE t % 7 <> 6),
          taken AS (SELECT y.t, coalesce((SELECT max(t) FROM stored_days WHERE t <= y.t), (SELECT min(t) FROM stored_days)) AS s FROM range(30) y(t))

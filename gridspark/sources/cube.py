@@ -7,8 +7,10 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gridspark.functions.missing import nan_to_null
-from gridspark.operators.merge import merge_cubes
+from gridspark.operators.axes import shared_axis
+from gridspark.operators.merge import concat_time, merge_cubes
 from gridspark.operators.select import to_float32
+from gridspark.operators.small import join_small
 
 KEY_FIELDS = {
     "time": T.DateType(), "t": T.IntegerType(), "i": T.IntegerType(), "j": T.IntegerType(),
@@ -32,17 +34,33 @@ def read_cubes(spark: SparkSession, paths: Sequence[str] | str, keys: Sequence[s
     """Many files as one cube (A2); the result does not depend on file order.
 
     Columns may differ between files. With `schema` (see `cube_schema`) columns a file lacks
-    read as NULL and no footer is opened beforehand; without it the schemas are merged. With
-    `keys`, rows of the same cell from different files become one row; files that give a
-    variable different values in a cell are an error.
+    read as NULL and no footer is opened beforehand. Without it every path gives the schema of one
+    of its files, so columns may differ between paths but not below one. With `keys`, rows of the
+    same cell from different files become one row; files that give a variable different values in a
+    cell are an error. Files that carry coordinates instead of indices: `combine_by_coords`.
     """
-    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", "true")
-    df = reader.parquet(*([paths] if isinstance(paths, str) else sorted(paths)))
+    ordered = [paths] if isinstance(paths, str) else sorted(paths)
+    df = spark.read.schema(schema).parquet(*ordered) if schema is not None else concat_time([spark.read.parquet(p) for p in ordered])
     if keys is None:
         return df
     return merge_cubes([df], keys)
 
 
+def combine_by_coords(df: DataFrame, values: Sequence[str], tolerance: float = 1e-6, time: str | None = "time") -> DataFrame:
+    """Rows of many files that carry `lat` and `lon` only as one cube (A2): `(time, i, j, lat, lon, <values>)`.
+
+    The files' coordinates become one ascending axis each, whichever direction a file lists them in; those
+    within the tolerance are one position. Files may cover different, overlapping parts. A cell that several
+    files hold must have one value per variable, missing ones aside, else it is an error. Rows without a
+    coordinate have no cell and are left out.
+    """
+    lat, lon = (shared_axis(df, c, k, tolerance) for c, k in (("lat", "i"), ("lon", "j")))
+    placed = join_small(join_small(df, lat, "lat"), lon, "lon")
+    keys = [*([time] if time else []), "i", "j", "_least_lat", "_least_lon"]
+    merged = merge_cubes([placed.select(*keys, *values)], keys)
+    return merged.withColumnsRenamed({"_least_lat": "lat", "_least_lon": "lon"})
+
+
 def write_cube(df: DataFrame, path: str, partition: Sequence[str] = ("month",), values: Sequence[str] | None = None,
                mode: str = "overwrite") -> None:
     """Single precision, compressed, partitioned Parquet.
