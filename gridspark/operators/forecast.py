@@ -164,8 +164,8 @@ def last_lags(df: DataFrame, channels: Sequence[str], n_in: int, end: int, cell:
         F.max(F.when(F.col("t") == end - k, F.col(c))).alias(f"{c}_lag{k}") for c in channels for k in range(1, n_in + 1)))
 
 
-def rollout(state: DataFrame, model: LinearModel, n_in: int = 6, horizon: int = 10, cell: Sequence[str] = ("i", "j")) -> DataFrame:
-    """Predict, append, slide (E7): one row per cell and step 1 .. horizon.
+def rollout(state: DataFrame, model: LinearModel, n_in: int = 6, horizon: int = 10, cell: Sequence[str] = ("i", "j"), inputs: bool = False) -> DataFrame:
+    """Predict, append, slide (E7): one row per cell and step 1 .. horizon; with `inputs` also the steps 1 - n_in .. 0 it starts from.
 
     A cell needs only its own lags, so each Arrow batch is carried through all steps on its
     own, without a shuffle. Missing inputs are 0. `model` may be anything with `features`
@@ -179,6 +179,8 @@ def rollout(state: DataFrame, model: LinearModel, n_in: int = 6, horizon: int =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.nan_to_num(batch[lags].to_numpy(dtype=float)).reshape(len(batch), len(channels), n_in)
+            for step in range(1 - n_in, 1) if inputs else ():
+                yield batch[list(cell)].assign(step=step, **{c: x[:, k, -step] for k, c in enumerate(channels)})
             for step in range(1, horizon + 1):
                 y = apply(x.reshape(len(batch), -1)[:, use])
                 x = np.concatenate([y[:, :, None], x[:, :, :-1]], axis=2)
@@ -187,3 +189,16 @@ def rollout(state: DataFrame, model: LinearModel, n_in: int = 6, horizon: int =
     cells = T.StructType([state.schema[c] for c in cell])
     fields = T.StructType([*cells.fields, T.StructField("step", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in channels)])
     return state.select(*cell, *(F.col(c).cast("double").alias(c) for c in lags)).mapInPandas(run, fields)
+
+
+def rollout_scaled(state: DataFrame, model: LinearModel, scaler: Mapping[str, tuple[float, float]], n_in: int = 6, horizon: int = 10,
+                   cell: Sequence[str] = ("i", "j")) -> DataFrame:
+    """A rollout of a model of scaled channels, from and to physical units: steps 1 - n_in .. 0 are the input frames, 1 .. horizon the forecast.
+
+    `state` holds physical lags (see `last_lags`), missing ones count as 0 before scaling. `scaler` gives
+    (offset, divisor) per channel, as `models.load_model` does.
+    """
+    channels = list(model.targets)
+    scaled = state.withColumns({f"{c}_lag{k}": (F.coalesce(f"{c}_lag{k}", F.lit(0.0)) - F.lit(scaler[c][0])) / F.lit(scaler[c][1])
+                                for c in channels for k in range(1, n_in + 1)})
+    return rollout(scaled, model, n_in, horizon, cell, inputs=True).withColumns({c: F.col(c) * F.lit(scaler[c][1]) + F.lit(scaler[c][0]) for c in channels})

@@ -260,6 +260,17 @@ def stencil3x3(spark, d):
     return rounded(regrid.stencil(v.cube_wide(spark, d), ["v_view"], KERNEL, v.N_LAT, v.N_LON), ["v_view"])
 
 
+_KERNEL = {(a, b): 1 / (1 + abs(a) + abs(b)) for a in range(-3, 4) for b in range(-3, 4)}
+
+
+@query("stencil7x7", """
+    SELECT c.t, (c.i + a)::INT AS i, (c.j + b)::INT AS j, """ + ", ".join(f"round(sum(coalesce({c}, 0) / (1.0::DOUBLE + abs(a) + abs(b))), 6) + 0.0 AS {c}" for c in VALUES) + """
+    FROM cube_wide c, range(-3, 4) x(a), range(-3, 4) y(b) WHERE c.i + a BETWEEN 0 AND 11 AND c.j + b BETWEEN 0 AND 23 GROUP BY 1, 2, 3""")
+def stencil7x7(spark, d):
+    """A wide kernel over tiles with halos."""
+    return rounded(regrid.stencil_tiles(v.cube_wide(spark, d).select("t", "i", "j", *VALUES), VALUES, _KERNEL, v.N_LAT, v.N_LON, tile=8), VALUES)
+
+
 @query("neighbour_features", """
     WITH near AS (SELECT t, (i - di)::INT AS i, (j - dj)::INT AS j, sum(coalesce(v_view, 0)) / 9 AS m FROM cube_wide, (SELECT unnest([-1, 0, 1]) AS di), (SELECT unnest([-1, 0, 1]) AS dj)
                   WHERE i - di BETWEEN 0 AND 11 AND j - dj BETWEEN 0 AND 23 GROUP BY t, i - di, j - dj)

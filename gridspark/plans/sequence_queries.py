@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridspark.functions.missing import fill_missing
-from gridspark.operators import axes, forecast, history, quality, regrid, scaling, sequences
+from gridspark.operators import axes, forecast, history, metrics, quality, regrid, scaling, sequences
 from gridspark.operators.small import join_small
 from gridspark.plans import views as v
 from gridspark.plans.grid_queries import rounded
 from gridspark.plans.registry import query
 from gridspark.session import shared_dir
-from gridspark.sources import predictions, splits as split_files
+from gridspark.sources import models, predictions, splits as split_files
 
 VALUES = list(v.CHANNELS)
 _COLS = ", ".join(VALUES)
@@ -241,6 +242,17 @@ def user_metrics(spark, d):
     return rounded(forecast.score(scored(spark, d), {"mae": F.avg(gap), "worst": F.max(gap)}, by=["channel"]), ["mse", "mae", "worst"])
 
 
+@query("user_functions", f"""
+    WITH {_PAIRS}, h AS (SELECT channel, least(floor(abs(pred - target) / 0.25), 65535)::INT AS cell, count(*) AS n FROM pairs GROUP BY ALL),
+         c AS (SELECT channel, cell, sum(n) OVER (PARTITION BY channel ORDER BY cell) AS passed, sum(n) OVER (PARTITION BY channel) AS total FROM h),
+         q AS (SELECT channel, (min(cell) + 1) * 0.25::DOUBLE AS median_error FROM c WHERE passed >= 0.5 * total GROUP BY channel),
+         m AS (SELECT *, avg(target) OVER (PARTITION BY channel) AS mu FROM pairs)
+    SELECT channel, any_value(median_error) AS median_error, round(1 - sum(pow(pred - target, 2)) / sum(pow(target - mu, 2)), 6) AS skill FROM m JOIN q USING (channel) GROUP BY channel""")
+def user_functions(spark, d):
+    """Metrics that are functions of whole outputs: no aggregate column states them."""
+    return rounded(metrics.score_functions(scored(spark, d), {"median_error": metrics.QuantileError(0.5, 0.25), "skill": metrics.Skill()}, by=["channel"]), ["skill"])
+
+
 @query("rollout_persistence", "SELECT a.i::INT AS i, b.j::INT AS j, h::INT AS step, " + ", ".join(f"round(coalesce(max({c}), 0), 6) + 0.0 AS {c}" for c in VALUES) +
        " FROM range(12) a(i) CROSS JOIN range(24) b(j) CROSS JOIN range(1, 11) r(h) LEFT JOIN cube_wide c ON c.i = a.i AND c.j = b.j AND c.t = 29 GROUP BY a.i, b.j, h")
 def rollout_persistence(spark, d):
@@ -276,7 +288,42 @@ def lag_model_mse(spark, d):
     return rounded(scores, ["mse", "mse_persistence"])
 
 
-@query("lag_model_scores")
+def least_squares(rows: str, features: list[str], targets: list[str]) -> str:
+    """CTEs `beta(r, b)` and `base(a)` in SQL: for each feature the list of its weights by target, and the intercepts by target.
+
+    The normal equations of the view `rows`, in units of the features' deviations, solved by elimination: a step per
+    feature divides the pivot row and clears its column in all others.
+    """
+    p, n = len(features), len(features) + len(targets)
+    line = lambda f: "[" + ", ".join(f"covar_pop({f}, {g}) / stddev_pop({f}) / stddev_pop({g})" for g in features) + ", " + ", ".join(f"covar_pop({f}, {y}) / stddev_pop({f})" for y in targets) + "]"
+    return f"""
+        moments AS (SELECT [{", ".join(line(f) for f in features)}] AS m, [{", ".join(f"stddev_pop({f})" for f in features)}] AS s, [{", ".join(f"avg({f})" for f in features)}] AS mf,
+                           [{", ".join(f"avg({y})" for y in targets)}] AS my FROM {rows}),
+        solved(step, r, line) AS (
+            SELECT 1, r::INT, m[r] FROM moments, range(1, {p + 1}) x(r)
+            UNION ALL
+            SELECT step + 1, r, CASE WHEN r = step THEN list_transform(line, lambda x: x / line[step])
+                                     ELSE list_transform(range(1, {n + 1}), lambda k: line[k] - line[step] * top[k] / top[step]) END
+            FROM (SELECT step, r, line, max(CASE WHEN r = step THEN line END) OVER () AS top FROM solved WHERE step <= {p})),
+        beta AS (SELECT r, list_transform(line[{p + 1}:{n}], lambda x: x / s[r]) AS b FROM solved, moments WHERE step = {p + 1}),
+        base AS (SELECT list_transform(range(1, {len(targets) + 1}), lambda k: my[k] - list_sum(list_transform(bs, lambda x: x.b[k] * mf[x.r]))) AS a
+                 FROM moments, (SELECT list({{'r': r, 'b': b}} ORDER BY r) AS bs FROM beta))"""
+
+
+_LAGS = forecast.lag_names(VALUES, v.N_IN)
+_LAGGED = ("filled AS (SELECT t, i, j, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in VALUES) + " FROM cube_wide), lagged AS (SELECT c.*, " +
+           ", ".join(f"coalesce(l{k}.{c}, 0) AS {c}_lag{k}" for c in VALUES for k in range(1, v.N_IN + 1)) + " FROM filled c " +
+           " ".join(f"LEFT JOIN filled l{k} ON l{k}.t = c.t - {k} AND l{k}.i = c.i AND l{k}.j = c.j" for k in range(1, v.N_IN + 1)) + f" WHERE c.t >= {v.N_IN})")
+
+
+@query("lag_model_scores", f"""
+    WITH RECURSIVE {_LAGGED}, placed AS (SELECT l.*, s.split FROM lagged l JOIN splits s ON s.seq_start = l.t - {v.N_IN}), train AS (SELECT * FROM placed WHERE split = 'train'),
+    {least_squares("train", _LAGS, VALUES)},
+    scored AS (SELECT split, [{", ".join(VALUES)}] AS y, [{", ".join(f"{c}_lag1" for c in VALUES)}] AS last, [{", ".join(_LAGS)}] AS f FROM placed),
+    fitted AS (SELECT split, y, last, list_transform(range(1, {len(VALUES) + 1}), lambda k: a[k] + list_sum(list_transform(bs, lambda x: x.b[k] * f[x.r]))) AS pred
+               FROM scored, base, (SELECT list({{'r': r, 'b': b}} ORDER BY r) AS bs FROM beta))
+    SELECT split, ['{"', '".join(VALUES)}'][k] AS channel, round(avg(pow(pred[k] - y[k], 2)), 6) AS mse, round(avg(pow(last[k] - y[k], 2)), 6) AS mse_persistence
+    FROM fitted, range(1, {len(VALUES) + 1}) x(k) GROUP BY split, k""")
 def lag_model_scores(spark, d):
     """Six lags of all channels, fitted on the training sequences, against persistence, per split and channel."""
     cube = fill_missing(v.cube_wide(spark, d).drop("time"), VALUES)
@@ -291,7 +338,17 @@ def lag_model_scores(spark, d):
     return rounded(scores, ["mse", "mse_persistence"])
 
 
-@query("lag_model_neighbours")
+_NEAR_LAGS = forecast.lag_names(["v_view", "v_view_near"], 2)
+
+
+@query("lag_model_neighbours", f"""
+    WITH RECURSIVE shares AS (SELECT t, i + a - 1 AS i, j + b - 1 AS j, coalesce(v_view, 0) / 9 AS near, CASE WHEN a = 1 AND b = 1 THEN v_view END AS own
+                              FROM cube_wide, range(3) x(a), range(3) y(b)),
+    near AS (SELECT t, i, j, max(own) AS v_view, sum(near) AS v_view_near FROM shares WHERE i BETWEEN 0 AND 11 AND j BETWEEN 0 AND 23 GROUP BY t, i, j),
+    lagged AS (SELECT c.*, {", ".join(f"coalesce(l{k}.{c}, 0) AS {c}_lag{k}" for c in ("v_view", "v_view_near") for k in (1, 2))} FROM near c
+               LEFT JOIN near l1 ON l1.t = c.t - 1 AND l1.i = c.i AND l1.j = c.j LEFT JOIN near l2 ON l2.t = c.t - 2 AND l2.i = c.i AND l2.j = c.j WHERE c.t >= 2 AND c.v_view IS NOT NULL),
+    {least_squares("lagged", _NEAR_LAGS, ["v_view"])}
+    SELECT 'v_view' AS target, ['{"', '".join(_NEAR_LAGS)}'][r] AS feature, round(b[1], 6) + 0.0 AS value FROM beta UNION ALL SELECT 'v_view', 'intercept', round(a[1], 6) + 0.0 FROM base""")
 def lag_model_neighbours(spark, d):
     """Coefficients of a model that also sees the surroundings of a cell."""
     cube = regrid.neighbour_features(v.cube_wide(spark, d), ["v_view"], v.N_LAT, v.N_LON)
@@ -327,6 +384,39 @@ def rollout_lag_model(spark, d):
     return rounded(forecast.rollout(state, model, 1, 10), ["v_view"])
 
 
+def _weight(target: str, channel: str, lag: int) -> float:
+    return (0.3 if target == channel else 0.02) / lag
+
+
+_WEIGHTS = {c: [_weight(c, o, k) for o in VALUES for k in range(1, v.N_IN + 1)] for c in VALUES}
+_N = v.N_IN
+
+
+@query("rollout_stored", f"""
+    WITH RECURSIVE {_SCALER_SQL}, p AS (SELECT {", ".join(f"max(CASE WHEN channel = '{c}' THEN m END) AS m_{c}, max(CASE WHEN channel = '{c}' THEN s END) AS s_{c}" for c in VALUES)} FROM sc),
+    start AS (SELECT a.i::INT AS i, b.j::INT AS j, {", ".join(f"coalesce(max(CASE WHEN t = {v.N_TIME - k} THEN {c} END), 0) AS {c}_lag{k}" for c in VALUES for k in range(1, _N + 1))}
+              FROM range(12) a(i) CROSS JOIN range(24) b(j) LEFT JOIN cube_wide c ON c.i = a.i AND c.j = b.j GROUP BY a.i, b.j),
+    r(step, i, j, x) AS (
+        SELECT 0, i, j, [{", ".join(f"({c}_lag{k} - m_{c}) / s_{c}" for c in VALUES for k in range(1, _N + 1))}] FROM start, p
+        UNION ALL
+        SELECT step + 1, i, j, {" || ".join(f"[0.01::DOUBLE + {' + '.join(f'{w!r}::DOUBLE * x[{n + 1}]' for n, w in enumerate(_WEIGHTS[c]))}] || x[{_N * q + 1}:{_N * q + _N - 1}]" for q, c in enumerate(VALUES))}
+        FROM r WHERE step < 10)
+    SELECT i, j, step::INT AS step, {", ".join(f"round(x[{_N * q + 1}] * s_{c} + m_{c}, 6) + 0.0 AS {c}" for q, c in enumerate(VALUES))} FROM r, p WHERE step > 0
+    UNION ALL
+    SELECT i, j, (1 - k)::INT, {", ".join(f"round(x[{_N * q}::BIGINT + k] * s_{c} + m_{c}, 6) + 0.0" for q, c in enumerate(VALUES))} FROM r, p, range(1, {_N + 1}) y(k) WHERE step = 0""")
+def rollout_stored(spark, d):
+    """A model of six lags of all channels and its scaler, stored twice and read back in its newest version, rolled out in physical units."""
+    path = f"{shared_dir(spark)}/gridspark-{uuid.uuid4().hex}"
+    cube = fill_missing(v.cube_wide(spark, d).drop("time"), VALUES)
+    scaler = models.scaler_numbers(scaling.fit_scaler(cube, train_starts(spark), VALUES, n_starts=v.N_SEQ))
+    models.save_model(spark, path, forecast.persistence(VALUES, v.N_IN), scaler)
+    coefficients = np.array([_WEIGHTS[c] for c in VALUES])
+    models.save_model(spark, path, forecast.LinearModel(tuple(_LAGS), tuple(VALUES), coefficients, np.full(len(VALUES), 0.01)), scaler)
+    stored = models.load_model(spark, path)
+    state = forecast.last_lags(cube, VALUES, v.N_IN, v.N_TIME, cells=axes.grid(spark, v.N_LAT, v.N_LON))
+    return rounded(forecast.rollout_scaled(state, stored.model, stored.scaler, v.N_IN, 10), VALUES)
+
+
 @query("split_files_roundtrip", "SELECT split, pos, seq_start FROM splits")
 def split_files_roundtrip(spark, d):
     """The splits written and read back."""

@@ -202,6 +202,8 @@ def _prefixed(sql: str) -> str:
     if not ctes:
         return sql
     # a query that brings its own WITH continues the list
+    if sql.lstrip().upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join(ctes) + ", " + sql.lstrip()[len("WITH RECURSIVE "):]
     if sql.lstrip().upper().startswith("WITH "):
         return "WITH " + ", ".join(ctes) + ", " + sql.lstrip()[5:]
     return "WITH " + ", ".join(ctes) + " " + sql
