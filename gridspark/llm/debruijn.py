@@ -1,7 +1,7 @@
 """Substring dedup (5): compaction of the de Bruijn graph of the words.
 
 An edge is a window of `k` words, a k-mer. Consecutive edges that share least run of about k/3
-words, the seed lie on one path without leaving its neighbourhood, and are compacted into one row: its seed,
+words, the seed, lie on one path without leaving its neighbourhood, and are compacted into one row: its seed,
 the hash of all its words, its source document and position. Paths that occur at least twice
 repeat as a whole. Paths that share a seed with another but differ branch somewhere; only those
 are unfolded, at their source coordinates, into edges, which are counted one by one. Every edge
@@ -57,7 +57,7 @@ def paths_of(words: Words, k: int) -> tuple[np.ndarray, ...]:
     edges = np.add.reduceat(valid.astype(np.int64), start)
     # a stretch without edges between two paths belongs to none: reduceat adds zeros there
     seed = keys[at[start]]
-    path = spans(hashes, start, start + edges + k - 1, seed=1) ^ mix((at[start] - start).astype(np.uint64), 2)
+    path = spans(words.hashes(1), start, start + edges + k - 1, seed=1) ^ mix((at[start] - start).astype(np.uint64), 2)
     text = words.doc[start]
     return text, start - words.first[text], edges, seed, path
 
@@ -91,7 +91,7 @@ def _unfold(k: int):
                 which = np.repeat(np.arange(b - a), n)
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = starts[a:b][which] + step
-                edge = windows(words.hashes(), k, seed=1)[words.first[text[which]] + at]
+                edge = windows(words.hashes(1), k, seed=1)[words.first[text[which]] + at]
                 own = text[which] + row
                 yield pa.RecordBatch.from_pydict({
                     "seed": pa.array(seeds[a:b][which]), "edge": pa.array(edge.view(np.int64)), "n": pa.array(counts[a:b][which]),

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridspark.llm.components import components
 from gridspark.llm.store import Scratch
@@ -86,8 +86,8 @@ def _sketches(k: int, bands: int, rows: int):
                 held = np.repeat(np.stack([size > 0, repeated], axis=1), bands, axis=1)
                 where = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(row, n), pa.array(size.astype(np.int32)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(where), pa.array(band[held].view(np.int64)))], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                    batch.column(0).slice(row, n), batch.column(2).slice(row, n), pa.array(size.astype(np.int32)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(where), pa.array(band[held].view(np.int64)))], names=["doc_id", "tag", "n_shingles", "set_a", "set_b", "bands"])
 
     return run
 
@@ -120,26 +120,40 @@ def similarities(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return joined.mapInArrow(_similarity(k), "a long, b long, similarity double")
 
 
+def tag(text: Column) -> Column:
+    """The first 128 bits of a text's SHA-256: with the doc_id it tells the texts of one doc_id apart."""
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+
+
 def near_dedup(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id reachable through links), kept (doc_id = class_id), n_shingles.
 
     Two texts are linked if the Jaccard similarity of their sets of k-word shingles is at least `threshold`; equal
     sets are one class from the start. A text shorter than k words is one shingle. Texts without words (null, empty,
     white space) link with nothing: class_id is their own doc_id. A null doc_id takes the class of an equal set that
-    has an id, else class_id is null and it stays. Rows repeated share their class and `kept`. Other columns are
-    not read.
+    has an id, else class_id is null and it stays. Rows repeated share their class and `kept`; different texts of one
+    doc_id are documents of their own, each with its own links. Other columns are not read.
     """
+    return _near_dedup(docs, k, threshold, bands, rows).drop("tag")
+
+
+def _near_dedup(docs: DataFrame, k: int, threshold: float, bands: int, rows: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sketches = scratch.keep(texts.mapInArrow(_sketches(k, bands, rows), "doc_id long, n_shingles int, set_a long, set_b long, bands array<long>"), "sketches")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.withColumn("tag", tag(F.col("text")))
+    sketches = scratch.keep(texts.mapInArrow(_sketches(k, bands, rows), "doc_id long, tag binary, n_shingles int, set_a long, set_b long, bands array<long>"), "sketches")
     worded = sketches.filter("n_shingles > 0")
-    classes = scratch.keep(worded.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
-    heads = worded.filter("doc_id is not null").join(classes.select("set_a", "set_b", F.col("id").alias("doc_id")).hint("merge"), ["doc_id", "set_a", "set_b"], "left_semi")
-    banded = heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")).distinct()
+    # a class is a set of shingles: it has a number of its own, the text of one of its rows, and the least doc_id
+    source = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tag")))
+    classes = scratch.keep(worded.groupBy("set_a", "set_b").agg(source.alias("source")).select(
+        "set_a", "set_b", "source.*", F.monotonically_increasing_id().alias("id")), "classes")
+    numbered = classes.filter("doc_id is not null").select("doc_id", "tag", "id")
+    heads = worded.select("doc_id", "tag", "bands").join(numbered.hint("merge"), ["doc_id", "tag"])
+    banded = heads.select("id", F.explode("bands").alias("band")).distinct()
     buckets = scratch.keep(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band"), "buckets")
     roster = scratch.keep(banded.join(buckets.hint("merge"), "band", "left_semi"), "roster")
-    compared = texts.withColumnRenamed("doc_id", "id").join(roster.select("id").distinct().hint("merge"), "id", "left_semi")
-    compared = scratch.keep(compared.groupBy("id").agg(F.min("text").alias("text")), "texts")
+    wanted = numbered.join(roster.select("id").distinct().hint("merge"), "id", "left_semi")
+    compared = scratch.keep(texts.join(wanted.hint("merge"), ["doc_id", "tag"]).groupBy("id").agg(F.min("text").alias("text")), "texts")
 
     links = found = None
     for turn in range(STARS):
@@ -158,11 +172,14 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD,
     if not more.isEmpty():
         found = components(links.unionByName(more), scratch, "components-all")
 
-    own = classes.join(found.withColumnRenamed("id", "_id").hint("merge"), F.col("id") == F.col("_id"), "left").select(
-        "set_a", "set_b", F.coalesce("component", "id").alias("class_id"))
-    known = worded.select("doc_id", "n_shingles", "set_a", "set_b").join(own.hint("merge"), ["set_a", "set_b"]).select("doc_id", "class_id", "n_shingles")
-    out = known.unionByName(sketches.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), "n_shingles"))
-    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_shingles")
+    member = scratch.keep(numbered.select("doc_id", "id").join(found.hint("merge"), "id"), "members")
+    least = member.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    linked = member.select("id", "component").join(least.hint("merge"), "component").select(F.col("id").alias("_id"), "class_id")
+    own = classes.select("set_a", "set_b", "id", "doc_id").join(linked.hint("merge"), F.col("id") == F.col("_id"), "left").select(
+        "set_a", "set_b", F.coalesce("class_id", "doc_id").alias("class_id"))
+    known = worded.select("doc_id", "tag", "n_shingles", "set_a", "set_b").join(own.hint("merge"), ["set_a", "set_b"]).select("doc_id", "tag", "class_id", "n_shingles")
+    out = known.unionByName(sketches.filter("n_shingles = 0").select("doc_id", "tag", F.col("doc_id").alias("class_id"), "n_shingles"))
+    return out.select("doc_id", "tag", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_shingles")
 
 
 def _placed(roster: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -228,7 +245,11 @@ def _prefix_pairs(scratch: Scratch, roster: DataFrame, found: DataFrame, texts:
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that stay, one of each class, with all their columns; rows of one doc_id stay together, rows without one stay."""
-    stays = near_dedup(docs, k, threshold).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    with_id = docs.filter("doc_id is not null").join(stays.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
-    return with_id.unionByName(docs.filter("doc_id is null"))
+    """The documents that stay, one of each class, with all their columns.
+
+    Of a class the rows with its least doc_id stay; a doc_id's texts of other classes are judged by theirs. Rows
+    without a doc_id stay.
+    """
+    stays = _near_dedup(docs, k, threshold, BANDS, ROWS).filter("kept").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    mine = (F.col("doc_id") == F.col("_id")) & (tag(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_tag"))
+    return docs.filter("doc_id is not null").join(stays.hint("merge"), mine, "left_semi").unionByName(docs.filter("doc_id is null"))

@@ -1,8 +1,9 @@
 """Words and k-word hashes of whole text columns, in numpy over the Arrow buffers.
 
-A word is a maximal run of bytes other than space and 0x09-0x0D. Hashes are polynomials
-over the bytes (or word hashes) modulo 2^64, taken as differences of prefix sums, so that
-one pass serves words and windows of any length. Two seeds give independent hashes.
+A word is a maximal run of bytes other than space and 0x09-0x0D. The hash of a word is a sum of random numbers,
+one for each byte at its place in the word. Runs of words are hashed by polynomials over the word hashes modulo
+the prime 2^61 - 1, taken as differences of prefix sums, so that one pass serves runs of any length. Sums and
+polynomials of two seeds share nothing, so together they are hashes of about 122 bits.
 """
 
 from __future__ import annotations
@@ -13,10 +14,14 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 4 << 20
+#: Modulus of the polynomials, and their bases.
+PRIME = (1 << 61) - 1
+_BASES = (0x1E3779B97F4A7C15 % PRIME, 0x0761D6478BD642F1 % PRIME)
+#: Places in a word whose numbers are tabulated; later ones are computed.
+_PLACES = 64
 _U = np.uint64
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_numbers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -27,27 +32,54 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below 2^61, from halves that never overflow 64 bits."""
+    a1, a0, b1, b0 = a >> _U(31), a & _U(0x7FFFFFFF), b >> _U(31), b & _U(0x7FFFFFFF)
+    middle = a1 * b0 + a0 * b1
+    # 2^62 is 2 and 2^61 is 1 in this modulus
+    total = ((a1 * b1) << _U(1)) + (middle >> _U(30)) + ((middle & _U(0x3FFFFFFF)) << _U(31)) + a0 * b0
+    total = (total & _U(PRIME)) + (total >> _U(61))
+    return np.where(total >= PRIME, total - _U(PRIME), total)
+
+
 def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of `base` and of its inverse modulo 2^64, at least n of them."""
+    """Powers of `base` and of its inverse modulo the prime, at least n of them."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        have = _powers[base] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
+        size, both = 1 << max(16, (n - 1).bit_length()), []
+        for b in (base, pow(base, -1, PRIME)):
+            power = np.ones(1, np.uint64)
+            while len(power) < size:
+                power = np.concatenate([power, times(power, np.full(len(power), pow(b, len(power), PRIME), np.uint64))])
+            both.append(power)
+        have = _powers[base] = (both[0], both[1])
     return have
 
 
 def prefix(values: np.ndarray, base: int) -> np.ndarray:
-    """out[i]: the polynomial of the first i values."""
+    """out[i]: the polynomial of the first i values, which are below 2^61."""
+    terms = times(values, _power(base, len(values) + 1)[0][: len(values)])
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _power(base, len(values) + 1)[0][: len(values)], out=out[1:])
+    # sums of the upper and lower halves stay below 2^64 for 2^32 terms
+    low, high = np.cumsum(terms & _U(0xFFFFFFFF), dtype=np.uint64), np.cumsum(terms >> _U(32), dtype=np.uint64)
+    out[1:] = (_shift32(high) + low % _U(PRIME)) % _U(PRIME)
     return out
 
 
+def _shift32(x: np.ndarray) -> np.ndarray:
+    """x * 2^32 modulo the prime."""
+    return ((x >> _U(29)) % _U(PRIME) + ((x & _U(0x1FFFFFFF)) << _U(32))) % _U(PRIME)
+
+
 def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     """Polynomials of values[start:end]."""
-    return (sums[end] - sums[start]) * _power(base, len(sums))[1][start]
+    gap = sums[end] + (_U(PRIME) - sums[start])
+    return times(np.where(gap >= PRIME, gap - _U(PRIME), gap), _power(base, len(sums))[1][start])
+
+
+def _number(byte: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    """The random number of a byte at a place."""
+    return mix(mix(byte.astype(np.uint64) + (place.astype(np.uint64) << _U(8)), 11 + seed), 13 + seed)
 
 
 #: Kinds of bytes: 0 is white space; a word is a run of one kind. PLAIN knows one kind, FINE tells
@@ -78,26 +110,40 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self) -> np.ndarray:
-        sums = prefix(self.data.astype(np.uint64) + _U(1), _BYTE_BASE)
-        return mix(between(sums, self.start, self.end, _BYTE_BASE))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash per word; the hashes of different seeds share nothing."""
+        if seed not in _numbers:
+            _numbers[seed] = _number(np.tile(np.arange(256), _PLACES), np.repeat(np.arange(_PLACES), 256), seed)
+        begin = np.zeros(len(self.data), np.int32)
+        begin[self.start] = self.start
+        place = np.arange(len(self.data), dtype=np.int32) - np.maximum.accumulate(begin)
+        number = _numbers[seed][np.minimum(place, _PLACES - 1) * 256 + self.data]
+        late = np.flatnonzero(place >= _PLACES)
+        number[late] = _number(self.data[late], place[late], seed)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(number, dtype=np.uint64)])
+        return mix(sums[self.end] - sums[self.start] + (self.end - self.start).astype(np.uint64), seed)
 
     def left(self) -> np.ndarray:
         """For every word, how many words of its text begin here or later."""
         return self.first[self.doc + 1] - np.arange(len(self.start))
 
 
+def _reduced(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Word hashes as values of a polynomial."""
+    return mix(hashes, seed) >> _U(3)
+
+
 def windows(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hash of k consecutive word hashes at each position that has k of them; texts are not told apart."""
     if len(hashes) < k:
         return np.empty(0, np.uint64)
     at = np.arange(len(hashes) - k + 1)
-    return mix(between(prefix(mix(hashes, seed), _WORD_BASES[seed]), at, at + k, _WORD_BASES[seed]), seed)
+    return mix(between(prefix(_reduced(hashes, seed), _BASES[seed]), at, at + k, _BASES[seed]), seed)
 
 
 def spans(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Hash of the word hashes in each start:end."""
-    return mix(between(prefix(mix(hashes, seed), _WORD_BASES[seed]), start, end, _WORD_BASES[seed]) + (end - start).astype(np.uint64), seed)
+    """Hash of the word hashes in each start:end, and of their number."""
+    return mix(between(prefix(_reduced(hashes, seed), _BASES[seed]), start, end, _BASES[seed]) + ((end - start).astype(np.uint64) << _U(61)), seed)
 
 
 def cuts(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gridspark.llm import byte_bpe, crf_pii, debruijn, exact_dedup, license_scan, masked_lm, packing, prob_minhash, quality, token_ids
+from gridspark.llm.words import PRIME, prefix, times
 
 SF = entry.SMOKE_DIR
 PATTERN = public_tokenizers.PATTERN
@@ -216,6 +217,45 @@ def test_near_dedup_edge(edge, empty):
     assert prob_minhash.near_dedup(empty).count() == 0
 
 
+def test_near_dedup_texts_of_one_id(spark):
+    """Different texts of a doc_id have links of their own, and one of each class stays."""
+    x, y = ([f"{c}{n}" for n in range(60)] for c in "xy")
+    rows = [(1, " ".join(x)), (7, " ".join(x + ["z"])), (7, " ".join(y)), (9, " ".join(y + ["q"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter((r["doc_id"], r["class_id"], r["kept"]) for r in prob_minhash.near_dedup(df).collect()) == Counter([(1, 1, True), (7, 1, False), (7, 7, True), (9, 7, False)])
+    assert sorted((r["doc_id"], r["text"]) for r in prob_minhash.keep_one(df).collect()) == sorted([rows[0], rows[2]])
+    assert {r["text"] for r in prob_minhash.keep_one(df.filter(F.col("doc_id") < 8).filter(~F.col("text").endswith("z") | (F.col("doc_id") == 7))).collect()} == {rows[0][1], rows[2][1]}
+
+
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_and_runs_that_differ_have_different_hashes(spark):
+    """Words, and runs of words, that polynomials modulo a power of two cannot tell apart."""
+    a, b = thue_morse(10)
+    near = spark.createDataFrame([(1, " ".join([a] * 5)), (2, " ".join([b] * 5))], "doc_id long, text string")
+    assert {r["class_id"] for r in prob_minhash.near_dedup(near).collect()} == {1, 2}
+    texts = {1: " ".join([a] + [f"w{n}" for n in range(40)]), 2: " ".join([f"w{n}" for n in range(40)][:20] + [b] + [f"w{n}" for n in range(20, 40)])}
+    texts |= {3: " ".join([a, *a[:40]]), 4: " ".join([b, *a[:40]]), 5: " ".join(["p", *a, *"xyz"]), 6: " ".join(["p", *b, *"xyz"])}
+    got = debruijn.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).withColumn("h", F.sha2(F.col("kept_text").cast("binary"), 256))
+    assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "h").collect()), key=repr) == brute_repeats(texts.items())
+
+
+def test_polynomials_are_modulo_a_prime():
+    rng = np.random.default_rng(4)
+    a, b = (np.concatenate([rng.integers(0, PRIME, 500, dtype=np.uint64), np.array([0, 1, PRIME - 1], np.uint64)]) for _ in range(2))
+    assert times(a, b).tolist() == [int(x) * int(y) % PRIME for x, y in zip(a, b)]
+    sums, base, total, want = prefix(a, 12345), 12345, 0, [0]
+    for k, x in enumerate(a.tolist()):
+        total = (total + x * pow(base, k, PRIME)) % PRIME
+        want.append(total)
+    assert sums.tolist() == want
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(2)
     value = rng.integers(0, 2**63, 300).astype(np.uint64)
