@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridspark.operators.running import running
-from gridspark.operators.small import join_small
 
 
 def early_stopping(df: DataFrame, run: str = "run", epoch: str = "epoch", metric: str = "metric", patience: int = 20,
@@ -27,7 +26,10 @@ def early_stopping(df: DataFrame, run: str = "run", epoch: str = "epoch", metric
 
 def stop_summary(marked: DataFrame, run: str = "run", epoch: str = "epoch", metric: str = "metric") -> DataFrame:
     """Per run: first epoch at which training would stop, and the best epoch and metric up to then."""
-    stop = marked.groupBy(run).agg(F.min(F.when(F.col("should_stop"), F.col(epoch))).alias("stop_epoch"))
-    bests = join_small(marked.filter("is_best"), stop, run).filter(F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch")))
-    best = bests.groupBy(run).agg(F.min(metric).alias("best_metric"), F.max(epoch).alias("best_epoch"))
-    return stop.join(best, run, "left")
+    e = F.col(epoch)
+    at = F.struct(e.alias("epoch"), (e - F.col("epochs_since_best")).alias("best"))
+    ends = marked.groupBy(run).agg(F.min(F.when(F.col("should_stop"), at)).alias("stop"), F.max(at).alias("last"))
+    best = ends.select(run, F.col("stop.epoch").alias("stop_epoch"), F.coalesce("stop.best", "last.best").alias("best_epoch"))
+    found = marked.filter("is_best").select(run, e.alias("best_epoch"), F.col(metric).alias("best_metric"))
+    return best.join(found, [run, "best_epoch"], "left").select(
+        run, "stop_epoch", "best_metric", F.when(F.col("best_metric").isNotNull(), F.col("best_epoch")).alias("best_epoch"))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridspark.operators.small import join_small
 
+#: Rows of known number that one task may order.
+ONE_TASK_ROWS = 100_000
 _TOTAL = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -33,8 +35,12 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Col
     like any other. `inclusive=False` leaves out the row itself. `blocks` bounds the blocks of all
     keys, where known: then their totals are broadcast. Otherwise Spark picks the join of rows and
     block totals from the sizes it finds at run time.
+    With one block there is nothing to carry over, and a key's rows are known to fit a task.
     """
     end = W.currentRow if inclusive else -1
+    if blocks == 1:
+        whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, end)
+        return df.withColumns({name: _TOTAL[op](c).over(whole) for name, (op, c) in totals.items()})
     cut = df.withColumn("_block", block)
     per_block = cut.groupBy(*keys, "_block").agg(*(_TOTAL[op](c).alias(name) for name, (op, c) in totals.items()))
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
@@ -50,8 +56,13 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Col
 
 
 def global_rank(df: DataFrame, order: str, lo: int, hi: int, ties: Sequence[str] = (), out: str = "rank",
-                n_blocks: int = 1024) -> DataFrame:
-    """0-based position of every row in the order of an integer column known to lie in [lo, hi]."""
+                n_blocks: int = 1024, rows: int | None = None) -> DataFrame:
+    """0-based position of every row in the order of an integer column known to lie in [lo, hi].
+
+    `rows` bounds the rows where that is known; so few that one task orders them are not cut into blocks.
+    """
+    if rows is not None and rows <= ONE_TASK_ROWS:
+        n_blocks = 1
     width = max(1, -(-(hi - lo + 1) // n_blocks))
     block = F.floor((F.col(order) - F.lit(lo)) / F.lit(width)).cast("int")
     ranked = running(df, [], [order, *ties], block, {out: ("sum", F.lit(1).cast("long"))}, blocks=n_blocks)

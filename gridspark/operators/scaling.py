@@ -84,6 +84,11 @@ def _with_scaler(df: DataFrame, scaler: DataFrame, channels: Sequence[str]) -> t
     return df.withColumn(_SCALER, _parameters(scaler, channels, "min", "max")), bounds
 
 
+def fixed(scaler: DataFrame) -> DataFrame:
+    """The scaler fitted once, its row per channel as constants, for plans that use it more than once."""
+    return scaler.sparkSession.createDataFrame(scaler.collect(), scaler.schema)
+
+
 def transform(df: DataFrame, scaler: DataFrame | None, channels: Sequence[str]) -> DataFrame:
     """Scaled channels (E2); without a scaler the data is unchanged."""
     if scaler is None:

@@ -96,11 +96,11 @@ def split_sequences(starts: DataFrame, n: int, ratios: tuple[float, float, float
                     key: Column | None = None, key_range: int = _HASH_RANGE) -> DataFrame:
     """Shuffle the n starts and cut them into train, val and test (F1): `(split, pos, seq_start)`.
 
-    The order is a seeded hash, or `key` with values in [0, key_range). Very many sequences
-    are ranked block by block, so no task orders them all.
+    The order is a seeded hash, or `key` with values in [0, key_range). More sequences than a task
+    should order are ranked block by block.
     """
     ordered = starts.withColumn("_key", seeded_key("seq_start", seed) if key is None else key)
-    ranked = global_rank(ordered, "_key", 0, key_range - 1, ties=["seq_start"])
+    ranked = global_rank(ordered, "_key", 0, key_range - 1, ties=["seq_start"], rows=n)
     return cut_order(ranked.select(F.col("rank").alias("pos"), "seq_start"), n, ratios)
 
 
@@ -118,7 +118,7 @@ def cut_order(order: DataFrame, n: int, ratios: tuple[float, float, float] = (0.
 def legacy_order(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     """The order NumPy's legacy seeded shuffle gives, for splits that must equal existing ones.
 
-    One integer per time step; no data passes through the driver.
+    The driver builds the order, one integer per time step, since that shuffle has no other form.
     """
     order = np.arange(n)
     np.random.RandomState(seed).shuffle(order)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from gridspark.functions.missing import fill_missing
-from gridspark.operators import axes, forecast, history, metrics, quality, regrid, scaling, sequences
+from gridspark.operators import axes, fill, forecast, history, metrics, quality, regrid, scaling, sequences
 from gridspark.operators.small import join_small
 from gridspark.plans import views as v
 from gridspark.plans.grid_queries import rounded
@@ -150,17 +151,17 @@ def scale(spark, d):
     return rounded(scaling.transform(cube, scaling.fit_scaler(cube, train_starts(spark), VALUES, n_starts=v.N_SEQ), VALUES), VALUES)
 
 
-@query("scale_minmax", f"WITH {_SCALER_SQL} SELECT t, i, j, round((coalesce(v_view, 0) - (SELECT lo FROM sc WHERE channel = 'v_view')) / "
-                       "(SELECT hi - lo FROM sc WHERE channel = 'v_view'), 6) + 0.0 AS v_view FROM cube_wide")
+@query("scale_minmax", f"WITH {_SCALER_SQL} SELECT t, i, j, " + ", ".join(
+    f"round((coalesce({c}, 0) - (SELECT lo FROM sc WHERE channel = '{c}')) / (SELECT hi - lo FROM sc WHERE channel = '{c}'), 6) + 0.0 AS {c}" for c in VALUES) + " FROM cube_wide")
 def scale_minmax(spark, d):
-    cube = fill_missing(v.cube_wide(spark, d).select("t", "i", "j", "v_view"), ["v_view"])
-    return rounded(scaling.transform(cube, scaling.fit_scaler(cube, train_starts(spark), ["v_view"], kind="minmax", n_starts=v.N_SEQ), ["v_view"]), ["v_view"])
+    cube = fill_missing(v.cube_wide(spark, d).select("t", "i", "j", *VALUES), VALUES)
+    return rounded(scaling.transform(cube, scaling.fit_scaler(cube, train_starts(spark), VALUES, kind="minmax", n_starts=v.N_SEQ), VALUES), VALUES)
 
 
 @query("unscale", "SELECT t, i, j, " + ", ".join(f"round(coalesce({c}, 0), 6) + 0.0 AS {c}" for c in VALUES) + " FROM cube_wide")
 def unscale(spark, d):
     cube = fill_missing(v.cube_wide(spark, d).drop("time"), VALUES)
-    scaler = scaling.fit_scaler(cube, train_starts(spark), VALUES, n_starts=v.N_SEQ)
+    scaler = scaling.fixed(scaling.fit_scaler(cube, train_starts(spark), VALUES, n_starts=v.N_SEQ))
     return rounded(scaling.inverse_transform(scaling.transform(cube, scaler, VALUES), scaler, VALUES), VALUES)
 
 
@@ -222,17 +223,18 @@ def mse_sample(spark, d):
     return rounded(forecast.sample_mse(forecast.batch_scores(scored(spark, d), by=["split"]), by=["split"]), ["mse"])
 
 
-@query("mse_batch", f"WITH {_PAIRS} SELECT round(avg(m), 6) AS mse FROM (SELECT batch, avg(pow(pred - target, 2)) AS m FROM pairs WHERE split = 'val' GROUP BY batch)")
+@query("mse_batch", f"WITH {_PAIRS} SELECT split, round(avg(m), 6) AS mse FROM (SELECT split, batch, avg(pow(pred - target, 2)) AS m FROM pairs GROUP BY split, batch) GROUP BY split")
 def mse_batch(spark, d):
-    return rounded(forecast.batch_mse(forecast.batch_scores(scored(spark, d).filter("split = 'val'"))), ["mse"])
+    return rounded(forecast.batch_mse(forecast.batch_scores(scored(spark, d), by=["split"]), by=["split"]), ["mse"])
 
 
 @query("mse_running", f"""
-    WITH {_PAIRS}, b AS (SELECT batch, avg(pow(pred - target, 2)) AS m, count(DISTINCT sample) AS n FROM pairs WHERE split = 'train' GROUP BY batch)
-    SELECT batch::INT AS batch, round(sum(m * n) OVER w / sum(n) OVER w, 6) AS running_by_sample, round(avg(m) OVER w, 6) AS running_by_batch FROM b WINDOW w AS (ORDER BY batch)""")
+    WITH {_PAIRS}, b AS (SELECT split, batch, avg(pow(pred - target, 2)) AS m, count(DISTINCT sample) AS n FROM pairs GROUP BY split, batch)
+    SELECT split, batch::INT AS batch, round(sum(m * n) OVER w / sum(n) OVER w, 6) AS running_by_sample, round(avg(m) OVER w, 6) AS running_by_batch
+    FROM b WINDOW w AS (PARTITION BY split ORDER BY batch)""")
 def mse_running(spark, d):
-    batches = forecast.batch_scores(scored(spark, d).filter("split = 'train'"))
-    return rounded(forecast.running_mse(batches, n_batches=v.N_SEQ), ["running_by_sample", "running_by_batch"])
+    batches = forecast.batch_scores(scored(spark, d), by=["split"])
+    return rounded(forecast.running_mse(batches, n_batches=v.N_SEQ, by=["split"]), ["running_by_sample", "running_by_batch"])
 
 
 @query("user_metrics", f"""
@@ -470,6 +472,19 @@ def daily_missing(spark, d):
     return rounded(quality.daily_missing(v.cube_wide(spark, d), "v_view", 40.0), ["missing"])
 
 
+@query("missing_by_provenance", """
+    WITH stored_days AS (SELECT DISTINCT t FROM cube_wide WHERE t % 7 < 5),
+         taken AS (SELECT y.t, coalesce((SELECT max(t) FROM stored_days WHERE t <= y.t), (SELECT min(t) FROM stored_days)) AS s FROM range(30) y(t))
+    SELECT (DATE '2024-01-01' + d.t::INT)::DATE AS time, s = d.t AS is_original, count(c.v_view) AS n_valid, count(*) AS n_total,
+           round(100 - count(c.v_view) * 100.0::DOUBLE / count(*), 6) + 0.0 AS missing, 100 - count(c.v_view) * 100.0::DOUBLE / count(*) > 40 AS flagged
+    FROM taken d JOIN cube_wide c ON c.t = s GROUP BY d.t, s""")
+def missing_by_provenance(spark, d):
+    """The missing share of each day of a filled cube, and whether the day is original or copied."""
+    frames = v.cube_wide(spark, d).filter("t % 7 < 5").select("time", "i", "j", "v_view")
+    filled = fill.fill_days(frames, v.EPOCH, v.EPOCH + timedelta(days=v.N_TIME - 1))
+    return rounded(quality.daily_missing(filled, "v_view", 40.0, by=["time", "is_original"]), ["missing"])
+
+
 @query("zonal_mean", "SELECT lat, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in VALUES) + " FROM cube GROUP BY lat")
 def zonal_mean(spark, d):
     return rounded(quality.zonal_mean(v.with_latlon(v.cube_wide(spark, d)), VALUES), VALUES)
