@@ -125,17 +125,30 @@ def fixed_width_grid(spark, d):
     return fixed_width.parse_text_grid(grid_texts(spark, d), TEXT_LAYOUT, keys=["time"])
 
 
+@query("grid_lines", """
+    SELECT (dense_rank() OVER (ORDER BY d.time) - 1)::INT AS grid, i::INT AS i, j::INT AS j, round(20.05 + 0.1 * i, 3)::DOUBLE AS lat, round(115.05 + 0.1 * j, 3)::DOUBLE AS lon, round(c.v_view) / 10 AS value
+    FROM (SELECT DISTINCT time FROM cube_wide) d CROSS JOIN range(12) a(i) CROSS JOIN range(24) b(j) LEFT JOIN cube_wide c USING (time, i, j)""")
+def grid_lines(spark, d):
+    """All days' grids, one after the other in one text file, read line by line."""
+    base = _fresh(spark)
+    grid_texts(spark, d).coalesce(1).sortWithinPartitions("time").select("value").write.text(base)
+    return fixed_width.read_grids(spark, base, TEXT_LAYOUT).drop("path")
+
+
 @query("diagnose_text", r"""
     WITH l AS (SELECT doc_id, CASE WHEN length(text) = 0 THEN [] ELSE list_transform(string_split_regex(regexp_replace(text, '\r?\n\z', ''), '\r?\n'), lambda s: regexp_replace(s, '\s+$', '')) END AS ls FROM documents),
          s AS (SELECT *, coalesce(list_position(list_transform(ls[1:10], lambda x: length(x) > 200 AND regexp_matches(x, '\d')), true), 0)::INT AS p FROM l),
          a AS (SELECT *, CASE WHEN p > 0 THEN p ELSE 4 END AS data_start FROM s)
     SELECT doc_id, len(ls)::INT AS n_lines, data_start, array_to_string(list_transform(ls[data_start:data_start + 4], lambda s: length(s)), ',') AS line_lengths,
            array_to_string(list_transform(ls[data_start:data_start + 4], lambda s: length(regexp_replace(s, '\D', '', 'g'))), ',') AS digit_counts,
-           coalesce(array_to_string(list_transform(ls[data_start:data_start + 4], lambda s: starts_with(s, ' ')), ','), '') AS leading_blanks, array_to_string(ls[1:5], '|') AS head FROM a""")
+           coalesce(array_to_string(list_transform(ls[data_start:data_start + 4], lambda s: starts_with(s, ' ')), ','), '') AS leading_blanks, array_to_string(ls[1:5], '|') AS head,
+           coalesce(array_to_string(list_filter(list_transform(list_filter(list_transform(range(0, 10), lambda k: substr(regexp_replace(coalesce(ls[data_start], ''), '^\s+', ''), k * 3 + 1, 3)),
+                    lambda p: length(p) = 3 AND regexp_matches(p, '^\s*[-+]?\d+\s*$')), lambda p: TRY_CAST(trim(p) AS INT)), lambda x: x IS NOT NULL), ','), '') AS sample_values,
+           TRY_CAST(nullif(regexp_extract(ls[data_start + 1], 'lat\s*=\s*([-+]?\d*\.?\d+)', 1), '') AS DOUBLE) AS lat_label FROM a""")
 def diagnose_text(spark, d):
     out = fixed_width.diagnose_text(v.table(spark, d, "documents"), text="text", keys=["doc_id"])
-    joined = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("line_lengths", "digit_counts", "leading_blanks")]
-    return out.select("doc_id", "n_lines", "data_start", *joined, F.array_join("head", "|").alias("head"))
+    joined = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("line_lengths", "digit_counts", "leading_blanks", "sample_values")]
+    return out.select("doc_id", "n_lines", "data_start", *joined, F.array_join("head", "|").alias("head"), "lat_label")
 
 
 @query("history_long", """

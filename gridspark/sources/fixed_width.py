@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridspark.functions.names import latitude_label
+from gridspark.sources.lines import numbered_lines
 
 MISSING = 999
 
@@ -59,14 +60,39 @@ def parse_text_grid(files: DataFrame, layout: TextGrid = TextGrid(), text: str =
     numbered = row.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(g.n_lat * per_lat))).alias("_line"), F.col("_lines")).select(
         *keys, F.floor(number / per_lat).cast("int").alias("i"), F.pmod(number, F.lit(per_lat)).alias("_row"),
         F.coalesce(F.get(F.col("_lines"), number), F.lit("")).alias("_text"))
+    return _cells(numbered, g, keys)
+
+
+def _cells(numbered: DataFrame, g: TextGrid, keys: Sequence[str]) -> DataFrame:
+    """Cells of stripped lines `(keys.., i, _row, _text)`, where `_row` counts the lines of a latitude."""
     last = F.least(F.lit(g.per_line), F.lit(g.n_lon) - F.col("_row") * g.per_line)
-    cells = numbered.select(*keys, "i", "_row", "_text", F.explode(F.sequence(F.lit(0), last - 1)).alias("_k")).select(
+    cells = numbered.select(*keys, "i", "_row", "_text", F.explode(F.sequence(F.lit(0), (last - 1).cast("int"))).alias("_k")).select(
         *keys, "i", (F.col("_row") * g.per_line + F.col("_k")).cast("int").alias("j"), fixed_int(F.col("_text"), F.col("_k"), g.width).alias("_raw"))
     return cells.select(
         *keys, "i", "j", F.round(F.lit(g.lat0) + F.col("i") * g.dlat, 3).alias("lat"), F.round(F.lit(g.lon0) + F.col("j") * g.dlon, 3).alias("lon"),
         (F.nullif(F.col("_raw"), F.lit(MISSING)) / F.lit(g.scale)).alias("value"))
 
 
+def parse_grid_lines(lines: DataFrame, layout: TextGrid = TextGrid()) -> DataFrame:
+    """Numbered lines of files that hold one grid after the other to cells `(path, grid, i, j, lat, lon, value)`.
+
+    A line knows its grid, latitude and longitudes from its number, so files of any length are parsed line by line
+    without a shuffle. Lines past the end of the last grid have no row, which is a missing cell.
+    """
+    g = layout
+    whole = g.header + g.n_lat * g.lines_per_lat
+    inside = F.col("line") % whole - g.header
+    numbered = lines.filter(inside >= 0).select(
+        "path", F.expr(f"line div {whole}").cast("int").alias("grid"), F.floor(inside / g.lines_per_lat).cast("int").alias("i"),
+        (inside % g.lines_per_lat).cast("int").alias("_row"), _stripped(F.col("value")).alias("_text"))
+    return _cells(numbered, g, ["path", "grid"])
+
+
+def read_grids(spark: SparkSession, path: str, layout: TextGrid = TextGrid()) -> DataFrame:
+    """Files of many grids each (A4), cut into pieces by bytes wherever Spark likes."""
+    return parse_grid_lines(numbered_lines(spark, path), layout)
+
+
 def read_fixed_width_grid(spark: SparkSession, path: str, layout: TextGrid = TextGrid()) -> DataFrame:
     """Grid files of a folder or glob (A4). A file is one grid, a few dozen kilobytes by its format."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")

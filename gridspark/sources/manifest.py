@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -34,28 +35,29 @@ def pending(wanted: DataFrame, existing: DataFrame, date: str = "date") -> DataF
     return join_small(wanted, existing.select(date).distinct(), date, "left_anti")
 
 
-def validate_files(files: DataFrame, variable: str, path: str = "path") -> DataFrame:
+def validate_files(files: DataFrame, variable: str, path: str = "path", max_open: int = 16) -> DataFrame:
     """Whether each Parquet file opens and holds the variable (D20): `(path, readable, has_variable)`.
 
-    Tasks read footers only. A file that is no Parquet is unreadable; any other failure, a missing
+    Tasks read footers only, `max_open` files at a time. A file that is no Parquet is unreadable; any other failure, a missing
     file or a store without access, is raised.
     """
     import pyarrow as pa
     import pyarrow.fs as pafs
     import pyarrow.parquet as pq
 
+    def footer(p: str) -> tuple[str, bool, bool]:
+        try:
+            uri = p.replace("s3a://", "s3://", 1) if "://" in p else p.replace("file:", "file://", 1)
+            fs, inner = pafs.FileSystem.from_uri(uri)
+            return p, True, variable in pq.read_schema(inner, filesystem=fs).names
+        except pa.ArrowInvalid:
+            return p, False, False
+
     def inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for p in batch[path]:
-                try:
-                    uri = p.replace("s3a://", "s3://", 1) if "://" in p else p.replace("file:", "file://", 1)
-                    fs, inner = pafs.FileSystem.from_uri(uri)
-                    names = pq.read_schema(inner, filesystem=fs).names
-                    rows.append((p, True, variable in names))
-                except pa.ArrowInvalid:
-                    rows.append((p, False, False))
-            yield pd.DataFrame(rows, columns=["path", "readable", "has_variable"])
+        # opening a file is waiting for its store: a task keeps a bounded number of them open at a time
+        with ThreadPoolExecutor(max_open) as pool:
+            for batch in batches:
+                yield pd.DataFrame(list(pool.map(footer, batch[path])), columns=["path", "readable", "has_variable"])
 
     return files.select(path).mapInPandas(inspect, "path string, readable boolean, has_variable boolean")
 

@@ -1,8 +1,10 @@
 """Text formats, manifests, stored cubes and ingestion."""
 
 import json
+import os
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from gridspark.functions import dates, names
 from gridspark.operators import history as stopping
 from gridspark.sources import cube, fixed_width, history, manifest, predictions, splits
+from gridspark.sources.lines import numbered_lines
 from gridspark.streaming.ingest import ingest_incremental, read_days
 
 LAYOUT = fixed_width.TextGrid(n_lat=3, n_lon=7, per_line=3, lat0=0.0, dlat=1.0, lon0=0.0, dlon=1.0)
@@ -228,3 +231,43 @@ def test_ingest_keeps_a_day_in_many_files(spark, tmp_path):
 
 def test_clean_path(spark):
     assert spark.range(1).select(names.clean_path(F.lit("SST[ND]Q[x].nc")).alias("p")).first()["p"] == "SST_ND_Q_x_.nc"
+
+
+def test_lines_are_numbered_whatever_the_pieces(spark, tmp_path):
+    """Two files cut into many pieces of bytes, with blank lines, lines of all lengths and none at the end."""
+    rng = np.random.default_rng(1)
+    texts = {"a": ["x" * int(n) for n in rng.integers(0, 90, 700)], "b/c": ["", "", "one", ""]}
+    for name, lines in texts.items():
+        os.makedirs(os.path.dirname(f"{tmp_path}/{name}"), exist_ok=True)
+        with open(f"{tmp_path}/{name}", "w", newline="") as f:
+            f.write("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = numbered_lines(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 20
+        rows = got.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    # the end of a last empty line is no line
+    want = {name: lines[:-1] if lines[-1] == "" else lines for name, lines in texts.items()}
+    for name, lines in want.items():
+        assert [r["value"] for r in sorted((r for r in rows if r["path"].endswith(name)), key=lambda r: r["line"])] == lines
+        assert sorted(r["line"] for r in rows if r["path"].endswith(name)) == list(range(len(lines)))
+
+
+def test_grids_in_a_row_equal_grids_alone(spark, tmp_path):
+    layout = fixed_width.TextGrid(header=2, n_lat=4, n_lon=7, per_line=3, lat0=0.0, dlat=1.0, lon0=0.0, dlon=1.0)
+    rng = np.random.default_rng(2)
+    grid = lambda: "\n".join(["h", "h"] + ["  " + "".join(f"{n:3d}" for n in rng.integers(100, 1000, 3 if k % 3 < 2 else 1)) + "  \r" for k in range(12)])
+    grids = [grid() for _ in range(40)]
+    with open(f"{tmp_path}/all.txt", "w", newline="") as f:
+        f.write("\n".join(grids) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = sorted(map(tuple, fixed_width.read_grids(spark, str(tmp_path), layout).drop("path").collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    alone = fixed_width.parse_text_grid(spark.createDataFrame(list(enumerate(grids)), "grid int, value string"), layout, keys=["grid"])
+    assert got == sorted(map(tuple, alone.collect()), key=repr)
