@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces and bytes of pieces that a worker remembers.
-KEPT, KEPT_BYTES = 1_000_000, 32 << 20
+KEPT, KEPT_BYTES = 600_000, 32 << 20
 LETTER, DIGIT, OTHER, QUOTE, SPACE, WIDE = 1, 2, 3, 4, 5, 6
 #: Kinds of bytes; 0 is a byte of a character that may be anything.
 KINDS = np.zeros(256, np.uint8)

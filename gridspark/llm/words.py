@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Modulus of the polynomials, and their bases.
 PRIME = (1 << 61) - 1
 _BASES = (0x1E3779B97F4A7C15 % PRIME, 0x0761D6478BD642F1 % PRIME)
