@@ -63,7 +63,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_pii")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = crf_pii.find_pii(docs, crf_pii.train(docs))
+    found = crf_pii.find_pii(docs, crf_pii.train())
     joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.withColumn("base", F.filter("spans", lambda s: s["base"])).select(

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -383,8 +384,43 @@ def test_field_learns_and_decodes():
     assert (field.decode(features, 0.0)[0] == paths[value.argmax()]).all()
 
 
+ADDED = {
+    "call (555) 123-4567 or 030 1234567": ["(555) 123-4567", "030 1234567"], "ring 555-867-5309 please": ["555-867-5309"], "john at example.org": ["john at example.org"],
+    "rr, 4465758382889437 4465758382889437 ab": ["4465758382889437", "4465758382889437"], 'x y token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"### z': ["f33e61083db5dbdf4bd2369d2f80176e57f7fda2"],
+    "my password: hunter22 is": ["hunter22"], "a@b": [], "10.0.0.300": [], "version 1.2.3": [], "in 1999 and 2003 we had 300 units": [], "look at example.org": [], "order 1234567890": [],
+    "ISBN 978-3-16-148410-0": [], "2024-05-06 10:30:00": [], "pi is 3.14159265358979": [], "12345678901234567890 things": [], "x" * 3000 + "7" * 3000: [], "": [],
+}
+
+
+def test_field_adds_what_patterns_miss_and_leaves_numbers_alone():
+    field, texts = crf_pii.train(), list(ADDED)
+    for text, (base, added) in zip(texts, crf_pii.spans_of(pa.array(texts), field)):
+        assert [text[a:b] for a, _, b in added] == ADDED[text], text
+        assert base == brute_base(text)
+
+
+def test_labelled_phrases():
+    phrases = crf_pii.labelled_phrases(["call [phone|0## ###] and [card|####] at {o}"], versions=3)
+    assert len({text for text, _ in phrases}) == 3
+    for text, ((a, k, b), (c, m, d)) in phrases:
+        assert re.fullmatch("0[0-9]{2} [0-9]{3}", text[a:b]) and re.fullmatch("[0-9]{4}", text[c:d]) and (k, m) == (3, 2)
+    assert all(0 <= a < b <= len(text) for text, spans in crf_pii.labelled_phrases() for a, _, b in spans)
+    assert crf_pii.labelled_phrases() == crf_pii.labelled_phrases()
+
+
+def test_segments_are_read_alike_alone_and_remembered():
+    """Features from the memory of words equal those of the words themselves; long words are told by both ends."""
+    words = ["token", "=", '"ab12"', "call", "me", "at", "5551234"]
+    two, one = "", ""
+    for w in words:
+        assert crf_pii._features_of(w, one, two) == crf_pii.word_features(w, one, two)
+        two, one = one, w
+    middle = "5" * 200
+    assert crf_pii.word_features("a" + middle + "b") != crf_pii.word_features("a" + middle + "@b.c")
+
+
 def test_pii_edge(edge, empty):
-    field = crf_pii.train(edge)
+    field = crf_pii.train()
     got = crf_pii.find_pii(edge, field).collect()
     assert len(got) == len(TEXTS)
     spans = next(r["spans"] for r in got if r["doc_id"] == 10)
@@ -394,7 +430,7 @@ def test_pii_edge(edge, empty):
     assert hidden.columns == edge.columns
     row = next(r for r in hidden.collect() if r["doc_id"] == 10)
     assert row["text"] == "Füße – naïve 日本語 🙂 mail [EMAIL], [PHONE], [IP]" and row["n_chars"] == len(row["text"])
-    assert crf_pii.find_pii(empty, crf_pii.train(empty)).count() == crf_pii.redact(empty, field).count() == 0
+    assert crf_pii.find_pii(empty, field).count() == crf_pii.redact(empty, field).count() == 0
 
 
 # licences
