@@ -26,7 +26,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by the name of its kind; every document goes on."""
-    return crf_pii.redact(docs, crf_pii.train(docs))
+    return crf_pii.redact(docs, crf_pii.train())
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
