@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gridspark.llm import byte_bpe, crf_pii, debruijn, exact_dedup, license_scan, masked_lm, packing, prob_minhash, quality, token_ids
-from gridspark.llm.words import PRIME, prefix, times
+from gridspark.llm.store import Scratch
+from gridspark.llm.words import PRIME, Words, prefix, times
 
 SF = entry.SMOKE_DIR
 PATTERN = public_tokenizers.PATTERN
@@ -493,33 +494,93 @@ def test_quality_edge(spark, edge, empty):
 # language model
 
 
-def test_pseudo_likelihood(spark, edge, empty, docs):
-    classes, table = masked_lm.train(edge)
-    assert np.allclose(np.exp(table).sum(axis=2), 1, atol=1e-3)
-    got = {r["doc_id"]: r for r in masked_lm.pseudo_likelihood(edge).collect() if r["doc_id"] is not None}
-    from gridspark.llm.words import Words
-
-    text = SENTENCE.encode()
-    kind, share = classes.of(Words(np.frombuffer(text, np.uint8), np.array([0, len(text)])).hashes())
-    sides = np.concatenate([[0], kind, [0]])
-    want = sum(table[sides[i], sides[i + 2], sides[i + 1]] + share[i] for i in range(len(kind)))
-    assert np.isclose(got[1]["log_likelihood"], want) and np.isclose(got[2]["log_likelihood"], want)
-    assert got[3]["n_tokens"] == got[5]["n_tokens"] == 0 and got[3]["log_likelihood"] == 0 and got[3]["mean_log_likelihood"] is None
+def plain_scores(texts, known, network, counts):
+    """Scores word by word: the network's class, and the word's share of it among all words of the corpus."""
+    one = lambda w: Words(np.frombuffer(w, np.uint8), np.array([0, len(w)])).hashes()
+    kinds = {w: int(known.of(one(w))[0][0]) for w in counts}
+    mass = Counter()
+    for w, n in counts.items():
+        mass[kinds[w]] += n
+    row = {w: 1 + int(one(w)[0] >> np.uint64(20)) % (masked_lm.BUCKETS - 1) for w in counts}
+    for i, t in texts:
+        words, total = (t or "").encode().split(), 0.0
+        for at, w in enumerate(words):
+            hidden = np.zeros(masked_lm.WIDTH)
+            for k in range(2 * masked_lm.SIDE):
+                d = k % masked_lm.SIDE + 1
+                place = at - d if k < masked_lm.SIDE else at + d
+                hidden += network.tables[k // masked_lm.SIDE][row[words[place]] if 0 <= place < len(words) else 0] * network.gains[k]
+            logits = np.tanh(hidden) @ network.out + network.bias
+            total += logits[kinds[w]] - np.log(np.exp(logits).sum()) + np.log(counts[w] / mass[kinds[w]])
+        yield i, len(words), total
+
+
+@pytest.mark.parametrize("most", [0, 40, 1 << 17])
+def test_pseudo_likelihood(spark, edge, empty, most):
+    """Counts, classes and scores against plain ones, with words in and out of the vocabulary."""
+    small = [(i, t) for i, t in TEXTS if t != LONG]
+    df = edge.filter("doc_id IS NULL OR doc_id <> 6").select("text", "doc_id", "n_chars")
+    scratch, texts = Scratch(spark, "test"), df.select(F.coalesce("text", F.lit("")).alias("text"))
+    counted, known = masked_lm.count_words(texts, scratch, most)
+    counts = Counter(w for _, t in small for w in (t or "").encode().split())
+    assert counted.count() == len(counts) and counted.agg(F.sum("n")).first()[0] == sum(counts.values()) == known.mass.sum()
+    assert len(known.words) <= max(most, 0)
+    network = masked_lm.train(texts, known, 3000)
+    got = masked_lm.pseudo_likelihood(df, most, 3000).collect()
+    want = sorted(plain_scores(small, known, network, counts), key=repr)
+    for r, (i, n, total) in zip(sorted(got, key=lambda r: repr((r["doc_id"], r["n_tokens"], r["log_likelihood"]))), sorted(want, key=lambda x: repr((x[0], x[1], x[2])))):
+        assert (r["doc_id"], r["n_tokens"]) == (i, n) and np.isclose(r["log_likelihood"], total, rtol=1e-4)
+        assert r["mean_log_likelihood"] is None if n == 0 else np.isclose(r["mean_log_likelihood"], total / n, rtol=1e-4)
     assert masked_lm.pseudo_likelihood(empty).count() == 0
-    # words out of order are less likely
-    rng = random.Random(0)
-    mixed = [(i, t) for i, t in docs.items()] + [(10**6 + i, " ".join(rng.sample(t.split(" "), len(t.split(" "))))) for i, t in docs.items()]
-    score = {r["doc_id"]: r["mean_log_likelihood"] for r in masked_lm.pseudo_likelihood(spark.createDataFrame(mixed, "doc_id long, text string")).collect()}
-    assert sum(score[i] > score[10**6 + i] for i in docs) > 0.7 * len(docs)
 
 
-def test_network_fits_its_counts():
-    rng = np.random.default_rng(0)
-    counts = rng.integers(0, 50, (6, 6, 6)).astype(float)
-    table = masked_lm.fit(counts, steps=400)
-    total = counts.sum()
-    flat = np.log(counts.sum(axis=(0, 1)) / total)
-    assert (counts * table).sum() > (counts * flat).sum()
+def test_texts_that_occur_twice_are_likelier(spark):
+    """Every word of the corpus has its own share: fresh words that occur in one text more count twice."""
+    rng = random.Random(6)
+    common = [f"c{n}" for n in range(200)]
+    texts = [(i, " ".join(rng.choice(common) if rng.random() < 0.8 else f"u{i}x{n}" for n in range(120))) for i in range(300)]
+    texts += [(1000 + i, texts[i][1]) for i in range(0, 300, 10)]
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in masked_lm.pseudo_likelihood(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), 256).collect()}
+    twice, once = [got[i] for i in range(0, 300, 10)], [got[i] for i in range(300) if i % 10]
+    assert np.median(twice) > np.quantile(once, 0.7)
+
+
+def test_words_of_equal_frequency_differ_in_context():
+    """After `a` comes x, after `b` comes y, equally often: the network tells them apart."""
+    text = " ".join(f"{c} {w} end{n % 3}" for n in range(3000) for c, w in (("a", "x"), ("b", "y"))).encode()
+    words = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    hashes = words.hashes()
+    names, first, counts = np.unique(hashes.view(np.int64), return_index=True, return_counts=True)
+    mass = np.bincount(masked_lm.hash_class(names), counts, masked_lm.CLASSES)
+    known = masked_lm.vocabulary_of(names, counts, mass)
+    kind = known.of(hashes)[0]
+    network = masked_lm.fit(masked_lm.windows(words, hashes), kind, known.mass, epochs=2)
+    scores = network.log_probabilities(masked_lm.windows(words, hashes)[:6])
+    x, y = kind[1], kind[4]
+    assert x != y and scores[1, x] > scores[1, y] + 2 and scores[4, y] > scores[4, x] + 2
+
+
+def test_network_gradients():
+    """Against differences of the loss, for every kind of weight."""
+    rng = np.random.default_rng(7)
+    network = masked_lm.Network(np.log(rng.random(masked_lm.CLASSES) + 0.5))
+    for name in ("gains", "out", "bias"):
+        setattr(network, name, getattr(network, name).astype(np.float64))
+    network.tables = [t.astype(np.float64) for t in network.tables]
+    window, kind = rng.integers(0, 5, (9, 2 * masked_lm.SIDE)), rng.integers(0, masked_lm.CLASSES, 9)
+    loss = lambda: -network.log_probabilities(window)[np.arange(9), kind].mean()
+    rows, gains, out, bias = network.gradients(window, kind)
+    left = np.zeros_like(network.tables[0])
+    for k in range(masked_lm.SIDE):
+        np.add.at(left, window[:, k], rows[k])
+    for weight, gradient, at in ((network.gains, gains, (1, 3)), (network.out, out, (4, 9)), (network.bias, bias, (2,)), (network.tables[0], left, (3, 5))):
+        before = weight[at]
+        weight[at] = before + 1e-3
+        up = loss()
+        weight[at] = before - 1e-3
+        down = loss()
+        weight[at] = before
+        assert np.isclose((up - down) / 2e-3, gradient[at], rtol=1e-2, atol=1e-5)
 
 
 # packing
