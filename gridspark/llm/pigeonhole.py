@@ -125,14 +125,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
 
     Vectors that are null, zero or hold null or non-finite components link with nothing, and so do vectors of different
     lengths with each other. Equal vectors are compared once and count as often as they occur; rows repeated whole are
-    vectors of their own for n_links. A null vec_id takes the component of its equals; it is compared with others only
+    vectors of their own for n_links, and so are different vectors of one vec_id, each with its own links. A null vec_id takes the component of its equals; it is compared with others only
     through one of them that has an id. Other columns are not read.
     """
     scratch = Scratch(vectors.sparkSession, "pigeonhole")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     good = rows.filter(usable("embedding"))
-    heads = scratch.keep(good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "heads")
-    points = heads.filter("id is not null").select("id", "embedding")
+    # distinct vectors have numbers of their own: a vec_id may stand on several
+    heads = good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    heads = scratch.keep(heads.withColumn("id", F.monotonically_increasing_id()), "heads")
+    points = heads.filter("least is not null").select("id", "embedding")
 
     energy = points.mapInArrow(_energy(block), "dim int, part int, energy double").groupBy("dim", "part").agg(F.sum("energy").alias("energy")).collect()
     whole: dict[int, float] = {}
@@ -143,11 +145,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     links = scratch.keep(_links(scratch, points, radii, cosine, block, chunk), "links")
     found = components(links, scratch, "components")
 
-    copies = heads.filter("id is not null").select("id", "copies")
+    copies = heads.filter("least is not null").select("id", "least", "copies")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(copies.withColumnRenamed("id", "b").hint("merge"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    classes = scratch.keep(heads.join(degree.withColumnRenamed("a", "id").hint("merge"), "id", "left").join(found.hint("merge"), "id", "left").select(
-        "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id")), "classes")
+    degree = both.join(copies.select(F.col("id").alias("b"), "copies").hint("merge"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    member = scratch.keep(copies.select("id", "least").join(found.hint("merge"), "id"), "members")
+    named = member.select("id", "component").join(member.groupBy("component").agg(F.min("least").alias("name")).hint("merge"), "component").select("id", "name")
+    classes = scratch.keep(heads.join(degree.withColumnRenamed("a", "id").hint("merge"), "id", "left").join(named.hint("merge"), "id", "left").select(
+        "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("name", "least").alias("component_id")), "classes")
     known = good.join(classes.hint("merge"), "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.filter(~usable("embedding")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return known.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -58,6 +58,13 @@ def test_nulls_and_empty(spark):
     assert pigeonhole.near_vectors(df.filter("embedding is null")).count() == 1
 
 
+def test_several_vectors_of_one_id(spark):
+    """1 is next to one vector of 7, 9 next to the other: they do not meet."""
+    rows = [(1, [1.0, 0.0, 0.0]), (7, [1.0, 0.01, 0.0]), (7, [0.0, 0.0, 1.0]), (9, [0.0, 0.01, 1.0])]
+    got = sorted(map(tuple, pigeonhole.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).select("vec_id", "n_links", "component_id", "kept").collect()))
+    assert got == [(1, 1, 1, True), (7, 1, 1, False), (7, 1, 7, True), (9, 1, 7, False)]
+
+
 def test_every_rotation_keeps_distances():
     for dim in (1, 2, 64):
         r = pigeonhole.rotation(dim)
