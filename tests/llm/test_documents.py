@@ -4,6 +4,7 @@ ties, repeated rows, empty tables and extra columns with clashing names."""
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -447,6 +448,32 @@ def test_licence_inheritance(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def wrapped(text, width=70, sign=""):
+    return "\n".join(f"{sign}{line}" for line in textwrap.wrap(text, width))
+
+
+def test_whole_licences_and_headers(spark):
+    """Licence files as they lie in directories, the same on one line, wrapped headers in comments, and ties."""
+    texts = dict(reversed(license_scan.TEXTS))  # the first text of each licence
+    mit = "MIT License\n\nCopyright (c) 2019 Some Person\n\n" + wrapped(texts["MIT"])
+    gnu = {name: "# Copyright (C) 2020 Someone\n#\n" + wrapped(texts[name], sign="# ") + "\n\nimport os\n" + "code = data + more " * 200 for name in ("GPL-3.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0")}
+    files = [("a/LICENSE", mit), ("a/x.py", "code"), ("b/notes", " ".join(mit.split())), ("b/y", "code"), ("c/COPYING", texts["Apache-2.0"] + " more words " * 3000), ("c/z", None),
+             ("d/1.py", gnu["GPL-3.0"]), ("d/2.py", gnu["GPL-2.0"]), ("d/3.py", gnu["LGPL-3.0"]), ("d/4.py", gnu["AGPL-3.0"]), ("d/5.py", "word " * 40_000 + wrapped(texts["ISC"]) + " end" * 40_000),
+             ("e/LICENSE", wrapped(texts["BSD-3-Clause"])), ("f/LICENSE", wrapped(texts["BSD-2-Clause"])), ("g/q", "the software license permission of nobody in particular"),
+             ("h/two", "Released under the MIT License. Licensed under the Apache License, Version 2.0."), ("h/x", "code"), ("i/x.c", "/* " + wrapped(texts["MPL-2.0"], sign=" * ") + " */ int x;")]
+    got = {r["path"]: (r["license"], r["origin"]) for r in license_scan.scan(spark.createDataFrame(files, "path string, text string").repartition(3)).collect()}
+    assert got == {"a/LICENSE": ("MIT", "own"), "a/x.py": ("MIT", "a"), "b/notes": ("MIT", "own"), "b/y": ("MIT", "b"), "c/COPYING": ("Apache-2.0", "own"), "c/z": ("Apache-2.0", "c"),
+                   "d/1.py": ("GPL-3.0", "own"), "d/2.py": ("GPL-2.0", "own"), "d/3.py": ("LGPL-3.0", "own"), "d/4.py": ("AGPL-3.0", "own"), "d/5.py": ("ISC", "own"),
+                   "e/LICENSE": ("BSD-3-Clause", "own"), "f/LICENSE": ("BSD-2-Clause", "own"), "g/q": (None, None), "h/two": ("Apache-2.0", "own"), "h/x": ("Apache-2.0", "h"), "i/x.c": ("MPL-2.0", "own")}
+
+
+def test_every_template_has_an_anchor():
+    for name, text in license_scan.TEMPLATES:
+        assert set(re.findall(license_scan.TERM, text.lower())) & set(license_scan.ANCHORS), name
+        assert re.search(license_scan.ANCHOR_LIKE, text)
+    assert all(re.search(license_scan.ANCHOR_LIKE, word) for word in license_scan.ANCHORS)
+
+
 def test_licence_at_the_root(spark):
     files = [("LICENSE", "Released under the MIT License."), ("src/x.py", "code"), ("src/a/b/y.py", None), ("z", "code"), ("lib/LICENSE", "Licensed under the Apache License, Version 2.0."), ("lib/a/q", "code")]
     got = {r["path"]: (r["license"], r["origin"]) for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()}
