@@ -149,7 +149,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(copies.select(F.col("id").alias("b"), "copies").hint("merge"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
     member = scratch.keep(copies.select("id", "least").join(found.hint("merge"), "id"), "members")
-    named = member.select("id", "component").join(member.groupBy("component").agg(F.min("least").alias("name")).hint("merge"), "component").select("id", "name")
+    # stored before they are joined, so that the join reads two plain shuffles and Spark can split a large component
+    names = scratch.keep(member.groupBy("component").agg(F.min("least").alias("name")), "names")
+    named = member.select("id", "component").join(names.hint("merge"), "component").select("id", "name")
     classes = scratch.keep(heads.join(degree.withColumnRenamed("a", "id").hint("merge"), "id", "left").join(named.hint("merge"), "id", "left").select(
         "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("name", "least").alias("component_id")), "classes")
     known = good.join(classes.hint("merge"), "embedding").select("vec_id", "n_links", "component_id")

@@ -173,7 +173,8 @@ def _near_dedup(docs: DataFrame, k: int, threshold: float, bands: int, rows: int
         found = components(links.unionByName(more), scratch, "components-all")
 
     member = scratch.keep(numbered.select("doc_id", "id").join(found.hint("merge"), "id"), "members")
-    least = member.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    # stored before it is joined, so that the join reads two plain shuffles and Spark can split a large class
+    least = scratch.keep(member.groupBy("component").agg(F.min("doc_id").alias("class_id")), "least")
     linked = member.select("id", "component").join(least.hint("merge"), "component").select(F.col("id").alias("_id"), "class_id")
     own = classes.select("set_a", "set_b", "id", "doc_id").join(linked.hint("merge"), F.col("id") == F.col("_id"), "left").select(
         "set_a", "set_b", F.coalesce("class_id", "doc_id").alias("class_id"))
