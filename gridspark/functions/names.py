@@ -33,9 +33,13 @@ def day_folder(base: str, day: Column | str) -> Column:
     return F.concat_ws("/", F.lit(base), F.date_format(_col(day), "yyyy/MM/dd"))
 
 
+# Fixed value: how a grid text labels a latitude.
+LATITUDE_LABEL = r"lat\s*=\s*([-+]?\d*\.?\d+)"
+
+
 def latitude_label(line: Column | str) -> Column:
     """Number after `lat =` in a line, else NULL."""
-    return F.regexp_extract(_col(line), r"lat\s*=\s*([-+]?\d*\.?\d+)", 1).try_cast("double")
+    return F.regexp_extract(_col(line), LATITUDE_LABEL, 1).try_cast("double")
 
 
 def mebibytes(n: Column | str) -> Column:

@@ -122,10 +122,10 @@ def normalise_missing(spark, d):
     return missing.normalise(with_nan, ["value"], [-9999.0])
 
 
-@query("float32", "SELECT time, i, j, round(v_view::FLOAT::DOUBLE, 6) + 0.0 AS v_view FROM cube_wide")
+@query("float32", "SELECT time, i, j, " + ", ".join(f"round({c}::FLOAT::DOUBLE, 6) + 0.0 AS {c}" for c in VALUES) + " FROM cube_wide")
 def float32(spark, d):
-    low = select.to_float32(v.cube_wide(spark, d).select("time", "i", "j", "v_view"))
-    return rounded(low.withColumn("v_view", F.col("v_view").cast("double")), ["v_view"])
+    low = select.to_float32(v.cube_wide(spark, d).select("time", "i", "j", *VALUES))
+    return rounded(low.withColumns({c: F.col(c).cast("double") for c in VALUES}), VALUES)
 
 
 # frames stored as they are, transposed, and with a wrong shape
@@ -232,20 +232,19 @@ _WEIGHTS_SQL = """SELECT tgt, lo AS src, 1 - f AS w, CASE WHEN f = 0 THEN 1 ELSE
     WITH pos AS (SELECT k AS tgt, 2 * k // 5 AS lo, (2 * k % 5)::DOUBLE / 5 AS f FROM range(58) r(k)),
          lat_w AS ({_WEIGHTS_SQL.format(last=11)}), lon_w AS ({_WEIGHTS_SQL.format(last=23)})
     SELECT c.t, a.tgt::INT AS i, b.tgt::INT AS j, round(a.tgt * 2.0 / 5, 6)::DOUBLE AS lat, round(b.tgt * 2.0 / 5, 6)::DOUBLE AS lon,
-           CASE WHEN count(v_view) = max(a.need * b.need) THEN round(sum(a.w * b.w * v_view), 6) + 0.0 END AS v_view,
-           CASE WHEN count(v_click) = max(a.need * b.need) THEN round(sum(a.w * b.w * v_click), 6) + 0.0 END AS v_click
+           {", ".join(f"CASE WHEN count({c}) = max(a.need * b.need) THEN round(sum(a.w * b.w * {c}), 6) + 0.0 END AS {c}" for c in VALUES)}
     FROM cube_wide c JOIN lat_w a ON c.i = a.src JOIN lon_w b ON c.j = b.src GROUP BY c.t, a.tgt, b.tgt""")
 def regrid_linear(spark, d):
-    out = regrid.regrid_linear(v.cube_wide(spark, d), ["v_view", "v_click"], (index_axis(spark, v.N_LAT), index_axis(spark, v.N_LON)),
+    out = regrid.regrid_linear(v.cube_wide(spark, d), VALUES, (index_axis(spark, v.N_LAT), index_axis(spark, v.N_LON)),
                                (index_axis(spark, 30, 2, 5), index_axis(spark, 58, 2, 5)))
-    return rounded(out, ["v_view", "v_click", "lat", "lon"])
+    return rounded(out, [*VALUES, "lat", "lon"])
 
 
-@query("regrid_nearest", """
-    SELECT c.t, a.k::INT AS i, b.k::INT AS j, a.k / 2.0::DOUBLE AS lat, b.k / 2.0::DOUBLE AS lon, v_view, v_click FROM cube_wide c
+@query("regrid_nearest", f"""
+    SELECT c.t, a.k::INT AS i, b.k::INT AS j, a.k / 2.0::DOUBLE AS lat, b.k / 2.0::DOUBLE AS lon, {_COLS} FROM cube_wide c
     JOIN (SELECT k FROM range(24) r(k) WHERE k <= 22) a ON c.i = a.k // 2 JOIN (SELECT k FROM range(47) r(k)) b ON c.j = b.k // 2""")
 def regrid_nearest(spark, d):
-    return regrid.regrid_nearest(v.cube_wide(spark, d), ["v_view", "v_click"], (index_axis(spark, v.N_LAT), index_axis(spark, v.N_LON)),
+    return regrid.regrid_nearest(v.cube_wide(spark, d), VALUES, (index_axis(spark, v.N_LAT), index_axis(spark, v.N_LON)),
                                  (index_axis(spark, 24, 2, 4), index_axis(spark, 47, 2, 4)))
 
 
@@ -253,11 +252,11 @@ KERNEL = {(di, dj): 1.0 + 0.1 * (3 * (di + 1) + dj + 1) for di in (-1, 0, 1) for
 
 
 @query("stencil3x3", """
-    SELECT t, (i - di)::INT AS i, (j - dj)::INT AS j, round(sum(coalesce(v_view, 0) * (1 + 0.1::DOUBLE * (3 * (di + 1) + dj + 1))), 6) + 0.0 AS v_view
+    SELECT t, (i - di)::INT AS i, (j - dj)::INT AS j, """ + ", ".join(f"round(sum(coalesce({c}, 0) * (1 + 0.1::DOUBLE * (3 * (di + 1) + dj + 1))), 6) + 0.0 AS {c}" for c in VALUES) + """
     FROM cube_wide, (SELECT unnest([-1, 0, 1]) AS di), (SELECT unnest([-1, 0, 1]) AS dj)
     WHERE i - di BETWEEN 0 AND 11 AND j - dj BETWEEN 0 AND 23 GROUP BY t, i - di, j - dj""")
 def stencil3x3(spark, d):
-    return rounded(regrid.stencil(v.cube_wide(spark, d), ["v_view"], KERNEL, v.N_LAT, v.N_LON), ["v_view"])
+    return rounded(regrid.stencil(v.cube_wide(spark, d), VALUES, KERNEL, v.N_LAT, v.N_LON), VALUES)
 
 
 _KERNEL = {(a, b): 1 / (1 + abs(a) + abs(b)) for a in range(-3, 4) for b in range(-3, 4)}
@@ -305,10 +304,10 @@ def monthly_midmonth(spark, d):
     return fill.monthly_to_daily(mid.unionByName(later), v.CAL_START, v.CAL_END, _cells8(spark))
 
 
-@query("concat_time", "SELECT time, t, i, j, v_view, CASE WHEN t >= 15 THEN v_click END AS v_click FROM cube_wide")
+@query("concat_time", "SELECT time, t, i, j, v_view, " + ", ".join(f"CASE WHEN t >= 15 THEN {c} END AS {c}" for c in VALUES[1:]) + " FROM cube_wide")
 def concat_time(spark, d):
     whole = v.cube_wide(spark, d)
-    return merge.concat_time([whole.filter("t < 15").select("time", "t", "i", "j", "v_view"), whole.filter("t >= 15").select("time", "t", "i", "j", "v_view", "v_click")])
+    return merge.concat_time([whole.filter("t < 15").select("time", "t", "i", "j", "v_view"), whole.filter("t >= 15").select("time", "t", "i", "j", *VALUES)])
 
 
 @query("check_alignment", """
@@ -352,21 +351,21 @@ def analysis_cube(spark, d):
 @query("merged_products", f"""
     WITH blocks AS (SELECT t, i // 2 AS i, j // 2 AS j, avg(v_view) / 100 AS chla FROM cube_wide WHERE i < 12 AND j < 24 GROUP BY t, i // 2, j // 2),
          -- block centres lie at 0.5, 2.5, ..: the half position k/2 is (k - 1) / 4 blocks along
-         bpos AS (SELECT k AS tgt, (k - 1) // 4 AS lo, ((k - 1) % 4)::DOUBLE / 4 AS f FROM range(1, 22) r(k)),
+         bpos AS (SELECT k AS tgt, (k - 1) // 4 AS lo, ((k - 1) % 4)::DOUBLE / 4 AS f FROM range(1, 46) r(k)),
          bw AS (SELECT tgt, lo AS src, 1 - f AS w, CASE WHEN f = 0 THEN 1 ELSE 2 END AS need FROM bpos UNION ALL SELECT tgt, lo + 1, f, 2 FROM bpos WHERE f > 0),
-         pos AS (SELECT k AS tgt, k // 2 AS lo, (k % 2)::DOUBLE / 2 AS f FROM range(22) r(k)),
+         pos AS (SELECT k AS tgt, k // 2 AS lo, (k % 2)::DOUBLE / 2 AS f FROM range(47) r(k)),
          pw AS (SELECT tgt, lo AS src, 1 - f AS w, CASE WHEN f = 0 THEN 1 ELSE 2 END AS need FROM pos UNION ALL SELECT tgt, lo + 1, f, 2 FROM pos WHERE f > 0),
-         a AS (SELECT t, x.tgt AS i, y.tgt AS j, CASE WHEN count(chla) = max(x.need * y.need) THEN sum(x.w * y.w * chla) END AS chla FROM blocks b JOIN bw x ON b.i = x.src JOIN bw y ON b.j = y.src GROUP BY ALL),
+         a AS (SELECT t, x.tgt AS i, y.tgt AS j, CASE WHEN count(chla) = max(x.need * y.need) THEN sum(x.w * y.w * chla) END AS chla FROM blocks b JOIN bw x ON b.i = x.src AND x.tgt < 22 JOIN bw y ON b.j = y.src GROUP BY ALL),
          l AS (SELECT t, x.tgt AS i, y.tgt AS j, CASE WHEN count(v_click) = max(x.need * y.need) THEN sum(x.w * y.w * v_click) END AS par,
-                      CASE WHEN count(v_signup) = max(x.need * y.need) THEN sum(x.w * y.w * v_signup) / 10 END AS wind FROM cube_wide c JOIN pw x ON c.i = x.src JOIN pw y ON c.j = y.src GROUP BY ALL),
-         n AS (SELECT t, x.k AS i, y.k AS j, v_error / 10 AS sst FROM cube_wide c JOIN (SELECT k FROM range(22) r(k)) x ON c.i = x.k // 2 JOIN (SELECT k FROM range(22) r(k)) y ON c.j = y.k // 2)
+                      CASE WHEN count(v_signup) = max(x.need * y.need) THEN sum(x.w * y.w * v_signup) / 10 END AS wind FROM cube_wide c JOIN pw x ON c.i = x.src AND x.tgt < 23 JOIN pw y ON c.j = y.src GROUP BY ALL),
+         n AS (SELECT t, x.k AS i, y.k AS j, v_error / 10 AS sst FROM cube_wide c JOIN (SELECT k FROM range(23) r(k)) x ON c.i = x.k // 2 JOIN (SELECT k FROM range(47) r(k)) y ON c.j = y.k // 2)
     SELECT t, i::INT AS i, j::INT AS j, i / 2.0::DOUBLE AS lat, j / 2.0::DOUBLE AS lon, round(chla, 6) AS chla, round(par, 6) AS par, round(sst, 6) AS sst, round(wind, 6) AS wind
     FROM a FULL JOIN l USING (t, i, j) FULL JOIN n USING (t, i, j)""")
 def merged_products(spark, d):
     day = v.cube_wide(spark, d).select("t", "i", "j", (F.col("v_view") / 100).alias("chla"), F.col("v_click").alias("par"),
                                        (F.col("v_error") / 10).alias("sst"), (F.col("v_signup") / 10).alias("wind"))
     own = (index_axis(spark, v.N_LAT), index_axis(spark, v.N_LON))
-    half = (index_axis(spark, 22, 1, 2), index_axis(spark, 22, 1, 2))
+    half = (index_axis(spark, 23, 1, 2), index_axis(spark, 47, 1, 2))
     cube = analysis.analysis_cube([analysis.Product(day, ("chla",), own, factor=2), analysis.Product(day, ("par", "wind"), own),
                                    analysis.Product(day, ("sst",), own, method="nearest")], half)
     return rounded(cube, ["chla", "par", "sst", "wind"])

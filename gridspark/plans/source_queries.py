@@ -190,14 +190,14 @@ def cube_roundtrip(spark, d):
     return rounded(cube_files.read_cube(spark, path, ["v_view", "v_error"]), ["v_view", "v_error"])
 
 
-@query("read_cubes", "SELECT t, i, j, v_view, v_click FROM cube_wide")
+@query("read_cubes", f"SELECT t, i, j, {', '.join(VALUES)} FROM cube_wide")
 def read_cubes(spark, d):
-    """Two stored cubes with different variables, scanned together and combined by cell."""
+    """Stored cubes with a variable each, scanned together and combined by cell."""
     base = _fresh(spark)
     cube = v.cube_wide(spark, d)
-    for name in ("v_view", "v_click"):
+    for name in VALUES:
         cube.select("t", "i", "j", name).write.parquet(f"{base}/{name}")
-    return cube_files.read_cubes(spark, [f"{base}/v_view", f"{base}/v_click"], keys=["t", "i", "j"])
+    return cube_files.read_cubes(spark, [f"{base}/{name}" for name in VALUES], keys=["t", "i", "j"])
 
 
 @query("ingest_days", "SELECT time, i, j, v_view + CASE WHEN t % 10 = 3 THEN 1000 ELSE 0 END AS v_view FROM cube_wide")
