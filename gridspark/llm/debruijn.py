@@ -1,8 +1,8 @@
 """Substring dedup (5): compaction of the de Bruijn graph of the words.
 
-An edge is a window of `k` words, a k-mer. Consecutive edges that share least run of about k/3
+An edge is a window of `k` words, a k-mer. Consecutive edges that share the least run of about k/3
 words, the seed, lie on one path without leaving its neighbourhood, and are compacted into one row: its seed,
-the hash of all its words, its source document and position. Paths that occur at least twice
+a cryptographic digest of all its words, its source document and position. Paths that occur at least twice
 repeat as a whole. Paths that share a seed with another but differ branch somewhere; only those
 are unfolded, at their source coordinates, into edges, which are counted one by one. Every edge
 belongs to the path of one seed, so equal edges always meet.
@@ -11,6 +11,7 @@ belongs to the path of one seed, so equal edges always meet.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridspark.llm.store import Scratch
-from gridspark.llm.words import Words, mix, spans, text_chunks, windows
+from gridspark.llm.words import Words, mix, text_chunks, windows
 
 #: Words in a window.
 K = 35
@@ -39,6 +40,13 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def digests(words: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A cryptographic digest of the words themselves in each start:end, joined by one space."""
+    raw, begins, ends = words.data.tobytes(), words.start[start].tolist(), words.end[end - 1].tolist()
+    found = b"".join(blake2b(b" ".join(raw[a:b].split()), digest_size=8).digest() for a, b in zip(begins, ends))
+    return np.frombuffer(found, "<u8").astype(np.uint64)
+
+
 def paths_of(words: Words, k: int) -> tuple[np.ndarray, ...]:
     """(text, start in the text, edges, seed, path hash) of every compacted path."""
     short = k - k // 3 * 2
@@ -57,7 +65,7 @@ def paths_of(words: Words, k: int) -> tuple[np.ndarray, ...]:
     edges = np.add.reduceat(valid.astype(np.int64), start)
     # a stretch without edges between two paths belongs to none: reduceat adds zeros there
     seed = keys[at[start]]
-    path = spans(words.hashes(1), start, start + edges + k - 1, seed=1) ^ mix((at[start] - start).astype(np.uint64), 2)
+    path = digests(words, start, start + edges + k - 1) ^ mix((at[start] - start).astype(np.uint64), 2)
     text = words.doc[start]
     return text, start - words.first[text], edges, seed, path
 
@@ -91,7 +99,8 @@ def _unfold(k: int):
                 which = np.repeat(np.arange(b - a), n)
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = starts[a:b][which] + step
-                edge = windows(words.hashes(1), k, seed=1)[words.first[text[which]] + at]
+                begin = words.first[text[which]] + at
+                edge = digests(words, begin, begin + k)
                 own = text[which] + row
                 yield pa.RecordBatch.from_pydict({
                     "seed": pa.array(seeds[a:b][which]), "edge": pa.array(edge.view(np.int64)), "n": pa.array(counts[a:b][which]),
