@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -10,6 +12,7 @@ from gridspark.functions import dates, geo, missing
 from gridspark.operators import axes, fill, merge, quality, regrid, reshape, select
 from gridspark.plans import analysis, views as v
 from gridspark.plans.registry import query
+from gridspark.session import shared_dir
 
 VALUES = list(v.CHANNELS)
 _COLS = ", ".join(VALUES)
@@ -280,8 +283,11 @@ def neighbour_features(spark, d):
 
 @query("merge_cubes", f"SELECT t, i, j, {_COLS} FROM cube_wide")
 def merge_cubes(spark, d):
-    long = v.cube_long(spark, d)
-    return merge.merge_cubes([long.filter(F.col("var") == e).select("t", "i", "j", F.col("value").alias(f"v_{e}")) for e in v.EVENT_TYPES])
+    """A product per variable, stored in one pass, and merged."""
+    base = f"{shared_dir(spark)}/gridspark-{uuid.uuid4().hex}"
+    v.cube_long(spark, d).select("t", "i", "j", "var", "value").write.partitionBy("var").parquet(base)
+    stored = spark.read.schema("t int, i int, j int, value double, var string").parquet(base)
+    return merge.merge_cubes([stored.filter(F.col("var") == e).select("t", "i", "j", F.col("value").alias(f"v_{e}")) for e in v.EVENT_TYPES])
 
 
 @query("merge_conflicts", """
