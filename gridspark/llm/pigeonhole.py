@@ -5,8 +5,10 @@ rotated and cut into blocks of few dimensions; every block gets a part of the sq
 proportion to the variance it holds. If a pair is within the whole distance, it is within the part
 of one block at least. Each block is joined by range: vectors fall into cells of their first
 coordinate as wide as the block's distance, cells are cut into chunks of bounded size, and chunks
-of the same or the next cell are compared by one matrix product. The pairs that come out of any
-block are verified with the whole vectors in double precision.
+of the same or the next cell are compared strip by strip. Pairs within a block's distance are verified
+where they meet, with the whole vectors in double precision, and belong to the first block that finds
+them. Pairs are never written down: a task gives each vector's number of links in a pair of chunks, and
+a forest that connects what it found linked there.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from gridspark.llm.store import Scratch
 
 COSINE = 0.9
 #: Dimensions of a block, and vectors of a chunk, about.
-BLOCK, CHUNK = 16, 2048
+BLOCK, CHUNK = 16, 8192
+#: Rows of a chunk that are compared at a time, and pairs that are verified at a time.
+STRIP, PAIRS = 512, 1 << 16
 #: Taken on top of a block's distance, far above what rounding can add to it.
 SLACK = 1e-9
 #: Least distance of a block, far above the slack; it bounds the cells of a block by 2 / LEAST + 1.
 LEAST = 1e-3
-_BLOCKS_DDL = "block int, cell int, id long, at array<double>"
+_BLOCKS_DDL = "block int, cell int, id long, copies long, embedding array<float>"
 
 
 def rotation(dim: int, seed: int = 0) -> np.ndarray:
@@ -53,6 +57,11 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def turned(v: np.ndarray) -> np.ndarray:
+    """Rotated vectors, with the same rounding whatever other rows there are."""
+    return np.einsum("ij,jk->ik", v, rotation(v.shape[1]))
+
+
 def _energy(block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,48 +77,94 @@ def _blocks(block: int, radii: dict[tuple[int, int], float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, v in _matrices(batch):
-                dim = v.shape[1]
-                turned, ids = v @ rotation(dim), batch.column(0).take(pa.array(rows))
-                for part, (a, b) in enumerate(cuts(dim, block)):
-                    own = np.ascontiguousarray(turned[:, a:b])
+                dim, own = v.shape[1], batch.take(pa.array(rows))
+                at = turned(v)
+                for part, (a, _) in enumerate(cuts(dim, block)):
                     # a little wider than the distance with its slack, so that no pair is two cells apart
-                    cell = np.floor(own[:, 0] / (1.001 * radii[dim, part])).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(rows), dim << 12 | part, np.int32)), pa.array(cell), ids,
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (b - a)), pa.array(own.reshape(-1)))], names=["block", "cell", "id", "at"])
+                    cell = np.floor(at[:, a] / (1.001 * radii[dim, part])).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), dim << 12 | part, np.int32)), pa.array(cell), own.column(0), own.column(2), own.column(1)],
+                                                     names=["block", "cell", "id", "copies", "embedding"])
 
     return run
 
 
-def _compare(radii: dict[int, float]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block, same, a, b = (batch.column(c)[i] for c in range(4))
-                ids, points = [], []
-                for side in (a.values, b.values):
-                    ids.append(side.field("id").to_numpy())
-                    lists = side.field("at")
-                    points.append(lists.flatten().to_numpy().reshape(len(side), -1))
-                x, y = points
-                square = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T)
-                r, s = np.nonzero(square <= radii[block.as_py()] ** 2 + SLACK)
-                one, two = ids[0][r], ids[1][s]
-                keep = one < two if same.as_py() else one != two
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)[keep]), pa.array(np.maximum(one, two)[keep])], names=["a", "b"])
-
-    return run
-
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node that each of n nodes is connected with by links (a, b)."""
+    label = np.arange(n)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        np.minimum.at(least, b, label[a])
+        least = least[least]
+        if np.array_equal(least, label):
+            return label
+        label = least
+
+
+class _Side:
+    """The vectors of a chunk: ids, copies, as they are, of unit length, and rotated."""
+
+    def __init__(self, side: pa.StructArray):
+        self.ids, self.copies = side.field("id").to_numpy(), side.field("copies").to_numpy()
+        lists = side.field("embedding")
+        self.raw = lists.flatten().to_numpy().astype(np.float64).reshape(len(side), -1)
+        scaled = self.raw / np.abs(self.raw).max(axis=1, keepdims=True)
+        self.unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+        self.at = turned(self.unit)
+
+
+def _linked(x: _Side, y: _Side, first: int, r: np.ndarray, s: np.ndarray, part: int, bounds: list[tuple[int, int]], limits: list[float], cosine: float) -> np.ndarray:
+    """Which of the pairs (first + r, s) are links that the blocks before `part` do not find. Every block decides alike."""
+    r = r + first
+    found = np.einsum("ij,ij->i", x.unit[r], y.unit[s])
+    good = found >= cosine - 1e-9
+    close = np.flatnonzero(good & (found < cosine + 1e-9))
+    if len(close):
+        p, q = x.raw[r[close]], y.raw[s[close]]
+        good[close] = (p * q).sum(axis=1) / (np.sqrt((p * p).sum(axis=1)) * np.sqrt((q * q).sum(axis=1))) >= cosine
+    at = np.flatnonzero(good)
+    gap = (x.at[r[at]] - y.at[s[at]]) ** 2
+    near = [gap[:, a:b].sum(axis=1) <= limit for (a, b), limit in zip(bounds[:part + 1], limits)]
+    good[at] = near[part] & ~np.logical_or.reduce(near[:part], axis=0) if part else near[0]
+    return good
+
+
+def _compare(radii: dict[tuple[int, int], float], cosine: float, block: int):
+    """For each pair of chunks (vector, its links there, the least vector that it is connected with there)."""
 
-def _verify(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # both vectors of a pair have the same length
-            first = batch.column(2).offsets.to_numpy()
-            x, y = (batch.column(c).flatten().to_numpy().astype(np.float64) for c in (2, 3))
-            starts = first[:-1] - first[0]
-            xy, xx, yy = (np.add.reduceat(p, starts) if len(p) else np.empty(0) for p in (x * y, x * x, y * y))
-            yield batch.filter(pa.array(xy / (np.sqrt(xx) * np.sqrt(yy)) >= cosine)).select([0, 1])
+            for i in range(batch.num_rows):
+                key, same = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                dim, part = key >> 12, key & 4095
+                bounds = cuts(dim, block)
+                limits = [radii[dim, k] ** 2 + SLACK for k in range(len(bounds))]
+                x = _Side(batch.column(2)[i].values)
+                y = x if same else _Side(batch.column(3)[i].values)
+                a, b = bounds[part]
+                squares, one, two = (y.at[:, a:b] ** 2).sum(axis=1), [], []
+                for first in range(0, len(x.ids), STRIP):
+                    own = x.at[first:first + STRIP, a:b]
+                    square = (own * own).sum(axis=1)[:, None] + squares - 2 * (own @ y.at[:, a:b].T)
+                    meets = square <= limits[part] + SLACK
+                    if same:
+                        meets &= np.arange(len(y.ids)) > (first + np.arange(len(own)))[:, None]
+                    r, s = np.nonzero(meets)
+                    for c in range(0, len(r), PAIRS):
+                        good = _linked(x, y, first, r[c:c + PAIRS], s[c:c + PAIRS], part, bounds, limits, cosine)
+                        one.append(r[c:c + PAIRS][good] + first)
+                        two.append(s[c:c + PAIRS][good])
+                if not any(map(len, one)):
+                    continue
+                one, two = np.concatenate(one), np.concatenate(two)
+                n = len(x.ids)
+                ids, shift = (x.ids, 0) if same else (np.concatenate([x.ids, y.ids]), n)
+                others = np.zeros(len(ids), np.int64)
+                np.add.at(others, one, y.copies[two])
+                np.add.at(others, two + shift, x.copies[one])
+                label = forest(one, two + shift, len(ids))
+                met = np.flatnonzero(others)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(others[met]), pa.array(ids[label[met]])], names=["id", "others", "with"])
 
     return run
 
@@ -134,7 +189,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     # distinct vectors have numbers of their own: a vec_id may stand on several
     heads = good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     heads = scratch.keep(heads.withColumn("id", F.monotonically_increasing_id()), "heads")
-    points = heads.filter("least is not null").select("id", "embedding")
+    points = heads.filter("least is not null").select("id", "embedding", "copies")
 
     energy = points.mapInArrow(_energy(block), "dim int, part int, energy double").groupBy("dim", "part").agg(F.sum("energy").alias("energy")).collect()
     whole: dict[int, float] = {}
@@ -142,17 +197,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
         whole[r["dim"]] = whole.get(r["dim"], 0.0) + r["energy"]
     budget = 2 - 2 * cosine
     radii = {(r["dim"], r["part"]): max(float(np.sqrt(budget * r["energy"] / whole[r["dim"]])), LEAST) for r in energy}
-    links = scratch.keep(_links(scratch, points, radii, cosine, block, chunk), "links")
-    found = components(links, scratch, "components")
+    met = scratch.keep(_links(scratch, points, radii, cosine, block, chunk), "met")
+    found = components(met.select(F.col("id").alias("a"), F.col("with").alias("b")), scratch, "components")
 
-    copies = heads.filter("least is not null").select("id", "least", "copies")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(copies.select(F.col("id").alias("b"), "copies").hint("merge"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    member = scratch.keep(copies.select("id", "least").join(found.hint("merge"), "id"), "members")
+    degree = met.groupBy("id").agg(F.sum("others").alias("others"))
+    member = scratch.keep(heads.filter("least is not null").select("id", "least").join(found.hint("merge"), "id"), "members")
     # stored before they are joined, so that the join reads two plain shuffles and Spark can split a large component
     names = scratch.keep(member.groupBy("component").agg(F.min("least").alias("name")), "names")
     named = member.select("id", "component").join(names.hint("merge"), "component").select("id", "name")
-    classes = scratch.keep(heads.join(degree.withColumnRenamed("a", "id").hint("merge"), "id", "left").join(named.hint("merge"), "id", "left").select(
+    classes = scratch.keep(heads.join(degree.hint("merge"), "id", "left").join(named.hint("merge"), "id", "left").select(
         "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("name", "least").alias("component_id")), "classes")
     known = good.join(classes.hint("merge"), "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.filter(~usable("embedding")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -160,14 +213,14 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
 
 
 def _links(scratch: Scratch, points: DataFrame, radii: dict[tuple[int, int], float], cosine: float, block: int, chunk: int) -> DataFrame:
-    """(a, b) of every linked pair of distinct vectors, a < b."""
+    """(id, others, with): for each pair of chunks a vector's links there, copies counted, and the least vector it is connected with."""
     if not radii:
-        return points.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        return points.select("id", F.col("id").alias("others"), F.col("id").alias("with")).limit(0)
     cut = scratch.keep(points.mapInArrow(_blocks(block, radii), _BLOCKS_DDL), "blocks")
     # unit vectors: a block has at most 2 / radius + 1 cells
     sizes = scratch.keep(cut.groupBy("block", "cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")), "sizes")
     dealt = cut.join(F.broadcast(sizes), ["block", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    chunks = scratch.keep(dealt.groupBy("block", "cell", "chunk", "chunks").agg(F.collect_list(F.struct("id", "at")).alias("points")), "chunks")
+    chunks = scratch.keep(dealt.groupBy("block", "cell", "chunk", "chunks").agg(F.collect_list(F.struct("id", "copies", "embedding")).alias("points")), "chunks")
     scratch.drop("blocks")
     following = sizes.select("block", (F.col("cell") - 1).alias("cell"), F.col("chunks").alias("next_chunks"))
     partners = F.concat(F.transform(F.sequence("chunk", F.col("chunks") - 1), lambda q: F.struct(F.col("cell").alias("cell"), q.alias("chunk"))),
@@ -176,7 +229,5 @@ def _links(scratch: Scratch, points: DataFrame, radii: dict[tuple[int, int], flo
     sought = chunks.join(F.broadcast(following), ["block", "cell"], "left").select("block", "cell", "chunk", F.col("points").alias("left"), F.explode(partners).alias("to"))
     right = chunks.select("block", F.col("cell").alias("to_cell"), F.col("chunk").alias("to_chunk"), F.col("points").alias("right"))
     met = sought.select("block", F.col("to.cell").alias("to_cell"), F.col("to.chunk").alias("to_chunk"), ((F.col("to.cell") == F.col("cell")) & (F.col("to.chunk") == F.col("chunk"))).alias("same"), "left")
-    pairs = met.join(right.hint("merge"), ["block", "to_cell", "to_chunk"]).select("block", "same", "left", "right")
-    candidates = scratch.keep(pairs.mapInArrow(_compare({dim << 12 | part: r for (dim, part), r in radii.items()}), "a long, b long").distinct(), "candidates")
-    one, two = (points.select(F.col("id").alias(x), F.col("embedding").alias(f"v_{x}")) for x in "ab")
-    return candidates.join(two.hint("merge"), "b").join(one.hint("merge"), "a").select("a", "b", "v_a", "v_b").mapInArrow(_verify(cosine), "a long, b long")
+    pairs = met.join(right.hint("merge"), ["block", "to_cell", "to_chunk"]).select("block", "same", "left", F.when(~F.col("same"), F.col("right")).alias("right"))
+    return pairs.mapInArrow(_compare(radii, cosine, block), "id long, others long, with long")
