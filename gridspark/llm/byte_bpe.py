@@ -170,7 +170,8 @@ def _lists(ids: list[bytes]) -> pa.ListArray:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): the ids of every whole text, special tokens read as text; a null text is empty.
 
-    Rows repeated and null doc_ids stay as they are; other columns are not read.
+    Of pairs with the least rank in a word the leftmost is merged first. A very long text is a query's words of its own,
+    asked in bounded batches. Rows repeated and null doc_ids stay as they are; other columns are not read.
     """
     prepare(docs.sparkSession)
 
