@@ -44,17 +44,43 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@query("op3_near_dedup")
+@query("op3_near_dedup", """
+    WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    shingles AS (SELECT DISTINCT doc_id, array_to_string(words[s:s + 4], ' ') AS shingle FROM (
+        SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS s FROM split WHERE len(words) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+    links AS (SELECT a, b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE c.n >= 0.8::DOUBLE * (x.n + y.n - c.n)),
+    reached(a, b) AS (SELECT doc_id, doc_id FROM split UNION SELECT l.a, r.b FROM reached r JOIN links l ON l.b = r.a),
+    least AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+    SELECT s.doc_id, l.b AS class_id, s.doc_id = l.b AS kept, coalesce(z.n, 0)::INT AS n_shingles FROM split s JOIN least l ON l.a = s.doc_id LEFT JOIN sizes z ON z.doc_id = s.doc_id""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.near_dedup(documents(spark, sf_dir))
 
 
-@query("op4_embedding_dedup")
+@query("op4_embedding_dedup", """
+    WITH RECURSIVE good AS (
+        SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS length FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+        WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) / (a.length * b.length) >= 0.9),
+    reached(a, b) AS (SELECT vec_id, vec_id FROM good UNION SELECT l.a, r.b FROM reached r JOIN links l ON l.b = r.a),
+    degree AS (SELECT a, count(*) AS n FROM links GROUP BY a), least AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+    SELECT e.vec_id, coalesce(d.n, 0) AS n_links, coalesce(c.b, e.vec_id) AS component_id, e.vec_id = coalesce(c.b, e.vec_id) AS kept
+    FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN least c ON c.a = e.vec_id""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pigeonhole.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-@query("op5_substring_dedup")
+@query("op5_substring_dedup", """
+    WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    windows AS (SELECT doc_id, s, array_to_string(words[s:s + 34], ' ') AS spelled FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS s FROM split)),
+    repeated AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY spelled) AS n FROM windows) WHERE n > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS place FROM repeated),
+    placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM split),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text FROM placed ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id),
+    removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+    SELECT s.doc_id, len(s.words) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+    FROM split s LEFT JOIN kept k USING (doc_id) LEFT JOIN removed r USING (doc_id)""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = debruijn.remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
