@@ -5,11 +5,14 @@ for each side, and gives the class of the word in between; a word's probability
 of the class. The most frequent words are a class each, all others fall into classes by their hash, so words of equal
 frequency differ in context. Shares are exact for every word of the corpus: all words are counted in Spark into a
 stored table, frequent ones are broadcast in a bounded number, and the counts of all others are joined to the documents
-that hold them. The network itself is fitted in numpy to windows drawn evenly from the whole corpus.
+that hold them. The network is fitted to every window of the corpus: a start, fitted to windows drawn evenly from all
+texts, goes to every partition, which goes on with it over all windows of its own; Spark takes the mean of what they
+learnt, weight by weight, by how often each partition used it.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,10 +29,12 @@ CLASSES, OWN = 128, 64
 VOCABULARY = 1 << 17
 #: Neighbours on each side, rows of an embedding table (row 0 is the edge of a text), and its width.
 SIDE, BUCKETS, WIDTH = 2, 1 << 15, 32
-#: Windows that the network is fitted to, about; each window of the corpus is drawn with the same probability.
+#: Windows that the start is fitted to, about; each window of the corpus is drawn with the same probability.
 SAMPLE, EPOCHS, BATCH, RATE = 200_000, 3, 256, 0.05
-#: Words that are scored at a time.
-BLOCK = 1 << 15
+#: Windows of a step over the whole corpus, and rows of a table whose means are taken together.
+STEP, ROWS = 1024, 64
+#: Words that are scored at a time: their logits stay in a core's cache.
+BLOCK = 1 << 10
 _U = np.uint64
 
 
@@ -83,6 +88,26 @@ def windows(words: Words, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """In place; half as dear as numpy's."""
+    x += x
+    np.exp(np.minimum(x, 60, out=x), out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
+    return x
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of a table in ascending order, and the place of each among them; 16 bits are sorted by radix."""
+    order = np.argsort(rows.astype(np.int16), kind="stable")
+    ordered = rows[order]
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return ordered[first], place
+
+
 class Network:
     """Embeddings of the words before and after, gains by distance, and the output layer over classes."""
 
@@ -94,36 +119,55 @@ class Network:
         self.bias = prior.astype(np.float32)
         self.seen: list[np.ndarray] = [np.full(w.shape, 1e-6, np.float32) for w in (*self.tables, self.gains, self.out, self.bias)]
 
+    @property
+    def weights(self) -> tuple[np.ndarray, ...]:
+        return (*self.tables, self.gains, self.out, self.bias)
+
     def hidden(self, window: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(window), WIDTH), np.float32)
-        for k in range(2 * SIDE):
-            total += self.tables[k // SIDE][window[:, k]] * self.gains[k]
-        return np.tanh(total)
+        return _tanh(sum(self.tables[k // SIDE].take(window[:, k], axis=0) * self.gains[k] for k in range(2 * SIDE)))
+
+    def logits(self, hidden: np.ndarray) -> np.ndarray:
+        """Of all classes, up to a number that is the same for a row: their exponentials neither overflow nor vanish."""
+        out = hidden @ self.out
+        out += self.bias
+        if out.size and not (out.max() < 60 and out.min() > -60):
+            out -= out.max(axis=1, keepdims=True)
+        return out
 
     def log_probabilities(self, window: np.ndarray) -> np.ndarray:
-        logits = self.hidden(window) @ self.out + self.bias
-        logits -= logits.max(axis=1, keepdims=True)
+        logits = self.logits(self.hidden(window))
         return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
+    def score(self, window: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The log-probability of one class each."""
+        logits = self.logits(self.hidden(window))
+        own = logits[np.arange(len(kind)), kind]
+        return own - np.log(np.exp(logits, out=logits) @ np.ones(CLASSES, logits.dtype))
+
     def gradients(self, window: np.ndarray, kind: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """Of the mean negative log-probability: per neighbour for the tables' rows, then of gains, output and bias."""
-        hidden, error = self.hidden(window), np.exp(self.log_probabilities(window))
-        error[np.arange(len(kind)), kind] -= 1
-        error /= np.float32(len(kind))
+        before = [self.tables[k // SIDE].take(window[:, k], axis=0) for k in range(2 * SIDE)]
+        hidden = _tanh(sum(b * g for b, g in zip(before, self.gains)))
+        error = self.logits(hidden)
+        np.exp(error, out=error)
+        n = error.dtype.type(len(kind))
+        error /= (error @ np.full(CLASSES, n, error.dtype))[:, None]
+        error[np.arange(len(kind)), kind] -= 1 / n
         inner = (error @ self.out.T) * (1 - hidden * hidden)
-        rows = [inner * self.gains[k] for k in range(2 * SIDE)]
-        gains = np.stack([(inner * self.tables[k // SIDE][window[:, k]]).sum(axis=0) for k in range(2 * SIDE)])
-        return rows, gains, hidden.T @ error, error.sum(axis=0)
+        rows = [inner * g for g in self.gains]
+        return rows, np.stack([np.einsum("ij,ij->j", inner, b) for b in before]), (error.T @ hidden).T, error.sum(axis=0)
 
     def learn(self, window: np.ndarray, kind: np.ndarray, rate: float = RATE) -> None:
         """One step with a learning rate per weight; only the rows of the tables that occur are touched."""
         rows, *dense = self.gradients(window, kind)
         for side in range(2):
-            at, place = np.unique(window[:, side * SIDE:(side + 1) * SIDE].T.ravel(), return_inverse=True)
-            g = np.zeros((len(at), WIDTH), np.float32)
-            np.add.at(g, place, np.concatenate(rows[side * SIDE:(side + 1) * SIDE]))
-            self.seen[side][at] += g * g
-            self.tables[side][at] -= rate * g / np.sqrt(self.seen[side][at])
+            mine = slice(side * SIDE, (side + 1) * SIDE)
+            at, place = _distinct(window[:, mine].T.ravel())
+            g = np.zeros(len(at) * WIDTH, np.float32)
+            np.add.at(g, (place[:, None] * WIDTH + np.arange(WIDTH)).ravel(), np.concatenate(rows[mine]).ravel())
+            g = g.reshape(-1, WIDTH)
+            self.seen[side][at] = seen = self.seen[side].take(at, axis=0) + g * g
+            self.tables[side][at] -= rate * g / np.sqrt(seen)
         for w, g, seen in zip((self.gains, self.out, self.bias), dense, self.seen[2:]):
             seen += g * g
             w -= rate * g / np.sqrt(seen)
@@ -197,22 +241,86 @@ def _fit(mass: np.ndarray, epochs: int):
             kinds.append(batch.column(0).to_numpy())
             rows.append(batch.column(1).flatten().to_numpy().reshape(-1, 2 * SIDE))
         network = fit(np.concatenate(rows), np.concatenate(kinds), mass, epochs)
-        weights = (*network.tables, network.gains, network.out, network.bias)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(weights))), "weights": pa.array([w.astype("<f4").tobytes() for w in weights])})
+        state = (*network.weights, *network.seen)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(state))), "weights": pa.array([w.astype("<f4").tobytes() for w in state])})
 
     return run
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, sample: int = SAMPLE, epochs: int = EPOCHS) -> Network:
-    """The network fitted in one task to about `sample` windows of all texts; fewer words than that are all taken."""
+def _start(texts: DataFrame, vocabulary: Vocabulary, sample: int, epochs: int) -> Network:
+    """The network that every partition starts from, fitted in one task to about `sample` windows of all texts."""
     share = sample / max(int(vocabulary.mass.sum()), 1)
     drawn = texts.mapInArrow(_windows(vocabulary, share), "key long, kind long, window array<int>")
     ordered = drawn.repartition(1).sortWithinPartitions("key", "kind", "window").select("kind", "window")
     found = {r["part"]: bytes(r["weights"]) for r in ordered.mapInArrow(_fit(vocabulary.mass, epochs), "part long, weights binary").collect()}
     network = Network(np.log((vocabulary.mass + 1) / (vocabulary.mass.sum() + CLASSES)))
-    for k, w in enumerate((*network.tables, network.gains, network.out, network.bias)):
+    for k, w in enumerate((*network.weights, *network.seen)):
         if found:
             w[...] = np.frombuffer(found[k], "<f4").reshape(w.shape)
+    return network
+
+
+def _go_on(vocabulary: Vocabulary, start: Network):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        network, times = copy.deepcopy(start), np.zeros((2, BUCKETS), np.int64)
+        n = 0
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                words = Words(data, offsets)
+                hashes = words.hashes()
+                # neighbouring windows are alike, so those of a chunk are mixed
+                order = np.random.default_rng(len(hashes)).permutation(len(hashes))
+                window, kind = windows(words, hashes)[order], vocabulary.of(hashes)[0][order]
+                for a in range(0, len(kind), STEP):
+                    network.learn(window[a:a + STEP], kind[a:a + STEP])
+                for side in range(2):
+                    times[side] += np.bincount(window[:, side * SIDE:(side + 1) * SIDE].ravel(), minlength=BUCKETS)
+                n += len(kind)
+        if not n:
+            return
+        for part, w in enumerate(network.weights):
+            w = np.atleast_2d(w)
+            used = times[part] if part < 2 else np.full(len(w), n)
+            at = np.flatnonzero(used)
+            values = np.ascontiguousarray(w[at], "<f4")
+            bounds = np.arange(len(at) + 1, dtype=np.int32) * values.itemsize * values.shape[1]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(at), part, np.int32)), pa.array((at // ROWS).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), TaskContext.get().partitionId(), np.int32)),
+                pa.array(used[at]), pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(values)])],
+                names=["part", "block", "at", "replica", "times", "weights"])
+
+    return run
+
+
+def means(learnt: pa.Table) -> pa.Table:
+    """(part, at, weights): the mean of each row of weights by its `times`, whatever the order of the rows."""
+    at, times = learnt.column("at").to_numpy(), learnt.column("times").to_numpy()
+    order = np.lexsort((learnt.column("replica").to_numpy(), at))
+    values = np.frombuffer(b"".join(learnt.column("weights").to_pylist()), "<f4").reshape(len(at), -1)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
+    total = np.add.reduceat(values[order] * times[order, None].astype(np.float64), first)
+    mean = (total / np.add.reduceat(times[order], first)[:, None]).astype("<f4")
+    return pa.table({"part": learnt.column("part").slice(0, len(first)), "at": pa.array(at[order][first]), "weights": pa.array([m.tobytes() for m in mean], pa.binary())})
+
+
+def train(texts: DataFrame, vocabulary: Vocabulary, sample: int = SAMPLE, epochs: int = EPOCHS) -> Network:
+    """The network fitted to every window of all texts.
+
+    A start is fitted to about `sample` windows. Each partition goes on from it in one pass over all of its own
+    windows; the result is the mean of the partitions' networks, each row of a table weighted by how often a partition
+    used it, all else by the partitions' numbers of words. A row that no text uses stays as it was. The driver gets
+    two networks; what the partitions learnt is averaged in Spark.
+    """
+    network = _start(texts, vocabulary, sample, epochs)
+    learnt = texts.mapInArrow(_go_on(vocabulary, network), "part int, block int, at int, replica int, times long, weights binary")
+    mean = learnt.groupBy("part", "block").applyInArrow(means, "part int, at int, weights binary").toArrow()
+    part, at = mean.column("part").to_numpy(), mean.column("at").to_numpy()
+    for k, w in enumerate(network.weights):
+        rows = np.flatnonzero(part == k)
+        if len(rows):
+            np.atleast_2d(w)[at[rows]] = np.frombuffer(b"".join(mean.column("weights").take(pa.array(rows)).to_pylist()), "<f4").reshape(len(rows), -1)
     network.seen = []
     return network
 
@@ -231,7 +339,7 @@ def _scores(vocabulary: Vocabulary, network: Network):
                 window, total = windows(words, hashes), np.zeros(end - row)
                 for a in range(0, len(hashes), BLOCK):
                     part = slice(a, a + BLOCK)
-                    score = network.log_probabilities(window[part])[np.arange(len(kind[part])), kind[part]] - mass[kind[part]] + np.log(np.maximum(count[part], 1))
+                    score = network.score(window[part], kind[part]) - mass[kind[part]] + np.log(np.maximum(count[part], 1))
                     total += np.bincount(words.doc[part], score, end - row)
                 rare = np.flatnonzero(count == 0)
                 order = rare[np.lexsort((hashes[rare], words.doc[rare]))]

@@ -572,6 +572,34 @@ def test_texts_that_occur_twice_are_likelier(spark):
     assert np.median(twice) > np.quantile(once, 0.7)
 
 
+def test_network_is_fitted_to_every_window(spark):
+    """Without a start to speak of: what only the pass over the whole corpus can know, from many partitions, some of them empty."""
+    rows = [(" ".join(f"{c} {w} end{n % 3}" for n in range(400) for c, w in (("a", "x"), ("b", "y"))),)] * 24 + [("",), (None,)]
+    texts = spark.createDataFrame(rows, "text string").select(F.coalesce("text", F.lit("")).alias("text")).repartition(4).unionByName(spark.createDataFrame([("",)], "text string"))
+    _, known = masked_lm.count_words(texts, Scratch(spark, "test"))
+    network = masked_lm.train(texts, known, sample=1)
+    text = rows[0][0].encode()
+    words = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    hashes = words.hashes()
+    kind, scores = known.of(hashes)[0], network.log_probabilities(masked_lm.windows(words, hashes)[:6])
+    assert scores[1, kind[1]] > scores[1, kind[4]] + 1 and scores[4, kind[4]] > scores[4, kind[1]] + 1
+
+
+def test_means_of_partitions():
+    """Rows of weights by how often each partition used them, in any order."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    at, replica, times, values = np.array([5, 3, 5, 5]), np.array([2, 0, 1, 0]), np.array([1, 7, 2, 1]), rng.random((4, 6)).astype(np.float32)
+    table = pa.table({"part": pa.array([1] * 4, pa.int32()), "block": pa.array([0] * 4, pa.int32()), "at": pa.array(at, pa.int32()), "replica": pa.array(replica, pa.int32()),
+                      "times": times, "weights": pa.array([v.tobytes() for v in values], pa.binary())})
+    for order in ([0, 1, 2, 3], [3, 2, 1, 0]):
+        out = masked_lm.means(table.take(pa.array(order))).to_pydict()
+        assert out["at"] == [3, 5] and out["part"] == [1, 1]
+        assert np.frombuffer(out["weights"][0], "<f4").tolist() == values[1].tolist()
+        assert np.allclose(np.frombuffer(out["weights"][1], "<f4"), (values[0] + 2 * values[2] + values[3]) / 4)
+
+
 def test_words_of_equal_frequency_differ_in_context():
     """After `a` comes x, after `b` comes y, equally often: the network tells them apart."""
     text = " ".join(f"{c} {w} end{n % 3}" for n in range(3000) for c, w in (("a", "x"), ("b", "y"))).encode()
