@@ -31,8 +31,8 @@ VOCABULARY = 1 << 17
 SIDE, BUCKETS, WIDTH = 2, 1 << 15, 32
 #: Windows that the start is fitted to, about; each window of the corpus is drawn with the same probability.
 SAMPLE, EPOCHS, BATCH, RATE = 200_000, 3, 256, 0.05
-#: Windows of a step over the whole corpus, and rows of a table whose means are taken together.
-STEP, ROWS = 1024, 64
+#: Windows of a step over the whole corpus and its rate, and rows of a table whose means are taken together.
+STEP, STEP_RATE, ROWS = 2048, 0.1, 64
 #: Words that are scored at a time: their logits stay in a core's cache.
 BLOCK = 1 << 10
 _U = np.uint64
@@ -274,7 +274,7 @@ def _go_on(vocabulary: Vocabulary, start: Network):
                 order = np.random.default_rng(len(hashes)).permutation(len(hashes))
                 window, kind = windows(words, hashes)[order], vocabulary.of(hashes)[0][order]
                 for a in range(0, len(kind), STEP):
-                    network.learn(window[a:a + STEP], kind[a:a + STEP])
+                    network.learn(window[a:a + STEP], kind[a:a + STEP], STEP_RATE)
                 for side in range(2):
                     times[side] += np.bincount(window[:, side * SIDE:(side + 1) * SIDE].ravel(), minlength=BUCKETS)
                 n += len(kind)
