@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from gridspark.llm.store import prepare
+from gridspark.llm.store import prepare, turn_to
 from gridspark.llm.words import cuts
 
 #: Words per recursive query and their bytes, and words kept in each of the two halves of a worker's memory.
@@ -157,6 +157,7 @@ class Vocabulary:
 
 
 def vocabulary(path: str, pattern: str) -> Vocabulary:
+    turn_to(path, _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Vocabulary(path, pattern)
     return _loaded[path]

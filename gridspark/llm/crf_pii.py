@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridspark.llm.store import prepare
+from gridspark.llm.store import prepare, turn_to
 from gridspark.llm.words import Words, text_chunks
 
 #: Kinds of base spans, and those that the field adds.
@@ -181,6 +181,11 @@ _seen: dict[str, tuple[list[int], str]] = {}
 _context: dict[tuple[str, str], list[int]] = {}
 
 
+def _forget() -> None:
+    _seen.clear()
+    _context.clear()
+
+
 def _features_of(word: str, one: str, two: str) -> list[int]:
     """`word_features`, remembered by word and by context."""
     if len(_seen) > 100_000:
@@ -371,6 +376,7 @@ def find_pii(docs: DataFrame, field: Field) -> DataFrame:
     kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("pii", _forget)
         for batch in batches:
             rows = [[{"kind": ADDED[k], "start": a, "end": b, "base": own} for a, k, b, own in sorted([(*s, True) for s in base] + [(*s, False) for s in added])]
                     for base, added in spans_of(batch.column(1), field)]
@@ -397,6 +403,7 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("pii", _forget)
         for batch in batches:
             changed = list(batch.columns)
             texts = batch.column(at).to_pylist()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridspark.llm.components import components
-from gridspark.llm.store import Scratch
+from gridspark.llm.store import Scratch, turn_to
 from gridspark.llm.words import Words, mix, spans, text_chunks, windows
 
 SHINGLE = 5
@@ -68,6 +68,7 @@ def registers(text: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, k
 
 def _sketches(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("near")
         for batch in batches:
             for row, end, data, offsets in text_chunks(batch.column(1)):
                 n = end - row
@@ -99,6 +100,7 @@ def _keys(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _similarity(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("near")
         for batch in batches:
             for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
                 n, sides = part.num_rows, []

@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: What this worker process remembers from one task to the next, by name, and how it is forgotten.
+_memories: dict[str, Callable[[], None]] = {}
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -18,6 +22,21 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, env.get("PYTHONPATH", "")) if p)
 
 
+def turn_to(name: str, forget: Callable[[], None] | None = None) -> None:
+    """At the start of a task: whatever else a reused worker remembers from tasks of other operators goes.
+
+    `forget` drops what is going to be remembered under `name`. So a worker that serves one stage after the other
+    holds the memory of one of them.
+    """
+    others = [other for other in _memories if other != name]
+    for other in others:
+        _memories.pop(other)()
+    if others:
+        pa.default_memory_pool().release_unused()
+    if forget is not None:
+        _memories[name] = forget
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's `spark.checkpoint.dir`; a folder of our own only in local mode with the setting unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -13,6 +13,8 @@ import os
 import numpy as np
 import pyarrow as pa
 
+from gridspark.llm.store import turn_to
+
 #: Pieces and bytes of pieces that a worker remembers.
 KEPT, KEPT_BYTES = 600_000, 32 << 20
 LETTER, DIGIT, OTHER, QUOTE, SPACE, WIDE = 1, 2, 3, 4, 5, 6
@@ -129,7 +131,8 @@ def ended(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray,
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process."""
+    """One per worker process, until the worker turns to something else."""
+    turn_to(path, _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

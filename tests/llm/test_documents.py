@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gridspark.llm import byte_bpe, crf_pii, debruijn, exact_dedup, license_scan, masked_lm, packing, prob_minhash, quality, token_ids
+from gridspark.llm import byte_bpe, crf_pii, debruijn, exact_dedup, license_scan, masked_lm, packing, prob_minhash, quality, store, token_ids
 from gridspark.llm.store import Scratch
 from gridspark.llm.words import PRIME, Words, prefix, times
 
@@ -737,6 +737,21 @@ def test_best_fill_is_closest():
 # pipeline
 
 
+def test_a_worker_remembers_one_operator(monkeypatch):
+    """A reused worker that turns to another stage of the pipeline drops what it kept for the stage before."""
+    monkeypatch.setattr(store, "_memories", {})
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_ids.encoder(path) is token_ids.encoder(path)
+    assert list(store._memories) == [path]
+    list(prob_minhash._sketches(5, 4, 2)(iter([])))
+    assert not token_ids._encoders and not store._memories
+    crf_pii._features_of("word", "", "")
+    store.turn_to("pii", crf_pii._forget)
+    assert crf_pii._seen
+    token_ids.encoder(path)
+    assert not crf_pii._seen and path in token_ids._encoders
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
