@@ -3,7 +3,7 @@
 A word (one match of the split pattern) is a set of rows, one per token position. Each turn of the
 recursive query joins neighbouring rows with the merge table and contracts the leftmost pair of
 least rank in every word, until no word has a pair left. Words that a worker has seen lately are
-not asked again. Decoding joins ids with the vocabulary and aggregates the pieces in order.
+not asked again. Decoding takes the vocabulary's pieces by their ids, in order, in Arrow.
 """
 
 from __future__ import annotations
@@ -40,13 +40,12 @@ WITH RECURSIVE step(word, pos, token, done) AS (
 )
 SELECT word, pos, token FROM step WHERE done ORDER BY word, pos
 """
-DECODE = "SELECT t.text, string_agg(v.piece, '' ORDER BY t.pos) AS pieces FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY t.text"
 
 _loaded: dict[str, "Vocabulary"] = {}
 
 
 class Vocabulary:
-    """Ranks of a file, in DuckDB's memory; one per worker process."""
+    """Ranks of a file, its merges in DuckDB's memory; one per worker process."""
 
     def __init__(self, path: str, pattern: str):
         import duckdb
@@ -61,10 +60,12 @@ class Vocabulary:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         a, b, rank = (pa.array(c, pa.int32()) for c in zip(*merges))
         self._store("merges", pa.table({"a": a, "b": b, "rank": rank}))
-        # a piece is the token's bytes as the characters of the same numbers
-        self._store("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]}))
-        self.cost = np.ones(max(self.ranks.values()) + 1, np.int64)
-        self.cost[list(self.ranks.values())] += np.array([len(t) // 32 for t in self.ranks])
+        # the last piece is that of ids outside the vocabulary
+        pieces = [b""] * (max(self.ranks.values()) + 2)
+        for token, rank in self.ranks.items():
+            pieces[rank] = token
+        self.pieces = pa.array(pieces, pa.large_binary())
+        self.cost = 1 + np.array([len(t) // 32 for t in pieces])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -141,18 +142,19 @@ class Vocabulary:
         return [b"".join(map(ids.__getitem__, words)) for words in split]
 
     def decode(self, lists: pa.ListArray) -> list[bytes]:
-        """The bytes of each list. A query gets about TOKENS positions, so a long list is joined from several."""
-        size = np.diff(lists.offsets.to_numpy())
-        text, ids = np.repeat(np.arange(len(size), dtype=np.int32), size), lists.flatten()
-        # long tokens count more than once, which bounds the bytes of a query as well
-        known = ids.fill_null(-1).to_numpy(zero_copy_only=False)
-        cost = self.cost[np.where((known >= 0) & (known < len(self.cost)), known, 0)]
-        out: list[list[bytes]] = [[] for _ in size]
-        for a, b in cuts(cost, TOKENS):
-            self.db.register("tokens", pa.table({"text": text[a:b], "pos": np.arange(b - a, dtype=np.int32), "id": ids.slice(a, b - a)}))
-            for i, pieces in self.db.execute(DECODE).fetchall():
-                out[i].append(pieces.encode("latin-1"))
-            self.db.unregister("tokens")
+        """The bytes of each list. About TOKENS positions are taken at a time, so a long list is joined from several."""
+        ends = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        ids = np.where((ids >= 0) & (ids < len(self.pieces)), ids, len(self.pieces) - 1)
+        out: list[list[bytes]] = [[] for _ in range(len(lists))]
+        # long tokens count more than once, which bounds the bytes that are taken at a time as well
+        for a, b in cuts(self.cost[ids], TOKENS):
+            _, where, data = self.pieces.take(pa.array(ids[a:b])).buffers()
+            where, data = np.frombuffer(where, np.int64), memoryview(data)
+            first, last = np.searchsorted(ends, a, "right") - 1, np.searchsorted(ends, b)
+            at = where[np.clip(ends[first:last + 1], a, b) - a].tolist()
+            for i, x, y in zip(range(first, last), at, at[1:]):
+                out[i].append(bytes(data[x:y]))
         return [b"".join(parts) for parts in out]
 
 

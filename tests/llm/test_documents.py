@@ -133,6 +133,20 @@ def test_bpe_long_words_merge_alike():
         assert words.merge([word.encode()])[0] == words.merge_long(word.encode())
 
 
+def test_bpe_decodes_without_queries(monkeypatch):
+    """Nulls, ids outside the vocabulary, sliced lists and long lists."""
+    import pyarrow as pa
+
+    words = byte_bpe.vocabulary(MULTI, PATTERN)
+    monkeypatch.setattr(words, "db", None)
+    monkeypatch.setattr(byte_bpe, "TOKENS", 3)
+    piece = {rank: token for token, rank in words.ranks.items()}
+    lists = [[1, 2], [], [300, None, -1, 10**6, 301], [7] * 9, [], [8]]
+    want = [b"".join(piece.get(i, b"") for i in x) for x in lists]
+    array = pa.array(lists, pa.list_(pa.int32()))
+    assert words.decode(array) == want and words.decode(array.slice(2, 3)) == want[2:5] and words.decode(array.slice(0, 0)) == []
+
+
 def test_bpe_queries_are_bounded():
     """One text of 4 million tokens, and a batch of many words of nearly the greatest length."""
     import pyarrow as pa
