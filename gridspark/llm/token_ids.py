@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +86,7 @@ class Encoder:
             self.ids = np.resize(self.ids, len(self.ids) * 2)
         self.first[n:n + len(found)] = self.used + np.cumsum(size) - size
         self.size[n:n + len(found)] = size
-        self.ids[self.used:self.used + more] = np.fromiter((i for ids in found for i in ids), np.uint32, more)
+        self.ids[self.used:self.used + more] = np.fromiter(chain.from_iterable(found), np.uint32, more)
         self.known.update(zip(pieces, range(n, n + len(pieces))))
         self.used += more
         self.bytes += sum(map(len, pieces))
@@ -109,14 +110,17 @@ class Encoder:
         bounds = np.append(starts, len(data)).astype(np.int64)
         column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         coded = column.dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        _, where, raw = coded.dictionary.buffers()
+        where, raw = np.frombuffer(where, np.int64)[:len(coded.dictionary) + 1].tolist(), raw.to_pybytes() if raw else b""
+        pieces = [raw[a:b] for a, b in zip(where, where[1:])]
         if len(self.known) > KEPT or self.bytes > KEPT_BYTES:
             self.forget()
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if new:
-            self.learn(new)
-        row = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))[coded.indices.to_numpy()]
+        row = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            row[new] = len(self.known) + np.arange(len(new))
+            self.learn([pieces[i] for i in new.tolist()])
+        row = row[coded.indices.to_numpy()]
         size = self.size[row]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.first[row] - ends[:-1], size) + np.arange(ends[-1])]

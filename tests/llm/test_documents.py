@@ -699,6 +699,33 @@ def test_packing_ids_are_those_of_tokenizers(spark):
         assert np.frombuffer(ids, "<u4").tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
+def test_pieces_are_looked_up_once():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+        def __contains__(self, key):
+            self.asked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    encode = token_ids.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    text = (SENTENCE + " Füße 日本語 " + SENTENCE).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, 100, len(text)])
+    want = [encode.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in (text[:100], text[100:])]
+    encode.known = Counting()
+    for _ in range(2):
+        ids, bounds = encode(data, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    assert encode.known.asked == 2 * len(encode.known)
+
+
 def test_characters_split_alike():
     """Every character, alone and in a row, between letters, digits, spaces and others."""
     from tokenizers import Tokenizer
