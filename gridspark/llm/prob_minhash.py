@@ -11,17 +11,19 @@ so the second is left out, and the bands of both lie in the same buckets.
 
 Registers are grouped in bands. Texts that share a band are compared with one head of their bucket
 by the exact similarity of their texts, with another head in the next round. What the stars leave
-apart is compared where prefix filtering, which loses nothing, still allows a link. No bucket is
-turned into all its pairs.
+apart is compared where prefix filtering, which loses nothing, still allows a link. Texts that crowd
+around a shared shingle are filtered by what sets them apart from one of them, the pivot: what the
+crowd has in common makes no pairs. No bucket is turned into all its pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridspark.llm.components import components
 from gridspark.llm.store import Scratch, turn_to
@@ -35,6 +37,8 @@ BANDS, ROWS = 40, 6
 STARS = 1
 #: Counters that order shingles by how common they are.
 COUNTERS = 1 << 20
+#: Texts that share a shingle of their prefixes and are compared with each other directly; of more, a pivot is taken.
+CROWD = 64
 _U = np.uint64
 
 
@@ -115,11 +119,14 @@ def _similarity(k: int):
     return run
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return pairs.select("a", "b").join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b")
+
+
 def similarities(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(a, b, similarity): exact Jaccard similarity of the shingle sets of pairs (a, b) of ids in `texts` (id, text)."""
-    left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    joined = pairs.select("a", "b").join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(_similarity(k), "a long, b long, similarity double")
+    return _with_texts(pairs, texts).mapInArrow(_similarity(k), "a long, b long, similarity double")
 
 
 def tag(text: Column) -> Column:
@@ -169,7 +176,15 @@ def _near_dedup(docs: DataFrame, k: int, threshold: float, bands: int, rows: int
         links = scratch.keep(new if links is None else links.unionByName(new), f"links-{turn}")
         found = components(links, scratch, f"components-{turn}")
 
-    candidates = scratch.keep(_prefix_pairs(scratch, roster, found, compared, k, threshold), "candidates")
+    shared = _shared_prefixes(scratch, roster, found, compared, k, threshold)
+    candidates = _prefix_pairs(shared.filter(F.col("crowd") <= CROWD), threshold)
+    crowds = scratch.keep(shared.filter(F.col("crowd") > CROWD), "crowds")
+    if not crowds.isEmpty():
+        around = _around_pivots(scratch, crowds, compared, k, threshold)
+        links = scratch.keep(links.unionByName(around.filter("linked").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))), "links-pivots")
+        found = components(links, scratch, "components-pivots")
+        candidates = candidates.unionByName(_crowd_pairs(scratch, around, found, threshold)).distinct()
+    candidates = scratch.keep(candidates, "candidates")
     more = scratch.keep(similarities(candidates, compared, k).filter(F.col("similarity") >= threshold).select("a", "b"), "more")
     if not more.isEmpty():
         found = components(links.unionByName(more), scratch, "components-all")
@@ -220,12 +235,13 @@ def _prefixes(k: int, threshold: float, counts: np.ndarray):
     return run
 
 
-def _prefix_pairs(scratch: Scratch, roster: DataFrame, found: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket's company and may still be linked, by prefix filtering.
+def _shared_prefixes(scratch: Scratch, roster: DataFrame, found: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(shingle, id, place, n, component, outside, crowd): prefixes of texts that share a bucket's company with another component.
 
     Shingles are put in one order, rare ones first. Two sets with similarity t share one of the first
     n - ceil(t n) + 1 of theirs, whatever the order: no pair is lost. The order comes from counts in a
-    fixed number of counters, the only thing that is brought to the driver.
+    fixed number of counters, the only thing that is brought to the driver. Shingles that cannot make a
+    pair are left out; `crowd` is the number of texts that have the shingle in their prefix.
     """
     placed = _placed(roster, found)
     mixed = scratch.keep(placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("band", "least"), "mixed")
@@ -236,17 +252,101 @@ def _prefix_pairs(scratch: Scratch, roster: DataFrame, found: DataFrame, texts:
     counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
     prefix = scratch.keep(own.select("id", "text").mapInArrow(_prefixes(k, threshold, counts), "shingle long, id long, place int, n int")
                           .join(who.hint("merge"), "id"), "prefixes")
-    x = prefix.filter("outside").select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("id", "place", "n", "component")))
-    y = prefix.select(F.col("shingle").alias("_shingle"), *(F.col(c).alias(f"y_{c}") for c in ("id", "place", "n", "component", "outside")))
+    able = scratch.keep(_able(prefix.groupBy("shingle"), F.count(F.lit(1)).alias("crowd")), "able")
+    return scratch.keep(prefix.join(able.hint("merge"), "shingle"), "shared")
+
+
+def _able(groups, *more: Column) -> DataFrame:
+    """Groups that hold two components and a text outside: no others can make a pair."""
+    found = groups.agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("outside").alias("any"), *more)
+    return found.filter("least <> most and any").drop("least", "most", "any")
+
+
+def _sizes(x: str, y: str, threshold: float) -> Column:
+    return (F.col(x) >= threshold * F.col(y) - 1e-6) & (F.col(y) >= threshold * F.col(x) - 1e-6)
+
+
+def _prefix_pairs(shared: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components that may still be linked, of texts that share a shingle of their prefixes."""
+    x = shared.filter("outside").select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("id", "place", "n", "component")))
+    y = shared.select(F.col("shingle").alias("_shingle"), *(F.col(c).alias(f"y_{c}") for c in ("id", "place", "n", "component", "outside")))
     # an overlap of t / (1 + t) of both sizes must still be possible behind the shared place
     behind = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
-    near = ((F.col("x_component") != F.col("y_component")) & (~F.col("y_outside") | (F.col("x_id") < F.col("y_id")))
-            & (F.col("x_n") >= threshold * F.col("y_n") - 1e-6) & (F.col("y_n") >= threshold * F.col("x_n") - 1e-6)
+    near = ((F.col("x_component") != F.col("y_component")) & (~F.col("y_outside") | (F.col("x_id") < F.col("y_id"))) & _sizes("x_n", "y_n", threshold)
             & (behind >= threshold / (1 + threshold) * (F.col("x_n") + F.col("y_n")) - 1e-6))
     return x.join(y.hint("merge"), (F.col("shingle") == F.col("_shingle")) & near).select(
         F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
+def _differences(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("near")
+        for batch in batches:
+            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
+                n, sides = part.num_rows, []
+                for column in (part.column(2), part.column(3)):
+                    _, _, data, offsets = next(text_chunks(column, 1 << 62))
+                    text, value, _ = shingles(Words(data, offsets), k)
+                    sides.append((text, value, mix(value + text.astype(np.uint64) * _U(0xA0761D6478BD642F), 3)))
+                (ta, va, ka), (tb, vb, kb) = sides
+                a, b = ~np.isin(ka, kb), ~np.isin(kb, ka)
+                text, value = np.concatenate([ta[a], tb[b]]), np.concatenate([va[a], vb[b]])
+                order = np.argsort(text, kind="stable")
+                bounds = np.searchsorted(text[order], np.arange(n + 1)).astype(np.int32)
+                size_a, size_b = np.bincount(ta, minlength=n), np.bincount(tb, minlength=n)
+                total = size_a + np.bincount(tb[b], minlength=n)
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(1), pa.array(np.bincount(ta[~a], minlength=n) / np.maximum(total, 1)), pa.array(size_a.astype(np.int32)), pa.array(size_b.astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(value[order].view(np.int64)))], names=["id", "pivot", "similarity", "n", "pivot_n", "apart"])
+
+    return run
+
+
+def _around_pivots(scratch: Scratch, crowds: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(id, pivot, n, pivot_n, outside, linked, apart) of the texts of crowds: `apart` holds the shingles that only one of both has.
+
+    The pivot of a shingle is the text that has the fewest rarer ones. A crowd is cut by sizes, each text into its own
+    class and the next, so that two texts whose sizes allow a link have a pivot in common.
+    """
+    step = 1e-6 - math.log(threshold)
+    size = F.floor(F.log("n") / step)
+    sized = crowds.drop("crowd").withColumn("size", F.explode(F.array(size, size + 1)))
+    pivots = scratch.keep(_able(sized.groupBy("shingle", "size"), F.min_by("id", F.struct("place", "id")).alias("pivot")), "pivots")
+    pairs = scratch.keep(sized.join(pivots.hint("merge"), ["shingle", "size"]).filter("id <> pivot").select("id", "pivot", "outside").distinct(), "around")
+    both = _with_texts(pairs.select(F.col("id").alias("a"), F.col("pivot").alias("b")), texts)
+    measured = scratch.keep(both.mapInArrow(_differences(k), "id long, pivot long, similarity double, n int, pivot_n int, apart array<long>"), "measured")
+    return measured.join(pairs.hint("merge"), ["id", "pivot"]).withColumn("linked", F.col("similarity") >= threshold).drop("similarity")
+
+
+def _crowd_pairs(scratch: Scratch, around: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) around one pivot that may still be linked, by prefix filtering of what sets them apart from it.
+
+    Let X and Y be the shingles that set two texts apart from the pivot. The texts differ in |X| + |Y| - 2 |X & Y|
+    shingles, and are linked if these are at most c = (1 - t) / (1 + t) of both sizes. If one of them is not linked to
+    the pivot, X and Y must therefore have shingles in common, by at least (|X| + |Y| - c (n + m)) / 2: the first one they
+    share, whatever the order, has that many of X and of Y from it on. If both are linked to the pivot, they are one
+    component already. Shingles that set few apart come first.
+    """
+    c = (1 - threshold) / (1 + threshold)
+    known = around.join(found.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    one = known.select("id", "pivot", "n", "pivot_n", "outside", "linked", "component", F.size("apart").alias("size"), F.explode("apart").alias("shingle"))
+    one = scratch.keep(one, "differences")
+    often = scratch.keep(one.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "differences-often")
+    counted = scratch.keep(one.join(often.hint("merge"), ["pivot", "shingle"]), "differences-counted")
+    # shingles that set a single text apart come first and meet no other: they are counted in `size` only
+    order = F.row_number().over(Window.partitionBy("id", "pivot").orderBy(F.col("times").desc(), F.col("shingle").desc()))
+    least = F.when(F.col("linked"), F.col("size") - c * (F.col("n") - F.col("pivot_n"))).otherwise(F.col("size") - c * (F.col("n") + F.col("pivot_n"))) / 2
+    # `left`: how many shingles of the text are not before this one
+    prefix = scratch.keep(counted.withColumn("left", order).filter(F.col("left") >= least - 1e-6).drop("times", "pivot_n"), "differences-prefixes")
+    columns = ("id", "n", "outside", "linked", "component", "size", "left")
+    x = prefix.filter("not linked").select("pivot", "shingle", *(F.col(a).alias(f"x_{a}") for a in columns))
+    y = prefix.select(F.col("pivot").alias("_pivot"), F.col("shingle").alias("_shingle"), *(F.col(a).alias(f"y_{a}") for a in columns))
+    near = ((F.col("x_component") != F.col("y_component")) & (F.col("x_outside") | F.col("y_outside")) & (F.col("y_linked") | (F.col("x_id") < F.col("y_id"))) & _sizes("x_n", "y_n", threshold)
+            & (2 * F.least("x_left", "y_left") >= F.col("x_size") + F.col("y_size") - c * (F.col("x_n") + F.col("y_n")) - 1e-6))
+    return x.join(y.hint("merge"), (F.col("pivot") == F.col("_pivot")) & (F.col("shingle") == F.col("_shingle")) & near).select(
+        F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that stay, one of each class, with all their columns.
 

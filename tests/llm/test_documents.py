@@ -212,6 +212,45 @@ def test_near_dedup_continuum(spark):
     assert got == brute_classes(texts)
 
 
+def crowd(n, seed):
+    """Copies of one text with up to six edits each, families that share edits, and shorter and longer versions."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+    families = [[(at, f"f{family}-{at}") for at in rng.sample(range(150), 7)] for family in range(4)]
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for at, word in families[i % 4] if i % 9 == 0 else []:
+            words[at] = word
+        for at in rng.sample(range(150), rng.choice([1, 2, 2, 3, 3, 4, 5, 6]) if i % 9 else rng.choice([0, 1, 2])):
+            words[at] = f"e{rng.randint(0, 10**6)}"
+        if i % 11 == 0:
+            words = words[:rng.randint(100, 149)]
+        if i % 13 == 0:
+            words += [f"l{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 40))]
+        texts.append((i, " ".join(words)))
+    return texts
+
+
+def test_near_dedup_compares_a_crowd_in_proportion(spark, monkeypatch):
+    """What a large group of near copies has in common makes no pairs; links beside its pivots count."""
+    texts, compared = crowd(500, 6), []
+    plain = prob_minhash.similarities
+    monkeypatch.setattr(prob_minhash, "similarities", lambda pairs, *rest: compared.append(pairs.select("a", "b").distinct().count()) or plain(pairs, *rest))
+    got = {r["doc_id"]: r["class_id"] for r in prob_minhash.near_dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_classes(texts)
+    assert compared[-1] < 4 * len(texts)
+
+
+def test_near_dedup_with_many_pivots(spark, monkeypatch):
+    monkeypatch.setattr(prob_minhash, "CROWD", 1, raising=False)
+    texts = crowd(120, 7) + [(1000 + i, t) for i, t in crowd(120, 8)]
+    for threshold in (0.8, 0.6):
+        df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+        got = {r["doc_id"]: r["class_id"] for r in prob_minhash.near_dedup(df, threshold=threshold).collect()}
+        assert got == brute_classes(texts, threshold)
+
+
 def test_near_dedup_repeated_junk(spark):
     """Pairs at Jaccard 0.8 to 0.9 whose own shingles occur 20 to 100 times."""
     rng = random.Random(8)
