@@ -56,12 +56,28 @@ class Vocabulary:
     kind: np.ndarray
     mass: np.ndarray
 
+    def __post_init__(self):
+        # hashes spread evenly, so their upper bits lead to within a word or two of their place
+        bits = len(self.words).bit_length() + 1
+        self.shift, self.slots = 64 - bits, 1 << bits
+        self.first = np.searchsorted(self.words, np.arange(-self.slots // 2, self.slots // 2) << self.shift).astype(np.int32)
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of the first word that is not below each hash; of the last word, if all are."""
+        last = len(self.words) - 1
+        at = np.minimum(self.first[(hashes >> self.shift) + self.slots // 2], last)
+        below = np.flatnonzero((self.words[at] < hashes) & (at < last))
+        while len(below):
+            at[below] += 1
+            below = below[(self.words[at[below]] < hashes[below]) & (at[below] < last)]
+        return at
+
     def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(class, count) of each word; the count is 0 for a word that is not in the vocabulary."""
         hashes = hashes.view(np.int64)
         kind, count = hash_class(hashes), np.zeros(len(hashes), np.int64)
         if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+            at = self.place(hashes)
             known = self.words[at] == hashes
             kind[known], count[known] = self.kind[at[known]], self.counts[at[known]]
         return kind, count
@@ -91,21 +107,38 @@ def windows(words: Words, hashes: np.ndarray) -> np.ndarray:
 def _tanh(x: np.ndarray) -> np.ndarray:
     """In place; half as dear as numpy's."""
     x += x
-    np.exp(np.minimum(x, 60, out=x), out=x)
+    if x.size and not x.max() < 60:
+        np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
     x += 1
     np.divide(-2, x, out=x)
     x += 1
     return x
 
 
-def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows of a table in ascending order, and the place of each among them; 16 bits are sorted by radix."""
+def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Equal rows of a table together: the distinct ones in ascending order, the place of each row among them, and which
+    rows come first and which later in their group; 16 bits are sorted by radix."""
     order = np.argsort(rows.astype(np.int16), kind="stable")
     ordered = rows[order]
     first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     place = np.empty(len(rows), np.int64)
     place[order] = np.cumsum(first) - 1
-    return ordered[first], place
+    return ordered[first], place, order[first], order[~first]
+
+
+def _sums(values: np.ndarray, place: np.ndarray, first: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Sums of the float32 rows of each group in their order; most groups have one row. Numbers are added in pairs, as complex ones."""
+    out = values.take(first, axis=0)
+    pairs = np.arange(values.shape[1] // 2)
+    np.add.at(out.view(np.complex64).reshape(-1), (place[later, None] * len(pairs) + pairs).ravel(), values.take(later, axis=0).view(np.complex64).ravel())
+    return out
+
+
+def _put(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """table[at] = rows, each row as one item."""
+    item = np.dtype((np.void, table.itemsize * table.shape[1]))
+    np.put(table.view(item), at, rows.view(item))
 
 
 class Network:
@@ -123,51 +156,74 @@ class Network:
     def weights(self) -> tuple[np.ndarray, ...]:
         return (*self.tables, self.gains, self.out, self.bias)
 
-    def hidden(self, window: np.ndarray) -> np.ndarray:
-        return _tanh(sum(self.tables[k // SIDE].take(window[:, k], axis=0) * self.gains[k] for k in range(2 * SIDE)))
+    def neighbours(self, window: np.ndarray) -> list[np.ndarray]:
+        return [self.tables[k // SIDE].take(window[:, k], axis=0) for k in range(2 * SIDE)]
+
+    def hidden(self, neighbours: list[np.ndarray]) -> np.ndarray:
+        out = neighbours[0] * self.gains[0]
+        more = np.empty_like(out)
+        for b, g in zip(neighbours[1:], self.gains[1:]):
+            out += np.multiply(b, g, out=more)
+        return _tanh(out)
 
     def logits(self, hidden: np.ndarray) -> np.ndarray:
         """Of all classes, up to a number that is the same for a row: their exponentials neither overflow nor vanish."""
         out = hidden @ self.out
         out += self.bias
-        if out.size and not (out.max() < 60 and out.min() > -60):
+        # no hidden number is beyond 1, so mostly the weights alone rule out large logits
+        most = (np.abs(self.out).sum(axis=0) + np.abs(self.bias)).max()
+        if out.size and not most < 59 and not (out.max() < 60 and out.min() > -60):
             out -= out.max(axis=1, keepdims=True)
         return out
 
     def log_probabilities(self, window: np.ndarray) -> np.ndarray:
-        logits = self.logits(self.hidden(window))
+        logits = self.logits(self.hidden(self.neighbours(window)))
         return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
     def score(self, window: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """The log-probability of one class each."""
-        logits = self.logits(self.hidden(window))
+        logits = self.logits(self.hidden(self.neighbours(window)))
         own = logits[np.arange(len(kind)), kind]
         return own - np.log(np.exp(logits, out=logits) @ np.ones(CLASSES, logits.dtype))
 
-    def gradients(self, window: np.ndarray, kind: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    def gradients(self, window: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the mean negative log-probability: per neighbour for the tables' rows, then of gains, output and bias."""
-        before = [self.tables[k // SIDE].take(window[:, k], axis=0) for k in range(2 * SIDE)]
-        hidden = _tanh(sum(b * g for b, g in zip(before, self.gains)))
+        return self._gradients(self.neighbours(window), kind)
+
+    def _gradients(self, neighbours: list[np.ndarray], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        hidden = self.hidden(neighbours)
         error = self.logits(hidden)
         np.exp(error, out=error)
         n = error.dtype.type(len(kind))
         error /= (error @ np.full(CLASSES, n, error.dtype))[:, None]
         error[np.arange(len(kind)), kind] -= 1 / n
-        inner = (error @ self.out.T) * (1 - hidden * hidden)
-        rows = [inner * g for g in self.gains]
-        return rows, np.stack([np.einsum("ij,ij->j", inner, b) for b in before]), (error.T @ hidden).T, error.sum(axis=0)
+        inner = error @ self.out.T
+        slope = hidden * hidden
+        inner *= np.subtract(1, slope, out=slope)
+        rows = np.empty((2 * SIDE, *inner.shape), inner.dtype)
+        for r, g in zip(rows, self.gains):
+            np.multiply(inner, g, out=r)
+        return rows, np.stack([np.einsum("ij,ij->j", inner, b) for b in neighbours]), (error.T @ hidden).T, error.sum(axis=0)
 
     def learn(self, window: np.ndarray, kind: np.ndarray, rate: float = RATE) -> None:
-        """One step with a learning rate per weight; only the rows of the tables that occur are touched."""
-        rows, *dense = self.gradients(window, kind)
+        """One step with a learning rate per weight; only the rows of the tables that occur are touched, and each is read and written once."""
+        n, sides, neighbours = len(kind), [], []
         for side in range(2):
-            mine = slice(side * SIDE, (side + 1) * SIDE)
-            at, place = _distinct(window[:, mine].T.ravel())
-            g = np.zeros(len(at) * WIDTH, np.float32)
-            np.add.at(g, (place[:, None] * WIDTH + np.arange(WIDTH)).ravel(), np.concatenate(rows[mine]).ravel())
-            g = g.reshape(-1, WIDTH)
-            self.seen[side][at] = seen = self.seen[side].take(at, axis=0) + g * g
-            self.tables[side][at] -= rate * g / np.sqrt(seen)
+            at, place, first, later = _grouped(window[:, side * SIDE:(side + 1) * SIDE].T.ravel())
+            held = self.tables[side].take(at, axis=0)
+            neighbours += [held.take(place[k * n:(k + 1) * n], axis=0) for k in range(SIDE)]
+            sides.append((at, held, place, first, later))
+        rows, *dense = self._gradients(neighbours, kind)
+        for side, (at, held, *groups) in enumerate(sides):
+            g = _sums(rows[side * SIDE:(side + 1) * SIDE].reshape(-1, WIDTH), *groups)
+            seen = self.seen[side].take(at, axis=0)
+            root = g * g
+            seen += root
+            _put(self.seen[side], at, seen)
+            g *= rate
+            g /= np.sqrt(seen, out=root)
+            held -= g
+            _put(self.tables[side], at, held)
         for w, g, seen in zip((self.gains, self.out, self.bias), dense, self.seen[2:]):
             seen += g * g
             w -= rate * g / np.sqrt(seen)
@@ -272,7 +328,7 @@ def _go_on(vocabulary: Vocabulary, start: Network):
                 hashes = words.hashes()
                 # neighbouring windows are alike, so those of a chunk are mixed
                 order = np.random.default_rng(len(hashes)).permutation(len(hashes))
-                window, kind = windows(words, hashes)[order], vocabulary.of(hashes)[0][order]
+                window, kind = windows(words, hashes).take(order, axis=0), vocabulary.of(hashes)[0].take(order)
                 for a in range(0, len(kind), STEP):
                     network.learn(window[a:a + STEP], kind[a:a + STEP], STEP_RATE)
                 for side in range(2):

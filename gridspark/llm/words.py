@@ -19,6 +19,8 @@ PRIME = (1 << 61) - 1
 _BASES = (0x1E3779B97F4A7C15 % PRIME, 0x0761D6478BD642F1 % PRIME)
 #: Places in a word whose numbers are tabulated; later ones are computed.
 _PLACES = 64
+#: Bytes whose words are hashed at a time.
+_HASHED = 1 << 16
 _U = np.uint64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _numbers: dict[int, np.ndarray] = {}
@@ -114,14 +116,29 @@ class Words:
         """A 64-bit hash per word; the hashes of different seeds share nothing."""
         if seed not in _numbers:
             _numbers[seed] = _number(np.tile(np.arange(256), _PLACES), np.repeat(np.arange(_PLACES), 256), seed)
-        begin = np.zeros(len(self.data), np.int32)
-        begin[self.start] = self.start
-        place = np.arange(len(self.data), dtype=np.int32) - np.maximum.accumulate(begin)
-        number = _numbers[seed][np.minimum(place, _PLACES - 1) * 256 + self.data]
-        late = np.flatnonzero(place >= _PLACES)
-        number[late] = _number(self.data[late], place[late], seed)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(number, dtype=np.uint64)])
-        return mix(sums[self.end] - sums[self.start] + (self.end - self.start).astype(np.uint64), seed)
+        out = np.empty(len(self.start), np.uint64)
+        a = 0
+        while a < len(out):
+            # a run of words whose numbers stay in a core's cache, one word at least
+            b = max(a + 1, int(np.searchsorted(self.end, self.start[a] + _HASHED, "right")))
+            out[a:b] = self._sums(a, b, seed)
+            a = b
+        return mix(out + (self.end - self.start).astype(np.uint64), seed)
+
+    def _sums(self, a: int, b: int, seed: int) -> np.ndarray:
+        """Sums of the random numbers of the bytes of words a to b."""
+        start, end = self.start[a:b] - self.start[a], self.end[a:b] - self.start[a]
+        data = self.data[self.start[a]:self.end[b - 1]]
+        begin = np.zeros(len(data), np.int32)
+        begin[start] = start
+        place = np.arange(len(data), dtype=np.int32) - np.maximum.accumulate(begin, out=begin)
+        number = _numbers[seed].take(np.minimum(place, _PLACES - 1) * 256 + data)
+        if (end - start).max() > _PLACES:
+            late = np.flatnonzero(place >= _PLACES)
+            number[late] = _number(data[late], place[late], seed)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(number, out=sums[1:])
+        return sums[end] - sums[start]
 
     def left(self) -> np.ndarray:
         """For every word, how many words of its text begin here or later."""

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -666,6 +667,63 @@ def test_words_of_equal_frequency_differ_in_context():
     assert x != y and scores[1, x] > scores[1, y] + 2 and scores[4, y] > scores[4, x] + 2
 
 
+def test_places_in_the_vocabulary():
+    """Against binary search, evenly spread or not, in less time than that takes alone."""
+    rng = np.random.default_rng(9)
+    least, most = -(1 << 63), (1 << 63) - 1
+    spread = np.unique(rng.integers(least, most, 1 << 17))
+    for words in (np.array([5]), np.array([least, most]), np.arange(-3, 900), np.array([least, least + 1, -1, 0, 1, most]), spread):
+        known = masked_lm.Vocabulary(words, np.arange(1, len(words) + 1), np.zeros(len(words), np.int64), np.zeros(masked_lm.CLASSES, np.int64))
+        hashes = np.concatenate([words, words[:-1] + 1, words[1:] - 1, [least, -1, 0, 1, most], rng.integers(least, most, 1000)])
+        at = np.searchsorted(words, hashes)
+        count = np.where(np.isin(hashes, words), at + 1, 0)
+        assert known.of(hashes.view(np.uint64))[1].tolist() == count.tolist()
+    hashes, took = rng.permutation(np.concatenate([rng.choice(spread, 200000), rng.integers(least, most, 100000)])), ([], [])
+    for _ in range(5):
+        for spent, run in zip(took, (lambda: known.of(hashes.view(np.uint64)), lambda: np.searchsorted(spread, hashes))):
+            begin = time.perf_counter()
+            run()
+            spent.append(time.perf_counter() - begin)
+    assert min(took[0]) < min(took[1])
+
+
+@pytest.mark.parametrize("n", [1, 63, 500])
+def test_step_adds_up_every_window(n):
+    """Rows that occur once, often, on both sides and at the edge: bit by bit what a sum row by row gives."""
+    rng = np.random.default_rng(n)
+    network, plain = (masked_lm.Network(np.log(np.arange(1.0, masked_lm.CLASSES + 1))) for _ in range(2))
+    for _ in range(3):
+        window = np.where(rng.random((n, 2 * masked_lm.SIDE)) < 0.5, rng.integers(0, 4, (n, 2 * masked_lm.SIDE)), rng.integers(0, masked_lm.BUCKETS, (n, 2 * masked_lm.SIDE))).astype(np.int32)
+        kind = rng.integers(0, masked_lm.CLASSES, n)
+        rows, *dense = plain.gradients(window, kind)
+        for side in range(2):
+            g = np.zeros_like(plain.tables[side])
+            for k in range(side * masked_lm.SIDE, (side + 1) * masked_lm.SIDE):
+                np.add.at(g, window[:, k], rows[k])
+            plain.seen[side] += g * g
+            plain.tables[side] -= 0.1 * g / np.sqrt(plain.seen[side])
+        for w, g, seen in zip(plain.weights[2:], dense, plain.seen[2:]):
+            seen += g * g
+            w -= 0.1 * g / np.sqrt(seen)
+        network.learn(window, kind, 0.1)
+        assert all(np.array_equal(x, y) for x, y in zip((*network.weights, *network.seen), (*plain.weights, *plain.seen)))
+    rows = np.array([7, 2, 7, 9, 2, 7], np.int32)
+    at, place, first, later = masked_lm._grouped(rows)
+    assert at.tolist() == [2, 7, 9] and at[place].tolist() == rows.tolist() and first.tolist() == [1, 0, 3] and later.tolist() == [4, 2, 5]
+
+
+@pytest.mark.parametrize("run", [1, 70, 1000])
+def test_words_are_hashed_run_by_run(monkeypatch, run):
+    """Whatever the runs: words beyond one, beyond the table of places, and none."""
+    texts = ["", " \t", "a bb  ccc", "x" * 64 + " " + "y" * 65 + " z", "w" * 1500, " ".join(f"word{n}" for n in range(500))]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    words = Words(data, np.cumsum([0, *map(len, texts)]))
+    whole = [words.hashes(seed).tolist() for seed in (0, 1)]
+    monkeypatch.setattr("gridspark.llm.words._HASHED", run)
+    assert [words.hashes(seed).tolist() for seed in (0, 1)] == whole
+    assert len(set(whole[0])) == len(words) == sum(len(t.split()) for t in texts)
+
+
 def test_network_gradients():
     """Against differences of the loss, for every kind of weight."""
     rng = np.random.default_rng(7)
